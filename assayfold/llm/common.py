@@ -75,8 +75,9 @@ def connected_components(edges: DataFrame, kept: Kept, max_rounds: int = 60) ->
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = kept.put(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
         kept.drop("cc", 1)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.lit(True))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp"))
+    rows = edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")))
+    return rows.groupBy("id").agg(F.min("comp").alias("comp"))

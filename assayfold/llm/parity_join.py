@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept, connected_components, free_shuffles
+from .shingles import chunks, mix, shingle_sets
 
 #: Words of a shingle; similarity as a fraction; bands for each element of the largest set of a size band.
 WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.42
@@ -29,149 +30,141 @@ SMALL, ROUNDS = 48, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
 GROUP, FILTER_BITS = 512, 24
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64's multipliers
 _LOW = [1]
 while _LOW[-1] < 1 << 40:
     _LOW.append(4 * _LOW[-1] // 3 + 1)
 _LOWS = np.array(_LOW)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles. Words are hashed once a worker, up to a bounded number."""
-
-    def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self.k, self.known, self.hash = words, {}, xxhash.xxh64_intdigest
-        self.power = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        ids = np.fromiter((known.get(w) or known.setdefault(w, self.hash(w)) for w in words), np.uint64, len(words))
-        k = min(self.k, len(ids))
-        n = len(ids) - k + 1
-        out = np.full(n, k, np.uint64)
-        for j in range(k):
-            out += ids[j : j + n] * self.power[j]
-        return np.unique(mix(out))
-
-
-def bands(s: np.ndarray, group: int) -> np.ndarray:
-    """Join keys of the bands of a set that hold anything."""
-    g = np.uint64(group + 1)
-    n_bands = np.uint64(max(1, int(np.ceil(BANDS * _LOW[group + 1]))))
-    band = mix(s ^ (g << np.uint64(50))) % n_bands
-    order = np.argsort(band, kind="stable")
-    band, word = band[order], mix(s[order] + np.uint64(0x9E3779B97F4A7C15))
-    start = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
-    return mix(np.bitwise_xor.reduceat(word, start) + mix((band[start] << np.uint64(8)) + g))
-
-
-def keys(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
-    """(join keys, size band, agreements that any partner must have there) of a set that is not empty."""
-    n = len(s)
-    c = int(np.searchsorted(_LOWS, n, "right")) - 1
+def join_keys(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, set, size band, agreements that any partner must have there) for sets given by their hashes and offsets."""
+    n = np.diff(cuts)
+    own = np.searchsorted(_LOWS, n, "right") - 1
     out = []
-    for group, largest in ((c, 4 * n // 3), (c - 1, _LOW[c] - 1)):
-        if group < 0:
+    for down in (0, 1):
+        use = np.flatnonzero((n > 0) & (own >= down))
+        if not len(use):
             continue
-        found = bands(s, group)
-        need = len(found) - (n + largest) // 7
-        if need < 1:  # the bands alone promise nothing: the set's prefix does
-            found = np.concatenate([found, mix(s[: n // 4 + 1] ^ mix(np.uint64(1 << 60) + np.uint64(group)))])
-        out.append((found, group, max(need, 1)))
-    return out
+        group = own - down
+        largest = 4 * n // 3 if not down else _LOWS[np.maximum(own, 0)] - 1
+        n_bands = np.maximum(1, np.ceil(BANDS * _LOWS[group + 1])).astype(np.uint64)
+        of = np.repeat(np.arange(len(n)), n)
+        took = np.isin(of, use) if len(use) < len(n) else slice(None)
+        s, of = sets[took], of[took]
+        g = group[of].astype(np.uint64) + np.uint64(1)
+        band = mix(s ^ (g << np.uint64(50))) % n_bands[of]
+        order = np.argsort((of.astype(np.uint64) << np.uint64(40)) | band, kind="stable")
+        band, of, g, word = band[order], of[order], g[order], mix(s + np.uint64(0x9E3779B97F4A7C15))[order]
+        start = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (of[1:] != of[:-1]))))
+        key = mix(np.bitwise_xor.reduceat(word, start) + mix((band[start] << np.uint64(8)) + g[start]))
+        of = of[start]
+        need = np.bincount(of, minlength=len(n)) - (n + largest) // 7
+        out.append((key, of, group[of], np.maximum(need[of], 1)))
+        for i in use[need[use] < 1]:  # the bands alone promise nothing: the set's prefix does
+            head = mix(sets[cuts[i] : cuts[i] + n[i] // 4 + 1] ^ mix((1 << 60) + int(group[i])))
+            out.append((head, np.full(len(head), i), np.full(len(head), group[i]), np.ones(len(head), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
 
 
 def _batch(columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
+def _prints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words for each set that only equal sets share; 0 for empty ones."""
+    full = np.flatnonzero(np.diff(cuts))
+    f, g = np.zeros((2, len(cuts) - 1), np.uint64)
+    if len(full):
+        f[full] = np.bitwise_xor.reduceat(mix(sets + np.uint64(1)), cuts[full])
+        g[full] = np.add.reduceat(mix(sets ^ np.uint64(77)), cuts[full])
+    return f.view(np.int64), g.view(np.int64)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles and two words that only equal sets share."""
-    shingle = Shingler()
-    for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            s = shingle(text.as_py())
-            rows.append((len(s), int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))) - (1 << 63), int(mix(s ^ np.uint64(77)).sum(dtype=np.uint64)) - (1 << 63)) if len(s) else (0, None, None))
-        n, f, g = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64())], ["doc_id", "n_shingles", "f", "g"])
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join keys of every set, of equal ones in a task only the first."""
-    shingle, seen = Shingler(), set()
-    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int16(), pa.int32())], ["sig", "id", "band", "need"])
-    for batch in batches:
-        sig, ids, count, group, need = [], [], [], [], []
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), count)), pa.array(np.repeat(np.array(group, np.int16), count)), pa.array(np.repeat(np.array(need, np.int32), count))], ["sig", "id", "band", "need"])
-            for x in (sig, ids, count, group, need):
-                x.clear()
-            return made
-
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = shingle(text.as_py())
-            if doc is None or not len(s):
-                continue
-            own = (len(s), int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))), int(s.sum(dtype=np.uint64)))
-            if own in seen:
-                continue
-            seen.add(own)
-            for k, g, t in keys(s):
-                sig.append(k)
-                ids.append(doc)
-                count.append(len(k))
-                group.append(g)
-                need.append(t)
-            if sum(count[-2:]) > 100_000 or len(count) >= 2000:
-                yield out()
-        yield out() if sig else empty
+    """doc_id, n_shingles and the two words of its set."""
+    for part in chunks(batches, 1):
+        sets, cuts = shingle_sets(part.column(1), WORDS)
+        f, g = _prints(sets, cuts)
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g))], ["doc_id", "n_shingles", "f", "g"])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Join keys of every set, of equal ones in a task only the first. A row carries all that a chunk has for one
+    partition: keys, and their documents with size band, need and number of keys."""
+    seen: set[tuple[int, int]] = set()
+    for part in chunks(batches, 1):
+        sets, cuts = shingle_sets(part.column(1), WORDS)
+        known = [not n or doc is None or (own := (f, g)) in seen or seen.add(own) for doc, n, f, g in zip(part.column(0).to_pylist(), np.diff(cuts).tolist(), *(x.tolist() for x in _prints(sets, cuts)))]
+        new = np.flatnonzero(~np.array([bool(x) for x in known], bool))
+        if not len(new):
+            continue
+        n = np.diff(cuts)
+        sets = sets[np.isin(np.repeat(np.arange(len(n)), n), new)]
+        key, of, group, need = join_keys(sets, np.concatenate([[0], np.cumsum(n[new])]))
+        ids = part.column(0).to_numpy(zero_copy_only=False)[new].astype(np.int64)
+        to = (key % np.uint64(len(places))).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        key, of, group, need, to = key[order], of[order], group[order], need[order], to[order]
+        edge = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (of[1:] != of[:-1]) | (group[1:] != group[:-1]))))
+        runs = np.diff(np.append(edge, len(key)))
+        lots, key_at = np.unique(to, return_index=True)
+        run_at = np.searchsorted(edge, key_at)
+        bounds = [(*np.append(key_at, len(key))[i : i + 2], *np.append(run_at, len(edge))[i : i + 2]) for i in range(len(lots))]
+        one = lambda x, t, a, b: x[a:b].astype(t).tobytes()
+        rows = [(int(places[p]), one(key, "<u8", a, b), one(ids[of[edge]], "<i8", c, d), one(group[edge], "<i2", c, d), one(need[edge], "<i4", c, d), one(runs, "<i4", c, d)) for p, (a, b, c, d) in zip(lots, bounds)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and id: those whose sig several ids have, each with the smallest of them."""
-    last = None
+    """Keys that several ids have, as rows of their members: run, id, size band, need, smallest id, and in how many of
+    the partition's keys just these members meet (they are then one run)."""
+    parts = [[], [], [], []]
     for batch in batches:
-        if not len(batch):
-            continue
-        sig, ids, band, need = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if last is not None:  # the leader of the run that may go on
-            sig, ids, band, need = (np.concatenate([[a], b]) for a, b in zip(last, (sig, ids, band, need)))
-        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(sig))))
-        leader = ids[starts][run]
-        member = ids != leader
-        led = np.zeros(len(starts), bool)
-        led[run[member]] = True
-        keep = member.copy()
-        keep[starts[led]] = True
-        last = [x[starts[-1]] for x in (sig, ids, band, need)]
-        yield _batch({"sig": sig[keep], "id": ids[keep], "band": band[keep].astype(np.int16), "need": need[keep].astype(np.int32), "leader": leader[keep]})
+        keys, ids, bands, needs, counts = (batch.column(i).to_pylist() for i in range(1, 6))
+        for k, *rest, n in zip(keys, ids, bands, needs, counts):
+            n = np.frombuffer(n, "<i4")
+            parts[0].append(np.frombuffer(k, "<u8"))
+            for x, raw, t in zip(parts[1:], rest, ("<i8", "<i2", "<i4")):
+                x.append(np.repeat(np.frombuffer(raw, t), n))
+    if not parts[0]:
+        return
+    key, ids, band, need = (np.concatenate(x) for x in parts)
+    del parts
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.concatenate(([True], key[1:] != key[:-1]))
+    many = np.zeros(len(key), bool)
+    many[1:] |= ~start[1:]
+    many[:-1] |= ~start[1:]
+    order, key = order[many], key[many]
+    ids, band, need = ids[order], band[order], need[order]
+    if not len(key):
+        return
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(at, len(key)))
+    who = mix(ids.view(np.uint64))
+    run = mix(np.bitwise_xor.reduceat(who, at) + mix(np.add.reduceat(who, at)) + mix(size.astype(np.uint64) * np.uint64(4096) + band[at].astype(np.uint64)))
+    low = np.minimum.reduceat(ids, at)
+    _, first, times = np.unique(run, return_index=True, return_counts=True)
+    weight = np.zeros(len(at), np.int64)
+    weight[first] = times
+    keep = np.repeat(weight > 0, size)
+    put = lambda x: np.repeat(x, size)[keep]
+    out = {"run": put(run).view(np.int64), "id": ids[keep], "band": band[keep].astype(np.int16), "need": need[keep].astype(np.int32), "leader": put(low), "n": put(weight)}
+    for k in range(0, len(out["id"]), 200_000):
+        yield _batch({c: x[k : k + 200_000] for c, x in out.items()})
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig: pairs (a < b) of a bucket's members of different components, with the agreements they need."""
+    """Of rows (run, id, comp, band, need, n) sorted by run: pairs (a < b) of a run's members of different components, with
+    the agreements that they have here and those that they need."""
 
     def pairs(rows):
-        ids, comp, band, need = (np.array(x) for x in zip(*rows))
+        ids, comp, band, need, n = (np.array(x) for x in zip(*rows))
         for i in range(1, len(ids)):
             j = np.flatnonzero(comp[:i] != comp[i])
             if len(j):
-                yield _batch({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i]), "band": band[j].astype(np.int16), "need": np.maximum(need[j], need[i]).astype(np.int32)})
+                yield _batch({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i]), "band": band[j].astype(np.int16), "need": np.maximum(need[j], need[i]).astype(np.int32), "n": n[j]})
 
     sig, rows = None, []
     for batch in batches:
@@ -224,13 +217,16 @@ def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, w = Shingler(), shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((w[at >> 6] >> (at & 63)) & 1 == 1))
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t.as_py()).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], ["id", "set"])
+        w = shared.value
+
+        def wanted():
+            for batch in batches:
+                at = batch.column(2).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array((w[at >> 6] >> (at & 63)) & 1 == 1))
+
+        for part in chunks(wanted(), 1):
+            found, cuts = shingle_sets(part.column(1), WORDS)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))], ["id", "set"])
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = own.select("id", "text", place.cast("long").alias("place")).mapInArrow(sets, "id long, set array<long>")
@@ -256,37 +252,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = ids.join(classes, ["n_shingles", "f", "g"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = kept.put(equal, "links")
 
-    signed = docs.mapInArrow(_signatures, "sig long, id long, band short, need int")
-    runs = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig long, id long, band short, need int, leader long")
-    met = kept.put(runs, "met")
+    # keys travel in lots, one a chunk and partition: for each partition, a number that Spark's hash deals to it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
+    places = np.array([r.place for r in dealt])
+    signed = docs.mapInArrow(lambda it: _signatures(it, places), "place int, keys binary, ids binary, bands binary, needs binary, counts binary")
+    met = kept.put(signed.repartition(parts, "place").mapInArrow(_runs, "run long, id long, band short, need int, leader long, n long"), "met")
     free_shuffles(spark)
     # whoever agrees with others in fewer bands than any partner needs has no partner
-    enough = met.groupBy("id", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
-    met = kept.put(met.join(enough, ["id", "band"]), "met")
+    enough = met.groupBy("id", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
+    met = met.join(enough, ["id", "band"]).groupBy("run", "id", "band", "need", "leader").agg(F.sum("n").alias("n"))
+    met = kept.put(met, "met")
     kept.drop("met", 1)
 
-    votes = met.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("n"))
-    best = votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b"))
-    links = links.unionByName(verify(docs, best, kept))
+    def best(votes: DataFrame) -> DataFrame:
+        """For each id the leader that it meets most often, as pairs."""
+        votes = votes.groupBy("id", "leader").agg(F.sum("n").alias("n"))
+        return votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b"))
+
+    links = links.unionByName(verify(docs, best(met.where("id <> leader")), kept))
     comps = kept.put(connected_components(links, kept), "comps")
     for turn in range(ROUNDS + 1):
-        now = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
-        met = kept.put(now.drop("leader").join(mixed.select("sig", "n", "lead"), "sig"), "mixed")
-        kept.drop("mixed", 1)
-        large = met.where(F.col("n") > SMALL)
+        now = met.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
+        met = kept.put(now.join(mixed.where("low <> high").select("run", "size", "leader"), "run"), "mixed")
+        kept.drop("mixed", 2)
+        large = met.where(F.col("size") > SMALL)
         if turn == ROUNDS or large.isEmpty():
             break
-        # a large bucket's members of other components meet one of its members, another one each time
-        lead = met.select(F.col("id").alias("lead"), F.col("comp").alias("lead_comp")).distinct()
-        votes = large.join(lead, "lead").where("comp <> lead_comp").groupBy("id", "lead").agg(F.count("*").alias("n"))
-        best = votes.groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))
-        links = links.unionByName(verify(docs, best, kept))
+        # a large run's members of other components meet one of its members, another one each time
+        lead = met.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")).distinct()
+        links = links.unionByName(verify(docs, best(large.join(lead, "leader").where("comp <> lead_comp")), kept))
         comps = kept.put(connected_components(links, kept), "comps")
-        met = met.drop("n", "lead", "comp").withColumn("leader", F.col("id"))
-    rows = met.select("sig", "id", "comp", "band", "need").repartition("sig").sortWithinPartitions("sig", "id")
-    pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int")
-    pairs = pairs.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
+        met = met.drop("size", "comp")
+    rows = met.select("run", "id", "comp", "band", "need", "n").repartition("run").sortWithinPartitions("run")
+    pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long")
+    pairs = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
     late = verify(docs, pairs, kept)
     if not late.isEmpty():
         comps = kept.put(connected_components(links.unionByName(late), kept), "comps")

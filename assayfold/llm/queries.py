@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit_packing, compression_classifier, cost_packing, entropy_mixing, license_scan, parity_join, quality_rules, separator_scan
+from . import bestfit_packing, compression_classifier, cost_packing, entropy_mixing, license_scan, lm_scoring, nn_descent, parity_join, quality_rules, separator_scan
 from .common import new_path, table
 
 
@@ -15,6 +15,15 @@ def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents scored with benchmark's texts as the target."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of documents' flat token files: file, ordinal, n_tokens."""
     path = new_path(spark, "tokens")
@@ -98,8 +107,15 @@ def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
+    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,6 +78,29 @@ def test_large_bucket_rounds(spark, monkeypatch):
     check(spark, rows)
 
 
+def agreements(s):
+    out = {}
+    for k, _, g, t in zip(*(x.tolist() for x in pj.join_keys(s, np.array([0, len(s)])))):
+        out.setdefault(g, (set(), t))[0].add(k)
+    return out
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    from assayfold.llm import shingles
+
+    texts = [None, "", " a", "b " * 50, "ünï cödé\u3000x\x0bY", "z" * 200, *(f"w{i} q" for i in range(20))]
+    whole = shingles.shingle_sets(pa.array(texts), 5)
+    assert np.diff(whole[1]).tolist() == [len(shingles_of) for shingles_of in map(shingles_by_hand, texts)]
+    monkeypatch.setattr(shingles.word_hashes, "__defaults__", (7,))
+    cut = shingles.shingle_sets(pa.array(texts), 5)
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
+shingles_by_hand = shingles
+
+
 def test_pigeonhole_bound():
     """Linked sets agree in as many bands as either of them says a partner must."""
     rng = np.random.default_rng(3)
@@ -89,6 +112,6 @@ def test_pigeonhole_bound():
             both = len(np.intersect1d(a, b))
             if 4 * both < 3 * (len(a) + len(b) - both) or not both:
                 continue
-            ka, kb = ({g: (set(k.tolist()), t) for k, g, t in pj.keys(x)} for x in (a, b))
+            ka, kb = (agreements(x) for x in (a, b))
             group = int(np.searchsorted(pj._LOWS, min(len(a), len(b)), "right")) - 1
             assert len(ka[group][0] & kb[group][0]) >= max(ka[group][1], kb[group][1])

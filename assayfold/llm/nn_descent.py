@@ -151,6 +151,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = vectors.sparkSession
     kept = Kept(spark, "descent")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = rows.where(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).withColumn("v", F.col("v").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("v"))
@@ -164,13 +165,13 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = None
     for attempt in range(1 + RETRIES):
         blocks = of.mapInArrow(_blocks(bits, tables, attempt), f"id long, label {label}, dim int, t int, key long, v {v}")
-        blocks = blocks.repartition("label", "dim", "t", "key").sortWithinPartitions("label", "dim", "t", "key").select("label", "dim", "t", "key", "id", "v")
+        blocks = blocks.repartition(parts, "label", "dim", "t", "key").sortWithinPartitions("label", "dim", "t", "key").select("label", "dim", "t", "key", "id", "v")
         found = blocks.mapInArrow(_near(4, 4, 5, LIST, FLOOR), "a long, b long, sim double")
         edges = kept.put(_best(found if edges is None else edges.unionByName(found), LIST), "edges")
         for _ in range(ROUNDS):
             # who has a neighbour in common meets there
             at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
-            at = at.join(of.select("id", "v"), "id").select("pivot", "id", "v").repartition("pivot").sortWithinPartitions("pivot")
+            at = at.join(of.select("id", "v"), "id").select("pivot", "id", "v").repartition(parts, "pivot").sortWithinPartitions("pivot")
             more = at.mapInArrow(_near(1, 1, 2, LIST, FLOOR), "a long, b long, sim double")
             edges = kept.put(_best(edges.unionByName(more), LIST), "edges")
             kept.drop("edges", 1)
@@ -183,7 +184,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = kept.put(members.join(counts, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "w", "v")
-    links = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    links = pairs.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     done = kinds.select("label", "v", "id", "w").join(links, "id", "left").join(comps, "id", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
     own = valid.join(done, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

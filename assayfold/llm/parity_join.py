@@ -159,12 +159,21 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (run, id, comp, band, need, n) sorted by run: pairs (a < b) of a run's members of different components, with
     the agreements that they have here and those that they need."""
 
+    made: list[tuple[np.ndarray, ...]] = []
+
+    def out():
+        done = _batch(dict(zip(("a", "b", "band", "need", "n"), map(np.concatenate, zip(*made)))))
+        made.clear()
+        return done
+
     def pairs(rows):
         ids, comp, band, need, n = (np.array(x) for x in zip(*rows))
         for i in range(1, len(ids)):
             j = np.flatnonzero(comp[:i] != comp[i])
             if len(j):
-                yield _batch({"a": np.minimum(ids[j], ids[i]), "b": np.maximum(ids[j], ids[i]), "band": band[j].astype(np.int16), "need": np.maximum(need[j], need[i]).astype(np.int32), "n": n[j]})
+                made.append((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), band[j].astype(np.int16), np.maximum(need[j], need[i]).astype(np.int32), n[j]))
+            if len(made) > 5000:
+                yield out()
 
     sig, rows = None, []
     for batch in batches:
@@ -174,6 +183,8 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig, rows = s, []
             rows.append(row)
     yield from pairs(rows) if len(rows) > 1 else ()
+    if made:
+        yield out()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +241,7 @@ def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = own.select("id", "text", place.cast("long").alias("place")).mapInArrow(sets, "id long, set array<long>")
-    grouped = roles.join(own, "id").select("key", "salt", "role", "id", "set").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
+    grouped = roles.join(own, "id").select("key", "salt", "role", "id", "set").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "role")
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 
@@ -285,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(verify(docs, best(large.join(lead, "leader").where("comp <> lead_comp")), kept))
         comps = kept.put(connected_components(links, kept), "comps")
         met = met.drop("size", "comp")
-    rows = met.select("run", "id", "comp", "band", "need", "n").repartition("run").sortWithinPartitions("run")
+    rows = met.select("run", "id", "comp", "band", "need", "n").repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long")
     pairs = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
     late = verify(docs, pairs, kept)

@@ -27,8 +27,9 @@ def stream(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger_path:
             known = None  # the first batch opens the ledger
         answers = judging.judge(keyed, ask, known, pack).where("origin = 'asked'").persist()
         try:
-            ledger.append(answers, ledger_path, number, model)
+            # counted first: a write to the ledger drops what is cached of plans that read it
             asked, failed = answers.agg(F.count("*"), F.count_if(F.col("error").isNotNull())).first()
+            ledger.append(answers, ledger_path, number, model)
         finally:
             answers.unpersist()
         if failed > max(5 * pack, int(skip_budget * asked)):

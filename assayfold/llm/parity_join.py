@@ -245,6 +245,16 @@ def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 
+def merged(comps: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
+    """comps (id, comp) after more links: only the links between components are followed anew."""
+    of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = kept.put(connected_components(between, kept), "roots").select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    known = comps.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    new = roots.select(F.col("comp").alias("id"), F.col("root").alias("comp"))  # ids that had no component yet, and roots
+    return kept.put(known.unionByName(new).groupBy("id").agg(F.min("comp").alias("comp")), "comps")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id long, text; further columns are ignored).
 
@@ -283,23 +293,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links = links.unionByName(verify(docs, best(met.where("id <> leader")), kept))
     comps = kept.put(connected_components(links, kept), "comps")
+    found_more = True
     for turn in range(ROUNDS + 1):
         now = met.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
         met = kept.put(now.join(mixed.where("low <> high").select("run", "size", "leader"), "run"), "mixed")
         kept.drop("mixed", 2)
         large = met.where(F.col("size") > SMALL)
-        if turn == ROUNDS or large.isEmpty():
+        if turn == ROUNDS or not found_more or large.isEmpty():
             break
         # a large run's members of other components meet one of its members, another one each time
         lead = met.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")).distinct()
-        links = links.unionByName(verify(docs, best(large.join(lead, "leader").where("comp <> lead_comp")), kept))
-        comps = kept.put(connected_components(links, kept), "comps")
+        more = verify(docs, best(large.join(lead, "leader").where("comp <> lead_comp")), kept)
+        found_more = not more.isEmpty()
+        comps = merged(comps, more, kept) if found_more else comps
         met = met.drop("size", "comp")
     rows = met.select("run", "id", "comp", "band", "need", "n").repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long")
     pairs = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
     late = verify(docs, pairs, kept)
     if not late.isEmpty():
-        comps = kept.put(connected_components(links.unionByName(late), kept), "comps")
+        comps = merged(comps, late, kept)
     return prints.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))

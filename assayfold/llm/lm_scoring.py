@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def _lots(order: int, places: np.ndarray, target: bool):
     """A row for each chunk and partition: n-grams with occurrences, and documents (-1: the target) with their numbers of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 1):
+        task = TaskContext.get().partitionId() << 32
+        for number, part in enumerate(chunks(batches, 1)):
             key, of, times = ngrams(part.column(1), order)
             ids = np.full(len(part), -1, np.int64) if target else part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             to = (key % np.uint64(len(places))).astype(np.int64)
@@ -56,46 +58,78 @@ def _lots(order: int, places: np.ndarray, target: bool):
             lots, at = np.unique(to, return_index=True)
             at, run_at = np.append(at, len(key)), np.append(np.searchsorted(edge, at), len(edge))
             cut = lambda x, t, b, i: x[b[i] : b[i + 1]].astype(t).tobytes()
-            rows = [(int(places[p]), cut(key, "<u8", at, i), cut(np.minimum(times, 2**32 - 1), "<u4", at, i), cut(docs, "<i8", run_at, i), cut(runs, "<u4", run_at, i)) for i, p in enumerate(lots)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], ["place", "keys", "times", "docs", "counts"])
+            rows = [(int(places[p]), -1 if target else task + number, cut(key, "<u8", at, i), cut(np.minimum(times, 2**32 - 1), "<u4", at, i), cut(docs, "<i8", run_at, i), cut(runs, "<u4", run_at, i)) for i, p in enumerate(lots)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 4)], ["place", "chunk", "keys", "times", "docs", "counts"])
 
     return run
 
 
 def _losses(alpha: float):
-    """A partition's n-grams counted for both models, then for each document its losses less their common terms."""
+    """A partition's n-grams counted for both models; each lot goes back to its chunk with its documents' losses less
+    their common terms. A lot of the partition's own carries its share of the vocabulary and of both models' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times, docs = [], [], []
+        lots, keys, times, docs, counts = [], [], [], [], []
         for batch in batches:
-            for k, t, d, n in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                keys.append(np.frombuffer(k, "<u8"))
-                times.append(np.frombuffer(t, "<u4"))
-                docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4")))
+            lots += batch.column(1).to_pylist()
+            for into, i, kind in ((keys, 2, "<u8"), (times, 3, "<u4"), (docs, 4, "<i8"), (counts, 5, "<u4")):
+                into += [np.frombuffer(x, kind) for x in batch.column(i).to_pylist()]
         if not keys:
             return
-        keys, times, docs = np.concatenate(keys), np.concatenate(times).astype(np.float64), np.concatenate(docs)
+        sizes = [len(d) for d in docs]
+        keys, times, ids, counts = np.concatenate(keys), np.concatenate(times).astype(np.float64), np.concatenate(docs), np.concatenate(counts)
+        of = np.repeat(np.arange(len(ids)), counts)
         distinct, which = np.unique(keys, return_inverse=True)
         del keys
-        aim = docs == -1
+        aim = (ids == -1)[of]
         target = np.bincount(which[aim], times[aim], len(distinct))
         background = np.bincount(which[~aim], times[~aim], len(distinct))
-        which, times, docs = which[~aim], times[~aim], docs[~aim]
-        ids, at = np.unique(docs, return_inverse=True)
-        lost = np.bincount(at, -times * np.log(target[which] + alpha), len(ids))
-        base = np.bincount(at, -times * np.log(np.maximum(background[which] - times, 0) + alpha), len(ids))
-        # the last row carries the partition's share of the vocabulary and of both models' tokens
-        own = [np.append(ids, -1), np.append(lost, len(distinct)), np.append(base, target.sum()), np.append(np.bincount(at, times, len(ids)), background.sum())]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(own, ("i8", "f8", "f8", "f8"))], ["row", "target", "background", "n"])
+        # a document's own occurrences are those of all its rows
+        own = times.copy()
+        _, who, rows = np.unique(ids, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(((rows[who] > 1) & (ids != -1))[of])
+        if len(several):
+            _, pair = np.unique(who[of[several]] * len(distinct) + which[several], return_inverse=True)
+            own[several] = np.bincount(pair, times[several])[pair]
+        lost = np.bincount(of, -times * np.log(target[which] + alpha), len(ids))
+        base = np.bincount(of, -times * np.log(np.maximum(background[which] - own, 0) + alpha), len(ids))
+        n = np.bincount(of, times, len(ids))
+        ends = np.cumsum([0, *sizes])
+        put = lambda x, t="<f8": [x[a:b].astype(t).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        out = [r for r in zip(lots, put(ids, "<i8"), put(lost), put(base), put(n)) if r[0] >= 0]
+        one = lambda x, t="<f8": np.array([x], t).tobytes()
+        out.append((-1 - TaskContext.get().partitionId(), one(-1, "<i8"), one(len(distinct)), one(target.sum()), one(background.sum())))
+        for k in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256]), [pa.int64()] + [pa.binary()] * 4)], ["chunk", "docs", "target", "background", "n"])
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lots sorted by chunk, each document's sums over its chunk's lots."""
+
+    def sums(lots):
+        docs, *values = (np.concatenate(x) for x in zip(*lots))
+        ids, at = np.unique(docs, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.bincount(at, v, len(ids))) for v in values)], ["row", "target", "background", "n"])
+
+    chunk, held = None, []
+    for batch in batches:
+        for own, docs, *values in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != chunk and held:
+                yield sums(held)
+                held = []
+            chunk = own
+            held.append((np.frombuffer(docs, "<i8"), *(np.frombuffer(v, "<f8") for v in values)))
+    if held:
+        yield sums(held)
+
+
 def score(docs: DataFrame, target: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs (doc_id, text); target has a text.
 
     Every n-gram of every document is counted, in one exchange that deals n-grams by hash; a hot n-gram is one row a
-    document there, next to the partition's others. Rows with equal doc_id are one document whose texts count together;
+    document there, next to the partition's others. Sums travel back in lots, one a chunk and partition. Rows with equal doc_id are one document whose texts count together;
     rows with a null doc_id are counted in neither model and have a null score, like texts without words. Without target
     words the target model is even over the vocabulary. Extra columns are ignored; an empty table gives no rows.
     """
@@ -103,12 +137,13 @@ def score(docs: DataFrame, target: DataFrame, order: int = ORDER, alpha: float =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
     places = np.array([r.place for r in dealt])
-    shape = "place int, keys binary, times binary, docs binary, counts binary"
+    shape = "place int, chunk long, keys binary, times binary, docs binary, counts binary"
     # ids move by one, and below zero by none: -1 is the target's
     row = F.when(F.col("doc_id") >= 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1)
     mine = docs.where("doc_id is not null").select(row.cast("long").alias("row"), "text").mapInArrow(_lots(order, places, False), shape)
     aims = target.select(F.lit(-1).cast("long").alias("row"), "text").mapInArrow(_lots(order, places, True), shape)
-    losses = mine.unionByName(aims).repartition(parts, "place").mapInArrow(_losses(alpha), "row long, target double, background double, n double")
+    lots = mine.unionByName(aims).repartition(parts, "place").mapInArrow(_losses(alpha), "chunk long, docs binary, target binary, background binary, n binary")
+    losses = lots.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather, "row long, target double, background double, n double")
     sums = losses.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("target", "background", "n")))
     from .common import Kept
 

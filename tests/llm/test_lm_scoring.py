@@ -28,7 +28,7 @@ def by_hand(rows, target):
 @pytest.mark.parametrize("source", ["odd", "documents", "no target"])
 def test_equals_brute_force(spark, sf, source):
     rows = ODD if source != "documents" else [(i, t) for i, t, _ in documents(sf)]
-    rows = [r for r in rows if r[0] != 7 or source == "documents"] + [(-1, "below zero"), (-2, "the quick brown")]
+    rows = rows + [(-1, "below zero"), (-2, "the quick brown")]
     target = [] if source == "no target" else [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + ["the quick brown fox", None, ""]
     got = lm.score(frame(spark, rows), spark.createDataFrame([(t,) for t in target], "text string")).collect()
     want = by_hand(rows, target)

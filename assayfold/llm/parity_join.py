@@ -296,18 +296,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found_more = True
     for turn in range(ROUNDS + 1):
         now = met.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("leader"))
-        met = kept.put(now.join(mixed.where("low <> high").select("run", "size", "leader"), "run"), "mixed")
+        lead = F.min_by(F.struct(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")), F.xxhash64("id", F.lit(turn))).alias("l")
+        mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
+        now = now.join(mixed.where("low <> high").select("run", "size", "l.leader", "l.lead_comp"), "run")
+        # links to other components need enough agreements in buckets that hold other components
+        strong = now.groupBy("id", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
+        met = kept.put(now.join(strong, ["id", "band"]), "mixed")
         kept.drop("mixed", 2)
         large = met.where(F.col("size") > SMALL)
         if turn == ROUNDS or not found_more or large.isEmpty():
             break
         # a large run's members of other components meet one of its members, another one each time
-        lead = met.select(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")).distinct()
-        more = verify(docs, best(large.join(lead, "leader").where("comp <> lead_comp")), kept)
+        more = verify(docs, best(large.where("comp <> lead_comp")), kept)
         found_more = not more.isEmpty()
         comps = merged(comps, more, kept) if found_more else comps
-        met = met.drop("size", "comp")
+        met = met.drop("size", "comp", "leader", "lead_comp")
     rows = met.select("run", "id", "comp", "band", "need", "n").repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long")
     pairs = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()

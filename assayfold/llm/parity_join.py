@@ -5,7 +5,8 @@ words, so one shingle more or less changes one band at most: the bands in which
 difference from below. Sets with Jaccard similarity of 3/4 or more and sizes n and m differ in at most (n + m) / 7
 shingles. So of the nz bands that hold anything, at least nz minus that many agree: the pigeonhole joins documents on
 (size band, band, sketch), says how many agreements a pair must have, and lets documents with too few in all go before
-any pair is made. Survivors are verified on their whole sets.
+any pair is made. At last pairs are made only outside the need - 1 agreements of a document's largest buckets, and only
+where the parity sketches of the whole sets differ in no more bits than that. Survivors are verified on whole sets.
 
 Sizes are dealt into bands of ratio 4/3; a document joins in its own band and, as the larger one, in the band below.
 Where a small set fills too few bands for the pigeonhole, it is joined on the first n // 4 + 1 of its shingles too.
@@ -17,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept, connected_components, free_shuffles
 from .shingles import chunks, mix, shingle_sets
 
 #: Words of a shingle; similarity as a fraction; bands for each element of the largest set of a size band.
-WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.42
+WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.8
+#: Bits of the longest sketch.
+SKETCH = 2048
+#: Bytes of a key that travel; its place tells the rest. Keys that fall together make candidates, never links.
+KEY = 5
 #: Members up to which all pairs of a bucket between components are compared at once; rounds for the larger ones.
 SMALL, ROUNDS = 48, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
@@ -80,18 +85,35 @@ def _prints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return f.view(np.int64), g.view(np.int64)
 
 
+def bit_sketch(own: np.ndarray) -> bytes:
+    """Bit i is odd where an odd number of shingles falls on it. Shorter sketches are longer ones folded by XOR."""
+    size = min(max(1 << (len(own) - 1).bit_length(), 64), SKETCH)
+    odd = np.bincount((mix(own ^ np.uint64(0x51ED27)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all as short as the shortest."""
+    least, out = min(map(len, sketches)), np.empty((len(sketches), min(map(len, sketches)) // 8), np.uint64)
+    for i, raw in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, least // 8), axis=0)
+    return out
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles and the two words of its set."""
+    """doc_id, n_shingles, the two words of its set and its bit sketch."""
     for part in chunks(batches, 1):
         sets, cuts = shingle_sets(part.column(1), WORDS)
         f, g = _prints(sets, cuts)
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g))], ["doc_id", "n_shingles", "f", "g"])
+        bits = [bit_sketch(sets[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g)), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "f", "g", "sketch"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Join keys of every set, of equal ones in a task only the first. A row carries all that a chunk has for one
     partition: keys, and their documents with size band, need and number of keys."""
     seen: set[tuple[int, int]] = set()
+    parts = np.uint64(len(places))
     for part in chunks(batches, 1):
         sets, cuts = shingle_sets(part.column(1), WORDS)
         known = [not n or doc is None or (own := (f, g)) in seen or seen.add(own) for doc, n, f, g in zip(part.column(0).to_pylist(), np.diff(cuts).tolist(), *(x.tolist() for x in _prints(sets, cuts)))]
@@ -102,7 +124,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterat
         sets = sets[np.isin(np.repeat(np.arange(len(n)), n), new)]
         key, of, group, need = join_keys(sets, np.concatenate([[0], np.cumsum(n[new])]))
         ids = part.column(0).to_numpy(zero_copy_only=False)[new].astype(np.int64)
-        to = (key % np.uint64(len(places))).astype(np.int64)
+        to = (key % parts).astype(np.int64)
         order = np.argsort(to, kind="stable")
         key, of, group, need, to = key[order], of[order], group[order], need[order], to[order]
         edge = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (of[1:] != of[:-1]) | (group[1:] != group[:-1]))))
@@ -111,7 +133,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterat
         run_at = np.searchsorted(edge, key_at)
         bounds = [(*np.append(key_at, len(key))[i : i + 2], *np.append(run_at, len(edge))[i : i + 2]) for i in range(len(lots))]
         one = lambda x, t, a, b: x[a:b].astype(t).tobytes()
-        rows = [(int(places[p]), one(key, "<u8", a, b), one(ids[of[edge]], "<i8", c, d), one(group[edge], "<i2", c, d), one(need[edge], "<i4", c, d), one(runs, "<i4", c, d)) for p, (a, b, c, d) in zip(lots, bounds)]
+        rows = [(int(places[p]), (key[a:b] // parts).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), one(ids[of[edge]], "<i8", c, d), one(group[edge], "<i2", c, d), one(need[edge], "<i4", c, d), one(runs, "<i4", c, d)) for p, (a, b, c, d) in zip(lots, bounds)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"])
 
 
@@ -123,7 +145,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, bands, needs, counts = (batch.column(i).to_pylist() for i in range(1, 6))
         for k, *rest, n in zip(keys, ids, bands, needs, counts):
             n = np.frombuffer(n, "<i4")
-            parts[0].append(np.frombuffer(k, "<u8"))
+            short = np.zeros((len(k) // KEY, 8), np.uint8)
+            short[:, :KEY] = np.frombuffer(k, np.uint8).reshape(-1, KEY)
+            parts[0].append(short.view("<u8").ravel())
             for x, raw, t in zip(parts[1:], rest, ("<i8", "<i2", "<i4")):
                 x.append(np.repeat(np.frombuffer(raw, t), n))
     if not parts[0]:
@@ -156,22 +180,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (run, id, comp, band, need, n) sorted by run: pairs (a < b) of a run's members of different components, with
-    the agreements that they have here and those that they need."""
+    """Of rows (run, id, comp, band, need, n, rest, size, sketch) sorted by run: pairs (a < b) of a run's members of
+    different components whose sketches differ in no more bits than linked sets may, with the agreements that they have
+    here, those that they need, and those that they may have in the runs left out."""
 
     made: list[tuple[np.ndarray, ...]] = []
 
     def out():
-        done = _batch(dict(zip(("a", "b", "band", "need", "n"), map(np.concatenate, zip(*made)))))
+        done = _batch(dict(zip(("a", "b", "band", "need", "n", "rest"), map(np.concatenate, zip(*made)))))
         made.clear()
         return done
 
     def pairs(rows):
-        ids, comp, band, need, n = (np.array(x) for x in zip(*rows))
+        *columns, sketches = zip(*rows)
+        ids, comp, band, need, n, rest, size = (np.array(x) for x in columns)
+        bits = _folded(sketches)
         for i in range(1, len(ids)):
             j = np.flatnonzero(comp[:i] != comp[i])
+            j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[j] + size[i]]
             if len(j):
-                made.append((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), band[j].astype(np.int16), np.maximum(need[j], need[i]).astype(np.int32), n[j]))
+                made.append((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), band[j].astype(np.int16), np.maximum(need[j], need[i]).astype(np.int32), n[j], np.maximum(rest[j], rest[i])))
             if len(made) > 5000:
                 yield out()
 
@@ -267,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = Kept(spark, "parity")
-    prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long"), "prints")
+    prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long, sketch binary"), "prints")
     ids = prints.where("doc_id is not null and n_shingles > 0")
     classes = ids.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("b"))
     equal = ids.join(classes, ["n_shingles", "f", "g"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
@@ -311,9 +339,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found_more = not more.isEmpty()
         comps = merged(comps, more, kept) if found_more else comps
         met = met.drop("size", "comp", "leader", "lead_comp")
-    rows = met.select("run", "id", "comp", "band", "need", "n").repartition(parts, "run").sortWithinPartitions("run")
-    pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long")
-    pairs = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
+    # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal
+    own = Window.partitionBy("id", "band")
+    rows = met.withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("rest", F.max(F.when(F.col("ahead") < F.col("need"), F.col("ahead")).otherwise(0)).over(own)).where("ahead >= need")
+    # an id with several texts has no sketch of its own: size and sketch are such that it passes
+    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
+    of = ids.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id"))
+    of = of.agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
+    rows = rows.select("run", "id", "comp", "band", "need", "n", "rest").join(of, "id").select("run", "id", "comp", "band", "need", "n", "rest", "size", "sketch")
+    rows = rows.repartition(parts, "run").sortWithinPartitions("run")
+    pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long, rest long")
+    pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
     late = verify(docs, pairs, kept)
     if not late.isEmpty():
         comps = merged(comps, late, kept)

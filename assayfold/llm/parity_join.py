@@ -31,7 +31,7 @@ SKETCH = 2048
 #: Bytes of a key that travel; its place tells the rest. Keys that fall together make candidates, never links.
 KEY = 5
 #: Members up to which all pairs of a bucket between components are compared at once; rounds for the larger ones.
-SMALL, ROUNDS = 48, 4
+SMALL, ROUNDS = 4096, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
 GROUP, FILTER_BITS = 512, 24
 

@@ -273,6 +273,12 @@ def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 
+def with_enough(met: DataFrame) -> DataFrame:
+    """The rows of ids that have as many agreements in a size band as any partner needs; the rows are dealt once."""
+    own = Window.partitionBy("id", "band")
+    return met.withColumns({"_n": F.sum("n").over(own), "_need": F.max("need").over(own)}).where("_n >= _need").drop("_n", "_need")
+
+
 def merged(comps: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
     """comps (id, comp) after more links: only the links between components are followed anew."""
     of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
@@ -309,8 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = kept.put(signed.repartition(parts, "place").mapInArrow(_runs, "run long, id long, band short, need int, leader long, n long"), "met")
     free_shuffles(spark)
     # whoever agrees with others in fewer bands than any partner needs has no partner
-    enough = met.groupBy("id", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
-    met = met.join(enough, ["id", "band"]).groupBy("run", "id", "band", "need", "leader").agg(F.sum("n").alias("n"))
+    met = with_enough(met).groupBy("run", "id", "band", "need", "leader").agg(F.sum("n").alias("n"))
     met = kept.put(met, "met")
     kept.drop("met", 1)
 
@@ -328,8 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
         now = now.join(mixed.where("low <> high").select("run", "size", "l.leader", "l.lead_comp"), "run")
         # links to other components need enough agreements in buckets that hold other components
-        strong = now.groupBy("id", "band").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
-        met = kept.put(now.join(strong, ["id", "band"]), "mixed")
+        met = kept.put(with_enough(now), "mixed")
         kept.drop("mixed", 2)
         large = met.where(F.col("size") > SMALL)
         if turn == ROUNDS or not found_more or large.isEmpty():

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
 First lists come from blocks of equal hyperplane signs, whose number follows from the similarity sought. Each round then
-brings the vectors that share a neighbour together, compares them, and keeps the best of each list. Where lists are full
-of links they are enlarged to the whole component, whose vectors are compared block by block and only counted. A bounded
+brings the vectors that share a neighbour together, compares them, and keeps the best of each list. Lists only say who
+meets next: every link among vectors that meet joins their components. A component's vectors are then compared block by
+block, and links only counted. A bounded
 sample compared with all vectors says what share of links was found; too little adds blocks and rounds.
 """
 
@@ -88,8 +89,33 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterato
         yield out()
 
 
-def _near(keys: int, id_at: int, v_at: int, size: int, floor: float):
-    """For each group: every member's best `size` others from `floor`, as directed edges."""
+def _trees(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id, id) of what the links between the ids of rows and of columns connect: a tree for each component."""
+    back, open_left, open_right = np.ascontiguousarray(link.T), link.any(1), link.any(0)
+    a, b = [], []
+    for start in np.flatnonzero(open_left):
+        if not open_left[start]:
+            continue
+        open_left[start] = False
+        rows, ids = [start], [left[start : start + 1]]
+        while rows:
+            cols = np.flatnonzero(link[rows.pop()] & open_right)
+            open_right[cols] = False
+            ids.append(right[cols])
+            for c in cols:
+                new = np.flatnonzero(back[c] & open_left)
+                open_left[new] = False
+                ids.append(left[new])
+                rows.extend(new)
+        own = np.unique(np.concatenate(ids))
+        a.append(np.full(len(own) - 1, own[0]))
+        b.append(own[1:])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _near(keys: int, id_at: int, v_at: int, size: int, floor: float, threshold: float):
+    """For each group: every member's best `size` others from `floor`, as directed edges, and trees (of sim null) that
+    connect what the links of the group connect, however many links a member has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys, BLOCK):
@@ -102,6 +128,9 @@ def _near(keys: int, id_at: int, v_at: int, size: int, floor: float):
             x = units(group.column(v_at))[first]
             sims = x @ x.T
             np.fill_diagonal(sims, -2)
+            a, b = _trees(sims >= threshold, ids, ids)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], ["a", "b", "sim"])
             k = min(size, len(ids) - 1)
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             s = np.take_along_axis(sims, best, 1)
@@ -162,23 +191,31 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     v = kinds.schema["v"].dataType.simpleString()
     of = kinds.select("id", "label", "v")
     probe = {r.id: (r.label, np.asarray(r.v, float)) for r in of.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).collect()}
-    edges = None
+    edges = trees = None
+
+    def met(groups: DataFrame, keys: int) -> tuple[DataFrame, DataFrame]:
+        """Edges of the groups and of before, best of each list; trees of the groups and of before."""
+        found = kept.put(groups.mapInArrow(_near(keys, keys, keys + 1, LIST, FLOOR, threshold), "a long, b long, sim double"), "found")
+        lists, more = found.where("sim is not null"), found.where("sim is null").select("a", "b")
+        best = kept.put(_best(lists if edges is None else edges.unionByName(lists), LIST), "edges")
+        new = kept.put((more if trees is None else trees.unionByName(more)).distinct(), "trees")
+        for name, last in (("found", 0), ("edges", 1), ("trees", 1)):
+            kept.drop(name, last)
+        return best, new
+
     for attempt in range(1 + RETRIES):
         blocks = of.mapInArrow(_blocks(bits, tables, attempt), f"id long, label {label}, dim int, t int, key long, v {v}")
         blocks = blocks.repartition(parts, "label", "dim", "t", "key").sortWithinPartitions("label", "dim", "t", "key").select("label", "dim", "t", "key", "id", "v")
-        found = blocks.mapInArrow(_near(4, 4, 5, LIST, FLOOR), "a long, b long, sim double")
-        edges = kept.put(_best(found if edges is None else edges.unionByName(found), LIST), "edges")
+        edges, trees = met(blocks, 4)
         for _ in range(ROUNDS):
             # who has a neighbour in common meets there
             at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
             at = at.join(of.select("id", "v"), "id").select("pivot", "id", "v").repartition(parts, "pivot").sortWithinPartitions("pivot")
-            more = at.mapInArrow(_near(1, 1, 2, LIST, FLOOR), "a long, b long, sim double")
-            edges = kept.put(_best(edges.unionByName(more), LIST), "edges")
-            kept.drop("edges", 1)
-        comps = kept.put(connected_components(edges.where(F.col("sim") >= threshold).select("a", "b"), kept), "comps")
+            edges, trees = met(at, 1)
+        comps = kept.put(connected_components(trees, kept), "comps")
         if _audit(kinds, comps, probe, threshold) >= RECALL:
             break
-    # lists full of links are enlarged to their component: chunks of it are compared pair by pair, links only counted
+    # links are those inside components: chunks of it are compared pair by pair, links only counted
     members = of.join(kinds.select("id", "w"), "id").join(comps, "id")
     counts = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = kept.put(members.join(counts, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")

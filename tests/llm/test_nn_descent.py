@@ -50,3 +50,21 @@ def test_clusters_and_pairs(spark):
     links = [sum(r[1] for r in x) for x in (got, want)]
     assert links[0] >= 0.99 * links[1]
     assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+def around(rng, center, cosine, n):
+    """n unit vectors at this cosine from center."""
+    noise = rng.standard_normal((n, len(center)))
+    noise -= np.outer(noise @ center, center)
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    return cosine * center + np.sqrt(1 - cosine**2) * noise
+
+
+def test_tight_groups_with_links_between(spark):
+    """Two revisions of a text: each vector has more closer copies of its own revision than a list holds."""
+    rng = np.random.default_rng(8)
+    center = np.eye(64)[0]
+    rows = [v for revision in around(rng, center, 0.975, 2) for v in around(rng, revision, 0.995, 40)]
+    rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(rows)]
+    assert found(spark, rows) == by_hand(rows)
+    assert {r[2] for r in by_hand(rows)} == {0}

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
-First lists come from blocks of equal hyperplane signs, whose number follows from the similarity sought. Each round then
+First lists come from blocks of equal hyperplane signs, whose number follows from the similarity sought; a label whose
+blocks would hold as many pairs as the label itself is compared whole instead. Each round then
 brings the vectors that share a neighbour together, compares them, and keeps the best of each list. Lists only say who
 meets next: every link among vectors that meet joins their components. A component's vectors are then compared block by
 block, and links only counted. A bounded
@@ -21,8 +22,8 @@ from .common import Kept, connected_components
 
 #: Links from this cosine; similarity from which a neighbour is kept in a list and followed; length of a list.
 THRESHOLD, FLOOR, LIST = 0.93, 0.7, 10
-#: Rounds; vectors compared at once; chance of missing a link at the threshold in the first lists.
-ROUNDS, BLOCK, MISS = 2, 256, 1e-3
+#: Rounds; vectors of a component compared at once; vectors of a group compared at once (all pairs of chunks are); chance of missing a link at the threshold in the first lists.
+ROUNDS, BLOCK, CHUNK, MISS = 2, 256, 1024, 1e-3
 #: Vectors audited; share of their links that must be found; further attempts.
 AUDIT, RECALL, RETRIES = 256, 0.995, 2
 
@@ -54,20 +55,20 @@ def _blocks(bits: int, tables: int, seed: int):
                     signs = (units(rows.column(2)) @ planes[dim] > 0).reshape(len(rows), tables, bits)
                     key = signs @ (1 << np.arange(bits, dtype=np.int64))
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(rows), int(dim), np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(key[:, t]), rows.column(2)], ["id", "label", "dim", "t", "key", "v"])
+                        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(rows), int(dim), np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(key[:, t])], ["id", "label", "dim", "t", "key"])
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of sorted batches whose first `keys` columns agree, of at most `limit` rows."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted batches whose first `keys` columns agree."""
     held: list[pa.RecordBatch] = []
     last = None
 
     def out():
         t = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        return t.to_batches()[0] if t.num_rows else None
+        return t.to_batches()[0]
 
     for batch in batches:
         if not len(batch):
@@ -79,12 +80,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterato
             if rows[a] != last and held:
                 yield out()
             last = rows[a]
-            while a < b:
-                room = limit - sum(map(len, held))
-                held.append(batch.slice(a, min(room, b - a)))
-                a += room
-                if sum(map(len, held)) >= limit:
-                    yield out()
+            held.append(batch.slice(a, b - a))
     if held:
         yield out()
 
@@ -113,34 +109,49 @@ def _trees(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _near(keys: int, id_at: int, v_at: int, size: int, floor: float, threshold: float):
-    """For each group: every member's best `size` others from `floor`, as directed edges, and trees (of sim null) that
-    connect what the links of the group connect, however many links a member has."""
+def _near(keys: int, size: int, floor: float, threshold: float):
+    """For each pair of a group's chunks (…, i, j): every member's best `size` others from `floor`, as directed edges,
+    and trees (of sim null) that connect what the links connect, however many links a member has. Rows are
+    (…, i, j, side, id, v); where size is 0 there are trees only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys, BLOCK):
-            if group is None or len(group) < 2:
+        for group in _groups(batches, keys + 2):
+            same = group.column(keys)[0].as_py() == group.column(keys + 1)[0].as_py()
+            side, ids = (group.column(keys + k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            left = np.flatnonzero(side == 0)
+            right = left if same else np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
                 continue
-            ids = group.column(id_at).to_numpy(zero_copy_only=False)
-            ids, first = np.unique(ids, return_index=True)
-            if len(ids) < 2:
-                continue
-            x = units(group.column(v_at))[first]
-            sims = x @ x.T
-            np.fill_diagonal(sims, -2)
-            a, b = _trees(sims >= threshold, ids, ids)
+            x = units(group.column(keys + 4))
+            sims = x[left] @ x[right].T
+            if same:
+                np.fill_diagonal(sims, -2)
+            a, b = _trees(sims >= threshold, ids[left], ids[right])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], ["a", "b", "sim"])
-            k = min(size, len(ids) - 1)
-            best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            s = np.take_along_axis(sims, best, 1)
-            r, c = np.nonzero(s >= floor)
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[best[r, c]]), pa.array(s[r, c])], ["a", "b", "sim"])
+            for s, own, others in ((sims, ids[left], ids[right]), (sims.T, ids[right], ids[left]))[: 1 if same else 2]:
+                k = min(size, len(others) - same)
+                if k < 1:
+                    continue
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                s = np.take_along_axis(s, best, 1)
+                r, c = np.nonzero((s >= floor) & (others[best] != own[:, None]))
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(others[best[r, c]]), pa.array(s[r, c])], ["a", "b", "sim"])
 
     return run
 
 
+def _paired(rows: DataFrame, sizes: DataFrame, by: list[str], vec: DataFrame, parts: int) -> DataFrame:
+    """Rows with their vectors (vec: id, label, dim, v), once for each pair (i, j) of chunks of their group, sorted by
+    group and pair. sizes: n of the groups above CHUNK rows, by columns of rows; the others are one chunk each."""
+    rows = rows.join(sizes, [c for c in sizes.columns if c != "n"], "left").withColumn("n", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": F.when(F.col("part") <= F.col("other"), 0).otherwise(1)}).drop("n", "part", "other")
+    rows = rows.join(vec, [c for c in ("id", "label", "dim") if c in rows.columns]).select(*by, "i", "j", "side", "id", "v")
+    return rows.repartition(parts, *by, "i", "j").sortWithinPartitions(*by, "i", "j")
+
+
 def _best(edges: DataFrame, size: int) -> DataFrame:
     """Each id's best `size` neighbours of either direction (ties by id)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
@@ -152,7 +163,7 @@ def _count(threshold: float):
     """For each pair of a component's chunks (comp, i, j): how many rows each vector links to. Rows are (…, side, id, w, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3, 1 << 30):
+        for group in _groups(batches, 3):
             i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
             side, ids, w = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
             x = units(group.column(6))
@@ -191,11 +202,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     v = kinds.schema["v"].dataType.simpleString()
     of = kinds.select("id", "label", "v")
     probe = {r.id: (r.label, np.asarray(r.v, float)) for r in of.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).collect()}
+    vec = of.select("id", "label", F.size("v").alias("dim"), "v")
     edges = trees = None
 
-    def met(groups: DataFrame, keys: int) -> tuple[DataFrame, DataFrame]:
+    def met(groups: DataFrame, keys: int, size: int) -> tuple[DataFrame, DataFrame]:
         """Edges of the groups and of before, best of each list; trees of the groups and of before."""
-        found = kept.put(groups.mapInArrow(_near(keys, keys, keys + 1, LIST, FLOOR, threshold), "a long, b long, sim double"), "found")
+        found = kept.put(groups.mapInArrow(_near(keys, size, FLOOR, threshold), "a long, b long, sim double"), "found")
         lists, more = found.where("sim is not null"), found.where("sim is null").select("a", "b")
         best = kept.put(_best(lists if edges is None else edges.unionByName(lists), LIST), "edges")
         new = kept.put((more if trees is None else trees.unionByName(more)).distinct(), "trees")
@@ -203,15 +215,31 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             kept.drop(name, last)
         return best, new
 
+    def whole(labels: DataFrame) -> DataFrame:
+        """All vectors of these labels and dimensions (label, dim, n) as groups."""
+        every = vec.select("label", "dim", "id").join(labels.select("label", "dim"), ["label", "dim"], "left_semi")
+        return _paired(every, labels.where(F.col("n") > CHUNK), ["label", "dim"], vec, parts)
+
+    totals = kept.put(vec.groupBy("label", "dim").agg(F.count("*").alias("n")), "totals")
+    done_whole = None
     for attempt in range(1 + RETRIES):
-        blocks = of.mapInArrow(_blocks(bits, tables, attempt), f"id long, label {label}, dim int, t int, key long, v {v}")
-        blocks = blocks.repartition(parts, "label", "dim", "t", "key").sortWithinPartitions("label", "dim", "t", "key").select("label", "dim", "t", "key", "id", "v")
-        edges, trees = met(blocks, 4)
+        by = ["label", "dim", "t", "key"]
+        blocks = kept.put(of.mapInArrow(_blocks(bits, tables, attempt), f"id long, label {label}, dim int, t int, key long"), "blocks")
+        kept.drop("blocks", 1)
+        sizes = kept.put(blocks.groupBy(*by).agg(F.count("*").alias("n")), "sizes")
+        kept.drop("sizes", 1)
+        if done_whole is None:
+            # where blocks hold as many pairs as all vectors of the label do, these are compared instead, once
+            dense = sizes.groupBy("label", "dim").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).join(totals, ["label", "dim"])
+            done_whole = kept.put(dense.where(F.col("pairs") >= F.col("n") * F.col("n")).select("label", "dim", "n"), "whole")
+            edges, trees = met(whole(done_whole), 2, 0)
+        rest = blocks.join(done_whole.select("label", "dim"), ["label", "dim"], "left_anti")
+        edges, trees = met(_paired(rest.select(*by, "id"), sizes.where(F.col("n") > CHUNK), by, vec, parts), 4, LIST)
         for _ in range(ROUNDS):
             # who has a neighbour in common meets there
             at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
-            at = at.join(of.select("id", "v"), "id").select("pivot", "id", "v").repartition(parts, "pivot").sortWithinPartitions("pivot")
-            edges, trees = met(at, 1)
+            hubs = at.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+            edges, trees = met(_paired(at, hubs, ["pivot", "label", "dim"], vec, parts), 3, LIST)
         comps = kept.put(connected_components(trees, kept), "comps")
         if _audit(kinds, comps, probe, threshold) >= RECALL:
             break

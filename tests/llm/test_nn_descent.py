@@ -68,3 +68,30 @@ def test_tight_groups_with_links_between(spark):
     rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(rows)]
     assert found(spark, rows) == by_hand(rows)
     assert {r[2] for r in by_hand(rows)} == {0}
+
+
+def n_links(rows):
+    """Links of each row (id, unit vector, label), by id."""
+    ids, x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f4").astype(float), np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return dict(zip(ids.tolist(), (((x @ x.T >= 0.93) & (y[:, None] == y)).sum(1) - 1).tolist()))
+
+
+def test_hot_topic_in_first_blocks(spark, monkeypatch):
+    """A label of one topic, whose blocks hold far more vectors than are compared at once; links are few."""
+    monkeypatch.setattr(nd, "RETRIES", 0)
+    monkeypatch.setattr(nd, "ROUNDS", 0)
+    rng = np.random.default_rng(3)
+    x = around(rng, np.eye(64)[0], 0.91, 3000)
+    x[:300] = [around(rng, v, 0.94, 1)[0] for v in x[300:600]]
+    rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(x)]
+    assert {r[0]: r[1] for r in found(spark, rows)} == n_links(rows)
+
+
+def test_chunks_of_blocks_and_hubs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CHUNK", 5)
+    monkeypatch.setattr(nd, "RETRIES", 0)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([around(rng, c / np.linalg.norm(c), 0.98, n) for c, n in zip(rng.standard_normal((160, 64)), [1] * 100 + [3] * 50 + [20] * 10)])
+    rows = [(i, v.astype("f4").tolist(), i % 2) for i, v in enumerate(x)]
+    assert {r[0]: r[1] for r in found(spark, rows)} == n_links(rows)

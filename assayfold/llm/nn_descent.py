@@ -4,8 +4,9 @@ First lists come from blocks of equal hyperplane signs, whose number follows fro
 blocks would hold as many pairs as the label itself is compared whole instead. Each round then
 brings the vectors that share a neighbour together, compares them, and keeps the best of each list. Lists only say who
 meets next: every link among vectors that meet joins their components. A component's vectors are then compared block by
-block, and links only counted. A bounded
-sample compared with all vectors says what share of links was found; too little adds blocks and rounds.
+block, and links only counted. Bounded
+samples compared with all vectors say what share of a vector's links was found; too little adds blocks and rounds, and at
+last all vectors of a label are compared.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import Kept, connected_components
 THRESHOLD, FLOOR, LIST = 0.93, 0.7, 10
 #: Rounds; vectors of a component compared at once; vectors of a group compared at once (all pairs of chunks are); chance of missing a link at the threshold in the first lists.
 ROUNDS, BLOCK, CHUNK, MISS = 2, 256, 1024, 1e-3
-#: Vectors audited; share of their links that must be found; further attempts.
+#: Vectors in a sample of the audit; mean share of their links that must be found; further attempts.
 AUDIT, RECALL, RETRIES = 256, 0.995, 2
 
 
@@ -186,8 +187,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     threshold. Rows without a label, and vectors that are null, empty, zero or hold null or non-finite components, link
     with nothing. Equal vectors of a label count as so many rows but are compared once. Repeated vec_ids are rows of
     their own in n_links; rows with a null vec_id link with nothing and have a null component and kept false. Extra
-    columns are ignored; an empty table gives no rows. Links between components may be missed (see the audit); inside
-    a component all are counted.
+    columns are ignored; an empty table gives no rows. Links between components may be missed where the audit finds
+    recall enough (of a link at the threshold, with chance MISS); where it does not after the last attempt, all vectors
+    of a label are compared. Inside a component all links are counted.
     """
     spark = vectors.sparkSession
     kept = Kept(spark, "descent")
@@ -201,7 +203,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = kinds.schema["label"].dataType.simpleString()
     v = kinds.schema["v"].dataType.simpleString()
     of = kinds.select("id", "label", "v")
-    probe = {r.id: (r.label, np.asarray(r.v, float)) for r in of.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).collect()}
+    probe = _sample(of)
     vec = of.select("id", "label", F.size("v").alias("dim"), "v")
     edges = trees = None
 
@@ -243,6 +245,10 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         comps = kept.put(connected_components(trees, kept), "comps")
         if _audit(kinds, comps, probe, threshold) >= RECALL:
             break
+    else:
+        # what the attempts leave short is compared whole
+        edges, trees = met(whole(totals.join(done_whole.select("label", "dim"), ["label", "dim"], "left_anti")), 2, 0)
+        comps = kept.put(connected_components(trees, kept), "comps")
     # links are those inside components: chunks of it are compared pair by pair, links only counted
     members = of.join(kinds.select("id", "w"), "id").join(comps, "id")
     counts = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -256,12 +262,22 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return own.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _audit(kinds: DataFrame, comps: DataFrame, probe: dict, threshold: float) -> float:
-    """Share of the links of a bounded sample of vectors, found by comparing it with all, that lie inside components."""
+def _sample(rows: DataFrame) -> list[tuple]:
+    """(id, label, vector) of AUDIT rows, chosen by hash."""
+    return [(r.id, r.label, np.asarray(r.v, float)) for r in rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(AUDIT).collect()]
+
+
+def _audit(kinds: DataFrame, comps: DataFrame, probe: list[tuple], threshold: float) -> float:
+    """Recall by two bounded samples compared with all vectors, the lower one: that of vectors (probe), and that of one
+    vector a component, where a large group counts once. A vector's recall is the share of its links that lie inside
+    components; a sample's is the mean over its vectors with links, however many they have."""
     if not probe:
         return 1.0
     spark = kinds.sparkSession
-    shared = spark.sparkContext.broadcast([(i, label, v / np.sqrt((v * v).sum())) for i, (label, v) in probe.items()])
+    firsts = kinds.select("id", "label", "v").join(comps.where("id <> comp").select("id"), "id", "left_anti").select("id", "label", "v")
+    samples = [probe, _sample(firsts)]
+    asked = list({(i, label, v.tobytes()): (i, label, v / np.sqrt((v * v).sum())) for part in samples for i, label, v in part}.values())
+    shared = spark.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,5 +297,6 @@ def _audit(kinds: DataFrame, comps: DataFrame, probe: dict, threshold: float) ->
 
     true = kinds.select("id", "label", "v").mapInArrow(run, "a long, b long")
     mine = true.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    n, hit = mine.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return hit / n if n else 1.0
+    shares = {r.a: r.hit / r.n for r in mine.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).collect()}
+    own = [[shares[i] for i in {i for i, *_ in part} if i in shares] for part in samples]
+    return min([sum(x) / len(x) for x in own if x], default=1.0)

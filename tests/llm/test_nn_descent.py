@@ -95,3 +95,15 @@ def test_chunks_of_blocks_and_hubs(spark, monkeypatch):
     x = np.concatenate([around(rng, c / np.linalg.norm(c), 0.98, n) for c, n in zip(rng.standard_normal((160, 64)), [1] * 100 + [3] * 50 + [20] * 10)])
     rows = [(i, v.astype("f4").tolist(), i % 2) for i, v in enumerate(x)]
     assert {r[0]: r[1] for r in found(spark, rows)} == n_links(rows)
+
+
+def test_audit_leaves_nothing_short(spark, monkeypatch):
+    """Blocks that find next to nothing outside one hot group: its many links must not carry the audit, and what the
+    last attempt leaves short is compared whole."""
+    monkeypatch.setattr(nd, "RETRIES", 0)
+    monkeypatch.setattr(nd, "ROUNDS", 0)
+    monkeypatch.setattr(nd, "tables_for", lambda n, threshold: (30, 1))
+    rng = np.random.default_rng(5)
+    x = np.concatenate([around(rng, c / np.linalg.norm(c), 0.98 if n == 2 else 1 - 1e-9, n) for c, n in zip(rng.standard_normal((151, 64)), [2] * 150 + [600])])
+    rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(x)]
+    assert {r[0]: r[1] for r in found(spark, rows)} == n_links(rows)

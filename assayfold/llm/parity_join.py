@@ -274,9 +274,10 @@ def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
 
 
 def with_enough(met: DataFrame) -> DataFrame:
-    """The rows of ids that have as many agreements in a size band as any partner needs; the rows are dealt once."""
+    """The rows of ids that have as many agreements in a size band as any partner needs (of an id with several texts, of
+    that which needs least); the rows are dealt once."""
     own = Window.partitionBy("id", "band")
-    return met.withColumns({"_n": F.sum("n").over(own), "_need": F.max("need").over(own)}).where("_n >= _need").drop("_n", "_need")
+    return met.withColumns({"_n": F.sum("n").over(own), "_need": F.min("need").over(own)}).where("_n >= _need").drop("_n", "_need")
 
 
 def merged(comps: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
@@ -354,7 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = rows.select("run", "id", "comp", "band", "need", "n", "rest").join(of, "id").select("run", "id", "comp", "band", "need", "n", "rest", "size", "sketch")
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long, rest long")
-    pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct()
     late = verify(docs, pairs, kept)
     if not late.isEmpty():
         comps = merged(comps, late, kept)

@@ -115,3 +115,9 @@ def test_pigeonhole_bound():
             ka, kb = (agreements(x) for x in (a, b))
             group = int(np.searchsorted(pj._LOWS, min(len(a), len(b)), "right")) - 1
             assert len(ka[group][0] & kb[group][0]) >= max(ka[group][1], kb[group][1])
+
+
+def test_need_of_the_text_that_needs_least(spark):
+    """An id with two texts in a size band: few agreements are enough for the one, too few for the other."""
+    met = spark.createDataFrame([(1, 7, 3, 2, 2), (2, 7, 3, 9, 1), (3, 8, 3, 4, 3)], "run long, id long, band int, need int, n long")
+    assert sorted(r.run for r in pj.with_enough(met).collect()) == [1, 2]

@@ -22,10 +22,14 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; of repeated rows of it, one."""
+    """One document of each group of near duplicates, that with the smallest id, with every text it has; documents
+    without an id stay. Rows of equal id and text (null ids are equal here) become one, the smallest by its other columns."""
     groups = parity_join.near_duplicates(docs)
     firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    taken = docs.join(firsts, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = taken.groupBy("doc_id", "text").agg(F.min(F.struct(*other)).alias("_other"))
+    return one.select(*[F.col("_other")[c].alias(c) if c in other else c for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def test_columns_stay(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns
 
 
+def test_null_and_repeated_ids_stay(spark, sf):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one, "s"), (2, one, "s"), (3, two, "s"), (3, three, "t"), (3, three, "s"), (None, "other words of no id", "s"), (None, None, "s")]
+    got = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf)
+    assert set(map(tuple, got.collect())) == {rows[k] for k in (0, 2, 4, 5, 6)} and got.count() == 5
+
+
 def docs_score():
     from pyspark.sql import functions as F
 

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="assayfold-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -48,8 +50,18 @@ class Kept:
         paths = self.paths.get(name, [])
         gone, self.paths[name] = paths[: len(paths) - keep_last], paths[len(paths) - keep_last :]
         for path in gone:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(self.spark, path)
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all that was written but what stands under these names, which the result still reads."""
+        for name in self.paths:
+            if name not in names:
+                self.drop(name)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -79,5 +91,7 @@ def connected_components(edges: DataFrame, kept: Kept, max_rounds: int = 60) ->
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     rows = edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")))
     return rows.groupBy("id").agg(F.min("comp").alias("comp"))

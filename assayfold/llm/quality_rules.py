@@ -49,46 +49,74 @@ def _chars_only(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
-def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the counts that rules may use. Null text has no words and counts of zero.
+def let(value: Column, then) -> Column:
+    """then(value), with the value evaluated once a row however often `then` uses it, and wherever the optimizer moves
+    the whole: a lambda's variable is bound, a projected column would be written out at each of its uses."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    Repeated windows of a text are found within its row: the hashes of its windows are compared for equality, and only
-    where two are equal are they sorted with their positions; the words that flagged windows cover are then added up
-    gap by gap. Cost is n log n in the words of a text, whatever repeats.
+
+def _repeated(words: Column, window: int) -> Column:
+    """Words in windows found twice or more.
+
+    The hashes of a text's windows are compared for equality, and only where two are equal are they sorted with their
+    positions; the words that flagged windows cover are then added up gap by gap: n log n in the words, whatever repeats.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    out = out.withColumn("_lines", lines)
-    hashes = F.when(F.col("n_words") >= window, F.transform(F.sequence(F.lit(1), (F.col("n_words") - window + 1).cast("int")), lambda i: F.xxhash64(F.slice("_words", i, window)))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    out = out.withColumn("_hashes", hashes)
-    pairs = F.sort_array(F.arrays_zip(F.col("_hashes").alias("h"), F.sequence(F.lit(0), F.size("_hashes") - 1).alias("i")))
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), pairs))
-    here = lambda i: F.get("_sorted", i)["h"]
-    flagged = F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: F.coalesce(here(i) == here(i - 1), F.lit(False)) | F.coalesce(here(i) == here(i + 1), F.lit(False)))
-    flagged = F.sort_array(F.transform(flagged, lambda i: F.get("_sorted", i)["i"]))
-    out = out.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), flagged))
-    covered = F.aggregate(F.transform("_starts", lambda s, k: F.least(F.lit(window), F.coalesce(F.get("_starts", k + 1) - s, F.lit(window)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = out.withColumns({
-        "word_chars": (F.length(text) - F.length(F.regexp_replace(text, WORD, ""))).cast("long"),
-        "n_symbols": _chars_only(text, "#*$%&|<>").cast("long"),
-        "n_exclamations": _chars_only(text, "!").cast("long"),
-        "n_capitals": _chars_only(text, "\\p{Lu}").cast("long"),
-        "n_stop_words": F.size(F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(STOP_WORDS))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    })
-    return out.drop("_words", "_lines", "_hashes", "_sorted", "_starts")
-
-
-def failed(rule: Rule) -> Column:
-    """True where the measure is out of bounds; a ratio over nothing is not."""
+    starts = F.sequence(F.lit(1), F.size(words) - window + 1)
+    hashes = F.when(F.size(words) >= window, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window))))
+
+    def covered(pairs: Column) -> Column:
+        same = lambda i, k: F.coalesce(F.get(pairs, i)["h"] == F.get(pairs, k)["h"], F.lit(False))
+        flagged = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: same(i, i - 1) | same(i, i + 1))
+        ordered = F.array_sort(F.transform(flagged, lambda i: F.get(pairs, i)["i"]))
+        gap = lambda at, s, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - s, F.lit(window)))
+        return let(ordered, lambda at: F.aggregate(F.transform(at, lambda s, k: gap(at, s, k)), F.lit(0).cast("long"), lambda a, x: a + x))
+
+    def counted(h: Column) -> Column:
+        pairs = F.sort_array(F.arrays_zip(h.alias("h"), F.sequence(F.lit(0), F.size(h) - 1).alias("i")))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, covered))
+
+    return F.coalesce(let(hashes, counted), F.lit(0)).cast("long")
+
+
+#: The counts that rules may use, in the order of the verdict's fields.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def measures(text: Column, window: int = WINDOW) -> Column:
+    """A struct of MEASURES (long each). Null text has no words and counts of zero."""
+
+    def counts(t: Column) -> Column:
+        split = F.filter(F.split(t, SPACE), lambda w: w != "")
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+        stops = lambda w: F.size(F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: x.isin(STOP_WORDS)))
+        of_words = let(split, lambda w: F.struct(F.size(w).alias("n"), stops(w).alias("stops"), _repeated(w, window).alias("repeated")))
+        of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
+
+        def named(w: Column, x: Column) -> Column:
+            found = {
+                "n_words": w["n"],
+                "word_chars": F.length(t) - F.length(F.regexp_replace(t, WORD, "")),
+                "n_symbols": _chars_only(t, "#*$%&|<>"),
+                "n_exclamations": _chars_only(t, "!"),
+                "n_capitals": _chars_only(t, "\\p{Lu}"),
+                "n_stop_words": w["stops"],
+                "n_lines": x["n"],
+                "n_dup_lines": x["again"],
+                "n_repeat_words": w["repeated"],
+            }
+            return F.struct(*[found[k].cast("long").alias(k) for k in MEASURES])
+
+        return let(of_words, lambda w: let(of_lines, lambda x: named(w, x)))
+
+    return let(F.coalesce(text, F.lit("")), counts)
+
+
+def failed(rule: Rule, of: Column) -> Column:
+    """True where the measure of the struct `of` is out of bounds; a ratio over nothing is not."""
     top, _, bottom = (x.strip() for x in rule.measure.partition("/"))
-    value = F.col(top).cast("double")
+    value = of[top].cast("double")
     if bottom:
-        value = value / F.when(F.col(bottom) != 0, F.col(bottom).cast("double"))
+        value = value / F.when(of[bottom] != 0, of[bottom].cast("double"))
     bad = F.lit(False)
     if rule.low is not None:
         bad = bad | (value < rule.low)
@@ -97,14 +125,27 @@ def failed(rule: Rule) -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = BASE, window: int = WINDOW) -> Column:
+    """A struct of MEASURES, `failed_rules` (names, in the table's order), `base_failed` and `kept`, computed once a row
+    even where a filter on one of its fields is pushed below everything else."""
+
+    def ruled(m: Column) -> Column:
+        names = F.array_compact(F.array(*[F.when(failed(r, m), F.lit(r.name)) for r in rules])) if rules else F.expr("cast(array() as array<string>)")
+        judged = lambda f: (f.alias("failed_rules"), F.arrays_overlap(f, F.array(*map(F.lit, base)).cast("array<string>")).alias("base_failed"), (F.size(f) == 0).alias("kept"))
+        return let(names, lambda f: F.struct(*[m[k].alias(k) for k in MEASURES], *judged(f)))
+
+    return let(measures(text, window), ruled)
+
+
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = BASE, window: int = WINDOW) -> DataFrame:
-    """docs with the measures, `failed_rules` (names, in the table's order), `base_failed` and `kept`.
+    """docs with the measures, `failed_rules`, `base_failed` and `kept`.
 
-    One narrow projection: no shuffle, no user function; rows, repeated or not, stand for themselves. A null text has
-    no words and so fails the length rule. Input columns with a measure's name are replaced; an empty table stays empty.
+    One narrow projection: no shuffle, no user function; rows, repeated or not, stand for themselves. A null or empty
+    text has no words and so fails the length rule; a very long one is one row's work, n log n in its words. Input
+    columns with a measure's name are replaced, all others are kept whatever their names (`verdict` beside them keeps
+    all); an empty table stays empty.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words", "failed_rules", "base_failed", "kept"}
-    out = measures(docs.drop(*clash & set(docs.columns)), window)
-    names = F.array(*[F.when(failed(r), F.lit(r.name)) for r in rules]) if rules else F.expr("cast(array() as array<string>)")
-    out = out.withColumn("failed_rules", F.array_compact(names))
-    return out.withColumn("base_failed", F.arrays_overlap("failed_rules", F.array(*map(F.lit, base)))).withColumn("kept", F.size("failed_rules") == 0)
+    added = [*MEASURES, "failed_rules", "base_failed", "kept"]
+    own = [c for c in docs.columns if c not in added]
+    taken = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(own)], verdict(docs["text"], rules, base, window).alias("v"))
+    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *[F.col("v")[c].alias(c) for c in added])

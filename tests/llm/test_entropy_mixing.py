@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -44,6 +45,34 @@ def test_targets_and_mix(spark, sf):
     assert key(em.mix(docs.repartition(5, "text")).collect()) == key(out)
 
 
+def test_rates_solve_the_dual(spark, sf):
+    """Rates are exp(lambda * size), at most 3, with the lambda that a bisection over all documents of a source finds."""
+    rows = documents(sf)
+    out = em.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    assert any(len({round(r.rate, 6) for r in own}) > 5 for own in by.values())
+    for own in by.values():
+        total = lambda lam: sum(r.size * min(3.0, math.exp(min(50.0, lam * r.size))) for r in own)  # noqa: E731,B023
+        if own[0].target >= 3 * own[0].source_size:
+            assert all(r.rate == 3 for r in own)
+            continue
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if total(mid) < own[0].target else (low, mid)
+        assert all(abs(r.rate - min(3.0, math.exp(low * r.size))) < 1e-4 for r in own)
+        assert sum(r.copies not in (int(r.rate), int(r.rate) + 1) for r in own) <= em.EXCHANGES
+
+
+def test_many_equal_rows(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "s" if i % 3 else "t") for i in range(3000)] + [(7, "a b c d", "s")] * 500, "doc_id long, text string, source string")
+    out = em.mix(docs).collect()
+    for taken, want in check(out, [(r.doc_id, r.text, r.source) for r in docs.collect()]).values():
+        assert abs(taken - want) <= 4
+
+
 def test_odd_rows(spark):
     docs = frame(spark, ODD)
     check(em.mix(docs).collect(), [(r.doc_id, r.text, r.source) for r in docs.collect()])

@@ -1,5 +1,10 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from assayfold.llm import compression_classifier, cost_packing, entropy_mixing, quality_rules
+from helpers import ODD, frame
 from test_parity_join import by_hand
 
 
@@ -24,10 +29,30 @@ def test_stages_against_brute_force(spark, sf):
     assert all(n % t == 0 for n, t in tokens.values())
 
 
-def test_columns_stay(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", docs_score()).withColumn("kept", docs_score())
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).columns == docs.columns
+def test_odd_rows_and_clashing_names(spark, sf):
+    """Stages return whole rows of their input: own columns keep their values, whatever operators call theirs."""
+    base = frame(spark, ODD).unionByName(frame(spark, [(20 + i, " ".join(f"word{i} the {k} of" for k in range(20))) for i in range(4)]))
+    docs = base.withColumns({c: F.lit(f"mine {c}") for c in ("_score", "_hash", "_n", "rate", "failed_rules")})
+    there = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and set(rows) <= there, name
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, sf).groupBy("doc_id").count().count() == docs.select("doc_id").distinct().count()
+    assert last(spark, docs.where("false"), sf).count() == 0
+
+
+def test_mix_takes_repeated_rows_as_often_as_it_says(spark, sf):
+    rows = [(1, "a b c d", "s", "x")] * 3 + [(1, "a b c d", "s", "y")] + [(i, f"w{i} " * 9, "t", "z") for i in range(2, 30)] + [(None, "no id here", "s", "z")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    want = Counter()
+    for r in entropy_mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in corpus_pipeline.mixed(spark, docs, sf).collect())
+    assert got == Counter({k: v for k, v in want.items() if v})
 
 
 def test_null_and_repeated_ids_stay(spark, sf):
@@ -35,9 +60,3 @@ def test_null_and_repeated_ids_stay(spark, sf):
     rows = [(1, one, "s"), (2, one, "s"), (3, two, "s"), (3, three, "t"), (3, three, "s"), (None, "other words of no id", "s"), (None, None, "s")]
     got = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf)
     assert set(map(tuple, got.collect())) == {rows[k] for k in (0, 2, 4, 5, 6)} and got.count() == 5
-
-
-def docs_score():
-    from pyspark.sql import functions as F
-
-    return F.lit("mine")

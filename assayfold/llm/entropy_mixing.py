@@ -73,10 +73,11 @@ def newton(cells: DataFrame, wanted: DataFrame, kept: Kept, most: int = MOST, st
         if state.where("not done").isEmpty():
             return state.drop("low", "high", "done")
         z, rate = F.try_divide("size", "mean"), rate_of(F.col("size"), F.col("mean"), F.col("lam"), most)
-        at = cells.join(state.where("not done").select("key", "mean", "lam"), "key").select("key", "n", z.alias("z"), rate.alias("r"))
+        # merged, not broadcast: a broadcast table takes pages of memory on every executor, and there are two a step
+        at = cells.join(state.where("not done").select("key", "mean", "lam").hint("merge"), "key").select("key", "n", z.alias("z"), rate.alias("r"))
         bends = F.when(F.col("r") < most, F.col("r")).otherwise(0.0)
         sums = at.groupBy("key").agg(F.sum(F.col("n") * F.col("z") * F.col("r")).alias("f"), F.sum(F.col("n") * F.col("z") * F.col("z") * bends).alias("d"))
-        now = state.join(sums, "key", "left").withColumn("t", F.try_divide("target", "mean"))
+        now = state.join(sums.hint("merge"), "key", "left").withColumn("t", F.try_divide("target", "mean"))
         now = now.withColumns({"low": F.when(F.col("f") < F.col("t"), F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("f") >= F.col("t"), F.col("lam")).otherwise(F.col("high"))})
         step = F.col("lam") - F.try_divide(F.col("f") * (F.log("f") - F.log("t")), F.col("d"))
         inside = F.coalesce((step > F.coalesce("low", F.lit(float("-inf")))) & (step < F.coalesce("high", F.lit(float("inf")))) & (F.abs(step) < 1e12), F.lit(False))
@@ -102,7 +103,7 @@ def rounded(cells: DataFrame, kept: Kept, most: int = MOST, exchanges: int = EXC
     out = kept.put(out, "rounded")
     for _ in range(exchanges):
         gap = out.groupBy("key").agg(F.round(F.max("target") - F.sum(F.col("size") * F.col("copies"))).cast("long").alias("gap"))
-        seen = out.join(gap, "key").where("size > 0 and gap <> 0")
+        seen = out.join(gap.hint("merge"), "key").where("size > 0 and gap <> 0")
         free = F.when(F.col("gap") < 0, F.col("copies")).otherwise(F.col("n") * most - F.col("copies"))
         moved = F.least(free, F.greatest(F.lit(1), F.floor(F.abs("gap") / F.col("size"))))
         seen = seen.withColumn("moved", moved).withColumn("left", F.abs(F.abs("gap") - F.col("moved") * F.col("size"))).where(F.col("moved") > 0).where(F.col("left") < F.abs("gap"))
@@ -110,7 +111,7 @@ def rounded(cells: DataFrame, kept: Kept, most: int = MOST, exchanges: int = EXC
         best = kept.put(best.select("key", "b.size", "b.by"), "best")
         if best.isEmpty():
             break
-        out = kept.put(out.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by"), "rounded")
+        out = kept.put(out.join(best.hint("merge"), ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by"), "rounded")
         kept.drop("rounded", 1)
     return out
 

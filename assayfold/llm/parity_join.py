@@ -25,11 +25,11 @@ from .common import Kept, connected_components, free_shuffles
 from .shingles import chunks, mix, shingle_sets
 
 #: Words of a shingle; similarity as a fraction; bands for each element of the largest set of a size band.
-WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.8
-#: Bits of the longest sketch.
-SKETCH = 2048
+WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.42
+#: Bits of the longest sketch; bits for each shingle and bits of the longest fine sketch.
+SKETCH, FINE, FINEST = 2048, 8, 1 << 16
 #: Bytes of a key that travel; its place tells the rest. Keys that fall together make candidates, never links.
-KEY = 5
+KEY = 4
 #: Members up to which all pairs of a bucket between components are compared at once; rounds for the larger ones.
 SMALL, ROUNDS = 4096, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
@@ -85,9 +85,9 @@ def _prints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return f.view(np.int64), g.view(np.int64)
 
 
-def bit_sketch(own: np.ndarray) -> bytes:
+def bit_sketch(own: np.ndarray, times: int = 1, most: int = SKETCH) -> bytes:
     """Bit i is odd where an odd number of shingles falls on it. Shorter sketches are longer ones folded by XOR."""
-    size = min(max(1 << (len(own) - 1).bit_length(), 64), SKETCH)
+    size = min(max(1 << (times * len(own) - 1).bit_length(), 64), most)
     odd = np.bincount((mix(own ^ np.uint64(0x51ED27)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,12 +101,13 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, the two words of its set and its bit sketch."""
+    """doc_id, n_shingles, the two words of its set, its bit sketch and its fine one."""
     for part in chunks(batches, 1):
         sets, cuts = shingle_sets(part.column(1), WORDS)
         f, g = _prints(sets, cuts)
-        bits = [bit_sketch(sets[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g)), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "f", "g", "sketch"])
+        own = [sets[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        bits, fine = [bit_sketch(x) for x in own], [bit_sketch(x, FINE, FINEST) for x in own]
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g)), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n_shingles", "f", "g", "sketch", "fine"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -132,29 +133,40 @@ def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterat
         lots, key_at = np.unique(to, return_index=True)
         run_at = np.searchsorted(edge, key_at)
         bounds = [(*np.append(key_at, len(key))[i : i + 2], *np.append(run_at, len(edge))[i : i + 2]) for i in range(len(lots))]
-        one = lambda x, t, a, b: x[a:b].astype(t).tobytes()
-        rows = [(int(places[p]), (key[a:b] // parts).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes(), one(ids[of[edge]], "<i8", c, d), one(group[edge], "<i2", c, d), one(need[edge], "<i4", c, d), one(runs, "<i4", c, d)) for p, (a, b, c, d) in zip(lots, bounds)]
+        short = (key // parts).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
+        of, group, need = ids[of[edge]], group[edge], np.minimum(need[edge], 32767)
+        rows = [(int(places[p]), short[a:b].tobytes(), planes(np.diff(of[c:d], prepend=0), "<i8"), planes(group[c:d], "i1"), planes(need[c:d], "<i2"), planes(runs[c:d], "<u4")) for p, (a, b, c, d) in zip(lots, bounds)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"])
 
 
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: high bytes are mostly equal and shrink in a shuffle."""
+    raw = x.astype(kind)
+    return raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
+
+
+def numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that several ids have, as rows of their members: run, id, size band, need, smallest id, and in how many of
-    the partition's keys just these members meet (they are then one run)."""
+    """Keys that several ids have, as runs of their members: run, size band, smallest id, in how many of the partition's
+    keys just these members meet (they are then one run), and the members' ids and needs, packed."""
     parts = [[], [], [], []]
     for batch in batches:
-        keys, ids, bands, needs, counts = (batch.column(i).to_pylist() for i in range(1, 6))
-        for k, *rest, n in zip(keys, ids, bands, needs, counts):
-            n = np.frombuffer(n, "<i4")
+        for k, *rest in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
             short = np.zeros((len(k) // KEY, 8), np.uint8)
             short[:, :KEY] = np.frombuffer(k, np.uint8).reshape(-1, KEY)
             parts[0].append(short.view("<u8").ravel())
-            for x, raw, t in zip(parts[1:], rest, ("<i8", "<i2", "<i4")):
-                x.append(np.repeat(np.frombuffer(raw, t), n))
+            ids, band, need, n = (numbers(x, t) for x, t in zip(rest, ("<i8", "i1", "<i2", "<u4")))
+            for x, values in zip(parts[1:], (np.cumsum(ids), band, need)):
+                x.append(np.repeat(values, n))
     if not parts[0]:
         return
     key, ids, band, need = (np.concatenate(x) for x in parts)
     del parts
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((ids, key))
     key = key[order]
     start = np.concatenate(([True], key[1:] != key[:-1]))
     many = np.zeros(len(key), bool)
@@ -166,17 +178,26 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
-    who = mix(ids.view(np.uint64))
+    who = mix(ids.view(np.uint64) + mix(need.astype(np.uint64)))
     run = mix(np.bitwise_xor.reduceat(who, at) + mix(np.add.reduceat(who, at)) + mix(size.astype(np.uint64) * np.uint64(4096) + band[at].astype(np.uint64)))
-    low = np.minimum.reduceat(ids, at)
     _, first, times = np.unique(run, return_index=True, return_counts=True)
-    weight = np.zeros(len(at), np.int64)
-    weight[first] = times
-    keep = np.repeat(weight > 0, size)
-    put = lambda x: np.repeat(x, size)[keep]
-    out = {"run": put(run).view(np.int64), "id": ids[keep], "band": band[keep].astype(np.int16), "need": need[keep].astype(np.int32), "leader": put(low), "n": put(weight)}
-    for k in range(0, len(out["id"]), 200_000):
-        yield _batch({c: x[k : k + 200_000] for c, x in out.items()})
+    for k in range(0, len(first), 10_000):
+        f, n = first[k : k + 10_000], times[k : k + 10_000]
+        spans = [(at[i], at[i] + size[i]) for i in f]
+        packed = [[planes(np.diff(ids[a:b], prepend=0), "<i8") for a, b in spans], [planes(need[a:b], "<i2") for a, b in spans]]
+        yield _batch({"run": run[f].view(np.int64), "band": band[at[f]].astype(np.int16), "leader": ids[at[f]], "n": n.astype(np.int64), "ids": packed[0], "needs": packed[1]})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed runs as rows of their members."""
+    for batch in batches:
+        for k in range(0, len(batch), 1000):
+            part = batch.slice(k, 1000)
+            ids = [np.cumsum(numbers(x, "<i8")) for x in part.column(4).to_pylist()]
+            needs = [numbers(x, "<i2") for x in part.column(5).to_pylist()]
+            size = np.array([len(x) for x in ids])
+            put = lambda i: np.repeat(part.column(i).to_numpy(zero_copy_only=False), size)  # noqa: E731,B023
+            yield _batch({"run": put(0), "id": np.concatenate(ids), "band": put(1), "need": np.concatenate(needs).astype(np.int32), "leader": put(2), "n": put(3), "held": np.repeat(size, size)})
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,37 +259,79 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. A leader a meets its partners in groups of bounded size.
+class IdFilter:
+    """A bitmap of fixed size that lets the ids of a frame through, and some others; a full one lets all through."""
+
+    def __init__(self, ids: DataFrame):
+        size = 1 << FILTER_BITS
+        bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {size}) & 63 as int))")
+        bits = ids.select(F.shiftright(F.pmod(F.xxhash64("id"), F.lit(size)), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        found = bits.toArrow()  # at most 2 ** (FILTER_BITS - 6) words
+        words = np.zeros(size >> 6, np.int64)
+        words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        self.shared, self.place = ids.sparkSession.sparkContext.broadcast(words), F.pmod(F.xxhash64("id"), F.lit(size)).cast("long")
+
+    def rows(self, frame: DataFrame, then, schema: str) -> DataFrame:
+        """then(batches) of the frame's rows that are let through; the frame has an id."""
+        shared, last = self.shared, len(frame.columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+
+            def wanted():
+                for batch in batches:
+                    at = batch.column(last).to_numpy(zero_copy_only=False)
+                    yield batch.filter(pa.array((w[at >> 6] >> (at & 63)) & 1 == 1)).drop_columns(["_place"])
+
+            yield from then(wanted())
+
+        return frame.withColumn("_place", self.place).mapInArrow(run, schema)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, set) of rows (id, text)."""
+    for part in chunks(batches, 1):
+        found, cuts = shingle_sets(part.column(1), WORDS)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))], ["id", "set"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, sizes and fine sketches of both) the pairs whose sketches differ in no more bits than linked sets may."""
+    for batch in batches:
+        n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        near = np.ones(len(batch), bool)
+        for i, pair in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            if None not in pair:
+                x, y = _folded(list(pair))
+                near[i] = 7 * int(np.bitwise_count(x ^ y).sum()) <= n[i] + m[i]
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def close_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs that may link by their fine sketches, without those of equal sets, which are linked already. Sketches
+    are an eighth of the sets that a verification moves; an id with several texts has none, and its pairs stay."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    rows = prints.where("doc_id is not null and n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "f", "g", "fine")
+    rows = IdFilter(ids).rows(rows, lambda it: it, "id long, n long, f long, g long, fine binary")
+    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
+    rows = rows.groupBy("id").agg(F.max("n").alias("n"), *(F.when(one, F.max(c)).alias(c) for c in ("f", "g", "fine")))
+    of = lambda side: rows.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "f", "g", "fine")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(~F.coalesce((F.col("f_a") == F.col("f_b")) & (F.col("g_a") == F.col("g_b")), F.lit(False)))
+    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(_close, "a long, b long")
+
+
+def verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame, kept: Kept) -> DataFrame:
+    """The pairs (a, b) of different sets whose whole sets link. A leader a meets its partners in groups of bounded size.
 
     Texts are scanned once more and sets built only for ids that a bitmap of fixed size lets through (a bitmap that
     fills up lets all through, and the join that follows drops them)."""
-    pairs = kept.put(pairs, "pairs")
+    pairs = kept.put(close_pairs(kept.put(pairs, "met-pairs"), prints), "pairs")
+    kept.drop("met-pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     members = pairs.join(counts, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
     roles = members.unionByName(members.select("key", "salt", F.lit(0).alias("role"), F.col("key").alias("id")).distinct())
-    size = 1 << FILTER_BITS
-    place = F.pmod(F.xxhash64("id"), F.lit(size))
-    bits = roles.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {size}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = bits.toArrow()  # at most 2 ** (FILTER_BITS - 6) words
-    words = np.zeros(size >> 6, np.int64)
-    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-
-        def wanted():
-            for batch in batches:
-                at = batch.column(2).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array((w[at >> 6] >> (at & 63)) & 1 == 1))
-
-        for part in chunks(wanted(), 1):
-            found, cuts = shingle_sets(part.column(1), WORDS)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))], ["id", "set"])
-
     own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    own = own.select("id", "text", place.cast("long").alias("place")).mapInArrow(sets, "id long, set array<long>")
+    own = IdFilter(roles.select("id")).rows(own, _sets, "id long, set array<long>")
     grouped = roles.join(own, "id").select("key", "salt", "role", "id", "set").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "role")
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
@@ -302,7 +365,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = Kept(spark, "parity")
-    prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long, sketch binary"), "prints")
+    prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long, sketch binary, fine binary"), "prints")
     ids = prints.where("doc_id is not null and n_shingles > 0")
     classes = ids.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("b"))
     equal = ids.join(classes, ["n_shingles", "f", "g"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
@@ -313,50 +376,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
     places = np.array([r.place for r in dealt])
     signed = docs.mapInArrow(lambda it: _signatures(it, places), "place int, keys binary, ids binary, bands binary, needs binary, counts binary")
-    met = kept.put(signed.repartition(parts, "place").mapInArrow(_runs, "run long, id long, band short, need int, leader long, n long"), "met")
-    free_shuffles(spark)
+    packed = "run long, band short, leader long, n long, ids binary, needs binary"
+    runs = signed.repartition(parts, "place").mapInArrow(_runs, packed)
+    # equal runs of different partitions are one: they are met before members are rows of their own
+    runs = runs.groupBy("run").agg(F.first("band").alias("band"), F.first("leader").alias("leader"), F.sum("n").alias("n"), F.first("ids").alias("ids"), F.first("needs").alias("needs"))
+    met = runs.mapInArrow(_members, "run long, id long, band short, need int, leader long, n long, held long")
     # whoever agrees with others in fewer bands than any partner needs has no partner
-    met = with_enough(met).groupBy("run", "id", "band", "need", "leader").agg(F.sum("n").alias("n"))
-    met = kept.put(met, "met")
-    kept.drop("met", 1)
+    met = kept.put(with_enough(met), "met")
+    free_shuffles(spark)
 
     def best(votes: DataFrame) -> DataFrame:
         """For each id the leader that it meets most often, as pairs."""
         votes = votes.groupBy("id", "leader").agg(F.sum("n").alias("n"))
         return votes.groupBy("id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("id").alias("b"))
 
-    links = links.unionByName(verify(docs, best(met.where("id <> leader")), kept))
+    links = links.unionByName(verify(docs, prints, best(met.where("id <> leader")), kept))
     comps = kept.put(connected_components(links, kept), "comps")
-    found_more = True
+    largest = met.agg(F.max("held")).first()[0] or 0  # members of a run; those that left are counted too
+    met = met.drop("leader", "held")
+    # an id with several texts has no sketch of its own: size and sketch are such that it passes
+    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
+    of = ids.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("set_size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
     for turn in range(ROUNDS + 1):
-        now = met.drop("leader").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        lead = F.min_by(F.struct(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")), F.xxhash64("id", F.lit(turn))).alias("l")
-        mixed = now.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), lead)
-        now = now.join(mixed.where("low <> high").select("run", "size", "l.leader", "l.lead_comp"), "run")
         # links to other components need enough agreements in buckets that hold other components
-        met = kept.put(with_enough(now), "mixed")
-        kept.drop("mixed", 2)
-        large = met.where(F.col("size") > SMALL)
-        if turn == ROUNDS or not found_more or large.isEmpty():
+        run = Window.partitionBy("run")
+        lead = F.min_by(F.struct(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")), F.xxhash64("id", F.lit(turn))).over(run)
+        now = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = now.withColumns({"low": F.min("comp").over(run), "high": F.max("comp").over(run), "size": F.count("*").over(run), "l": lead}).where("low <> high")
+        now = with_enough(now.select("run", "id", "band", "need", "n", "comp", "size", "l.leader", "l.lead_comp").repartition(parts, "id"))
+        if turn == ROUNDS or largest <= SMALL:
+            break
+        now = kept.put(now, "mixed")
+        kept.drop("mixed", 1)
+        large = now.where(F.col("size") > SMALL)
+        if large.isEmpty():
             break
         # a large run's members of other components meet one of its members, another one each time
-        more = verify(docs, best(large.where("comp <> lead_comp")), kept)
-        found_more = not more.isEmpty()
-        comps = merged(comps, more, kept) if found_more else comps
-        met = met.drop("size", "comp", "leader", "lead_comp")
+        more = verify(docs, prints, best(large.where("comp <> lead_comp")), kept)
+        if more.isEmpty():
+            break
+        comps = merged(comps, more, kept)
     # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal
     own = Window.partitionBy("id", "band")
-    rows = met.withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = now.withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("rest", F.max(F.when(F.col("ahead") < F.col("need"), F.col("ahead")).otherwise(0)).over(own)).where("ahead >= need")
-    # an id with several texts has no sketch of its own: size and sketch are such that it passes
-    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
-    of = ids.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id"))
-    of = of.agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
-    rows = rows.select("run", "id", "comp", "band", "need", "n", "rest").join(of, "id").select("run", "id", "comp", "band", "need", "n", "rest", "size", "sketch")
+    rows = rows.select("run", "id", "comp", "band", "need", "n", "rest").join(of, "id").select("run", "id", "comp", "band", "need", "n", "rest", F.col("set_size").alias("size"), "sketch")
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long, rest long")
     pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct()
-    late = verify(docs, pairs, kept)
+    late = verify(docs, prints, pairs, kept)
     if not late.isEmpty():
         comps = merged(comps, late, kept)
+    kept.drop("comps", 1)
+    kept.drop_but("prints", "comps")
     return prints.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))

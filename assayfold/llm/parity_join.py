@@ -34,6 +34,8 @@ KEY = 4
 SMALL, ROUNDS = 4096, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
 GROUP, FILTER_BITS = 512, 24
+#: Rows (key, salt, role, id) of a verification up to which they are broadcast to the texts' scan.
+BROADCAST = 1 << 20
 
 _LOW = [1]
 while _LOW[-1] < 1 << 40:
@@ -151,8 +153,8 @@ def numbers(raw: bytes, kind: str) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys that several ids have, as runs of their members: run, size band, smallest id, in how many of the partition's
-    keys just these members meet (they are then one run), and the members' ids and needs, packed."""
+    """Keys that several ids have, as runs of their members: run, size band, in how many of the partition's keys just
+    these members meet (they are then one run), and the members' ids, in order, and needs, packed."""
     parts = [[], [], [], []]
     for batch in batches:
         for k, *rest in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
@@ -185,7 +187,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, n = first[k : k + 10_000], times[k : k + 10_000]
         spans = [(at[i], at[i] + size[i]) for i in f]
         packed = [[planes(np.diff(ids[a:b], prepend=0), "<i8") for a, b in spans], [planes(need[a:b], "<i2") for a, b in spans]]
-        yield _batch({"run": run[f].view(np.int64), "band": band[at[f]].astype(np.int16), "leader": ids[at[f]], "n": n.astype(np.int64), "ids": packed[0], "needs": packed[1]})
+        yield _batch({"run": run[f].view(np.int64), "band": band[at[f]].astype(np.int16), "n": n.astype(np.int64), "ids": packed[0], "needs": packed[1]})
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +195,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), 1000):
             part = batch.slice(k, 1000)
-            ids = [np.cumsum(numbers(x, "<i8")) for x in part.column(4).to_pylist()]
-            needs = [numbers(x, "<i2") for x in part.column(5).to_pylist()]
+            ids = [np.cumsum(numbers(x, "<i8")) for x in part.column(3).to_pylist()]
+            needs = [numbers(x, "<i2") for x in part.column(4).to_pylist()]
             size = np.array([len(x) for x in ids])
             put = lambda i: np.repeat(part.column(i).to_numpy(zero_copy_only=False), size)  # noqa: E731,B023
-            yield _batch({"run": put(0), "id": np.concatenate(ids), "band": put(1), "need": np.concatenate(needs).astype(np.int32), "leader": put(2), "n": put(3), "held": np.repeat(size, size)})
+            yield _batch({"run": put(0), "id": np.concatenate(ids), "band": put(1), "need": np.concatenate(needs).astype(np.int32), "leader": np.repeat([x[0] for x in ids], size), "n": put(2), "held": np.repeat(size, size)})
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,10 +331,13 @@ def verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame, kept: Kept) ->
     kept.drop("met-pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     members = pairs.join(counts, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    kept.drop("roles")
     roles = members.unionByName(members.select("key", "salt", F.lit(0).alias("role"), F.col("key").alias("id")).distinct())
     own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = IdFilter(roles.select("id")).rows(own, _sets, "id long, set array<long>")
-    grouped = roles.join(own, "id").select("key", "salt", "role", "id", "set").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "role")
+    few = kept.put(roles, "roles")
+    few = F.broadcast(few) if few.count() <= BROADCAST else few  # else both sides are shuffled by id
+    grouped = few.join(own, "id").select("key", "salt", "role", "id", "set").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "role")
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 
@@ -376,10 +381,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
     places = np.array([r.place for r in dealt])
     signed = docs.mapInArrow(lambda it: _signatures(it, places), "place int, keys binary, ids binary, bands binary, needs binary, counts binary")
-    packed = "run long, band short, leader long, n long, ids binary, needs binary"
+    packed = "run long, band short, n long, ids binary, needs binary"
     runs = signed.repartition(parts, "place").mapInArrow(_runs, packed)
     # equal runs of different partitions are one: they are met before members are rows of their own
-    runs = runs.groupBy("run").agg(F.first("band").alias("band"), F.first("leader").alias("leader"), F.sum("n").alias("n"), F.first("ids").alias("ids"), F.first("needs").alias("needs"))
+    runs = runs.groupBy("run").agg(F.first("band").alias("band"), F.sum("n").alias("n"), F.first("ids").alias("ids"), F.first("needs").alias("needs"))
     met = runs.mapInArrow(_members, "run long, id long, band short, need int, leader long, n long, held long")
     # whoever agrees with others in fewer bands than any partner needs has no partner
     met = kept.put(with_enough(met), "met")
@@ -393,37 +398,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(verify(docs, prints, best(met.where("id <> leader")), kept))
     comps = kept.put(connected_components(links, kept), "comps")
     largest = met.agg(F.max("held")).first()[0] or 0  # members of a run; those that left are counted too
-    met = met.drop("leader", "held")
-    # an id with several texts has no sketch of its own: size and sketch are such that it passes
-    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
-    of = ids.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("set_size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
-    for turn in range(ROUNDS + 1):
-        # links to other components need enough agreements in buckets that hold other components
+    met = met.drop("leader")
+    free_shuffles(spark)
+    for turn in range(ROUNDS if largest > SMALL else 0):
+        # a large run's members of other components meet one of its members, another one each time
         run = Window.partitionBy("run")
         lead = F.min_by(F.struct(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")), F.xxhash64("id", F.lit(turn))).over(run)
         now = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = now.withColumns({"low": F.min("comp").over(run), "high": F.max("comp").over(run), "size": F.count("*").over(run), "l": lead}).where("low <> high")
-        now = with_enough(now.select("run", "id", "band", "need", "n", "comp", "size", "l.leader", "l.lead_comp").repartition(parts, "id"))
-        if turn == ROUNDS or largest <= SMALL:
-            break
-        now = kept.put(now, "mixed")
+        now = now.withColumns({"low": F.min("comp").over(run), "high": F.max("comp").over(run), "held": F.count("*").over(run), "l": lead}).where("low <> high")
+        # links to other components need enough agreements in buckets that hold other components
+        now = kept.put(with_enough(now.select("run", "id", "band", "need", "n", "held", "comp", "l.leader", "l.lead_comp")), "mixed")
+        large = now.where(F.col("held") > SMALL).where("comp <> lead_comp")
+        met = now.select("run", "id", "band", "need", "n", "held")
         kept.drop("mixed", 1)
-        large = now.where(F.col("size") > SMALL)
-        if large.isEmpty():
-            break
-        # a large run's members of other components meet one of its members, another one each time
-        more = verify(docs, prints, best(large.where("comp <> lead_comp")), kept)
+        more = verify(docs, prints, best(large), kept)
         if more.isEmpty():
             break
         comps = merged(comps, more, kept)
+    # an id with several texts has no sketch of its own: size and sketch are such that it passes
+    one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
+    of = ids.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
     # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal
     own = Window.partitionBy("id", "band")
-    rows = now.withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("size"), "run").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = met.repartition(parts, "id").withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("held"), "run").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("rest", F.max(F.when(F.col("ahead") < F.col("need"), F.col("ahead")).otherwise(0)).over(own)).where("ahead >= need")
-    rows = rows.select("run", "id", "comp", "band", "need", "n", "rest").join(of, "id").select("run", "id", "comp", "band", "need", "n", "rest", F.col("set_size").alias("size"), "sketch")
+    rows = rows.join(comps, "id", "left").join(of, "id").select("run", "id", F.coalesce("comp", "id").alias("comp"), "band", "need", "n", "rest", "size", "sketch")
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long, rest long")
     pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = kept.put(pairs, "late")
+    free_shuffles(spark)
     late = verify(docs, prints, pairs, kept)
     if not late.isEmpty():
         comps = merged(comps, late, kept)

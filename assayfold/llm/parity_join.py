@@ -36,6 +36,8 @@ SMALL, ROUNDS = 4096, 4
 GROUP, FILTER_BITS = 512, 24
 #: Rows (key, salt, role, id) of a verification up to which they are broadcast to the texts' scan.
 BROADCAST = 1 << 20
+#: First runs of a document that its rows carry; what stands for none.
+FIRST, NONE = 4, (1 << 63) - 1
 
 _LOW = [1]
 while _LOW[-1] < 1 << 40:
@@ -203,39 +205,52 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (run, id, comp, band, need, n, rest, size, sketch) sorted by run: pairs (a < b) of a run's members of
-    different components whose sketches differ in no more bits than linked sets may, with the agreements that they have
-    here, those that they need, and those that they may have in the runs left out."""
+    """Of rows (run, id, comp, size, sketch, first runs) sorted by run: pairs (a < b) of a run's members of different
+    components whose sketches differ in no more bits than linked sets may.
 
-    made: list[tuple[np.ndarray, ...]] = []
+    A pair that meets in many runs is made in one: where the first runs of both have a common one, the smallest such is
+    the smallest that the pair has at all, and it is made there only; where they have none, it is made wherever it meets."""
 
-    def out():
-        done = _batch(dict(zip(("a", "b", "band", "need", "n", "rest"), map(np.concatenate, zip(*made)))))
-        made.clear()
-        return done
-
-    def pairs(rows):
-        *columns, sketches = zip(*rows)
-        ids, comp, band, need, n, rest, size = (np.array(x) for x in columns)
+    def pairs(run, ids, comp, size, sketches, firsts):
         bits = _folded(sketches)
         for i in range(1, len(ids)):
             j = np.flatnonzero(comp[:i] != comp[i])
             j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[j] + size[i]]
             if len(j):
-                made.append((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), band[j].astype(np.int16), np.maximum(need[j], need[i]).astype(np.int32), n[j], np.maximum(rest[j], rest[i])))
-            if len(made) > 5000:
-                yield out()
-
-    sig, rows = None, []
+                shared = (firsts[j][:, :, None] == firsts[i][None, None, :]).any(axis=2) & (firsts[j] != NONE)
+                least = np.where(shared, firsts[j], NONE).min(axis=1)
+                j = j[(least == NONE) | (least == run)]
+                yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+
+    def groups(table: pa.Table):
+        run, ids, comp, size = (table.column(i).to_numpy() for i in range(4))
+        sketches, firsts = table.column(4).to_pylist(), np.column_stack([table.column(5 + k).to_numpy() for k in range(FIRST)])
+        cuts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1], [True])))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                yield from pairs(run[a], ids[a:b], comp[a:b], size[a:b], sketches[a:b], firsts[a:b])
+
+    def made(table: pa.Table):
+        some, n = [], 0
+        for x in groups(table):
+            some.append(x)
+            n += len(x[0])
+            if n > 100_000:
+                yield _batch(dict(zip(("a", "b"), map(np.concatenate, zip(*some)))))
+                some, n = [], 0
+        if some:
+            yield _batch(dict(zip(("a", "b"), map(np.concatenate, zip(*some)))))
+
+    held = None
     for batch in batches:
-        for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if s != sig:
-                yield from pairs(rows) if len(rows) > 1 else ()
-                sig, rows = s, []
-            rows.append(row)
-    yield from pairs(rows) if len(rows) > 1 else ()
-    if made:
-        yield out()
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        run = table.column(0).to_numpy()
+        last = int(np.flatnonzero(run != run[-1])[-1]) + 1 if len(run) and run[0] != run[-1] else 0
+        yield from made(table.slice(0, last))
+        held = table.slice(last)
+    if held is not None:
+        yield from made(held)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +436,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal
     own = Window.partitionBy("id", "band")
     rows = met.repartition(parts, "id").withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("held"), "run").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("rest", F.max(F.when(F.col("ahead") < F.col("need"), F.col("ahead")).otherwise(0)).over(own)).where("ahead >= need")
-    rows = rows.join(comps, "id", "left").join(of, "id").select("run", "id", F.coalesce("comp", "id").alias("comp"), "band", "need", "n", "rest", "size", "sketch")
+    rows = rows.where("ahead >= need").withColumn("at", F.row_number().over(own.orderBy("run")))
+    rows = rows.withColumns({f"first{k}": F.coalesce(F.min(F.when(F.col("at") == k, F.col("run"))).over(own), F.lit(NONE)) for k in range(1, FIRST + 1)})
+    rows = rows.join(comps, "id", "left").join(of, "id").select("run", "id", F.coalesce("comp", "id").alias("comp"), "size", "sketch", *(f"first{k}" for k in range(1, FIRST + 1)))
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
-    pairs = rows.mapInArrow(_cross, "a long, b long, band short, need int, n long, rest long")
-    pairs = pairs.groupBy("a", "b", "band").agg((F.sum("n") + F.max("rest")).alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = rows.mapInArrow(_cross, "a long, b long").distinct()
     pairs = kept.put(pairs, "late")
     free_shuffles(spark)
     late = verify(docs, prints, pairs, kept)

@@ -7,20 +7,29 @@ from assayfold.llm import lm_scoring as lm
 from helpers import ODD, documents, frame
 
 
-def by_hand(rows, target):
+def by_hand(rows, target, prior=2.0):
+    """P(word | history) = (count of both + prior / V) / (count of history + prior), own counts left out of the background."""
     grams = lambda t: Counter(zip([None, *(w := (t or "").encode().lower().split())], w))
     mine = {}
     for i, t in rows:
         if i is not None:
             mine[i] = mine.get(i, Counter()) + grams(t)
     aim, base = sum(map(grams, target), Counter()), sum(mine.values(), Counter())
-    v = len(aim | base)
+    v = len({w for _, w in aim | base})
+
+    def histories(c):
+        out = Counter()
+        for (h, _), k in c.items():
+            out[h] += k
+        return out
+
+    of_aim, of_base = histories(aim), histories(base)
     out = {}
     for i, c in mine.items():
-        n = sum(c.values())
+        n, own = sum(c.values()), histories(c)
         if n:
-            t = sum(k * -math.log((aim[g] + 0.1) / (aim.total() + 0.1 * v)) for g, k in c.items()) / n
-            b = sum(k * -math.log((base[g] - k + 0.1) / (base.total() - n + 0.1 * v)) for g, k in c.items()) / n
+            t = sum(k * -math.log((aim[g] + prior / v) / (of_aim[g[0]] + prior)) for g, k in c.items()) / n
+            b = sum(k * -math.log((base[g] - k + prior / v) / (of_base[g[0]] - own[g[0]] + prior)) for g, k in c.items()) / n
             out[i] = (n, t - b)
     return out
 

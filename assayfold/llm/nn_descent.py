@@ -2,11 +2,12 @@
 
 First lists come from blocks of equal hyperplane signs, whose number follows from the similarity sought; a label whose
 blocks would hold as many pairs as the label itself is compared whole instead. Each round then
-brings the vectors that share a neighbour together, compares them, and keeps the best of each list. Lists only say who
-meets next: every link among vectors that meet joins their components. A component's vectors are then compared block by
-block, and links only counted. Bounded
-samples compared with all vectors say what share of a vector's links was found; too little adds blocks and rounds, and at
-last all vectors of a label are compared.
+brings the vectors that share a neighbour together, compares them, and keeps the best of each list. A list that is full
+of links may hide more: it is saturated, and while there are such lists all may grow to twice their length, and those who
+meet around saturated ones meet again. Lists only say who meets next: every link among vectors that meet joins their
+components. A component's vectors are then compared block by block, and links only counted, however many a vector has.
+Bounded samples compared with all vectors say what share of a vector's links was found; too little adds blocks and
+rounds, and at last all vectors of a label are compared.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import Kept, connected_components
 
 #: Links from this cosine; similarity from which a neighbour is kept in a list and followed; length of a list.
 THRESHOLD, FLOOR, LIST = 0.93, 0.7, 10
+#: Times that saturated lists are enlarged.
+ENLARGE = 3
 #: Rounds; vectors of a component compared at once; vectors of a group compared at once (all pairs of chunks are); chance of missing a link at the threshold in the first lists.
 ROUNDS, BLOCK, CHUNK, MISS = 2, 256, 1024, 1e-3
 #: Vectors in a sample of the audit; mean share of their links that must be found; further attempts.
@@ -180,14 +183,20 @@ def _count(threshold: float):
     return run
 
 
+def saturated(edges: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(a) of the lists of `size` entries or more that are links throughout."""
+    return edges.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= size) & (F.col("least") >= threshold)).select("a")
+
+
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id long, embedding array, label).
+    """(vec_id, n_links, component_id, kept, recall) of every row of vectors (vec_id long, embedding array, label).
 
     Rows link when labels are equal and not null, dimensions are equal, and the cosine in double precision reaches the
     threshold. Rows without a label, and vectors that are null, empty, zero or hold null or non-finite components, link
-    with nothing. Equal vectors of a label count as so many rows but are compared once. Repeated vec_ids are rows of
-    their own in n_links; rows with a null vec_id link with nothing and have a null component and kept false. Extra
-    columns are ignored; an empty table gives no rows. Links between components may be missed where the audit finds
+    with nothing. Equal vectors of a label count as so many rows but are compared once. Rows that share a vec_id, with
+    equal vectors or not, are rows of their own, each with its own links and component, whose id is the smallest vec_id
+    in it; rows with a null vec_id link with nothing and have a null component and kept false. recall is the audit's
+    last figure, the same in every row. Extra columns are ignored; an empty table gives no rows. Links between components may be missed where the audit finds
     recall enough (of a link at the threshold, with chance MISS); where it does not after the last attempt, all vectors
     of a label are compared. Inside a component all links are counted.
     """
@@ -197,7 +206,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = rows.where(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).withColumn("v", F.col("v").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("v"))
-    kinds = kept.put(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")), "kinds")
+    # a number for each different vector of a label, fixed by being written; vec_ids may repeat
+    kinds = valid.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"))
+    kinds = kept.put(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
     sizes = kinds.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = tables_for(sizes, threshold)
     label = kinds.schema["label"].dataType.simpleString()
@@ -207,11 +218,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     vec = of.select("id", "label", F.size("v").alias("dim"), "v")
     edges = trees = None
 
-    def met(groups: DataFrame, keys: int, size: int) -> tuple[DataFrame, DataFrame]:
-        """Edges of the groups and of before, best of each list; trees of the groups and of before."""
+    def met(groups: DataFrame, keys: int, size: int, keep: int = LIST) -> tuple[DataFrame, DataFrame]:
+        """Edges of the groups and of before, best `keep` of each list; trees of the groups and of before."""
         found = kept.put(groups.mapInArrow(_near(keys, size, FLOOR, threshold), "a long, b long, sim double"), "found")
         lists, more = found.where("sim is not null"), found.where("sim is null").select("a", "b")
-        best = kept.put(_best(lists if edges is None else edges.unionByName(lists), LIST), "edges")
+        best = kept.put(_best(lists if edges is None else edges.unionByName(lists), keep), "edges")
         new = kept.put((more if trees is None else trees.unionByName(more)).distinct(), "trees")
         for name, last in (("found", 0), ("edges", 1), ("trees", 1)):
             kept.drop(name, last)
@@ -237,18 +248,26 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             edges, trees = met(whole(done_whole), 2, 0)
         rest = blocks.join(done_whole.select("label", "dim"), ["label", "dim"], "left_anti")
         edges, trees = met(_paired(rest.select(*by, "id"), sizes.where(F.col("n") > CHUNK), by, vec, parts), 4, LIST)
-        for _ in range(ROUNDS):
+        for turn in range(ROUNDS + ENLARGE):
             # who has a neighbour in common meets there
+            size = LIST << max(0, turn - ROUNDS + 1)
             at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
+            if turn >= ROUNDS:
+                full = kept.put(saturated(edges, size // 2, threshold), "full")
+                if full.isEmpty():
+                    break
+                around = full.select(F.col("a").alias("pivot")).unionByName(edges.join(full, "a", "left_semi").select(F.col("b").alias("pivot"))).distinct()
+                at = at.join(around, "pivot", "left_semi")
             hubs = at.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-            edges, trees = met(_paired(at, hubs, ["pivot", "label", "dim"], vec, parts), 3, LIST)
+            edges, trees = met(_paired(at, hubs, ["pivot", "label", "dim"], vec, parts), 3, size, size)
         comps = kept.put(connected_components(trees, kept), "comps")
-        if _audit(kinds, comps, probe, threshold) >= RECALL:
+        recall = _audit(kinds, comps, probe, threshold)
+        if recall >= RECALL:
             break
     else:
         # what the attempts leave short is compared whole
         edges, trees = met(whole(totals.join(done_whole.select("label", "dim"), ["label", "dim"], "left_anti")), 2, 0)
-        comps = kept.put(connected_components(trees, kept), "comps")
+        comps, recall = kept.put(connected_components(trees, kept), "comps"), 1.0
     # links are those inside components: chunks of it are compared pair by pair, links only counted
     members = of.join(kinds.select("id", "w"), "id").join(comps, "id")
     counts = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -256,10 +275,13 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "w", "v")
     links = pairs.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    done = kinds.select("label", "v", "id", "w").join(links, "id", "left").join(comps, "id", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
+    named = comps.join(kinds.select("id", "first"), "id").groupBy("comp").agg(F.min("first").alias("smallest"))
+    done = kinds.join(links, "id", "left").join(comps, "id", "left").join(named, "comp", "left")
+    done = kept.put(done.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id")), "done")
+    kept.drop_but("done")
     own = valid.join(done, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return own.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return own.unionByName(rest).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(float(recall))})
 
 
 def _sample(rows: DataFrame) -> list[tuple]:

@@ -5,12 +5,12 @@ from assayfold.llm import nn_descent as nd
 
 def by_hand(rows):
     ok = lambda v, y, i: i is not None and v is not None and y is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
-    n, root = [0] * len(rows), {i: i for i, _, _ in rows}
+    n, root = [0] * len(rows), list(range(len(rows)))
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
 
     for a, (i, v, y) in enumerate(rows):
         for b in range(a):
@@ -20,14 +20,18 @@ def by_hand(rows):
                 if p @ q / np.sqrt((p @ p) * (q @ q)) >= 0.93:
                     n[a] += 1
                     n[b] += 1
-                    x, y2 = sorted((find(i), find(j)))
+                    x, y2 = sorted((find(a), find(b)))
                     root[y2] = x
-    return sorted(((i, n[k], find(i), i is not None and find(i) == i) for k, (i, _, _) in enumerate(rows)), key=repr)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(((i, n[k], None if i is None else least[find(k)], i is not None and least[find(k)] == i) for k, (i, _, _) in enumerate(rows)), key=repr)
 
 
 def found(spark, rows, kind="float"):
     vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").selectExpr("*", "'x' as id", "1 as w", "2 as comp")
-    return sorted((tuple(r) for r in nd.link_vectors(vectors).collect()), key=repr)
+    return sorted((tuple(r) for r in nd.link_vectors(vectors).drop("recall").collect()), key=repr)
 
 
 def test_odd_rows(spark):
@@ -39,6 +43,37 @@ def test_odd_rows(spark):
     assert nd.link_vectors(vectors).count() == 0
 
 
+def test_repeated_ids_and_mixed_dimensions(spark):
+    """An id is no key: its rows link each for itself, and take no other row along."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0, 0.0], 0), (3, [1.0, 0.0], 1), (4, [0.0, 1.0, 0.05], 0), (2, [1.0, 0.01], 0), (4, [0.02, 1.0], 0), (1, [1.0, 0.02], 1)]
+    assert found(spark, rows) == by_hand(rows)
+    assert [n for i, n, *_ in by_hand(rows[:3])] == [0, 1, 1]
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 40)), (np.eye(3)[k % 3] + rng.standard_normal(3) * 0.25).astype("f4").tolist()[: 3 - k % 2], k % 2) for k in range(120)]
+    assert found(spark, rows) == by_hand(rows)
+
+
+def test_saturated_lists_grow(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, k, 0.95) for k in range(2, 12)] + [(2, k, 0.95 if k < 9 else 0.9) for k in range(3, 13)] + [(3, 4, 0.99)], "a long, b long, sim double")
+    assert [r.a for r in nd.saturated(edges, 10, 0.93).collect()] == [1]
+    monkeypatch.setattr(nd, "tables_for", lambda n, threshold: (6, 1))
+    kept, sizes = nd._best, []
+    monkeypatch.setattr(nd, "_best", lambda edges, size: (sizes.append(size), kept(edges, size))[1])
+    rng = np.random.default_rng(9)
+    x = np.concatenate([around(rng, c / np.linalg.norm(c), 0.99, n) for c, n in zip(rng.standard_normal((61, 16)), [2] * 60 + [200])])
+    rows = [(i, v.astype("f4").tolist(), 0) for i, v in enumerate(x)]
+    assert {r[0]: r[1] for r in found(spark, rows)} == n_links(rows)
+    assert max(sizes) == nd.LIST << nd.ENLARGE
+
+
+def test_audit_tells_recall(spark):
+    kinds = spark.createDataFrame([(i, 0, [1.0, i / 100]) for i in range(8)] + [(i, 0, [i / 100, 1.0]) for i in range(8, 10)], "id long, label int, v array<double>")
+    comps = lambda *groups: spark.createDataFrame([(i, min(g)) for g in groups for i in g], "id long, comp long")
+    probe = nd._sample(kinds)
+    assert nd._audit(kinds, comps(range(8), (8, 9)), probe, 0.93) == 1.0
+    assert nd._audit(kinds, comps(range(4), range(4, 8), (8, 9)), probe, 0.93) < 0.6
+
+
 def test_clusters_and_pairs(spark):
     rng, rows = np.random.default_rng(4), []
     for size in [1] * 300 + [2] * 60 + [5] * 10 + [40, 400]:

@@ -66,9 +66,9 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-NAMES = ["sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts"]
-TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-SCHEMA = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+NAMES = ["sequence_id", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "starts"]
+TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+SCHEMA = "sequence_id long, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, pool: int, end: int, pad: int) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, pool: i
         for items in best_fit([len(p[2]) // 2 for p in pieces], capacity):
             raw = b"".join(pieces[i][2] for i in items)
             cuts = np.cumsum([0, *(len(pieces[i][2]) // 2 for i in items)], dtype=np.int32)
-            rows.append((count, len(raw) // 2, raw + blank[len(raw) :], cuts, [pieces[i][0] for i in items], [pieces[i][1] for i in items]))
+            rows.append((count, len(raw) // 2, raw + blank[len(raw) :], position_ids(cuts, capacity).astype("<u2").tobytes(), cuts, [pieces[i][0] for i in items], [pieces[i][1] for i in items]))
             count += 1
         pieces = []
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)] if rows else [pa.array([], t) for t in TYPES], NAMES)
@@ -98,23 +98,24 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, pool: i
 
 
 def pack_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pool: int = POOL, end: int = END, pad: int = PAD) -> DataFrame:
-    """One row per sequence: ids (little-endian uint16, padded to capacity), the cumulative lengths of its segments
-    (positions restart at each of them but the last), and each segment's document and start in it.
+    """One row per sequence: ids and positions (little-endian uint16, as many as capacity), the cumulative lengths of its
+    segments, and each segment's document and start in it. Positions restart from 0 at each segment and at the padding.
 
     Null and empty texts are the end id alone; repeated rows and null ids are packed like any other; an empty table
     gives no rows; further columns are ignored. Pools are a task's own, so memory is bounded and nothing is shuffled.
     """
+    if not 1 <= capacity <= 1 << 16:
+        raise ValueError("capacity must be from 1 to 65536, so that positions fit 16 bits")
     path = path or default_path()
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda it: _packed(it, path, capacity, pool, end, pad), SCHEMA)
 
 
 def position_ids(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
     """Positions of a sequence, from 0 at each segment; padding is a segment of its own."""
-    cuts = np.append(np.asarray(cu_seqlens[:-1], np.int64), [cu_seqlens[-1], capacity][: 1 + (cu_seqlens[-1] < capacity)])
-    at = np.arange(capacity)
-    return at - cuts[np.searchsorted(cuts, at, "right") - 1]
+    lengths = np.diff([*cu_seqlens, capacity])
+    return np.arange(capacity) - np.repeat([*cu_seqlens[:-1], cu_seqlens[-1]], lengths)
 
 
 def write_matrix(packed: DataFrame, path: str) -> None:
-    """The rows as Parquet; the matrix of a file is np.frombuffer(b"".join(ids), "<u2").reshape(-1, capacity)."""
+    """The rows as Parquet; a file's matrix of ids, or of positions, is np.frombuffer(b"".join(ids), "<u2").reshape(-1, capacity)."""
     packed.write.parquet(path)

@@ -62,7 +62,8 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def train(texts: list[tuple[str, int]], dictionary: int = DICTIONARY, level: int = LEVEL, odds: float | None = None) -> Model:
-    """Every other text of a kind builds its dictionary, the others fit the calibration. With one kind only, or none,
+    """Every other text of a kind builds its dictionary, of those of its lines that no other text has; the others fit the
+    calibration, whole. With one kind only, or none,
     the score is the constant share of good texts (0.5 without texts). odds: of good against bad among all labelled
     rows, where the texts hold the kinds in other shares."""
     raw = [[t.encode("utf-8", "surrogatepass") for t, y in texts if y == k] for k in (0, 1)]
@@ -99,8 +100,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_bytes: int = BYTES) -> Model:
     """A model from at most `rows` labelled rows of either kind, in the order of a hash of their ids, and at most
-    `max_bytes` of their texts (both bounds documented parameters); whole texts, never parts. Held-out rows, rows
-    without a label or text, and ids that carry both labels are left out."""
+    `max_bytes` of their texts (both bounds documented parameters); a text is taken whole or not at all. Held-out rows,
+    rows without a label or text, and ids that carry both labels are left out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     n = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -108,14 +109,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_bytes: int = B
     chosen = {r.doc_id: r.quality for k in (0, 1) for r in known.where(F.col("quality") == k).orderBy(order, "doc_id").limit(rows).collect()}
     if not chosen:
         return train([])
-    mine = docs.where(F.col("doc_id").isin([int(k) for k in chosen]) & F.col("text").isNotNull())
+    def of(ids) -> DataFrame:
+        """Rows of docs with one of these ids, 2 * rows at most."""
+        few = docs.sparkSession.createDataFrame([(int(k),) for k in ids], "doc_id long")
+        return docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id", "left_semi")
+
+    mine = of(chosen)
     sizes = {r.doc_id: r.n for r in mine.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
     taken, room = [], {0: max_bytes // 2, 1: max_bytes // 2}
     for k in chosen:  # in hash order
         if sizes.get(k, max_bytes) <= room[chosen[k]]:
             room[chosen[k]] -= sizes[k]
             taken.append(k)
-    texts = {r.doc_id: r.text for r in mine.where(F.col("doc_id").isin([int(k) for k in taken])).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    texts = {r.doc_id: r.text for r in of(taken).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     return train([(texts[k], chosen[k]) for k in taken if k in texts], odds=n[1] / n[0] if len(n) == 2 else None)
 
 

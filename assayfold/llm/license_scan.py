@@ -2,8 +2,8 @@
 
 A text's rolling word k-gram hashes are joined to the positions of the templates' k-grams. A hit votes for the diagonal
 text position minus template position: a verbatim span puts all its votes on one diagonal, a span with words put in or
-left out on neighbouring ones. Neighbouring diagonals of a template are merged into spans, and a span counts where
-enough different template positions voted for it.
+left out on neighbouring ones. Neighbouring diagonals of a template are merged into spans. A hit whose words are not the
+template's is no hit, so a span is verified word by word; it counts where enough different template positions are.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of a k-gram; how far a diagonal may lie from the next of its span; share of a template's k-grams that a span needs.
@@ -46,6 +47,15 @@ TEMPLATES = (
     Template("lgpl", "licensed under the GNU Lesser General Public License"),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     Template("cc-by", "licensed under a Creative Commons Attribution"),
+    Template("agpl", "GNU Affero General Public License as published by the Free Software Foundation"),
+    Template("apache-2", "Licensed under the Apache License, Version 2.0 (the License)"),
+    Template("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    Template("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    Template("cc0", "has waived all copyright and related or neighboring rights"),
+    Template("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike"),
+    Template("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial"),
+    Template("epl-2", "made available under the terms of the Eclipse Public License 2.0"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
@@ -63,10 +73,11 @@ def grams(of: Column | str, k: int) -> Column:
 
 
 def index(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
-    """(template, label, exact, n_grams, gram, at): every k-gram position of the templates. As large as the templates."""
+    """(template, label, exact, n_grams, at, gram, words): every k-gram position of the templates, as large as these."""
     rows = [(i, t.label, t.exact, t.text) for i, t in enumerate(templates)]
-    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("grams", grams(words(F.col("text")), k))
-    return frame.select("template", "label", "exact", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("at", "gram"))
+    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("all", words(F.col("text"))).withColumn("grams", grams("all", k))
+    frame = frame.select("template", "label", "exact", F.size("grams").alias("n_grams"), "all", F.posexplode("grams").alias("at", "gram"))
+    return frame.withColumn("words", F.slice("all", F.col("at") + 1, k)).drop("all")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
@@ -84,29 +95,26 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES,
     if short:
         raise ValueError(f"templates shorter than {k} words: {sorted(short)}")
     rows = docs.select("doc_id", words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.xxhash64("words").alias("row"), grams("words", k).alias("grams"))
-    at = F.filter(F.transform("grams", lambda g, i: F.when(g.isin(known), F.struct(g.alias("gram"), i.alias("pos")))), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.xxhash64("words").alias("row"), "words", grams("words", k).alias("grams"))
+    hit = lambda g, i: F.when(g.isin(known), F.struct(g.alias("gram"), i.alias("pos"), F.slice("words", i + 1, k).alias("words")))
+    at = F.filter(F.transform("grams", hit), lambda x: x.isNotNull())
     # each row keeps one entry without a gram, so that rows without hits come through, and are counted
-    none = F.array(F.expr("named_struct('gram', cast(null as bigint), 'pos', -1)"))
-    hits = rows.select("doc_id", "row", "n_words", F.explode(F.concat(none, at)).alias("hit")).select("doc_id", "row", "n_words", "hit.gram", "hit.pos")
-    hits = hits.join(F.broadcast(keys), "gram", "left").where("gram is null or template is not null")
+    none = F.array(F.expr("named_struct('gram', cast(null as bigint), 'pos', -1, 'words', cast(null as array<string>))"))
+    hits = rows.select("doc_id", "row", "n_words", F.explode(F.concat(none, at)).alias("hit")).select("doc_id", "row", "n_words", "hit.gram", "hit.pos", F.col("hit.words").alias("found"))
+    # equal hashes propose, equal words decide
+    hits = hits.join(F.broadcast(keys), "gram", "left").where("gram is null or found = words")
     by = ["doc_id", "row", "n_words"]
+    kind = ["template", "label", "exact", "n_grams"]
     # repeated rows vote once: a diagonal's votes are its different template positions
-    diagonals = hits.groupBy(*by, "template", "label", "exact", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.count_if(F.col("pos") == -1).alias("copies"))
-    one = F.struct("template", "label", "exact", "n_grams", "diagonal", F.array_sort("ats").alias("ats"))
-    per_row = diagonals.groupBy(*by).agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), one))).alias("diagonals"))
-    exact = F.transform(F.filter("diagonals", lambda d: d["exact"] & (F.size(d["ats"]) == d["n_grams"])), lambda d: F.struct(d["template"].alias("template"), d["label"].alias("label"), d["exact"].alias("exact"), d["diagonal"].cast("long").alias("start"), F.size(d["ats"]).cast("long").alias("votes"), F.lit(1.0).alias("share")).cast(SPAN))
-    # merge neighbouring diagonals: sorted by template and diagonal, each joins the last span or opens one
-    kind = "struct<template: int, label: string, n_grams: int, start: bigint, last: bigint, ats: array<int>>"
-    empty = F.array().cast(f"array<{kind}>")
-
-    def merge(done: Column, d: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        opened = F.struct(d["template"].alias("template"), d["label"].alias("label"), d["n_grams"].alias("n_grams"), d["diagonal"].cast("long").alias("start"), d["diagonal"].cast("long").alias("last"), d["ats"].alias("ats")).cast(kind)
-        joined = F.struct(last["template"].alias("template"), last["label"].alias("label"), last["n_grams"].alias("n_grams"), last["start"].alias("start"), d["diagonal"].cast("long").alias("last"), F.array_union(last["ats"], d["ats"]).alias("ats")).cast(kind)
-        near = F.coalesce((last["template"] == d["template"]) & (d["diagonal"] - last["last"] <= drift), F.lit(False))
-        return F.when(near, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(opened)))
-
-    merged = F.aggregate(F.filter("diagonals", lambda d: ~d["exact"]), empty, merge)
-    loose = F.transform(F.filter(merged, lambda s: F.size(s["ats"]) >= coverage * s["n_grams"]), lambda s: F.struct(s["template"].alias("template"), s["label"].alias("label"), F.lit(False).alias("exact"), s["start"].alias("start"), F.size(s["ats"]).cast("long").alias("votes"), (F.size(s["ats"]) / s["n_grams"]).alias("share")).cast(SPAN))
-    return per_row.select("doc_id", "n_words", F.concat(exact, loose).alias("spans"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    diagonals = hits.groupBy(*by, *kind, (F.col("pos") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.count_if(F.col("pos") == -1).alias("copies"))
+    diagonals = diagonals.repartition("doc_id", "row")
+    # neighbouring diagonals are one span: a new one opens where the last diagonal is too far, or with each exact one
+    order = W.partitionBy(*by, *kind).orderBy("diagonal")
+    opens = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > drift, F.lit(True))
+    spans = diagonals.withColumn("_opens", opens.cast("int")).withColumn("span", F.sum("_opens").over(order))
+    spans = spans.groupBy(*by, *kind, "span").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("votes"), F.sum("copies").alias("copies"))
+    enough = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise(F.col("votes") >= coverage * F.col("n_grams"))
+    share = F.when(F.col("exact"), 1.0).otherwise(F.col("votes") / F.col("n_grams")).alias("share")
+    one = F.when(enough, F.struct("template", "label", "exact", "start", "votes", share).cast(SPAN))
+    per_row = spans.groupBy(*by).agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(one)).alias("spans"))
+    return per_row.select("doc_id", "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

@@ -50,3 +50,44 @@ def test_edited_spans_are_found(spark):
     assert [(s.label, s.start) for s in spans[1]] == [("mit", 2)]  # two words are left out after the inserted one
     assert spans[1][0].share > 0.8
     assert spans[2] == []
+
+
+def spans_by_hand(text, k=3, drift=6, coverage=0.6):
+    """All spans of a text: hits by words, one diagonal each for exact templates, merged diagonals for the others."""
+    w, out = words(text), []
+    for number, t in enumerate(ls.PHRASES + ls.TEMPLATES):
+        of = words(t.text)
+        grams = {}
+        for at in range(len(of) - k + 1):
+            grams.setdefault(tuple(of[at : at + k]), []).append(at)
+        diagonals = {}
+        for pos in range(len(w) - k + 1):
+            for at in grams.get(tuple(w[pos : pos + k]), ()):
+                diagonals.setdefault(pos - at, set()).add(at)
+        groups, last = [], None
+        for d in sorted(diagonals):
+            if t.exact or last is None or d - last > drift:
+                groups.append((d, set()))
+            groups[-1][1].update(diagonals[d])
+            last = d
+        n = len(of) - k + 1
+        out += [(number, t.label, t.exact, d, len(ats)) for d, ats in groups if (len(ats) == n if t.exact else len(ats) >= coverage * n)]
+    return sorted(out)
+
+
+def test_spans_equal_brute_force(spark):
+    cut = [" ".join(t.text.split()[: 3 * len(t.text.split()) // 4]) for t in ls.TEMPLATES]
+    loose = " ".join(x for t in ls.TEMPLATES for x in (t.text, "and", t.text.replace(" the ", " of the very ")))
+    rows = [*ODD, (30, loose), (31, loose), (31, loose), *((40 + i, f"before {x} after") for i, x in enumerate(cut)), (90, "to use copy modify " * 2000)]
+    got = [(r.doc_id, [(s.template, s.label, s.exact, s.start, s.votes) for s in r.spans]) for r in ls.scan(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(((i, spans_by_hand(t)) for i, t in rows), key=repr)
+    assert sum(len(s) for _, s in got) > 30
+
+
+def test_equal_hashes_of_other_words_are_no_hits(spark, monkeypatch):
+    """Spans are verified on words: where all k-grams share one hash, nothing more is found."""
+    texts = [(1, "under the mit license"), (2, "some four other words"), (3, ls.TEMPLATES[0].text)]
+    want = [(r.doc_id, r.spans) for r in ls.scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    kept = ls.grams
+    monkeypatch.setattr(ls, "grams", lambda of, k: ls.F.transform(kept(of, k), lambda g: ls.F.lit(1).cast("long")))
+    assert [(r.doc_id, r.spans) for r in ls.scan(frame(spark, texts)).orderBy("doc_id").collect()] == want

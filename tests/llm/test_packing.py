@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -38,17 +38,15 @@ def check_pieces(rows, docs, capacity=1024):
     assert padding == 0
     texts = defaultdict(list)
     for i, t in docs:
-        texts[i].append(whole_ids(t))
-    for i, want in texts.items():
-        left = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces.pop(i))
-        for ids in sorted(want, key=len):  # repeated ids: every document's pieces are there once
-            at = 0
-            while at < len(ids):
-                piece = next(p for p in left if p[0] == at and p[3] == len(ids) and p[2] == zlib.crc32(np.array(ids[at : at + p[1]], "<u4").tobytes()))
-                left.remove(piece)
-                at += piece[1]
-        assert not left
-    assert not pieces
+        ids = whole_ids(t)
+        texts[i, len(ids)].append(ids)
+    covered = {k: np.zeros(k[1], int) for k in texts}
+    for i, own in pieces.items():
+        for r in own:  # of an id, texts of equal length are equal here
+            ids = texts[i, r.doc_tokens][0][r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and len(ids) == r.length
+            covered[i, r.doc_tokens][r.start : r.start + r.length] += 1
+    assert all((covered[k] == len(t)).all() for k, t in texts.items())
 
 
 def test_every_id_once(spark, sf):
@@ -57,7 +55,7 @@ def test_every_id_once(spark, sf):
 
 
 def test_odd_rows(spark):
-    rows = [r for r in ODD if r[0] != 7] + [(16, "z " * 5000)]
+    rows = [*ODD, (16, "z " * 5000), (16, "z " * 5000)]
     check_pieces(cp.pack(frame(spark, rows)).collect(), rows)
     check_pieces(cp.pack(frame(spark, rows).coalesce(1), pool=3).collect(), rows)
     assert cp.pack(frame(spark, ODD).where("false")).count() == 0
@@ -94,9 +92,28 @@ def test_matrix_round_trip(spark, sf):
     for r in bf.pack_matrix(frame(spark, docs)).collect():
         ids = np.frombuffer(r.ids, "<u2")
         assert len(ids) == 1024 and (ids[r.n_tokens :] == bf.PAD).all() and r.cu_seqlens[-1] == r.n_tokens
-        position = bf.position_ids(r.cu_seqlens)
+        position = np.frombuffer(r.positions, "<u2")
+        assert (position[r.n_tokens :] == np.arange(1024 - r.n_tokens)).all()
         assert all(position[a] == 0 and position[b - 1] == b - a - 1 for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]))
         for i, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
             parts[i].append((start, ids[a:b].tolist()))
     assert {i: [x for _, p in sorted(ps) for x in p] for i, ps in parts.items()} == {i: whole_ids(t) for i, t in docs}
     assert bf.pack_matrix(frame(spark, docs).where("false")).count() == 0
+
+
+def test_matrix_odd_rows(spark, tmp_path):
+    """Null ids and repeated rows are packed like any other; the written matrix is read back."""
+    path = f"{tmp_path}/matrix"
+    bf.write_matrix(bf.pack_matrix(frame(spark, ODD).coalesce(1)), path)
+    got, rows = Counter(), spark.read.parquet(path).collect()
+    matrix = np.frombuffer(b"".join(r.ids for r in rows), "<u2").reshape(-1, 1024)
+    for line, r in zip(matrix, rows, strict=True):
+        for i, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            got[i, start, tuple(line[a:b].tolist())] += 1
+    want = Counter()
+    for i, t in ODD:
+        ids = whole_ids(t)
+        want.update((i, at, tuple(ids[at : at + 1024])) for at in range(0, len(ids), 1024))
+    assert got == want
+    with pytest.raises(ValueError):
+        bf.pack_matrix(frame(spark, ODD), capacity=1 << 17)

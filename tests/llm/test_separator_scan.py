@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from assayfold.llm import queries
 from assayfold.llm import separator_scan as ss
 from assayfold.llm.common import new_path
 from assayfold.llm.tokens import default_path, encoder
@@ -37,6 +38,16 @@ def test_documents(spark, sf):
     assert got == Counter(len(enc.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
 
 
+def test_query_counts_by_document(spark, tmp_path):
+    """Every document's own count, over several splits and files."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.repartition(5, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_separator_scan(spark, str(tmp_path)).collect()
+    enc = encoder(default_path()).whole
+    assert len({r.part for r in got}) > 1
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r.doc_id, len(enc.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+
+
 def test_nothing(spark):
     path = new_path(spark, "test")
     ss.write_token_files(frame(spark, ODD).where("false"), path)

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept
-from .shingles import chunks, mix, text_buffer, word_hashes
+from .shingles import chunks, mix, numbers, planes, text_buffer, word_hashes
 
 #: Words of an n-gram; what a history counts besides its occurrences, dealt evenly over the vocabulary.
 ORDER, PRIOR = 2, 2.0
 #: Keys of a partition of the exchange that counts them, at most on average.
 KEYS = 4_000_000
+#: Bytes of a key that travel; its partition and its kind tell the rest.
+KEY = 6
 
 
 def distinct(out: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,17 +75,21 @@ def _lots(order: int, places: np.ndarray, target: bool):
         for number, part in enumerate(chunks(batches, 1)):
             key, of, times = ngrams(part.column(1), order)
             ids = np.full(len(part), -1, np.int64) if target else part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            to = ((key >> np.uint64(1)) % np.uint64(len(places))).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            key, of, times, to = key[by], of[by], times[by], to[by]
+            kind, key = (key & np.uint64(1)), key >> np.uint64(1)
+            to = (key % np.uint64(len(places))).astype(np.int64)
+            by = np.lexsort((of, to))
+            key, of, times, to, kind = key[by], of[by], times[by], to[by], kind[by]
             if not len(key):
                 continue
+            short = ((key // np.uint64(len(places))) << np.uint64(1) | kind).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
             edge = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (of[1:] != of[:-1]))))
-            runs, docs = np.diff(np.append(edge, len(key))), ids[of[edge]]
+            runs, docs, times = np.diff(np.append(edge, len(key))), ids[of[edge]], np.minimum(times, 2**32 - 1)
             lots, at = np.unique(to, return_index=True)
             at, run_at = np.append(at, len(key)), np.append(np.searchsorted(edge, at), len(edge))
-            cut = lambda x, t, b, i: x[b[i] : b[i + 1]].astype(t).tobytes()
-            rows = [(int(places[p]), -1 if target else task + number, cut(key, "<u8", at, i), cut(np.minimum(times, 2**32 - 1), "<u4", at, i), cut(docs, "<i8", run_at, i), cut(runs, "<u4", run_at, i)) for i, p in enumerate(lots)]
+            rows = []
+            for i, p in enumerate(lots):
+                keys, runs_ = slice(at[i], at[i + 1]), slice(run_at[i], run_at[i + 1])
+                rows.append((int(places[p]), -1 if target else task + number, short[keys].tobytes(), planes(times[keys], "<u4"), planes(np.diff(docs[runs_], prepend=0), "<i8"), planes(runs[runs_], "<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 4)], ["place", "chunk", "keys", "times", "docs", "counts"])
 
     return run
@@ -96,8 +102,13 @@ def _losses(prior: float, vocabulary: int):
         lots, keys, times, docs, counts = [], [], [], [], []
         for batch in batches:
             lots += batch.column(1).to_pylist()
-            for into, i, kind in ((keys, 2, "<u8"), (times, 3, "<u4"), (docs, 4, "<i8"), (counts, 5, "<u4")):
-                into += [np.frombuffer(x, kind) for x in batch.column(i).to_pylist()]
+            for raw in batch.column(2).to_pylist():
+                whole = np.zeros((len(raw) // KEY, 8), np.uint8)
+                whole[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
+                keys.append(whole.view("<u8").ravel())
+            docs += [np.cumsum(numbers(x, "<i8")) for x in batch.column(4).to_pylist()]
+            for into, i in ((times, 3), (counts, 5)):
+                into += [numbers(x, "<u4") for x in batch.column(i).to_pylist()]
         if not keys:
             return
         sizes = [len(d) for d in docs]
@@ -122,8 +133,9 @@ def _losses(prior: float, vocabulary: int):
         base = np.bincount(of, sign * np.log(np.maximum(background[which] - own, 0) + more), len(ids))
         n = np.bincount(of, np.where(history, times, 0), len(ids))
         ends = np.cumsum([0, *sizes])
-        put = lambda x, t="<f8": [x[a:b].astype(t).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-        out = [r for r in zip(lots, put(ids, "<i8"), put(lost), put(base), put(n)) if r[0] >= 0]
+        put = lambda x: [x[a:b].astype("<f8").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        whole = lambda x: [planes(np.diff(x[a:b].astype(np.int64), prepend=0), "<i8") for a, b in zip(ends[:-1], ends[1:])]
+        out = [r for r in zip(lots, whole(ids), put(lost), put(base), whole(n)) if r[0] >= 0]
         for k in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256]), [pa.int64()] + [pa.binary()] * 4)], ["chunk", "docs", "target", "background", "n"])
 
@@ -145,7 +157,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield sums(held)
                 held = []
             chunk = own
-            held.append((np.frombuffer(docs, "<i8"), *(np.frombuffer(v, "<f8") for v in values)))
+            held.append((np.cumsum(numbers(docs, "<i8")), *(np.frombuffer(v, "<f8") for v in values[:2]), np.cumsum(numbers(values[2], "<i8"))))
     if held:
         yield sums(held)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept, connected_components, free_shuffles
-from .shingles import chunks, mix, shingle_sets
+from .shingles import chunks, mix, numbers, planes, shingle_sets
 
 #: Words of a shingle; similarity as a fraction; bands for each element of the largest set of a size band.
 WORDS, NUM, DEN, BANDS = 5, 3, 4, 0.42
@@ -143,17 +143,6 @@ def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"])
 
 
-def planes(x: np.ndarray, kind: str) -> bytes:
-    """The numbers' first bytes, then their second ones and so on: high bytes are mostly equal and shrink in a shuffle."""
-    raw = x.astype(kind)
-    return raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
-
-
-def numbers(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys that several ids have, as runs of their members: run, size band, in how many of the partition's keys just
     these members meet (they are then one run), and the members' ids, in order, and needs, packed."""

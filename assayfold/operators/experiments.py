@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Edges of the certainty bands (fixed values).
-BANDS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01)
+BANDS = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 1.01)
+#: Shares of the rows that are kept, most certain first (fixed values).
+COVERAGES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.3)
 
 
 def right() -> F.Column:
@@ -30,12 +32,12 @@ def votes(log: DataFrame) -> DataFrame:
 
 
 def reliability(log: DataFrame) -> DataFrame:
-    """Bands of certainty: rows, mean certainty, accuracy, gap."""
+    """Bands of certainty: rows, mean certainty, accuracy, and accuracy less certainty (below zero: too sure)."""
     band = F.lit(None).cast("double")
     for low, high in zip(BANDS, BANDS[1:]):
         band = F.when((F.col("certainty") >= low) & (F.col("certainty") < high), F.lit(low)).otherwise(band)
     out = log.withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.avg("certainty").alias("said"), F.avg(right()).alias("happened"))
-    return out.withColumn("gap", F.col("said") - F.col("happened"))
+    return out.withColumn("gap", F.col("happened") - F.col("said"))
 
 
 def calibration_gap(log: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def calibration_gap(log: DataFrame) -> DataFrame:
     return reliability(log).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("absolute"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("signed"))
 
 
-def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6)) -> DataFrame:
+def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
     """Accuracy of the most certain rows at each coverage (ties by position), from running counts of levels; only the
     level that a coverage ends in is ranked by rows."""
     levels = log.groupBy("certainty").agg(F.count("*").alias("n"), F.sum(right()).alias("r"))
@@ -68,20 +70,35 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("items"), F.avg(F.col("b") - F.col("a")).alias("difference"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("moved"))
 
 
-def bootstrap(log: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """Percentile interval of macro accuracy over resampled items. Each item is drawn a Poisson(1) number of times per
-    draw, hash-chosen, so draws need no shuffle of items and sums combine before they travel."""
-    items = log.groupBy("source").agg(F.avg(right()).alias("acc"))
-    u = F.pmod(F.xxhash64("source", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times, cum, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        cum += term
-        times = F.when(u >= cum, k).otherwise(times)
+def coin(*parts: F.Column | str) -> F.Column:
+    """A number from 0 to 1 (32 bits) that depends on the parts' text alone; null parts are left out."""
+    text = F.concat_ws(":", *[F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def poisson(u: F.Column) -> F.Column:
+    """How often a Poisson(1) count of this quantile draws; 32 bits reach no further than 13."""
+    times, below, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 14):
+        below += term
+        times = F.when(u >= below, k).otherwise(times)
         term /= k
-    drawn = items.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", times)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("acc")), F.sum("w")).alias("m"))
-    found = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
-    return found.select(F.element_at("s", int(0.025 * draws) + 1).alias("low"), F.element_at("s", min(draws, int(0.975 * draws) + 1)).alias("high"))
+    return times
+
+
+def interval(values: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
+    """95 % percentile interval of the mean of (unit, value) over resampled units. Each is drawn a Poisson(1) number of
+    times per draw, hash-chosen, so draws need no shuffle of units and sums combine before they travel."""
+    drawn = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(coin("unit", "draw", F.lit(seed))))
+    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
+    found = means.agg(F.sort_array(F.collect_list("m")).alias("s"))  # one number a draw
+    at = lambda share: F.element_at("s", F.least(F.size("s"), F.floor(F.size("s") * share).cast("int") + 1))
+    return found.where(F.size("s") > 0).select(at(0.025).alias("low"), at(0.975).alias("high"))
+
+
+def bootstrap(log: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
+    """Interval of macro accuracy over resampled items."""
+    return interval(log.groupBy(F.col("source").alias("unit")).agg(F.avg(right()).alias("value")), draws, seed)
 
 
 def price(log: DataFrame, runs: DataFrame, cut: float) -> DataFrame:
@@ -90,24 +107,56 @@ def price(log: DataFrame, runs: DataFrame, cut: float) -> DataFrame:
     return arms.join(runs, "arm", "left").select("arm", "n", "kept", "accuracy", F.when(F.col("kept") > 0, F.col("usd") / F.col("n") * 1000 / F.col("kept")).alias("usd_per_1000"))
 
 
-def rate_windows(events: DataFrame, seconds: int) -> DataFrame:
-    """Events in tumbling windows anchored at the first one: window, n, per_minute."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    start = events.agg(F.min(t).alias("t0"))
-    return events.crossJoin(F.broadcast(start)).groupBy(F.floor((t - F.col("t0")) / (seconds * 1_000_000)).alias("window")).agg(F.count("*").alias("n")).withColumn("per_minute", F.col("n") * 60.0 / seconds)
+COUNTERS = ("requests", "input_tokens", "retries", "pushback", "waited")
+
+
+def rate_windows(samples: DataFrame, seconds: float, pack: int = 1) -> DataFrame:
+    """Rates over the full windows of one run's counter samples (t in seconds, and COUNTERS, growing totals).
+
+    Windows are anchored at the first sample: each edge is taken by the first sample at or behind it, one sample an edge,
+    and a window lies between the samples of two edges; what follows the last edge is no window. The edge k belongs to
+    sample max over j <= k of (first sample behind edge j) + k - j, so no sample waits for another. Few rows: one a
+    sample of one run."""
+    order = W.orderBy("t")
+    rows = samples.select("t", *COUNTERS).withColumn("i", F.row_number().over(order) - 1).withColumn("t0", F.min("t").over(W.partitionBy()))
+    passed = F.floor((F.col("t") - F.col("t0")) / seconds).cast("long")
+    first = rows.withColumn("passed", passed).withColumn("last", F.lag("passed", 1, 0).over(order)).where("passed > last")
+    edges = first.select(F.explode(F.sequence(F.col("last") + 1, F.col("passed"))).alias("k"), "i")
+    taken = edges.select(F.col("k"), (F.max(F.col("i") - F.col("k")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)) + F.col("k")).alias("i"))
+    at = rows.join(taken, "i").select("k", "t", "t0", *COUNTERS).unionByName(rows.where("i = 0").select(F.lit(0).cast("long").alias("k"), "t", "t0", *COUNTERS))
+    before = lambda c: F.lag(c).over(W.orderBy("k"))
+    grown = at.select("k", (before("t") - F.col("t0")).alias("from"), (F.col("t") - before("t")).alias("seconds"), *((F.col(c) - before(c)).alias(c) for c in COUNTERS)).where("seconds > 0")
+    per = lambda c: F.col(c) / F.col("seconds")
+    return grown.select("from", "seconds", (per("requests") * 60).alias("requests_per_minute"), (per("requests") * pack).alias("items_per_second"), per("input_tokens").alias("tokens_per_second"), "retries", "pushback", "waited")
+
+
+def sustained(windows: DataFrame) -> DataFrame:
+    """One row over a run's rate windows: the first is a burst, the rest are the rate; drift compares the rest's halves,
+    where it has four windows or more. No row without windows."""
+    rows = windows.withColumn("k", F.row_number().over(W.orderBy("from")) - 1).withColumn("rest", F.count("*").over(W.partitionBy()) - 1)
+    half = F.floor(F.col("rest") / 2)
+    rate = lambda where: F.avg(F.when(where, F.col("requests_per_minute")))
+    later = F.col("k") > 0
+    out = rows.agg(F.max("rest").alias("windows"), rate(~later).alias("burst"), rate(later).alias("held"), F.percentile(F.when(later, F.col("requests_per_minute")), 0.5).alias("middle"), F.min(F.when(later, F.col("requests_per_minute"))).alias("least"), F.max(F.when(later, F.col("requests_per_minute"))).alias("most"), F.avg(F.when(later, F.col("items_per_second"))).alias("items_per_second"), F.avg(F.when(later, F.col("tokens_per_second"))).alias("tokens_per_second"), rate(later & (F.col("k") <= half)).alias("early"), rate(F.col("k") > half).alias("late"))
+    return out.where("windows is not null").withColumn("drift", F.when(F.col("windows") >= 4, F.try_divide(F.col("late") - F.col("early"), F.col("early"))))
 
 
 def worst_window(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Most events in any closed window [t - w, t], and the earliest t with so many. Rows are dealt by windows of time,
-    each event to its own and the next, so no task sees more than two windows' width."""
+    """Most events in any closed window of that width that ends at an event, and when the earliest such window's first
+    event stands, in seconds from the first event of all. Rows are dealt by windows of time, each event to its own and
+    the next, so no task sees more than two windows' width."""
     t, w = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
     dealt = events.select(t.alias("t"), F.explode(F.array(F.floor(t / w), F.floor(t / w) + 1)).alias("part"))
-    n = F.count("*").over(W.partitionBy("part").orderBy("t").rangeBetween(-w, 0))
-    per = dealt.withColumn("n", n).where(F.floor(F.col("t") / w) == F.col("part"))
-    return per.agg(F.max("n").alias("most"), F.min_by("t", F.struct(-F.col("n"), "t")).alias("at_micros"))
+    upto = W.partitionBy("part").orderBy("t").rangeBetween(-w, 0)
+    per = dealt.withColumns({"n": F.count("*").over(upto), "start": F.min("t").over(upto)}).where(F.floor(F.col("t") / w) == F.col("part"))
+    out = per.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.min_by("start", F.struct(-F.col("n"), "t")).alias("start"), F.min("t").alias("first"))
+    return out.select("most", F.coalesce((F.col("start") - F.col("first")) / 1e6, F.lit(0.0)).alias("began"))
 
 
 def percentiles(values: DataFrame, column: str) -> DataFrame:
-    """median, mean and the nearest-rank 95th percentile, exact, from counts of values."""
+    """n, mean, median, and two 95th percentiles by rank: p95 at position round(0.95 (n - 1)), halves to even, and tail
+    at int(0.95 n), of the sorted values from 0. Exact, from counts of values; one row, null over nothing."""
     levels = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    return levels.agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.5, F.col("n")).alias("median"), F.percentile("v", 0.95, F.col("n")).alias("p95"))
+    levels = levels.withColumns({"upto": F.sum("n").over(W.orderBy("v")), "total": F.sum("n").over(W.partitionBy())})
+    at = lambda place: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, place), F.col("v")))
+    return levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.5, F.col("n")).alias("median"), at(F.bround((F.col("total") - 1) * F.lit(0.95)).cast("long")).alias("p95"), at(F.floor(F.col("total") * F.lit(0.95))).alias("tail"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayfold.functions.stats import certainty
+
 #: Characters of an item at most; what an item costs besides its text; characters a token; tokens of state and request.
 LONGEST, OVERHEAD, CHARS_PER_TOKEN, STATE_TOKENS, REQUEST_TOKENS = 20_000, 12, 3.5, 28_000, 56_000
 #: Input price in dollars a million tokens; statuses worth another try.
@@ -26,11 +28,11 @@ def key(text: Column, of_shape: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", text, of_shape), 256), 1, 32)
 
 
-def clean(items: DataFrame) -> DataFrame:
+def clean(items: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """Texts as strings; an item over the limit stops the run before anything is sent, with its place in the message."""
     text = F.coalesce(F.col("item").cast("string"), F.lit("None"))
-    refuse = F.raise_error(F.concat(F.lit("item "), (F.col("pos") + 1).cast("string"), F.lit(f" is over {LONGEST} characters; nothing was sent"))).cast("string")
-    return items.withColumn("item", F.when(F.length(text) > LONGEST, refuse).otherwise(text))
+    refuse = F.raise_error(F.concat(F.lit("item "), (F.col("pos") + 1).cast("string"), F.lit(f" is over {longest} characters; nothing was sent"))).cast("string")
+    return items.withColumn("item", text if longest is None else F.when(F.length(text) > longest, refuse).otherwise(text))
 
 
 def todo(items: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -76,13 +78,14 @@ def decode(entries: DataFrame) -> DataFrame:
     """Typed answers of JSON entries (pos, payload): yes/no before score before choice; what is none of them is an error."""
     e = F.from_json("payload", ANSWER)
     out = entries.withColumn("e", e)
-    top = F.size("e.legend") - 1
+    # the highest level is that of the probabilities; a legend may be short, or missing
+    top = F.coalesce(F.array_max(F.transform(F.map_keys("e.probabilities"), lambda k: k.try_cast("int"))), F.lit(0))
     nearest = F.greatest(F.lit(0), F.least(top, F.bround("e.score").cast("int"))).cast("string")
     by_legend = F.transform_keys("e.probabilities", lambda k, _: F.coalesce(F.element_at("e.legend", k), k))
-    kind = F.when(F.col("e.noul").isNotNull(), "noul").when(F.col("e.score").isNotNull() & F.col("e.legend").isNotNull(), "score").when(F.col("e.choice").isNotNull(), "choice").otherwise("error")
+    kind = F.when(F.col("e.noul").isNotNull(), "noul").when(F.col("e.score").isNotNull(), "score").when(F.col("e.choice").isNotNull(), "choice").otherwise("error")
     out = out.withColumn("kind", kind)
     is_ = lambda k: F.col("kind") == k
-    label = F.when(is_("noul"), F.when(F.col("e.noul") >= 0.5, "yes").otherwise("no")).when(is_("score"), F.element_at("e.legend", nearest)).when(is_("choice"), F.col("e.choice")).otherwise("")
+    label = F.when(is_("noul"), F.when(F.col("e.noul") >= 0.5, "yes").otherwise("no")).when(is_("score"), F.coalesce(F.element_at("e.legend", nearest), nearest)).when(is_("choice"), F.col("e.choice")).otherwise("")
     p = F.when(is_("noul"), F.col("e.noul")).when(is_("score"), F.coalesce(F.element_at("e.probabilities", nearest), F.lit(0.0))).when(is_("choice"), F.coalesce(F.element_at("e.probabilities", F.col("e.choice")), F.lit(0.0))).otherwise(0.0)
     spread = F.when(is_("noul"), F.create_map(F.lit("yes"), F.col("e.noul"), F.lit("no"), F.lit(1.0) - F.col("e.noul"))).when(is_("score"), by_legend).when(is_("choice"), F.col("e.probabilities"))
     return out.withColumns({"label": label, "p": p, "distribution": spread, "confidence": F.col("e.confidence"), "score": F.col("e.score"), "error": F.when(is_("error"), "unreadable answer")}).drop("e")
@@ -97,10 +100,23 @@ def usage(requests: DataFrame, answers: DataFrame) -> DataFrame:
     return out.withColumns({"answered": F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed")), "usd": F.col("input_tokens") * USD_PER_MILLION / 1e6, "tokens_per_item": F.try_divide(F.col("input_tokens"), F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed")))})
 
 
-def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataFrame | None = None, pack: int = 32, workers: int = 4) -> DataFrame:
-    """One decoded answer for every item (pos, item, key). ask gets a pack's texts and returns a JSON entry for each;
-    an exception makes that pack's items errors. Only unseen keys are asked; equal items share an answer."""
-    packs = plan_packs(todo(items, ledger) if ledger is not None else items.groupBy("key").agg(F.min_by(F.struct("pos", "item"), "pos").alias("f")).select("key", "f.pos", "f.item"), pack)
+def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataFrame | None = None, pack: int = 32, workers: int = 4, longest: int | None = LONGEST) -> DataFrame:
+    """One decoded answer for every item (pos, item, key), with `certainty` and `origin`: asked, copied or resumed.
+
+    ask gets a pack's texts and returns a JSON entry for each; an exception makes that pack's items errors. Equal items
+    share an answer; what the ledger holds is answered from it, and only the rest is asked. An item over the limit
+    stops the run before anything is sent (longest None: no limit)."""
+    items = clean(items, longest)
+    if ledger is None:
+        return asked(items, ask, pack, workers)
+    new = asked(items.join(ledger.select("key"), "key", "left_anti"), ask, pack, workers)
+    old = items.join(ledger, "key").withColumns({"origin": F.lit("resumed"), "error": F.lit(None).cast("string")})
+    return new.unionByName(old.withColumn("certainty", certainty(F.col("kind"), F.col("p"), F.col("error"))).select(*new.columns))
+
+
+def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 32, workers: int = 4) -> DataFrame:
+    """Answers to all items (pos, item, key), of equal ones asked for the first."""
+    packs = plan_packs(items.groupBy("key").agg(F.min_by(F.struct("pos", "item"), "pos").alias("f")).select("key", "f.pos", "f.item"), pack)
     grouped = packs.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("position", "pos", "key", "item"))).alias("rows"))
 
     def run(batches: Iterator) -> Iterator:
@@ -118,4 +134,5 @@ def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataF
                 yield pd.DataFrame({"pos": [r["pos"] for r in rows], "key": [r["key"] for r in rows], "position": [r["position"] for r in rows], "packed": len(rows), "payload": said, "why": why})
 
     raw = grouped.repartition(workers, "pack_id").mapInPandas(run, "pos long, key string, position int, packed int, payload string, why string")
-    return fan_back(items, decode(raw).withColumn("error", F.coalesce("why", "error")).drop("payload", "why"))
+    answers = fan_back(items, decode(raw).withColumn("error", F.coalesce("why", "error")).drop("payload", "why"))
+    return answers.withColumn("certainty", certainty(F.col("kind"), F.col("p"), F.col("error")))

@@ -111,7 +111,28 @@ def routing(judged: DataFrame, accuracy: float, confidence: float = 0.0) -> Data
     return out.select("label", "count", "accuracy", "floor", "auroc", "low", "high", F.when(action == "cut", F.col("cut")).alias("cut"), F.when(action == "cut", F.col("coverage")).alias("coverage"), action.alias("action"))
 
 
-def calibrate(judged: DataFrame, *, keep: float | None = None, accuracy: float | None = None, confidence: float = 0.0, splits: int = 20, seed: int = 7) -> DataFrame:
+#: Share of the rows from which a level is crowded.
+CROWDED = 0.20
+
+
+def crowding(judged: DataFrame, accuracy: float) -> DataFrame:
+    """The crowded level that keeps a bar out of reach: levels, crowd, share and the accuracy of all rows from it on. No
+    row where the most crowded level (ties: first seen) holds under CROWDED of the rows, or its block passes the bar."""
+    levels = histogram(judged)
+    top = levels.agg(F.count("*").alias("levels"), F.max_by(F.struct("certainty", "n"), F.struct("n", -F.col("first_pos"))).alias("t"), F.sum("n").alias("total"))
+    block = levels.crossJoin(F.broadcast(top)).where(F.col("certainty") >= F.col("t.certainty"))  # top is one row
+    out = block.groupBy("levels", F.col("t.certainty").alias("crowd"), (F.col("t.n") / F.col("total").cast("double")).alias("share")).agg((F.sum("n_right") / F.sum("n").cast("double")).alias("crowd_accuracy"))
+    return out.where((F.col("share") >= CROWDED) & (F.col("crowd_accuracy") < accuracy))
+
+
+def headroom(judged: DataFrame, accuracy: float, confidence: float) -> DataFrame:
+    """What a confidence costs: coverage of the cut by the plain estimate and of that by the bound, and their difference."""
+    plain = cut_for_accuracy(judged, accuracy).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("plain"))
+    bound = cut_for_accuracy(judged, accuracy, confidence=confidence).agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("bound"))
+    return plain.crossJoin(F.broadcast(bound)).withColumn("headroom", F.col("plain") - F.col("bound"))  # one row each
+
+
+def calibrate(judged: DataFrame, *, keep: float | None = None, accuracy: float | None = None, confidence: float = 0.0, splits: int = 20, seed: int = 7, min_signal: float = SIGNAL) -> DataFrame:
     """One row: cut, in-sample and held-out coverage and accuracy (medians over half splits, with the least and most),
     baseline, items, splits that had a cut, AUROC. Refuses under 30 rows, a weak signal, and an unreachable bar."""
     if (keep is None) == (accuracy is None):
@@ -121,13 +142,15 @@ def calibrate(judged: DataFrame, *, keep: float | None = None, accuracy: float |
     base = discrimination(judged).first()
     if base is None or base["count"] < FLOOR:
         raise ValueError("too few usable answers to calibrate on")
-    if base.auroc is None or base.auroc < SIGNAL:
+    if base.auroc is None or base.auroc < min_signal:
         raise ValueError("certainty does not tell right answers from wrong ones here")
     whole = cut_for_keep(judged, keep) if keep is not None else cut_for_accuracy(judged, accuracy, confidence=confidence)
     row = whole.first()
     if row is None or row.cut is None:
-        raise ValueError("no cut reaches the accuracy asked for")
-    halves = judged.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("fit", F.pmod(F.xxhash64("pos", "split", F.lit(seed)), F.lit(2)) == 0)
+        crowd = crowding(judged, accuracy).first() if accuracy is not None else None
+        why = f": {crowd.share:.0%} of the rows share the certainty {crowd.crowd:.3f}, and from it on {crowd.crowd_accuracy:.1%} are right" if crowd else ""
+        raise ValueError(f"no cut reaches the accuracy asked for{why}")
+    halves = judged.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("fit", F.substring(F.md5(F.concat_ws(":", "pos", "split", F.lit(str(seed)))), 1, 1) < "8")
     levels = histogram(halves, "split", "fit")
     down = W.partitionBy("split").orderBy(F.desc("certainty"))
     fit = levels.where("fit").withColumn("kept", F.sum("n").over(down)).withColumn("kept_right", F.sum("n_right").over(down)).withColumn("total", F.sum("n").over(W.partitionBy("split")))
@@ -139,4 +162,4 @@ def calibrate(judged: DataFrame, *, keep: float | None = None, accuracy: float |
     over = F.col("certainty") >= F.col("cut")
     held = levels.where("not fit").join(cuts, "split").groupBy("split").agg((F.sum(F.when(over, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"), F.try_divide(F.sum(F.when(over, F.col("n_right"))), F.sum(F.when(over, F.col("n")))).alias("accuracy"))
     out = held.where("coverage > 0").agg(F.percentile("coverage", 0.5).alias("coverage"), F.percentile("accuracy", 0.5).alias("accuracy"), F.min("accuracy").alias("low"), F.max("accuracy").alias("high"), F.count("*").alias("splits"))
-    return out.withColumns({"cut": F.lit(row.cut), "baseline": F.lit(base.n_right / base["count"]), "items": F.lit(base["count"]), "discrimination": F.lit(base.auroc)})
+    return out.withColumns({"cut": F.lit(row.cut), "baseline": F.lit(base.n_right / base["count"]), "items": F.lit(base["count"]), "discrimination": F.lit(base.auroc)}).withColumn("gain", F.col("accuracy") - F.col("baseline"))

@@ -6,9 +6,11 @@ right about as often as it says.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayfold.operators import experiments as ex
@@ -112,7 +114,13 @@ def calibration_by_label(spark, sf):
     return sel.routing(judged(spark, sf), 0.85)
 
 
-@query()
+@query(f"""WITH {H}, x AS (SELECT sum(n) AS n, sum(r) AS r, sum(r * rk) AS ranks FROM s), y AS (SELECT n, r, {AUC} AS z FROM x),
+hv AS (SELECT split, substr(md5(pos || ':' || split || ':7'), 1, 1) < '8' AS fit, certainty, count(*) AS n, count(*) FILTER ("right") AS r FROM j, range(0, 20) t(split) GROUP BY ALL),
+f AS (SELECT split, certainty, sum(n) OVER d AS kept, sum(r) OVER d AS kr FROM hv WHERE fit WINDOW d AS (PARTITION BY split ORDER BY certainty DESC)),
+c AS (SELECT split, min(certainty) AS cut FROM f WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85 GROUP BY 1),
+e AS (SELECT split, CAST(sum(n) FILTER (certainty >= cut) AS DOUBLE) / sum(n) AS coverage, CAST(sum(r) FILTER (certainty >= cut) AS DOUBLE) / sum(n) FILTER (certainty >= cut) AS accuracy FROM hv JOIN c USING (split) WHERE NOT fit GROUP BY 1),
+o AS (SELECT median(coverage) AS coverage, median(accuracy) AS accuracy, min(accuracy) AS low, max(accuracy) AS high, count(*) AS splits FROM e WHERE coverage > 0)
+SELECT o.*, (SELECT min(certainty) FROM s WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85) AS cut, CAST(r AS DOUBLE) / n AS baseline, CAST(n AS BIGINT) AS items, z AS discrimination, accuracy - CAST(r AS DOUBLE) / n AS gain FROM o, y""")
 def calibrate(spark, sf):
     return sel.calibrate(judged(spark, sf), accuracy=0.85)
 
@@ -132,17 +140,17 @@ def votes(spark, sf):
 BANDS = "CASE " + " ".join(f"WHEN certainty >= CAST({a} AS DOUBLE) AND certainty < CAST({b} AS DOUBLE) THEN CAST({a} AS DOUBLE)" for a, b in zip(ex.BANDS, ex.BANDS[1:])) + " END"
 
 
-@query(f"WITH {LOG()} SELECT {BANDS} AS band, count(*) AS n, avg(certainty) AS said, avg(CAST(label = gold AS DOUBLE)) AS happened, avg(certainty) - avg(CAST(label = gold AS DOUBLE)) AS gap FROM l GROUP BY 1")
+@query(f"WITH {LOG()} SELECT {BANDS} AS band, count(*) AS n, avg(certainty) AS said, avg(CAST(label = gold AS DOUBLE)) AS happened, avg(CAST(label = gold AS DOUBLE)) - avg(certainty) AS gap FROM l GROUP BY 1")
 def reliability(spark, sf):
     return ex.reliability(log(spark, sf))
 
 
-@query(f"WITH {LOG()}, b AS (SELECT {BANDS} AS band, count(*) AS n, avg(certainty) - avg(CAST(label = gold AS DOUBLE)) AS gap FROM l GROUP BY 1) SELECT sum(n * abs(gap)) / sum(n) AS absolute, sum(n * gap) / sum(n) AS signed FROM b")
+@query(f"WITH {LOG()}, b AS (SELECT {BANDS} AS band, count(*) AS n, avg(CAST(label = gold AS DOUBLE)) - avg(certainty) AS gap FROM l GROUP BY 1) SELECT sum(n * abs(gap)) / sum(n) AS absolute, sum(n * gap) / sum(n) AS signed FROM b")
 def calibration_gap(spark, sf):
     return ex.calibration_gap(log(spark, sf))
 
 
-@query(f"WITH {LOG()}, o AS (SELECT *, row_number() OVER (ORDER BY certainty DESC, pos) AS rn, count(*) OVER () AS total FROM l), c AS (SELECT CAST(unnest([1.0, 0.9, 0.8, 0.7, 0.6]) AS DOUBLE) AS coverage) SELECT coverage, CAST(greatest(1, floor(any_value(total) * coverage)) AS BIGINT) AS kept, avg(CAST(label = gold AS DOUBLE)) AS accuracy, min(certainty) AS edge FROM c, o WHERE rn <= greatest(1, floor(total * coverage)) GROUP BY 1")
+@query(f"WITH {LOG()}, o AS (SELECT *, row_number() OVER (ORDER BY certainty DESC, pos) AS rn, count(*) OVER () AS total FROM l), c AS (SELECT CAST(unnest([1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.3]) AS DOUBLE) AS coverage) SELECT coverage, CAST(greatest(1, floor(any_value(total) * coverage)) AS BIGINT) AS kept, avg(CAST(label = gold AS DOUBLE)) AS accuracy, min(certainty) AS edge FROM c, o WHERE rn <= greatest(1, floor(total * coverage)) GROUP BY 1")
 def risk_coverage(spark, sf):
     return ex.risk_coverage(log(spark, sf))
 
@@ -157,7 +165,28 @@ def paired_arms(spark, sf):
     return ex.paired(log(spark, sf), log(spark, sf, salt=3))
 
 
-@query()
+def COIN(text: str) -> str:
+    """The number from 0 to 1 that a text's hash gives."""
+    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+
+
+def POISSON(u: str) -> str:
+    """How often a Poisson(1) count of quantile u draws."""
+    below, sums = 0.0, []
+    for k in range(13):
+        below += math.exp(-1) / math.factorial(k)
+        sums.append(f"CAST({u} >= CAST({below!r} AS DOUBLE) AS INT)")
+    return " + ".join(sums)
+
+
+def DRAWS(of: str, draws: int = 2000) -> str:
+    """CTE bounds(low, high): the interval of the mean of `of`(unit, value)."""
+    return f"""drawn AS (SELECT draw, value, {COIN("unit || ':' || draw || ':1'")} AS u FROM {of}, range(0, {draws}) t(draw)), weighed AS (SELECT draw, value, {POISSON("u")} AS w FROM drawn),
+ means AS (SELECT sum(w * value) / sum(w) AS m FROM weighed GROUP BY draw HAVING sum(w) > 0), ranked AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM means),
+ bounds AS (SELECT max(m) FILTER (i = floor(n * 0.025)) AS low, max(m) FILTER (i = floor(n * 0.975)) AS high FROM ranked)"""
+
+
+@query(f"WITH {LOG()}, units AS (SELECT source AS unit, avg(CAST(label = gold AS DOUBLE)) AS value FROM l GROUP BY 1), {DRAWS('units')} SELECT low, high FROM bounds")
 def bootstrap(spark, sf):
     return ex.bootstrap(log(spark, sf))
 
@@ -167,17 +196,44 @@ def price_of_trust(spark, sf):
     return ex.price(log(spark, sf), spark.createDataFrame([("arm0", 0.25), ("arm1", 0.5)], "arm string, usd double"), 0.8)
 
 
-@query("WITH e AS (SELECT epoch_us(ts) AS t FROM events) SELECT CAST(floor((t - (SELECT min(t) FROM e)) / 3600000000) AS BIGINT) AS \"window\", count(*) AS n, count(*) * 60.0 / 3600 AS per_minute FROM e GROUP BY 1")
+#: Counter samples, one a minute that has events.
+SAMPLES = """m AS (SELECT CAST(floor(epoch_us(ts) / 60000000) * 60 AS DOUBLE) AS t, count(*) AS requests, sum(event_id % 100) AS input_tokens, count(*) FILTER (event_type = 'click') AS retries,
+ count(*) FILTER (event_id % 7 = 0) AS pushback, CAST(count(*) * 0.5 AS DOUBLE) AS waited FROM events GROUP BY 1),
+c AS MATERIALIZED (SELECT row_number() OVER w - 1 AS i, t, CAST(sum(requests) OVER w AS BIGINT) AS requests, sum(input_tokens) OVER w AS input_tokens, sum(retries) OVER w AS retries, sum(pushback) OVER w AS pushback, sum(waited) OVER w AS waited FROM m WINDOW w AS (ORDER BY t)),
+s(k, i) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT s.k + 1, min(c.i) FROM s JOIN c ON c.i > s.i AND c.t >= (SELECT min(t) FROM c) + (s.k + 1) * 3600 GROUP BY s.k),
+r AS (SELECT b.t - (SELECT min(t) FROM c) AS "from", a.t - b.t AS seconds, CAST(a.requests - b.requests AS DOUBLE) / (a.t - b.t) * 60 AS requests_per_minute, CAST(a.requests - b.requests AS DOUBLE) / (a.t - b.t) * 32 AS items_per_second,
+ CAST(a.input_tokens - b.input_tokens AS DOUBLE) / (a.t - b.t) AS tokens_per_second, CAST(a.retries - b.retries AS BIGINT) AS retries, CAST(a.pushback - b.pushback AS BIGINT) AS pushback, a.waited - b.waited AS waited
+ FROM s x JOIN s y ON y.k = x.k - 1 JOIN c a ON a.i = x.i JOIN c b ON b.i = y.i)"""
+
+
+def samples(spark, sf):
+    e = table(spark, sf, "events")
+    per = e.groupBy((F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) * 60).cast("double").alias("t"))
+    per = per.agg(F.count("*").alias("requests"), F.sum(F.col("event_id") % 100).alias("input_tokens"), F.count_if(F.col("event_type") == "click").alias("retries"), F.count_if(F.col("event_id") % 7 == 0).alias("pushback"), (F.count("*") * 0.5).alias("waited"))
+    upto = W.orderBy("t")
+    return per.select("t", *(F.sum(c).over(upto).alias(c) for c in ex.COUNTERS))
+
+
+@query(f'WITH RECURSIVE {SAMPLES} SELECT "from", seconds, requests_per_minute, items_per_second, tokens_per_second, retries, pushback, waited FROM r')
 def rate_windows(spark, sf):
-    return ex.rate_windows(table(spark, sf, "events"), 3600)
+    return ex.rate_windows(samples(spark, sf), 3600, 32)
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, w AS (SELECT *, row_number() OVER (ORDER BY "from") - 1 AS k, count(*) OVER () - 1 AS rest FROM r),
+x AS (SELECT max(rest) AS windows, avg(requests_per_minute) FILTER (k = 0) AS burst, avg(requests_per_minute) FILTER (k > 0) AS held, median(requests_per_minute) FILTER (k > 0) AS middle, min(requests_per_minute) FILTER (k > 0) AS least,
+ max(requests_per_minute) FILTER (k > 0) AS most, avg(items_per_second) FILTER (k > 0) AS items_per_second, avg(tokens_per_second) FILTER (k > 0) AS tokens_per_second,
+ avg(requests_per_minute) FILTER (k BETWEEN 1 AND rest // 2) AS early, avg(requests_per_minute) FILTER (k > rest // 2) AS late FROM w)
+SELECT *, CASE WHEN windows >= 4 THEN (late - early) / early END AS drift FROM x""")
+def sustained(spark, sf):
+    return ex.sustained(ex.rate_windows(samples(spark, sf), 3600, 32))
 
 
-@query("WITH e AS (SELECT epoch_us(ts) AS t FROM events), n AS (SELECT t, count(*) OVER (ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS n FROM e) SELECT max(n) AS most, (SELECT min(t) FROM n WHERE n = (SELECT max(n) FROM n)) AS at_micros FROM n")
+@query("WITH e AS (SELECT epoch_us(ts) AS t FROM events), n AS (SELECT t, count(*) OVER w AS n, min(t) OVER w AS start FROM e WINDOW w AS (ORDER BY t RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)) SELECT max(n) AS most, (SELECT CAST(start - (SELECT min(t) FROM e) AS DOUBLE) / 1e6 FROM n ORDER BY n DESC, t LIMIT 1) AS began FROM n")
 def worst_window(spark, sf):
     return ex.worst_window(table(spark, sf, "events"))
 
 
-@query("SELECT count(value) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95 FROM events")
+@query("WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT count(*) AS n, avg(value) AS mean, median(value) AS median, max(value) FILTER (i = least(n - 1, CAST(round_even((n - 1) * CAST(0.95 AS DOUBLE), 0) AS BIGINT))) AS p95, max(value) FILTER (i = least(n - 1, floor(n * CAST(0.95 AS DOUBLE)))) AS tail FROM v")
 def latency_percentiles(spark, sf):
     return ex.percentiles(table(spark, sf, "events"), "value")
 
@@ -250,12 +306,31 @@ def judge_end_to_end(spark, sf):
 
         return [json.dumps({"noul": 0.9 if len(t) % 2 == 0 else 0.1}) for t in texts]
 
-    return judging.judge(items(spark, sf), ask).select("pos", "label")
+    return judging.judge(items(spark, sf), ask, longest=None).select("pos", "label")
+
+
+@query("""WITH d AS (SELECT doc_id AS pos, text, n_chars, min(doc_id) OVER (PARTITION BY text) AS first FROM documents), k AS (SELECT DISTINCT text FROM d WHERE pos % 3 = 0)
+SELECT pos, CASE WHEN k.text IS NOT NULL THEN 'no' WHEN length(d.text) % 2 = 0 THEN 'yes' ELSE 'no' END AS label, CASE WHEN k.text IS NOT NULL THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS certainty,
+ CASE WHEN k.text IS NOT NULL THEN 'resumed' WHEN pos = first THEN 'asked' ELSE 'copied' END AS origin FROM d LEFT JOIN k ON k.text = d.text""")
+def judge_resumed(spark, sf):
+    def ask(texts):
+        import json
+
+        return [json.dumps({"noul": 0.9 if len(t) % 2 == 0 else 0.1}) for t in texts]
+
+    rows = items(spark, sf)
+    none = F.lit(None)
+    known = rows.where("pos % 3 = 0").select("key").distinct().select("key", F.lit(0.25).alias("p"), F.lit("no").alias("label"), F.lit("noul").alias("kind"), none.cast("map<string,double>").alias("distribution"), none.cast("double").alias("confidence"), F.lit(1).alias("position"), F.lit(1).alias("packed"), none.cast("double").alias("score"))
+    return judging.judge(rows, ask, known, longest=None).select("pos", "label", "certainty", "origin")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from assayfold.plans import more  # noqa: F401  registers its own
+
     return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from assayfold.plans import more  # noqa: F401
+
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}

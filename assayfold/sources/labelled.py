@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """id, input, target, agreed of a labelled JSONL corpus; notices and half-written rows are dropped."""
-    rows = spark.read.schema("id string, input string, target string, metadata struct<agreement: string>").json(path)
-    agreed = F.when(F.lower("metadata.agreement").isin("true", "1", "agree", "agreed", "yes"), True).when(F.col("metadata.agreement").isNotNull(), False)
-    return rows.where("input is not null and coalesce(target, '') <> ''").select("id", "input", "target", agreed.alias("agreed"))
+    """id, input, target, agreed of a labelled JSONL corpus; notices and half-written rows are dropped.
+
+    A row without an id gets its text's hash. agreed is the truth of the value that stands there: empty text, 0, false
+    and empty lists or objects are not, any other text is, the word "false" too; null where nothing stands."""
+    rows = spark.read.schema("id string, input string, target string, metadata struct<agreement: string>, _line string").option("columnNameOfCorruptRecord", "_line").json(path)
+    value = F.col("metadata.agreement")
+    agreed = F.when(value.isNotNull(), ~value.isin("", "0", "0.0", "false", "[]", "{}"))
+    rows = rows.where("_line is null and input is not null and coalesce(target, '') <> ''")
+    return rows.select(F.coalesce("id", F.sha2("input", 256)).alias("id"), "input", "target", agreed.alias("agreed"))
 
 
 def write_answers_csv(answers: DataFrame, path: str) -> None:
@@ -27,3 +32,42 @@ def workload(spark: SparkSession, n: int, parts: tuple[tuple[str, ...], ...]) ->
     """n deterministic texts (pos, item) put together from lists of words."""
     pick = [F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int")) for k, words in enumerate(parts)]
     return spark.range(n).select(F.col("id").alias("pos"), F.concat_ws(" ", *pick).alias("item"))
+
+
+def case_ids(items: DataFrame, copies: int) -> DataFrame:
+    """Every item `copies` times, with `case`: its id and the number of the copy."""
+    return repeats(items, copies).withColumn("case", F.concat_ws("#", "id", "copy"))
+
+
+def sample(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """n items without replacement, the same ones for a seed, by a hash of their ids."""
+    return items.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(n)
+
+
+def shuffled(items: DataFrame, seed: int = 7) -> DataFrame:
+    """items with `place`, a seeded order of work that does not depend on theirs: a number to sort by, not a rank."""
+    return items.withColumn("place", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))))
+
+
+def write_noted(rows: DataFrame, path: str, note: str) -> None:
+    """Rows as JSON lines, with one line that holds the note alone; `read_labelled` and `read_log` step over it."""
+    rows.write.mode("overwrite").json(path)
+    rows.sparkSession.createDataFrame([(note,)], "note string").coalesce(1).write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str, row: str, head: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows, heads) of a run log of JSON lines in which heads, or notes, stand among rows.
+
+    row and head are schemas; a line is a row where the first column of `row` is there, a head where it is not."""
+    first = row.split()[0]
+    lines = spark.read.schema(", ".join(x for x in (row, head, "_line string") if x)).option("columnNameOfCorruptRecord", "_line").json(path).where("_line is null")
+    names = lambda schema: [x.strip().split()[0] for x in schema.split(",")]
+    return lines.where(F.col(first).isNotNull()).select(*names(row)), lines.where(F.col(first).isNull()).select(*(names(head) if head else []))
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Counter samples (t, requests, input_tokens, retries, pushback, waited) of a sustained run. Older logs hold
+    pushback as counts by status, which are added up; lines without t are heads."""
+    lines = spark.read.schema("t double, requests long, input_tokens long, retries long, pushback string, waited double").json(path).where("t is not null")
+    by_status = F.aggregate(F.map_values(F.from_json("pushback", "map<string, long>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return lines.withColumn("pushback", F.when(F.col("pushback").startswith("{"), by_status).otherwise(F.col("pushback").cast("long")))

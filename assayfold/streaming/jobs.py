@@ -19,17 +19,15 @@ def stream(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger_path:
 
     def run(batch: DataFrame, number: int) -> None:
         keyed = batch.withColumn("key", judging.key(F.col("item"), F.lit(model)))
-        try:
-            known = ledger.read(batch.sparkSession, ledger_path)
-        except Exception:
-            if number:
-                raise
-            known = None  # the first batch opens the ledger
+        spark = batch.sparkSession
+        # only a folder with nothing in it is a ledger to be opened; anything else must be one
+        known = ledger.read(spark, ledger_path) if ledger.exists(spark, ledger_path) else None
+        seq = ledger.next_seq(spark, ledger_path)
         answers = judging.judge(keyed, ask, known, pack).where("origin = 'asked'").persist()
         try:
             # counted first: a write to the ledger drops what is cached of plans that read it
             asked, failed = answers.agg(F.count("*"), F.count_if(F.col("error").isNotNull())).first()
-            ledger.append(answers, ledger_path, number, model)
+            ledger.append(answers, ledger_path, seq, model)
         finally:
             answers.unpersist()
         if failed > max(5 * pack, int(skip_budget * asked)):

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
 from .tokens import default_path, encoder
 
 #: Tokens of a sequence; pieces packed together; the id after each document and the one that pads.
@@ -107,6 +108,7 @@ def pack_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPACI
     if not 1 <= capacity <= 1 << 16:
         raise ValueError("capacity must be from 1 to 65536, so that positions fit 16 bits")
     path = path or default_path()
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda it: _packed(it, path, capacity, pool, end, pad), SCHEMA)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH bytes: with Spark's 64 MB, or 10,000 long texts, a task's copies of one
+    batch on either side take a good part of an executor's memory. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(name, "64m").lower()).groups()
+    size = int(number) * 1024 ** " kmgt".index(unit or " ")
+    if size <= 0 or size > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Labelled rows of either kind used to fit, the text bytes they may have together, a dictionary's bytes, and the level.
 ROWS, BYTES, DICTIONARY, LEVEL = 2000, 16 << 20, 112 << 10, 3
 
@@ -128,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, max_bytes: int = B
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a double column from 0 to 1, higher where a text is likelier good. Null texts count as empty; every row
     is scored for itself, so repeated rows score alike and an empty table stays empty. A column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(column)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])

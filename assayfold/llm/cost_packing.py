@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
 from .tokens import default_path, encoder
 
 #: Tokens of a sequence; remainders packed together; cost of a token and of a pair of tokens in one piece.
@@ -121,4 +122,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, poo
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     path = path or default_path()
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(lambda it: _packed(it, path, capacity, pool), SCHEMA)

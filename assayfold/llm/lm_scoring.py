@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, bounded_batches
 from .shingles import chunks, mix, numbers, planes, text_buffer, word_hashes
 
 #: Words of an n-gram; what a history counts besides its occurrences, dealt evenly over the vocabulary.
@@ -172,6 +172,7 @@ def score(docs: DataFrame, target: DataFrame, order: int = ORDER, prior: float =
     vocabulary. Very long texts are counted whole. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     # ids move by one, and below zero by none: -1 is the target's
     row = F.when(F.col("doc_id") >= 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1)
     mine = docs.where("doc_id is not null").select(row.cast("long").alias("row"), "text")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, connected_components
+from .common import Kept, bounded_batches, connected_components
 
 #: Links from this cosine; similarity from which a neighbour is kept in a list and followed; length of a list.
 THRESHOLD, FLOOR, LIST = 0.93, 0.7, 10
@@ -201,6 +201,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of a label are compared. Inside a component all links are counted.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     kept = Kept(spark, "descent")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, connected_components, free_shuffles
+from .common import Kept, bounded_batches, connected_components, free_shuffles
 from .shingles import chunks, mix, numbers, planes, shingle_sets
 
 #: Words of a shingle; similarity as a fraction; bands for each element of the largest set of a size band.
@@ -37,7 +37,7 @@ GROUP, FILTER_BITS = 512, 24
 #: Rows (key, salt, role, id) of a verification up to which they are broadcast to the texts' scan.
 BROADCAST = 1 << 20
 #: First runs of a document that its rows carry; what stands for none.
-FIRST, NONE = 4, (1 << 63) - 1
+FIRST, NONE = 8, (1 << 63) - 1
 
 _LOW = [1]
 while _LOW[-1] < 1 << 40:
@@ -372,6 +372,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     only members of different components meet. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept = Kept(spark, "parity")
     prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long, sketch binary, fine binary"), "prints")

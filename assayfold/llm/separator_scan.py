@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import default_path, encoder
 
 #: Bytes of a block.
@@ -29,6 +30,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
     end-of-document id. Null and empty texts are documents without ids.
     """
     tokenizer = tokenizer or default_path()
+    bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

@@ -197,8 +197,8 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (run, id, comp, size, sketch, first runs) sorted by run: pairs (a < b) of a run's members of different
     components whose sketches differ in no more bits than linked sets may.
 
-    A pair that meets in many runs is made in one: where the first runs of both have a common one, the smallest such is
-    the smallest that the pair has at all, and it is made there only; where they have none, it is made wherever it meets."""
+    A pair that meets in many runs is made in one: where the first runs of both have a common one, the first such is the
+    first that the pair has at all, and it is made there only; where they have none, it is made wherever it meets."""
 
     def pairs(run, ids, comp, size, sketches, firsts):
         bits = _folded(sketches)
@@ -207,8 +207,8 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[j] + size[i]]
             if len(j):
                 shared = (firsts[j][:, :, None] == firsts[i][None, None, :]).any(axis=2) & (firsts[j] != NONE)
-                least = np.where(shared, firsts[j], NONE).min(axis=1)
-                j = j[(least == NONE) | (least == run)]
+                least = firsts[j, shared.argmax(axis=1)]  # lists have one order, that of all runs
+                j = j[~shared.any(axis=1) | (least == run)]
                 yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
 
     def groups(table: pa.Table):
@@ -347,9 +347,9 @@ def verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame, kept: Kept) ->
 
 def with_enough(met: DataFrame) -> DataFrame:
     """The rows of ids that have as many agreements in a size band as any partner needs (of an id with several texts, of
-    that which needs least); the rows are dealt once."""
+    that which needs least), with that need and all agreements, `total`; the rows are dealt once."""
     own = Window.partitionBy("id", "band")
-    return met.withColumns({"_n": F.sum("n").over(own), "_need": F.min("need").over(own)}).where("_n >= _need").drop("_n", "_need")
+    return met.drop("total").withColumns({"total": F.sum("n").over(own), "need": F.min("need").over(own)}).where("total >= need")
 
 
 def merged(comps: DataFrame, links: DataFrame, kept: Kept) -> DataFrame:
@@ -414,7 +414,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # links to other components need enough agreements in buckets that hold other components
         now = kept.put(with_enough(now.select("run", "id", "band", "need", "n", "held", "comp", "l.leader", "l.lead_comp")), "mixed")
         large = now.where(F.col("held") > SMALL).where("comp <> lead_comp")
-        met = now.select("run", "id", "band", "need", "n", "held")
+        met = now.select("run", "id", "band", "need", "n", "held", "total")
         kept.drop("mixed", 1)
         more = verify(docs, prints, best(large), kept)
         if more.isEmpty():
@@ -423,11 +423,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # an id with several texts has no sketch of its own: size and sketch are such that it passes
     one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
     of = ids.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
-    # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal
-    own = Window.partitionBy("id", "band")
-    rows = met.repartition(parts, "id").withColumn("ahead", F.sum("n").over(own.orderBy(F.desc("held"), "run").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("ahead >= need").withColumn("at", F.row_number().over(own.orderBy("run")))
-    rows = rows.withColumns({f"first{k}": F.coalesce(F.min(F.when(F.col("at") == k, F.col("run"))).over(own), F.lit(NONE)) for k in range(1, FIRST + 1)})
+    # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal.
+    # One window from the smallest run on: how many agreements lie in a run and all larger ones, and the first runs
+    order = Window.partitionBy("id", "band").orderBy("held", F.desc("run"))
+    all_, upto = (order.rowsBetween(Window.unboundedPreceding, last) for last in (Window.unboundedFollowing, 0))
+    firsts = {f"v{k}": F.nth_value(F.struct("run", "n"), k).over(all_) for k in range(1, FIRST + 1)}
+    rows = met.repartition(parts, "id").withColumns({"ahead": F.col("total") - F.sum("n").over(upto) + F.col("n")} | firsts).where("ahead >= need")
+    left = F.col("total")
+    for k in range(1, FIRST + 1):
+        rows = rows.withColumn(f"first{k}", F.coalesce(F.when(left >= F.col("need"), F.col(f"v{k}.run")), F.lit(NONE)))
+        left = left - F.coalesce(F.col(f"v{k}.n"), F.lit(0))
     rows = rows.join(comps, "id", "left").join(of, "id").select("run", "id", F.coalesce("comp", "id").alias("comp"), "size", "sketch", *(f"first{k}" for k in range(1, FIRST + 1)))
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long").distinct()

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayfold.functions.stats import certainty
+from assayfold.operators.packs import places, plan_packs  # noqa: F401
 
-#: Characters of an item at most; what an item costs besides its text; characters a token; tokens of state and request.
-LONGEST, OVERHEAD, CHARS_PER_TOKEN, STATE_TOKENS, REQUEST_TOKENS = 20_000, 12, 3.5, 28_000, 56_000
+#: Characters of an item at most.
+LONGEST = 20_000
 #: Input price in dollars a million tokens; statuses worth another try.
 USD_PER_MILLION, RETRYABLE = 0.042, (429, 500, 502, 503, 504, 529)
 
@@ -46,31 +46,6 @@ def fan_back(items: DataFrame, answers: DataFrame) -> DataFrame:
     return items.join(first, "key", "left").withColumn("origin", F.when(F.col("_first") == F.col("pos"), "asked").otherwise("copied")).drop("_first")
 
 
-def plan_packs(items: DataFrame, pack: int = 32, chars_per_token: float = CHARS_PER_TOKEN, shards: int = 64) -> DataFrame:
-    """(pos, item, pack_id, position, packed): items of each shard, in order, fill requests up to their limits.
-
-    Shards are ranges of positions, folded natively; an item too large for any request goes alone. items: pos, item and
-    optionally overhead (characters of its question)."""
-    state, request = STATE_TOKENS * chars_per_token, REQUEST_TOKENS * chars_per_token
-    items = items if "overhead" in items.columns else items.withColumn("overhead", F.lit(0))
-    shard = F.floor(F.col("pos") / 4096)
-    kind = "struct<pos: bigint, chars: bigint, cost: bigint>"
-    rows = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), (F.length("item") + OVERHEAD).cast("long").alias("chars"), (F.length("item") + OVERHEAD + F.col("overhead")).cast("long").alias("cost")).cast(kind)))
-    zero = F.expr("named_struct('out', cast(array() as array<struct<pos: bigint, g: bigint, k: int>>), 'g', 0L, 'k', 0, 'chars', 0L, 'cost', 0L)")
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["k"] > 0) & (acc["k"] < pack) & (acc["chars"] + x["chars"] < state) & (acc["cost"] + x["cost"] < request)
-        g = F.when(fits | (acc["k"] == 0), acc["g"]).otherwise(acc["g"] + 1)
-        k = F.when(fits, acc["k"] + 1).otherwise(1)
-        row = F.struct(x["pos"].alias("pos"), g.alias("g"), k.alias("k"))
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), g.alias("g"), k.alias("k"), F.when(fits, acc["chars"] + x["chars"]).otherwise(x["chars"]).alias("chars"), F.when(fits, acc["cost"] + x["cost"]).otherwise(x["cost"]).alias("cost"))
-
-    folded = items.groupBy(shard.alias("shard")).agg(rows.alias("rows")).select("shard", F.explode(F.aggregate("rows", zero, step)["out"]).alias("r"))
-    placed = folded.select(F.col("r.pos").alias("pos"), (F.col("shard") * 1_000_000 + F.col("r.g")).alias("pack_id"), F.col("r.k").alias("position"))
-    placed = placed.withColumn("packed", F.count("*").over(W.partitionBy("pack_id")).cast("int"))
-    return items.drop("overhead").join(placed, "pos")
-
-
 ANSWER = "struct<noul: double, choice: string, score: double, legend: map<string, string>, probabilities: map<string, double>, confidence: double>"
 
 
@@ -116,7 +91,8 @@ def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataF
 
 def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 32, workers: int = 4) -> DataFrame:
     """Answers to all items (pos, item, key), of equal ones asked for the first."""
-    packs = plan_packs(items.groupBy("key").agg(F.min_by(F.struct("pos", "item"), "pos").alias("f")).select("key", "f.pos", "f.item"), pack)
+    firsts = items.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by(F.length("item"), "pos").alias("length"))
+    packs = items.select("pos", "key", "item").join(places(firsts.withColumn("overhead", F.lit(0)), pack), "pos")
     grouped = packs.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("position", "pos", "key", "item"))).alias("rows"))
 
     def run(batches: Iterator) -> Iterator:

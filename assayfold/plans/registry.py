@@ -260,7 +260,10 @@ def fan_back(spark, sf):
     return judging.fan_back(items(spark, sf), first).select("pos", "answered_by", "origin")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id AS pos, row_number() OVER (ORDER BY doc_id) AS i, length(text) + 12 AS c FROM documents),
+r AS (SELECT pos, i, CAST(0 AS BIGINT) AS pack_id, 1 AS position, c AS used FROM d WHERE i = 1
+UNION ALL SELECT d.pos, d.i, CASE WHEN position < 32 AND used + c < 98000 THEN pack_id ELSE pack_id + 1 END, CASE WHEN position < 32 AND used + c < 98000 THEN position + 1 ELSE 1 END, CASE WHEN position < 32 AND used + c < 98000 THEN used + c ELSE c END FROM r JOIN d ON d.i = r.i + 1)
+SELECT pos, pack_id, CAST(position AS INTEGER) AS position, CAST(count(*) OVER (PARTITION BY pack_id) AS INTEGER) AS packed FROM r""")
 def plan_packs(spark, sf):
     return judging.plan_packs(items(spark, sf).select("pos", "item")).drop("item")
 

@@ -77,6 +77,25 @@ def test_packs_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("pack, block", [(32, 7), (3, 3), (5, 64)])
+def test_packs_cross_blocks(spark, pack, block):
+    """Positions with gaps, texts of all lengths, questions of their own, a block of fewer items than a pack, no items."""
+    dice = random.Random(pack * 100 + block)
+    rows = [(i * 3 + i % 2, dice.choice([None, "", "x" * 9, "x" * 3000, "x" * 120_000]), dice.choice([None, 0, 9000])) for i in range(151)]
+    want, group, now = {}, -1, []
+    for pos, text, more in rows:
+        chars = len(text or "") + 12
+        now.append((chars, chars + (more or 0)))
+        if len(now) == 1 or len(now) > pack or sum(c for c, _ in now) >= 98_000 or sum(q for _, q in now) >= 196_000:
+            group, now = group + 1, now[-1:]
+        want[pos] = (group, len(now))
+    sizes = {g: max(p for h, p in want.values() if h == g) for g, _ in want.values()}
+    items = spark.createDataFrame(rows, "pos long, item string, overhead int")
+    got = {r.pos: (r.pack_id, r.position, r.packed) for r in judging.plan_packs(items, pack, block=block).collect()}
+    assert got == {pos: (g, p, sizes[g]) for pos, (g, p) in want.items()}
+    assert judging.plan_packs(items.limit(0), pack, block=block).count() == 0
+
+
 def test_decode(spark):
     entries = ['{"noul": 0.5}', '{"noul": null}', '{"choice": "c", "probabilities": {"a": 1}}', '{"score": 2.5, "legend": {"0": "l", "1": "m", "2": "h"}, "probabilities": {"2": 0.7}}', '{"score": -3, "legend": {"0": "l"}, "probabilities": {"0": 0.4}}', "torn", None]
     out = judging.decode(spark.createDataFrame(list(enumerate(entries)), "pos long, payload string")).orderBy("pos").collect()

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayfold.functions.stats import certainty
-from assayfold.operators.packs import places, plan_packs  # noqa: F401
+from assayfold.operators import questions
+from assayfold.operators.packs import CHARS_PER_TOKEN, places, plan_packs  # noqa: F401
 
 #: Characters of an item at most.
 LONGEST = 20_000
-#: Input price in dollars a million tokens; statuses worth another try.
-USD_PER_MILLION, RETRYABLE = 0.042, (429, 500, 502, 503, 504, 529)
+#: Input price in dollars a million tokens.
+USD_PER_MILLION = 0.042
 
 
 def shape(model: str, pack: int, guidance: str, instructions: Column, criteria: Column, options: Column, levels: Column) -> Column:
@@ -81,14 +82,61 @@ def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataF
     ask gets a pack's texts and returns a JSON entry for each; an exception makes that pack's items errors. Equal items
     share an answer; what the ledger holds is answered from it, and only the rest is asked. An item over the limit
     stops the run before anything is sent (longest None: no limit)."""
-    items = clean(items, longest)
+    return resumed(clean(items, longest), ledger, lambda rest: asked(rest, ask, pack, workers))
+
+
+#: The columns of a question.
+QUESTION = ("instructions", "criteria", "options", "levels")
+
+
+def judge_questions(rows: DataFrame, post: Callable[[str], str], model: str = "default", ledger: DataFrame | None = None, pack: int = 32, workers: int = 4, once: bool = False, longest: int | None = LONGEST, dedupe: bool = True, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
+    """`judge` for rows (pos, item and a question, see `questions.with_defaults`), with the key of item and question.
+
+    post gets a pack's body as JSON and returns the response's JSON, `Service.post` for one. An exception, a response
+    that cannot be read and an item without an answer make errors of the items they concern. Without dedupe every row is
+    asked, equal or not, and the ledger is not read."""
+    rows = clean(rows, longest)
+    question = [F.col(c) for c in QUESTION]
+    own = key(F.col("item"), shape(model, pack, "once" if once else "repeat", *question))
+    rows = rows.withColumn("key", own if dedupe else F.concat_ws("#", own, "pos"))
+    return resumed(rows, ledger if dedupe else None, lambda rest: posted(rest, post, model, pack, workers, once, chars_per_token))
+
+
+def resumed(items: DataFrame, ledger: DataFrame | None, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the ledger holds is answered from it; `ask` gets the rest."""
     if ledger is None:
-        return asked(items, ask, pack, workers)
-    new = asked(items.join(ledger.select("key"), "key", "left_anti"), ask, pack, workers)
+        return ask(items)
+    new = ask(items.join(ledger.select("key"), "key", "left_anti"))
     old = items.join(ledger, "key").withColumns({"origin": F.lit("resumed"), "error": F.lit(None).cast("string")})
     return new.unionByName(old.withColumn("certainty", certainty(F.col("kind"), F.col("p"), F.col("error"))).select(*new.columns))
 
 
+def posted(rows: DataFrame, post: Callable[[str], str], model: str, pack: int, workers: int, once: bool, chars_per_token: float) -> DataFrame:
+    """Answers to all rows (pos, item, key and a question), of equal ones asked for the first, one body a pack."""
+    overhead = questions.overhead(*[F.col(c) for c in QUESTION], once=once)
+    sizes = rows.select("key", "pos", F.length("item").alias("length"), overhead.alias("overhead"))
+    firsts = sizes.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"), F.min_by("overhead", "pos").alias("overhead"))
+    packs = rows.select("pos", "key", "item", *QUESTION).join(places(firsts, pack, chars_per_token), "pos")
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for number, body in zip(batch["pack_id"], batch["body"]):
+                try:
+                    said, why = post(body), None
+                except Exception as e:  # a pack that fails is skipped, with its reason
+                    said, why = None, str(e) or type(e).__name__
+                yield pd.DataFrame({"pack_id": [number], "said": [said], "why": [why]})
+
+    replies = questions.bodies(packs, model, once).select("pack_id", "body").repartition(workers, "pack_id").mapInPandas(run, "pack_id long, said string, why string")
+    name = F.concat(F.lit("item_"), F.col("position").cast("string"))
+    payload = F.try_element_at(F.from_json("said", "struct<answers: map<string, string>>")["answers"], name)
+    why = F.coalesce("why", F.when(F.col("payload").isNull(), F.concat(name, F.lit(" has no answer"))))
+    raw = packs.select("pos", "key", "pack_id", "position", "packed").join(replies, "pack_id").withColumn("payload", payload).withColumn("why", why)
+    return finished(rows, raw.drop("pack_id", "said"))
+
+
 def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 32, workers: int = 4) -> DataFrame:
     """Answers to all items (pos, item, key), of equal ones asked for the first."""
     firsts = items.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by(F.length("item"), "pos").alias("length"))
@@ -110,5 +158,10 @@ def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 3
                 yield pd.DataFrame({"pos": [r["pos"] for r in rows], "key": [r["key"] for r in rows], "position": [r["position"] for r in rows], "packed": len(rows), "payload": said, "why": why})
 
     raw = grouped.repartition(workers, "pack_id").mapInPandas(run, "pos long, key string, position int, packed int, payload string, why string")
+    return finished(items, raw)
+
+
+def finished(items: DataFrame, raw: DataFrame) -> DataFrame:
+    """Every item's answer out of the entries (pos, key, position, packed, payload, why) of those that were asked."""
     answers = fan_back(items, decode(raw).withColumn("error", F.coalesce("why", "error")).drop("payload", "why"))
     return answers.withColumn("certainty", certainty(F.col("kind"), F.col("p"), F.col("error")))

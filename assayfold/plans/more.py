@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayfold.operators import judging
 from assayfold.operators import questions as qs
 from assayfold.operators import reports
 from assayfold.operators import selective as sel
@@ -167,7 +168,7 @@ def distinct_keys(spark, sf):
 def asks(spark, sf):
     """A question a document: a third have instructions of their own, the kinds take turns, packs hold eight."""
     k = F.col("doc_id") % 4
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.substring("text", 1, 40).alias("item"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Is it "), "lang", F.lit("?"))).alias("instructions"), F.when(k == 1, F.create_map(F.lit("a"), F.lit("one"), F.lit("b"), F.lit("two"))).alias("options"), F.when(k == 2, F.array(F.lit("low"), F.lit("high"))).alias("levels"), F.when(k == 3, F.create_map(F.lit("yes"), F.lit("it is"))).alias("criteria"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("item"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Is it "), "lang", F.lit("?"))).alias("instructions"), F.when(k == 1, F.create_map(F.lit("a"), F.lit("one"), F.lit("b"), F.lit("two"))).alias("options"), F.when(k == 2, F.array(F.lit("low"), F.lit("high"))).alias("levels"), F.when(k == 3, F.create_map(F.lit("yes"), F.lit("it is"))).alias("criteria"))
     return qs.with_defaults(rows, instructions="Is it good?")
 
 
@@ -189,6 +190,25 @@ def token_costs(spark, sf):
     return asks(spark, sf).select("pos", qs.overhead(*parts).cast("long").alias("chars"), qs.overhead(*parts, once=True).cast("long").alias("once"))
 
 
+@query(f"""WITH {ASKS} SELECT pos, CASE k WHEN 1 THEN 'choice' WHEN 2 THEN 'score' ELSE 'noul' END AS kind, CASE k WHEN 1 THEN 'b' WHEN 2 THEN 'high' ELSE CASE WHEN length(told) % 2 = 0 THEN 'yes' ELSE 'no' END END AS label,
+ CASE k WHEN 1 THEN CAST(0.75 AS DOUBLE) WHEN 2 THEN CAST(0.625 AS DOUBLE) ELSE CAST(0.875 AS DOUBLE) END AS certainty FROM q""")
+def judge_questions(spark, sf):
+    """Every document under its question, through whole request bodies; a yes/no answer depends on its instructions."""
+
+    def post(body):
+        import json
+
+        answers = {}
+        for name, q in json.loads(body)["questions"].items():
+            told = q["instructions"].split(" Judge item_")[0]
+            yes = 0.875 if len(told) % 2 == 0 else 0.125
+            given = {"choice": {"choice": "b", "probabilities": {"a": 0.25, "b": 0.75}}, "score": {"score": 0.9, "legend": {"0": "low", "1": "high"}, "probabilities": {"0": 0.375, "1": 0.625}}, "noul": {"noul": yes}}
+            answers[name] = given[q["type"]]
+        return json.dumps({"answers": answers})
+
+    return judging.judge_questions(asks(spark, sf), post, longest=None).select("pos", "kind", "label", "certainty")
+
+
 def packs(spark, sf):
     """Packs of eight that ask one thing where their number is even; items are ids, so that the SQL needs no escapes."""
     rows = asks(spark, sf).withColumns({"pack_id": F.floor(F.col("pos") / 8), "position": (F.col("pos") % 8 + 1).cast("int"), "item": F.concat(F.lit("text "), "pos")})

@@ -1,0 +1,130 @@
+"""The HTTP judge against a server of this machine, with faults; waits are recorded, not slept."""
+
+import datetime
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayfold.operators import judging, questions
+from assayfold.sources.service import Rate, Service, ServiceError, pause, retry_after
+
+
+@pytest.fixture
+def served():
+    """(url, plan, seen): the next responses (status, headers, body), None for a cut connection; requests as they came."""
+    plan, seen = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            seen.append((self.path, self.headers["authorization"], body))
+            said = {"answers": {n: {"noul": 0.75 if body["state"][n].endswith("!") else 0.25} for n in body["questions"] if body["state"][n] != "mute"}}
+            status, headers, text = plan.pop(0) if plan else (200, {}, json.dumps(said))
+            if status is None:
+                self.close_connection = True
+                return
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.send_header("content-length", str(len(text)))
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/ask?v=1", plan, seen
+    server.shutdown()
+    server.server_close()
+
+
+BODY = json.dumps({"model": "m", "state": {"item_1": "good!"}, "questions": {"item_1": {"type": "noul", "instructions": "Is it?"}}})
+
+
+def test_tries_again(served):
+    url, plan, seen = served
+    plan += [(503, {}, ""), (429, {"retry-after": "7"}, ""), (None, {}, ""), (200, {}, "<html>")]
+    slept = []
+    service = Service(url, key="k1", sleep=slept.append)
+    service.warm()
+    assert json.loads(service.post(BODY)) == {"answers": {"item_1": {"noul": 0.75}}}
+    assert service.retried == {503: 1, 429: 1, 0: 2} and service.waited == sum(slept) and len(slept) == 4
+    assert 0.5 <= slept[0] < 1.5 and 7 <= slept[1] < 8 and 2 <= slept[2] < 6 and 4 <= slept[3] < 12
+    assert {(p, a) for p, a, _ in seen} == {("/ask?v=1", "Bearer k1")} and len(service.latencies) == 4
+
+
+def test_gives_up(served):
+    url, plan, seen = served
+    service = Service(url, key="k", sleep=lambda _: None)
+    for faults, sends in (([(400, {}, "no such model")], 1), ([(500, {}, "down")] * 5, 5), ([(429, {"retry-after": "301"}, "")], 1)):
+        plan[:], seen[:] = faults, []
+        with pytest.raises(ServiceError):
+            service.post(BODY)
+        assert len(seen) == sends and not plan
+    with pytest.raises(ServiceError):
+        Service("http://127.0.0.1:9", key="k", tries=1).post(BODY)
+
+
+def test_configuration(monkeypatch):
+    monkeypatch.delenv("ASSAYFOLD_KEY", raising=False)
+    for bad in ({"url": "http://example.org/x", "key": "k"}, {"url": "ftp://localhost", "key": "k"}, {"url": "https://example.org"}, {"url": "https://example.org", "key": "k", "verify": False}):
+        with pytest.raises(ServiceError):
+            Service(**bad)
+    monkeypatch.setenv("ASSAYFOLD_KEY", "from there")
+    for good in ({"url": "http://example.org/x", "insecure": True}, {"url": "http://[::1]:8000"}, {"url": "http://localhost"}):
+        Service(**good)
+
+
+def test_waits():
+    now = datetime.datetime(2024, 5, 1, 12, tzinfo=datetime.UTC)
+    hints = {None: None, "": None, "soon": None, " 2.5 ": 2.5, "-3": 0.0, "Wed, 01 May 2024 12:01:30 GMT": 90.0, "Wed, 01 May 2024 12:00:10": 10.0, "Wed, 01 May 2024 11:00:00 GMT": 0.0}
+    assert {h: retry_after(h, now) for h in hints} == hints
+    assert [pause(k, dice=lambda: 0.5) for k in range(7)] == [1, 2, 4, 8, 16, 30, 30]
+    assert pause(0, "300", dice=lambda: 0.25) == 300.25
+    with pytest.raises(ServiceError):
+        pause(0, "300.5")
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_rate(even):
+    """No half-open window of 60 seconds holds more sends than its number, whenever they come."""
+    now, sends = [0.0], []
+    rate = Rate(5, even, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    for idle in (0, 0, 0, 0, 0, 0, 0, 200, 0, 0, 3, 0, 0, 0, 0, 61, 0):
+        now[0] += idle
+        rate.take()
+        sends.append(now[0])
+    assert all(sum(s <= t < s + 60 for t in sends) <= 5 for s in sends)
+    gaps = [b - a for a, b in zip(sends, sends[1:])]
+    assert min(gaps) >= 12 - 1e-9 if even else gaps[:4] == [0, 0, 0, 0]
+
+
+def test_judge_over_http(spark, served):
+    """Rows with questions of their own, an equal row, one without an answer, one served from a ledger, a pack that fails."""
+    url, plan, seen = served
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a!", "b", "a!", "mute", "c!"])], "pos long, item string")
+    asks = questions.with_defaults(rows, instructions="Is it?")
+    service = Service(url, key="k", workers=1)
+    first = judging.judge_questions(asks, service.post, model="m", workers=1)
+    got = {r.pos: (r.label, r.certainty, r.origin, r.error) for r in first.collect()}
+    assert got == {0: ("yes", 0.75, "asked", None), 1: ("no", 0.75, "asked", None), 2: ("yes", 0.75, "copied", None), 3: ("", 0.0, "asked", "item_3 has no answer"), 4: ("yes", 0.75, "asked", None)}
+    assert len(seen) == 1 and seen[0][2]["model"] == "m" and list(seen[0][2]["state"].values()) == ["a!", "b", "mute", "c!"]
+    known = first.where("pos = 1").select("key", "p", "label", "kind", "distribution", "confidence", "position", "packed", "score").withColumn("label", F.lit("kept"))
+    known = spark.createDataFrame(known.collect(), known.schema)
+    seen.clear()
+    again = judging.judge_questions(asks.where("pos < 2"), service.post, model="m", ledger=known, workers=1)
+    assert {r.pos: (r.label, r.origin) for r in again.collect()} == {0: ("yes", "asked"), 1: ("kept", "resumed")}
+    assert [b["state"] for _, _, b in seen] == [{"item_1": "a!"}]
+    seen.clear()
+    every = judging.judge_questions(asks, service.post, model="m", ledger=known, workers=1, dedupe=False)
+    assert {r.origin for r in every.collect()} == {"asked"} and len(seen[0][2]["state"]) == 5
+    plan[:] = [(401, {}, "who")]
+    failed = judging.judge_questions(asks.where("pos < 2"), service.post, model="m", workers=1).collect()
+    assert [r.error for r in failed] == ["the service answered 401: who"] * 2

@@ -67,6 +67,12 @@ def decode(entries: DataFrame) -> DataFrame:
     return out.withColumns({"label": label, "p": p, "distribution": spread, "confidence": F.col("e.confidence"), "score": F.col("e.score"), "error": F.when(is_("error"), "unreadable answer")}).drop("e")
 
 
+def in_order(items: DataFrame, known: DataFrame) -> DataFrame:
+    """known (pos and more) up to the first of the items (pos) that it lacks: what may be handed on in order."""
+    gap = items.join(known.select("pos"), "pos", "left_anti").agg(F.min("pos").alias("_gap"))
+    return known.join(F.broadcast(gap), F.coalesce(F.col("pos") < F.col("_gap"), F.lit(True))).drop("_gap")  # one row
+
+
 def usage(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """One row of accounts. requests: input_tokens, output_tokens, retries, waited; answers: origin (asked, copied,
     cached, resumed), error."""

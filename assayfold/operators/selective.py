@@ -97,6 +97,11 @@ def resolution(judged: DataFrame, accuracy: float | None = None) -> DataFrame:
     return out.crossJoin(F.broadcast(reach))  # one row each
 
 
+def blocked(resolved: DataFrame) -> DataFrame:
+    """`resolution` with `blocked`: whether a bar was asked for that no coverage reaches."""
+    return resolved.withColumn("blocked", F.coalesce(F.col("reachable") <= 0, F.lit(False)))
+
+
 def routing(judged: DataFrame, accuracy: float, confidence: float = 0.0) -> DataFrame:
     """What to do with each output label: unknown, take, inverted, send or cut."""
     if not 0 < accuracy < 1:

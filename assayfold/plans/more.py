@@ -224,3 +224,34 @@ b AS (SELECT pack_id, n, shared, string_agg('"item_' || position || '":"text ' |
 SELECT pack_id, n AS items, shared, '{{"model":"m","state":{{' || state || CASE WHEN shared THEN ',"guidance":"Is it fine?\\nyes: it is"' ELSE '' END || '}},"questions":{{' || qs || '}}}}' AS body FROM b""")
 def packed_body(spark, sf):
     return qs.bodies(packs(spark, sf), "m", once=True)
+
+
+@query("SELECT printf('read-%05d', doc_id) AS id, 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || lang || '?' AS input, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS target FROM documents JOIN labels USING (doc_id)")
+def reading_corpus(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return labelled.reading_corpus(rows.select(F.col("doc_id").alias("number"), F.col("text").alias("passage"), F.col("lang").alias("question"), (F.col("quality") == 1).alias("answer")), "read")
+
+
+@query("SELECT printf('topic-%05d', doc_id) AS id, text AS input, ['world', 'sports', 'business', 'science'][doc_id % 4 + 1] AS target FROM documents ORDER BY md5(doc_id || ':7'), doc_id LIMIT 3270")
+def topic_corpus(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("number"), "text", (F.col("doc_id") % 4).alias("label"))
+    return labelled.topic_corpus(rows, "topic", ("world", "sports", "business", "science"))
+
+
+@query("SELECT doc_id AS pos, ['a', 'b', 'c'][doc_id % 3 + 1] AS way FROM documents")
+def in_turn(spark, sf):
+    return labelled.in_turn(table(spark, sf, "documents").select(F.col("doc_id").alias("pos")), ("a", "b", "c"))
+
+
+@query("SELECT doc_id AS pos, n_chars FROM documents WHERE n_chars % 997 <> 0 AND doc_id < coalesce((SELECT min(doc_id) FROM documents WHERE n_chars % 997 = 0), 9223372036854775807)")
+def answers_in_order(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "n_chars")
+    return judging.in_order(docs.select("pos"), docs.where("n_chars % 997 <> 0"))
+
+
+@query(f"""WITH {A}, h AS (SELECT certainty, count(*) AS n, count(*) FILTER ("right") AS r FROM j GROUP BY 1), s AS (SELECT sum(n) OVER (ORDER BY certainty DESC) AS kept, sum(r) OVER (ORDER BY certainty DESC) AS kr FROM h),
+b(bar) AS (VALUES (CAST(0.85 AS DOUBLE)), (CAST(0.9999 AS DOUBLE))) SELECT bar, NOT EXISTS (SELECT 1 FROM s WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= bar) AS blocked FROM b""")
+def blocked_bars(spark, sf):
+    rows = judged(spark, sf)
+    asked = [sel.blocked(sel.resolution(rows, bar)).select(F.lit(bar).alias("bar"), "blocked") for bar in (0.85, 0.9999)]
+    return asked[0].unionByName(asked[1])

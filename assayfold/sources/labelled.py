@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,29 @@ def workload(spark: SparkSession, n: int, parts: tuple[tuple[str, ...], ...]) ->
     return spark.range(n).select(F.col("id").alias("pos"), F.concat_ws(" ", *pick).alias("item"))
 
 
+def reading_corpus(rows: DataFrame, name: str) -> DataFrame:
+    """id, input, target of yes/no reading (number, passage, question, answer): the passage, then what is asked of it."""
+    said = F.concat(F.lit("Passage:\n"), "passage", F.lit("\n\nQuestion: "), "question", F.lit("?"))
+    return rows.select(corpus_id(name), said.alias("input"), F.when(F.col("answer"), "yes").otherwise("no").alias("target"))
+
+
+def topic_corpus(rows: DataFrame, name: str, topics: tuple[str, ...], n: int = 3270, seed: int = 7) -> DataFrame:
+    """id, input, target of n of the rows (number, text, label), the same ones for a seed; label counts topics from 0."""
+    some = sample(rows.withColumn("id", F.col("number")), n, seed)
+    target = F.element_at(F.array(*map(F.lit, topics)), (F.col("label") + 1).cast("int"))
+    return some.select(corpus_id(name), F.col("text").alias("input"), target.alias("target"))
+
+
+def corpus_id(name: str) -> Column:
+    """Ids that sort as their numbers do, up to five digits."""
+    return F.format_string(f"{name}-%05d", F.col("number")).alias("id")
+
+
+def in_turn(items: DataFrame, ways: tuple[str, ...]) -> DataFrame:
+    """items with `way`: those of the list in turn, by pos."""
+    return items.withColumn("way", F.element_at(F.array(*map(F.lit, ways)), (F.pmod("pos", F.lit(len(ways))) + 1).cast("int")))
+
+
 def case_ids(items: DataFrame, copies: int) -> DataFrame:
     """Every item `copies` times, with `case`: its id and the number of the copy."""
     return repeats(items, copies).withColumn("case", F.concat_ws("#", "id", "copy"))

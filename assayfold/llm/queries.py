@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables, with their SQL where SQL can express them."""
+"""The thirteen operators as queries over the tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit_packing, compression_classifier, cost_packing, entropy_mixing, license_scan, lm_scoring, nn_descent, parity_join, quality_rules, separator_scan
+from . import (
+    ball_tree,
+    bestfit_packing,
+    compression_classifier,
+    cost_packing,
+    dimension_scan,
+    entropy_mixing,
+    license_scan,
+    lm_scoring,
+    nn_descent,
+    parity_join,
+    quality_rules,
+    separator_scan,
+    term_tries,
+)
 from .common import new_path, table
 
 
@@ -115,6 +129,55 @@ def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """The rounds written out: a<k> assigns vectors to the centroids c<k-1>, c<k> are the new ones."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    pick = f"SELECT rid, min(struct_pack(d := CAST({far} AS BIGINT), k := k)) AS b FROM v, c%d GROUP BY rid"
+    steps = []
+    for k in range(1, 11):
+        steps.append(f"a{k} AS MATERIALIZED ({pick % (k - 1)})")
+        steps.append(f"t{k} AS (SELECT b.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{k} JOIN v USING (rid), range(1, 65) r(i) GROUP BY ALL)")
+        steps.append(f"n{k} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM t{k} GROUP BY k)")
+        steps.append(f"c{k} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{k - 1} LEFT JOIN n{k} USING (k))")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, v AS c FROM v ORDER BY k LIMIT 8),
+{", ".join(steps)}, a AS MATERIALIZED ({pick % 10})
+SELECT vec_id, CAST(b.k AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+ FROM a JOIN v USING (rid) JOIN c10 ON c10.k = b.k"""
+
+
+def op13_term_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_tries.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM o GROUP BY 1, 2 HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, sum(n) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(c, 0) AS c, CAST(1 + (1000000000 * CAST(coalesce(c, 0) + 1 AS HUGEINT)) // (s.n + v.v) AS BIGINT) AS p,
+  CAST(1 + (1000000000 * CAST(k.total + 1 AS HUGEINT)) // (v.n + v.v) AS BIGINT) AS q FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -127,4 +190,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_threshold_table": OP7_SQL}
+    return {"op7_threshold_table": OP7_SQL, "op12_ball_tree": _op12_sql(), "op13_term_tries": OP13_SQL}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,10 @@ from .common import Kept, bounded_batches
 
 #: Documents of a kept term; parts of a whole probability; terms listed of a source.
 DOCUMENTS, WHOLE, LISTED = 3, 1_000_000_000, 200
-#: Leaves of a task's tries after which they are handed on; bytes of a prefix, and leaves of one that is cut deeper; leaves of a merging task.
-LEAVES, DEPTH, HEAVY, SHARE = 300_000, 3, 1 << 20, 1 << 18
-#: Kept terms that are compared at a time.
-AT_ONCE = 1 << 14
+#: Counters of a task's tries after which they are handed on; bytes of a prefix, and leaves of one that is cut deeper; leaves of a merging task.
+LEAVES, DEPTH, HEAVY, SHARE = 1_000_000, 3, 1 << 20, 1 << 18
+#: Counts (terms times sources) that are compared at a time, and in a task: each task sends back a row a pair.
+AT_ONCE, COMPARED = 1 << 18, 1 << 21
 #: A term of UTF-8 bytes: letters of ASCII, and all that is no ASCII.
 _term = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SEGMENT = "lang string, prefix binary, leaves long, sources array<string>, shared array<int>, edges array<binary>, docs array<long>, width array<int>, at array<int>, n array<long>"
@@ -39,65 +39,113 @@ class Radix:
     def __init__(self):
         self.edge, self.kids, self.leaf, self.leaves = [b""], [{}], [-1], 0
 
-    def _node(self, edge: bytes, kids: dict[int, int], leaf: int) -> int:
-        self.edge.append(edge)
-        self.kids.append(kids)
-        self.leaf.append(leaf)
-        return len(self.edge) - 1
-
     def add(self, term: bytes) -> int:
         """The number of a term's leaf, which is made where there is none."""
-        node, at = 0, 0
-        while at < len(term):
-            below = self.kids[node].get(term[at])
+        edges, kids, leaf = self.edge, self.kids, self.leaf
+        node, at, size = 0, 0, len(term)
+        while at < size:
+            here = kids[node]
+            below = here.get(term[at]) if here else None
             if below is None:
+                if here is None:
+                    here = kids[node] = {}
+                here[term[at]] = len(edges)
+                edges.append(term[at:])
+                kids.append(None)
+                leaf.append(self.leaves)
                 self.leaves += 1
-                self.kids[node][term[at]] = self._node(term[at:], {}, self.leaves - 1)
                 return self.leaves - 1
-            edge = self.edge[below]
+            edge = edges[below]
             if not term.startswith(edge, at):  # the edge forks where it leaves the term
                 same = 1
-                while at + same < len(term) and edge[same] == term[at + same]:
+                while at + same < size and edge[same] == term[at + same]:
                     same += 1
-                fork = self._node(edge[:same], {edge[same]: below}, -1)
-                self.edge[below], self.kids[node][term[at]] = edge[same:], fork
-                below, edge = fork, edge[:same]
+                fork = here[term[at]] = len(edges)
+                edges.append(edge[:same])
+                kids.append({edge[same]: below})
+                leaf.append(-1)
+                edges[below], below, edge = edge[same:], fork, edge[:same]
             node, at = below, at + len(edge)
-        if self.leaf[node] < 0:
-            self.leaf[node], self.leaves = self.leaves, self.leaves + 1
-        return self.leaf[node]
+        if leaf[node] < 0:
+            leaf[node], self.leaves = self.leaves, self.leaves + 1
+        return leaf[node]
 
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """Terms and leaves in byte order."""
-        todo = [(0, b"")]
+    def walk(self) -> Iterator[tuple[int, bytes, int]]:
+        """(shared, term, leaf) in byte order; shared is the depth at which a term's path leaves that of the term before it."""
+        todo, shared = [(0, b"")], 0
         while todo:
             node, above = todo.pop()
+            if shared < 0:
+                shared = len(above)
             path = above + self.edge[node]
             if self.leaf[node] >= 0:
-                yield path, self.leaf[node]
-            todo += [(self.kids[node][k], path) for k in sorted(self.kids[node], reverse=True)]
+                yield shared, path, self.leaf[node]
+                shared = -1
+            if kids := self.kids[node]:
+                todo += [(kids[k], path) for k in sorted(kids, reverse=True)]
 
 
 class Tally:
-    """A trie with its leaves' counters: documents, and occurrences by source."""
-
-    def __init__(self):
-        self.trie, self.docs, self.by = Radix(), [], {}
+    """A trie with its leaves' counters: documents, and occurrences by source. Counters come in as arrays, and are added up
+    when enough have come."""
 
-    def leaf(self, term: bytes) -> int:
-        leaf = self.trie.add(term)
-        if leaf == len(self.docs):
-            self.docs.append(0)
-        return leaf
+    #: Counters after which those of one leaf and source are added up.
+    LOOSE = 1 << 20
 
-    def counters(self) -> tuple[list[str], list[list[tuple[int, int]]]]:
-        """The sources in order, and each leaf's (source, occurrences)."""
-        sources = sorted(self.by, key=str.encode)
-        of: list[list[tuple[int, int]]] = [[] for _ in self.docs]
-        for k, source in enumerate(sources):
-            for leaf, n in self.by[source].items():
-                of[leaf].append((k, n))
-        return sources, of
+    def __init__(self):
+        self.trie, self.known, self.places = Radix(), {}, {}
+        self.docs = np.zeros(1024, np.int64)
+        self.loose, self.size, self.held = [], 0, 0
+
+    def leaves(self, terms: Iterable[bytes]) -> np.ndarray:
+        """The terms' leaves; a path is walked once, then its end is known."""
+        known, add = self.known, self.trie.add
+        out = []
+        for term in terms:
+            leaf = known.get(term)
+            if leaf is None:
+                leaf = known[term] = add(term)
+            out.append(leaf)
+        if self.trie.leaves > len(self.docs):
+            self.docs = np.concatenate([self.docs, np.zeros(self.trie.leaves + len(self.docs), np.int64)])
+        return np.array(out, np.int64)
+
+    def add(self, leaves: np.ndarray, sources: np.ndarray, n: np.ndarray) -> None:
+        """Occurrences of leaves in sources (places given by `place`)."""
+        self.loose.append((leaves, sources, n))
+        self.size += len(n)
+        if self.size - self.held > self.LOOSE:
+            self.counters()
+
+    def place(self, source: str) -> int:
+        return self.places.setdefault(source, len(self.places))
+
+    def counters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, source, occurrences), each leaf and source once."""
+        if not self.loose:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        leaf, source, n = (np.concatenate([x[k] for x in self.loose]) for k in range(3))
+        order = np.lexsort((source, leaf))
+        leaf, source, n = leaf[order], source[order], n[order]
+        first = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (source[1:] != source[:-1])])
+        self.loose = [(leaf[first], source[first], np.add.reduceat(n, first))]
+        self.size = self.held = len(first)
+        return self.loose[0]
+
+    def in_order(self, least: int = 0) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(shared, terms, documents, counters a leaf, source and occurrences by counter) in byte order, of the leaves with at
+        least so many documents. Where leaves are left out, shared no longer tells from which."""
+        found = list(self.trie.walk())
+        leaves = np.array([x[2] for x in found], np.int64)
+        stay = np.flatnonzero(self.docs[leaves] >= least)
+        rank = np.full(self.trie.leaves, -1, np.int64)
+        rank[leaves[stay]] = np.arange(len(stay))
+        leaf, source, n = self.counters()
+        at = rank[leaf]
+        order = np.argsort(at, kind="stable")
+        order = order[at[order] >= 0]
+        width = np.bincount(at[order], minlength=len(stay))
+        return [found[k][0] for k in stay], [found[k][1] for k in stay], self.docs[leaves[stay]], width, source[order], n[order]
 
 
 def _types(schema: str) -> list[tuple[str, pa.DataType]]:
@@ -111,44 +159,32 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [name for name, _ in types])
 
 
-def _segment(lang: str, prefix: bytes, sources: list[str], leaves: list[tuple[bytes, int, list[tuple[int, int]]]]) -> tuple:
-    """A segment's row: the leaves (term, documents, counters), front by front, with the sources that they have."""
-    used = sorted({k for _, _, of in leaves for k, _ in of})
-    place = {k: i for i, k in enumerate(used)}
-    shared, edges, last = [], [], b""
-    for term, _, _ in leaves:
-        same = 0
-        for a, b in zip(last, term):
-            if a != b:
-                break
-            same += 1
-        shared.append(same)
-        edges.append(term[same:])
-        last = term
-    flat = [(place[k], n) for _, _, of in leaves for k, n in of]
-    return lang, prefix, len(leaves), [sources[k] for k in used], shared, edges, [d for _, d, _ in leaves], [len(of) for _, _, of in leaves], [k for k, _ in flat], [n for _, n in flat]
-
-
-def _leaves(row: dict) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
-    """A segment's leaves again, in byte order."""
-    term, at = b"", 0
-    for same, edge, docs, width in zip(row["shared"], row["edges"], row["docs"], row["width"]):
+def _cut(lang: str, names: list[str], shared: list[int], terms: list[bytes], docs: np.ndarray, width: np.ndarray, source: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple]:
+    """Segments of leaves in byte order, one for every prefix of `depth` bytes; a segment's first leaf has its whole term, and
+    sources are those that the segment has."""
+    starts = [k for k, t in enumerate(terms) if not k or shared[k] < depth and t[:depth] != terms[k - 1][:depth]]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    for a, b in zip(starts, [*starts[1:], len(terms)]):
+        lo, hi = ends[a], ends[b]
+        used, at = np.unique(source[lo:hi], return_inverse=True)
+        edges = [terms[a], *(t[s:] for t, s in zip(terms[a + 1 : b], shared[a + 1 : b]))]
+        yield lang, terms[a][:depth], b - a, [names[k] for k in used], [0, *shared[a + 1 : b]], edges, docs[a:b], width[a:b], at, n[lo:hi]
+
+
+def _terms(row: dict) -> list[bytes]:
+    """A segment's terms again."""
+    out, term = [], b""
+    for same, edge in zip(row["shared"], row["edges"]):
         term = term[:same] + edge
-        yield term, docs, list(zip(row["at"][at : at + width], row["n"][at : at + width]))
-        at += width
+        out.append(term)
+    return out
 
 
-def _cut(lang: str, sources: list[str], leaves: Iterator[tuple[bytes, int, list[tuple[int, int]]]], depth: int) -> Iterator[tuple]:
-    """Segments of leaves in byte order, one for every prefix of `depth` bytes."""
-    prefix, own = b"", []
-    for leaf in leaves:
-        if own and leaf[0][:depth] != prefix:
-            yield _segment(lang, prefix, sources, own)
-            own = []
-        prefix = leaf[0][:depth]
-        own.append(leaf)
-    if own:
-        yield _segment(lang, prefix, sources, own)
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of segments; numbers as arrays."""
+    for k in range(len(batch)):
+        row = {name: batch.column(name)[k].as_py() for name in ("lang", "prefix", "sources", "shared", "edges")}
+        yield row | {name: batch.column(name).slice(k, 1).flatten().to_numpy() for name in ("docs", "width", "at", "n")}
 
 
 def _in_batches(rows: Iterator[tuple], schema: str, size: int = 512) -> Iterator[pa.RecordBatch]:
@@ -168,28 +204,34 @@ def _count(limit: int, depth: int):
 
     def handed(tallies: dict[str, Tally]) -> Iterator[tuple]:
         for lang, tally in tallies.items():
-            sources, of = tally.counters()
-            yield lang, b"", 0, sources, [], [], [], [], [], []
-            yield from _cut(lang, sources, ((term, tally.docs[leaf], of[leaf]) for term, leaf in tally.trie.walk()), depth)
+            names = list(tally.places)
+            yield lang, b"", 0, names, [], [], [], [], [], []
+            yield from _cut(lang, names, *tally.in_order(), depth)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tallies: dict[str, Tally] = {}
-        known: dict[str, dict[bytes, int]] = {}  # leaves found before, so that a path is walked once a task
         for batch in batches:
+            # a batch's terms are counted first, and each goes to the trie once for all its documents
+            seen: dict[str, Counter] = {}
+            by: dict[tuple[str, str], Counter] = {}
             for text, lang, source in zip(*(batch.column(k) for k in range(3))):
-                tally = tallies.get(lang := lang.as_py())
-                if tally is None:
-                    tally, known[lang] = tallies.setdefault(lang, Tally()), {}
-                leaves, docs, own = known[lang], tally.docs, tally.by.setdefault(source.as_py(), {})
-                for term, n in Counter(_term.findall(text.as_buffer().to_pybytes().lower())).items():  # bytes lower A-Z alone
-                    leaf = leaves.get(term)
-                    if leaf is None:
-                        leaf = leaves[term] = tally.leaf(term)
-                    docs[leaf] += 1
-                    own[leaf] = own.get(leaf, 0) + n
-            if sum(len(own) for tally in tallies.values() for own in tally.by.values()) > limit:
-                yield from handed(tallies)
-                tallies, known = {}, {}
+                lang, source = lang.as_py(), source.as_py()
+                terms = _term.findall(text.as_buffer().to_pybytes().lower())  # bytes lower A-Z alone
+                seen.setdefault(lang, Counter()).update(set(terms))
+                by.setdefault((lang, source), Counter()).update(terms)
+            for lang, docs in seen.items():
+                tally = tallies.setdefault(lang, Tally())
+                leaves = tally.leaves(docs)
+                tally.docs[leaves] += np.fromiter(docs.values(), np.int64, len(docs))
+            for (lang, source), terms in by.items():
+                tally, n = tallies[lang], np.fromiter(terms.values(), np.int64, len(terms))
+                tally.add(tally.leaves(terms), np.full(len(n), tally.place(source), np.int64), n)
+            if sum(tally.size for tally in tallies.values()) > limit:
+                for tally in tallies.values():
+                    tally.counters()
+                if sum(tally.size for tally in tallies.values()) > limit:
+                    yield from handed(tallies)
+                    tallies = {}
         yield from handed(tallies)
 
     return lambda batches: _in_batches(rows(batches), SEGMENT)
@@ -198,8 +240,8 @@ def _count(limit: int, depth: int):
 def _recut(depth: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield from _cut(row["lang"], row["sources"], _leaves(row), depth)
+            for row in _rows(batch):
+                yield from _cut(row["lang"], row["sources"], row["shared"], _terms(row), row["docs"], row["width"], row["at"], row["n"], depth)
 
     return lambda batches: _in_batches(rows(batches), SEGMENT)
 
@@ -208,31 +250,25 @@ def _merge(least: int):
     """Segments sorted by language and prefix to one range a prefix, with the terms of `least` documents or more."""
 
     def merged(lang: str, prefix: bytes, tally: Tally) -> tuple | None:
-        sources, of = tally.counters()
-        leaves = [(term, of[leaf]) for term, leaf in tally.trie.walk() if tally.docs[leaf] >= least]
-        if not leaves:
+        _, terms, _, width, source, n = tally.in_order(least)
+        if not terms:
             return None
-        flat = [x for _, own in leaves for x in own]
-        totals = [0] * len(sources)
-        for k, n in flat:
-            totals[k] += n
-        return lang, prefix, [term.decode() for term, _ in leaves], sources, totals, [len(own) for _, own in leaves], [k for k, _ in flat], [n for _, n in flat]
+        totals = np.zeros(len(tally.places), np.int64)
+        np.add.at(totals, source, n)
+        return lang, prefix, [t.decode() for t in terms], list(tally.places), totals, width, source, n
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         at, tally = None, Tally()
         for batch in batches:
-            for k in range(len(batch)):  # a row at a time: a merged trie is there once, its segments are not
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in _rows(batch):  # a row at a time: a merged trie is there once, its segments are not
                 if at is not None and at != (row["lang"], row["prefix"]):
                     yield merged(*at, tally)
                     tally = Tally()
                 at = row["lang"], row["prefix"]
-                mine = [tally.by.setdefault(source, {}) for source in row["sources"]]
-                for term, docs, of in _leaves(row):
-                    leaf = tally.leaf(term)
-                    tally.docs[leaf] += docs
-                    for source, n in of:
-                        mine[source][leaf] = mine[source].get(leaf, 0) + n
+                leaves = tally.leaves(_terms(row))
+                tally.docs[leaves] += row["docs"]
+                mine = np.array([tally.place(source) for source in row["sources"]], np.int64)
+                tally.add(np.repeat(leaves, row["width"]), mine[row["at"]], row["n"])
         if at is not None:
             yield merged(*at, tally)
 
@@ -294,7 +330,7 @@ def _compare(listed: int):
         for batch in batches:
             own: list[dict] = []
             for row in batch.to_pylist():
-                if own and (row["lang"] != own[0]["lang"] or sum(len(r["terms"]) for r in own) * len(own[0]["all"]) > AT_ONCE * 20):
+                if own and (row["lang"] != own[0]["lang"] or sum(len(r["terms"]) for r in own) * len(own[0]["all"]) > AT_ONCE):
                     compare(own)
                     own = []
                 own.append(row)
@@ -341,14 +377,16 @@ def audit(docs: DataFrame, least: int = DOCUMENTS, listed: int = LISTED, leaves:
     terms = ranges.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
     totals = ranges.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("n"))
     known = groups.join(totals, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("s"))
-    langs = known.groupBy("lang").agg(F.array_sort(F.collect_list("s")).alias("s")).join(terms, "lang")
+    langs = kept.put(known.groupBy("lang").agg(F.array_sort(F.collect_list("s")).alias("s")).join(terms, "lang"), "langs")
+    compared = langs.agg(F.sum(F.col("v") * F.size("s"))).first()[0] or 0
     # one row a language, salted: a language's ranges need not meet in one task where Spark does not broadcast the few rows
     salts = 64
     langs = langs.select("lang", F.col("s.source").alias("all"), F.col("s.n").alias("n_all"), "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     dealt = ranges.withColumn("salt", F.pmod(F.xxhash64("prefix"), F.lit(salts)).cast("int")).join(langs, ["lang", "salt"])
-    parts = dealt.select("lang", "terms", "sources", "width", "at", "n", "all", "n_all", "v")
+    parts = dealt.select("lang", "terms", "sources", "width", "at", "n", "all", "n_all", "v").repartition(1 + compared // COMPARED)
     found = kept.put(parts.mapInArrow(_compare(listed), "lang string, source string, part string, item string, value long"), "found")
     kept.drop("ranges")
+    kept.drop("langs")
     sums = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     # the contract asks for every pair of a language's sources, with terms or without
     every = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item").withColumn("part", F.lit("pair"))

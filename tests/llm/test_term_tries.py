@@ -1,6 +1,8 @@
+import os
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from helpers import ODD, frame, same_as_sql
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,26 +72,36 @@ def test_trie_is_a_sorted_set(terms):
     trie, leaf = tt.Radix(), {}
     for t in terms:
         assert trie.add(t) == leaf.setdefault(t, len(leaf))
-    assert list(trie.walk()) == sorted(leaf.items())
+    walked, last = list(trie.walk()), b""
+    assert [(t, k) for _, t, k in walked] == sorted(leaf.items())
+    for shared, t, _ in walked:
+        assert shared == len(os.path.commonprefix([last, t]))
+        last = t
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.text(alphabet="abcé中", min_size=1, max_size=7), max_size=40), st.integers(1, 4))
 def test_segments_give_their_leaves_back(terms, depth):
-    leaves = [(t, k + 1, [(k % 2, k + 5)]) for k, t in enumerate(sorted(x.encode() for x in terms))]
-    rows = list(tt._cut("en", ["a", "b"], iter(leaves), depth))
+    tally = tt.Tally()
+    for k, t in enumerate(sorted(terms, reverse=True)):
+        leaves = tally.leaves([t.encode()])
+        tally.docs[leaves] += k + 1
+        for source, n in (("a", k), ("b", 5), ("a", 2)):
+            tally.add(leaves, np.array([tally.place(source)]), np.array([n]))
     names = [c.split()[0] for c in tt.SEGMENT.split(", ")]
-    back = []
-    for row in (dict(zip(names, r)) for r in rows):
-        own = list(tt._leaves(row))
-        assert all(t[:depth] == row["prefix"] for t, *_ in own)
-        back += [(t, d, [(["a", "b"].index(row["sources"][k]), n) for k, n in of]) for t, d, of in own]
-    assert back == leaves and len({r[1] for r in rows}) == len(rows)
+    rows = [dict(zip(names, r)) for r in tt._cut("en", list(tally.places), *tally.in_order(), depth)]
+    back = {}
+    for row in rows:
+        own, at = tt._terms(row), 0
+        assert all(t[:depth] == row["prefix"] for t in own)
+        for t, d, w in zip(own, row["docs"], row["width"]):
+            back[t.decode()] = (d, {row["sources"][k]: n for k, n in zip(row["at"][at : at + w], row["n"][at : at + w])})
+            at += w
+    assert back == {t: (k + 1, {"a": k + 2, "b": 5}) for k, t in enumerate(sorted(terms, reverse=True))}
+    assert list(back) == sorted(terms, key=str.encode) and len({r["prefix"] for r in rows}) == len(rows)
 
 
 def test_probabilities_are_exact_for_large_counts():
-    import numpy as np
-
     counts, total = np.array([[0, 7], [10**12, 3]]), np.array([10**13, 10])
     want = [[1 + 10**9 * (int(c) + 1) // (int(n) + 5) for c, n in zip(row, total)] for row in counts]
     assert tt.probabilities(counts, total, 5).tolist() == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayfold.errors import AssayError
+
 #: z of the one-sided confidences that are offered (fixed values).
 Z_FOR = {0.5: 0.0, 0.8: 0.84, 0.9: 1.28, 0.95: 1.645, 0.99: 2.33}
 
@@ -14,7 +16,7 @@ def z_for(confidence: float | None) -> float:
     if not confidence:
         return 0.0
     if confidence not in Z_FOR:
-        raise ValueError(f"confidence must be one of {sorted(Z_FOR)}")
+        raise AssayError(f"confidence must be one of {sorted(Z_FOR)}")
     return Z_FOR[confidence]
 
 

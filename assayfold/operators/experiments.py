@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayfold.operators import order
+
 #: Edges of the certainty bands (fixed values).
 BANDS = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 1.01)
 #: Shares of the rows that are kept, most certain first (fixed values).
@@ -45,17 +49,29 @@ def calibration_gap(log: DataFrame) -> DataFrame:
     return reliability(log).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("absolute"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("signed"))
 
 
-def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
-    """Accuracy of the most certain rows at each coverage (ties by position), from running counts of levels; only the
-    level that a coverage ends in is ranked by rows."""
+def prefixes(log: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(k, edge, accuracy) of the k most certain rows (ties by position) for each k of sizes, which are few.
+
+    Running counts go over levels of certainty, and over the rows of those levels alone in which a k ends."""
     levels = log.groupBy("certainty").agg(F.count("*").alias("n"), F.sum(right()).alias("r"))
-    down = W.orderBy(F.desc("certainty"))
-    levels = levels.withColumn("above", F.sum("n").over(down) - F.col("n")).withColumn("r_above", F.sum("r").over(down) - F.col("r")).withColumn("total", F.sum("n").over(W.partitionBy()))
-    asked = levels.withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("coverage"))))
-    edge = asked.where((F.col("above") < F.col("k")) & (F.col("k") <= F.col("above") + F.col("n"))).select("certainty", "coverage", "k", "above", "r_above")
-    ends = log.join(F.broadcast(edge.select("certainty").distinct()), "certainty", "left_semi").withColumn("i", F.row_number().over(W.partitionBy("certainty").orderBy("pos")))
-    inside = ends.join(F.broadcast(edge), "certainty").where(F.col("i") <= F.col("k") - F.col("above"))  # one level a coverage
-    return inside.groupBy("coverage", "k", "certainty", "r_above").agg(F.sum(right()).alias("r")).select("coverage", F.col("k").alias("kept"), ((F.col("r_above") + F.col("r")) / F.col("k")).alias("accuracy"), F.col("certainty").alias("edge"))
+    levels = order.running(levels, "certainty", {"upto": F.col("n"), "r_upto": F.col("r")}, down=True, at=order.cuts(log, "certainty")).withColumns({"above": F.col("upto") - F.col("n"), "r_above": F.col("r_upto") - F.col("r")})
+    ends = levels.join(F.broadcast(sizes), (F.col("above") < F.col("k")) & (F.col("k") <= F.col("upto"))).select("certainty", "k", "above", "r_above")
+    inside = log.join(F.broadcast(ends.select("certainty").distinct()), "certainty", "left_semi").select("certainty", "pos", right().alias("r"))
+    inside = order.running(inside, "pos", {"i": F.lit(1), "so_far": F.col("r")}, by=("certainty",))
+    at = inside.join(F.broadcast(ends), "certainty").where(F.col("i") == F.col("k") - F.col("above"))
+    return at.select("k", F.col("certainty").alias("edge"), ((F.col("r_above") + F.col("so_far")) / F.col("k")).alias("accuracy"))
+
+
+def sizes_of(rows: DataFrame, coverages: tuple[float, ...]) -> DataFrame:
+    """(coverage, k): how many of the rows each coverage keeps, one at least; none of an empty table."""
+    total = rows.agg(F.count("*").alias("total")).where("total > 0")
+    return total.select(F.explode(F.array(*map(F.lit, coverages))).alias("coverage"), "total").select("coverage", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("coverage"))).alias("k"))
+
+
+def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
+    """Accuracy of the most certain rows at each coverage (ties by position), and the certainty of the last of them."""
+    sizes = sizes_of(log, coverages)
+    return sizes.join(prefixes(log, sizes.select("k").distinct()), "k").select("coverage", F.col("k").alias("kept"), "accuracy", "edge")
 
 
 def position_bands(log: DataFrame, width: int = 8) -> DataFrame:
@@ -70,30 +86,49 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("items"), F.avg(F.col("b") - F.col("a")).alias("difference"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("moved"))
 
 
-def coin(*parts: F.Column | str) -> F.Column:
-    """A number from 0 to 1 (32 bits) that depends on the parts' text alone; null parts are left out."""
-    text = F.concat_ws(":", *[F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+#: Up to this mean a Poisson count is drawn from its exact distribution, above it from a normal one with its skewness; lots
+#: that the draws are dealt in; decimals to which values count as equal.
+EXACT, LOTS, DECIMALS = 16, 64, 12
 
 
-def poisson(u: F.Column) -> F.Column:
-    """How often a Poisson(1) count of this quantile draws; 32 bits reach no further than 13."""
-    times, below, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 14):
-        below += term
-        times = F.when(u >= below, k).otherwise(times)
-        term /= k
-    return times
+def poisson_table() -> list[list[float]]:
+    """For each mean 1 to EXACT, the distribution function from 0 on, as far as 32 bits reach."""
+    table = []
+    for mean in range(1, EXACT + 1):
+        term = below = math.exp(-mean)
+        own, k = [below], 0
+        while 1 - below > 2.0**-33:
+            k += 1
+            term *= mean / k
+            below += term
+            own.append(below)
+        table.append(own)
+    return table
 
 
 def interval(values: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
-    """95 % percentile interval of the mean of (unit, value) over resampled units. Each is drawn a Poisson(1) number of
-    times per draw, hash-chosen, so draws need no shuffle of units and sums combine before they travel."""
-    drawn = values.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(coin("unit", "draw", F.lit(seed))))
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
+    """95 % percentile interval of the mean of (unit, value) over resampled units.
+
+    Units are drawn a Poisson(1) number of times each, so m units of equal value are drawn a Poisson(m) number of times
+    together: the work is different values times draws, whatever the units. Values count as equal to DECIMALS decimals,
+    and must lie within 9 million of 0. Numbers come from hashes; a draw's sums combine before they travel."""
+    spark = values.sparkSession
+    at = F.round(F.col("value") * 10.0**DECIMALS).cast("long")
+    kinds = values.where(F.col("value").isNotNull()).groupBy(at.alias("kind")).agg(F.count("*").alias("m"), F.avg("value").alias("value"))
+    dealt = kinds.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "lot")
+    drawn = dealt.where(F.col("lot") < draws).withColumn("draw", F.explode(F.sequence(F.col("lot"), F.lit(draws - 1), F.lit(LOTS))))
+    drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.col("kind").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))))
+    number = lambda k: F.conv(F.substring("h", k, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = drawn.withColumns({"u": number(1), "v": number(9)})
+    table = spark.createDataFrame([(m + 1, own) for m, own in enumerate(poisson_table())], "m long, below array<double>")
+    drawn = drawn.join(F.broadcast(table), "m", "left")  # EXACT rows
+    z = F.sqrt(-2 * F.log(1 - F.col("u"))) * F.cos(2 * math.pi * F.col("v"))
+    many = F.greatest(F.lit(0.0), F.round(F.col("m") + F.sqrt(F.col("m").cast("double")) * z + (z * z - 1) / 6))
+    times = F.when(F.col("below").isNull(), many).otherwise(F.size(F.filter("below", lambda b: b <= F.col("u"))).cast("double"))
+    means = drawn.select("draw", "value", times.alias("w")).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
     found = means.agg(F.sort_array(F.collect_list("m")).alias("s"))  # one number a draw
-    at = lambda share: F.element_at("s", F.least(F.size("s"), F.floor(F.size("s") * share).cast("int") + 1))
-    return found.where(F.size("s") > 0).select(at(0.025).alias("low"), at(0.975).alias("high"))
+    place = lambda share: F.element_at("s", F.least(F.size("s"), F.floor(F.size("s") * share).cast("int") + 1))
+    return found.where(F.size("s") > 0).select(place(0.025).alias("low"), place(0.975).alias("high"))
 
 
 def bootstrap(log: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
@@ -157,6 +192,6 @@ def percentiles(values: DataFrame, column: str) -> DataFrame:
     """n, mean, median, and two 95th percentiles by rank: p95 at position round(0.95 (n - 1)), halves to even, and tail
     at int(0.95 n), of the sorted values from 0. Exact, from counts of values; one row, null over nothing."""
     levels = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    levels = levels.withColumns({"upto": F.sum("n").over(W.orderBy("v")), "total": F.sum("n").over(W.partitionBy())})
+    levels = order.running(levels, "v", {"upto": F.col("n")}, totals={"total": F.col("n")}, at=order.cuts(values, column))
     at = lambda place: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, place), F.col("v")))
     return levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.5, F.col("n")).alias("median"), at(F.bround((F.col("total") - 1) * F.lit(0.95)).cast("long")).alias("p95"), at(F.floor(F.col("total") * F.lit(0.95))).alias("tail"))

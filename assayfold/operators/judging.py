@@ -95,15 +95,19 @@ def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataF
 QUESTION = ("instructions", "criteria", "options", "levels")
 
 
+def question_key(model: str, pack: int, once: bool = False) -> Column:
+    """The key of an item under its row's question."""
+    return key(F.col("item"), shape(model, pack, "once" if once else "repeat", *[F.col(c) for c in QUESTION]))
+
+
 def judge_questions(rows: DataFrame, post: Callable[[str], str], model: str = "default", ledger: DataFrame | None = None, pack: int = 32, workers: int = 4, once: bool = False, longest: int | None = LONGEST, dedupe: bool = True, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
     """`judge` for rows (pos, item and a question, see `questions.with_defaults`), with the key of item and question.
 
-    post gets a pack's body as JSON and returns the response's JSON, `Service.post` for one. An exception, a response
+    post gets a pack's body as JSON and returns the response's JSON. Requests go out whenever the result is evaluated;
+    `runs.start` sends them once and keeps the replies. An exception, a response
     that cannot be read and an item without an answer make errors of the items they concern. Without dedupe every row is
     asked, equal or not, and the ledger is not read."""
-    rows = clean(rows, longest)
-    question = [F.col(c) for c in QUESTION]
-    own = key(F.col("item"), shape(model, pack, "once" if once else "repeat", *question))
+    rows, own = clean(rows, longest), question_key(model, pack, once)
     rows = rows.withColumn("key", own if dedupe else F.concat_ws("#", own, "pos"))
     return resumed(rows, ledger if dedupe else None, lambda rest: posted(rest, post, model, pack, workers, once, chars_per_token))
 

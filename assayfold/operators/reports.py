@@ -6,10 +6,10 @@ and windows go over levels of certainty, units or windows of a run, never over a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayfold.operators.experiments import COVERAGES, calibration_gap, coin, interval, macro_accuracy, right, votes
+from assayfold.operators.experiments import COVERAGES, calibration_gap, interval, macro_accuracy, prefixes, right, sizes_of, votes
+from assayfold.operators.order import hash_limit
 
 #: Edges of the distances from a level, and the distances of a settled score and of one astride (fixed values).
 DISTANCES, SETTLED, ASTRIDE = (0.0, 0.05, 0.15, 0.3, 0.5001), 0.05, 0.3
@@ -62,22 +62,12 @@ def settled(scored: DataFrame) -> DataFrame:
 
 
 def halves(log: DataFrame, seed: int = 29) -> DataFrame:
-    """log with `fit`: items, not rows, fall into either half by a hash, so that repeats of an item stay together."""
-    return log.withColumn("fit", coin("source", F.lit(seed)) < 0.5)
-
-
-def prefixes(log: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(k, edge, accuracy) of the k most certain rows (ties by position) for each k of sizes, which are few.
-
-    Running counts go over levels of certainty; rows are ranked only within the levels in which a k ends."""
-    levels = log.groupBy("certainty").agg(F.count("*").alias("n"), F.sum(right()).alias("r"))
-    down = W.orderBy(F.desc("certainty"))
-    levels = levels.withColumns({"above": F.sum("n").over(down) - F.col("n"), "r_above": F.sum("r").over(down) - F.col("r")})
-    ends = levels.join(F.broadcast(sizes), (F.col("above") < F.col("k")) & (F.col("k") <= F.col("above") + F.col("n"))).select("certainty", "k", "above", "r_above")
-    inside = log.join(F.broadcast(ends.select("certainty").distinct()), "certainty", "left_semi")
-    inside = inside.withColumns({"i": F.row_number().over(W.partitionBy("certainty").orderBy("pos")), "upto": F.sum(right()).over(W.partitionBy("certainty").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))})
-    at = inside.join(F.broadcast(ends), "certainty").where(F.col("i") == F.col("k") - F.col("above"))
-    return at.select("k", F.col("certainty").alias("edge"), ((F.col("r_above") + F.col("upto")) / F.col("k")).alias("accuracy"))
+    """log with `fit`: exactly n // 2 of its n items, those with the smallest hashes. Items are halved and not rows, so that
+    repeats of an item stay together."""
+    hashed = F.md5(F.concat_ws(":", F.col("source").cast("string"), F.lit(str(seed))))
+    items = log.select(hashed.alias("_h")).distinct()
+    limit = hash_limit(items, "_h", F.floor(F.col("count") / 2)).agg(F.max("limit").alias("_limit"))
+    return log.crossJoin(F.broadcast(limit)).withColumn("fit", F.coalesce(hashed <= F.col("_limit"), F.lit(False))).drop("_limit")  # one row
 
 
 def applied(test: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -93,8 +83,7 @@ def held_out(log: DataFrame, coverages: tuple[float, ...] = COVERAGES, seed: int
     """Per coverage: the certainty that cuts half of the items there, what it keeps of the other half, and how right."""
     rows = halves(log, seed)
     fit = rows.where("fit")
-    sizes = fit.agg(F.count("*").alias("total")).where("total > 0").select(F.explode(F.array(*map(F.lit, coverages))).alias("coverage"), "total")
-    sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("coverage")))).select("coverage", "k")
+    sizes = sizes_of(fit, coverages)
     cuts = sizes.join(prefixes(fit, sizes.select("k").distinct()), "k").select("coverage", "edge")
     return applied(rows.where("not fit"), cuts)
 

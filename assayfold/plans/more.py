@@ -8,7 +8,7 @@ from assayfold.operators import judging
 from assayfold.operators import questions as qs
 from assayfold.operators import reports
 from assayfold.operators import selective as sel
-from assayfold.plans.registry import BANDS, COIN, DRAWS, LOG, A, answers, judged, log, query, table
+from assayfold.plans.registry import BANDS, DRAWS, LOG, A, answers, judged, log, query, table
 from assayfold.sources import labelled
 
 RIGHT = "CAST(label = gold AS DOUBLE)"
@@ -76,7 +76,7 @@ def ceilings(spark, sf):
 
 def HELD(name: str, coverages: str = "1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.3") -> str:
     """CTEs of held-out cuts over the log `name`; held_<name> is the result."""
-    return f"""half_{name} AS (SELECT *, {COIN("source || ':29'")} < 0.5 AS fit FROM {name}), rank_{name} AS (SELECT certainty, row_number() OVER (ORDER BY certainty DESC, pos) AS i, count(*) OVER () AS n FROM half_{name} WHERE fit),
+    return f"""item_{name} AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':29')) <= count(*) OVER () // 2 AS fit FROM (SELECT DISTINCT source FROM {name})), half_{name} AS (SELECT l.*, fit FROM {name} l JOIN item_{name} USING (source)), rank_{name} AS (SELECT certainty, row_number() OVER (ORDER BY certainty DESC, pos) AS i, count(*) OVER () AS n FROM half_{name} WHERE fit),
  edge_{name} AS (SELECT coverage, certainty AS edge FROM (SELECT CAST(unnest([{coverages}]) AS DOUBLE) AS coverage), rank_{name} WHERE i = greatest(1, floor(n * coverage))),
  held_{name} AS (SELECT coverage, edge, CAST(count(*) FILTER (certainty >= edge) AS DOUBLE) / count(*) AS kept, avg({RIGHT}) FILTER (certainty >= edge) AS accuracy FROM edge_{name}, half_{name} WHERE NOT fit GROUP BY 1, 2 HAVING count(*) FILTER (certainty >= edge) > 0)"""
 
@@ -86,7 +86,7 @@ def held_out(spark, sf):
     return reports.held_out(log(spark, sf))
 
 
-@query(f"""WITH {LOG()}, h AS (SELECT *, {COIN("source || ':29'")} < 0.5 AS fit, {RIGHT} AS ok FROM l), r AS (SELECT certainty, row_number() OVER w AS i, avg(ok) OVER w AS acc, count(*) OVER () AS n FROM h WHERE fit WINDOW w AS (ORDER BY certainty DESC, pos ROWS UNBOUNDED PRECEDING)),
+@query(f"""WITH {LOG()}, it AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':29')) <= count(*) OVER () // 2 AS fit FROM (SELECT DISTINCT source FROM l)), h AS (SELECT l.*, fit, {RIGHT} AS ok FROM l JOIN it USING (source)), r AS (SELECT certainty, row_number() OVER w AS i, avg(ok) OVER w AS acc, count(*) OVER () AS n FROM h WHERE fit WINDOW w AS (ORDER BY certainty DESC, pos ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT arg_max(certainty, i) AS edge FROM r WHERE (n - i) % greatest(1, n // 200) = 0 AND acc >= 0.85) SELECT edge, CAST(count(*) FILTER (certainty >= edge) AS DOUBLE) / count(*) AS kept, avg(ok) FILTER (certainty >= edge) AS accuracy FROM b, h WHERE NOT fit GROUP BY 1""")
 def coverage_grid(spark, sf):
     return reports.coverage_at(log(spark, sf), 0.85)
@@ -100,8 +100,9 @@ def CORPUS(name: str) -> str:
 
 def UNITS(name: str) -> str:
     draws = DRAWS(f"unit_{name}", 200)
-    for part in ("drawn", "weighed", "means", "ranked", "bounds"):
+    for part in ("kinds", "below", "drawn", "normal", "weighed", "means", "ranked", "bounds"):
         draws = draws.replace(f"{part} AS (", f"{part}_{name} AS (").replace(f"FROM {part}", f"FROM {part}_{name}")
+    draws = draws.replace("below(m, below)", f"below_{name}(m, below)").replace("JOIN below ON below.m", f"JOIN below_{name} b ON b.m")
     return f"unit_{name} AS (SELECT source AS unit, avg({RIGHT}) AS value, count(DISTINCT label) = 1 AS firm FROM {name} GROUP BY 1), {draws}, {HELD(name)}"
 
 

@@ -6,7 +6,6 @@ right about as often as it says.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,20 +108,49 @@ x AS (SELECT label, sum(n) AS n, sum(r) AS r, sum(r * rk) AS ranks FROM s GROUP
 b AS (SELECT *, greatest(z - {BOUND}, 0) AS low, least(z + {BOUND}, 1) AS high, CAST(r AS DOUBLE) / n AS acc FROM y),
 c AS (SELECT label, min(certainty) AS cut, arg_min(CAST(kept AS DOUBLE) / total, certainty) AS coverage FROM s WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85 GROUP BY 1),
 t AS (SELECT *, CASE WHEN n < 100 THEN 'unknown' WHEN acc >= 0.85 THEN 'take' WHEN high < 0.5 THEN 'inverted' WHEN z IS NULL OR low <= 0.5 OR z < 0.6 OR cut IS NULL THEN 'send' ELSE 'cut' END AS action FROM b LEFT JOIN c USING (label))
-SELECT label, CAST(n AS BIGINT) AS count, acc AS accuracy, acc AS floor, z AS auroc, low, high, CASE WHEN action = 'cut' THEN cut END AS cut, CASE WHEN action = 'cut' THEN coverage END AS coverage, action FROM t""")
+SELECT label, CAST(n AS BIGINT) AS count, acc AS accuracy, acc AS floor, z AS auroc, low, high, CASE WHEN action = 'cut' THEN cut END AS cut, CASE WHEN action = 'cut' THEN coverage END AS coverage, action,
+ CASE action WHEN 'unknown' THEN 'only ' || n || ' answers, fewer than routing needs' WHEN 'take' THEN 'right often enough without a cut: ' || printf('%.1f%%', 100 * acc)
+  WHEN 'inverted' THEN printf('surer answers are wrong more often, AUROC at most %.3f: never cut here', high)
+  WHEN 'send' THEN CASE WHEN z IS NULL OR low <= 0.5 OR z < 0.6 THEN 'its certainty says nothing about being right' ELSE 'no cut reaches the accuracy asked for' END
+  ELSE printf('from %.3f on, %.1f%% of its answers', cut, 100 * coverage) END AS why FROM t ORDER BY count DESC, label""")
 def calibration_by_label(spark, sf):
     return sel.routing(judged(spark, sf), 0.85)
 
 
-@query(f"""WITH {H}, x AS (SELECT sum(n) AS n, sum(r) AS r, sum(r * rk) AS ranks FROM s), y AS (SELECT n, r, {AUC} AS z FROM x),
-hv AS (SELECT split, substr(md5(pos || ':' || split || ':7'), 1, 1) < '8' AS fit, certainty, count(*) AS n, count(*) FILTER ("right") AS r FROM j, range(0, 20) t(split) GROUP BY ALL),
+def CALIBRATE(splits: int) -> str:
+    """CTEs of a calibration at 0.85; e has the held-out scores of the splits, in order."""
+    return f"""{H}, x AS (SELECT sum(n) AS n, sum(r) AS r, sum(r * rk) AS ranks FROM s), y AS (SELECT n, r, {AUC} AS z FROM x),
+sp AS (SELECT j.*, split, row_number() OVER (PARTITION BY split ORDER BY md5(pos || ':' || split || ':7')) <= (SELECT n // 2 FROM y) AS fit FROM j, range(0, {splits}) t(split)),
+hv AS (SELECT split, fit, certainty, count(*) AS n, count(*) FILTER ("right") AS r FROM sp GROUP BY ALL),
 f AS (SELECT split, certainty, sum(n) OVER d AS kept, sum(r) OVER d AS kr FROM hv WHERE fit WINDOW d AS (PARTITION BY split ORDER BY certainty DESC)),
 c AS (SELECT split, min(certainty) AS cut FROM f WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85 GROUP BY 1),
-e AS (SELECT split, CAST(sum(n) FILTER (certainty >= cut) AS DOUBLE) / sum(n) AS coverage, CAST(sum(r) FILTER (certainty >= cut) AS DOUBLE) / sum(n) FILTER (certainty >= cut) AS accuracy FROM hv JOIN c USING (split) WHERE NOT fit GROUP BY 1),
-o AS (SELECT median(coverage) AS coverage, median(accuracy) AS accuracy, min(accuracy) AS low, max(accuracy) AS high, count(*) AS splits FROM e WHERE coverage > 0)
-SELECT o.*, (SELECT min(certainty) FROM s WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85) AS cut, CAST(r AS DOUBLE) / n AS baseline, CAST(n AS BIGINT) AS items, z AS discrimination, accuracy - CAST(r AS DOUBLE) / n AS gain FROM o, y""")
+e0 AS (SELECT split, CAST(sum(n) FILTER (certainty >= cut) AS DOUBLE) / sum(n) AS coverage,
+ CAST(sum(r) FILTER (certainty >= cut) AS DOUBLE) / sum(n) FILTER (certainty >= cut) AS accuracy FROM hv JOIN c USING (split) WHERE NOT fit GROUP BY 1),
+e AS (SELECT *, row_number() OVER (ORDER BY accuracy) - 1 AS i, count(*) OVER () AS m FROM e0 WHERE coverage > 0),
+g AS (SELECT *, CASE WHEN m >= 20 THEN greatest(0, CAST(floor(m * CAST(0.05 AS DOUBLE)) AS BIGINT) - 1) ELSE 0 END AS edge FROM e),
+o AS (SELECT median(coverage) AS coverage, median(accuracy) AS accuracy, max(accuracy) FILTER (i = edge) AS low, max(accuracy) FILTER (i = m - 1 - edge) AS high, count(*) AS splits FROM g)
+SELECT o.*, (SELECT min(certainty) FROM s WHERE kept >= 30 AND CAST(kr AS DOUBLE) / kept >= 0.85) AS cut, CAST(r AS DOUBLE) / n AS baseline, CAST(n AS BIGINT) AS items,
+ z AS discrimination, CAST(0 AS DOUBLE) AS headroom, accuracy - CAST(r AS DOUBLE) / n AS gain FROM o, y"""
+
+
+@query(f"WITH {CALIBRATE(20)}")
 def calibrate(spark, sf):
-    return sel.calibrate(judged(spark, sf), accuracy=0.85)
+    return sel.calibrate(judged(spark, sf), accuracy=0.85).drop("notes")
+
+
+@query(f"WITH {CALIBRATE(60)}")
+def calibrate_60(spark, sf):
+    """60 splits, of which the two lowest and the two highest scores are beyond the interval."""
+    return sel.calibrate(judged(spark, sf), accuracy=0.85, splits=60).drop("notes")
+
+
+@query(f"""WITH {A} SELECT count(*) FILTER (error IS NOT NULL) || ' answers were not usable and are left out; triage sends them to review' AS note FROM a HAVING count(error) > 0
+UNION ALL SELECT count(*) || ' rows are few; from 200 on the interval is narrower' FROM j HAVING count(*) < 200
+UNION ALL SELECT printf('%.1f%%', 100 * avg(CAST("right" AS DOUBLE))) || ' are right without any cut, so none may be needed' FROM j HAVING avg(CAST("right" AS DOUBLE)) >= 0.7""")
+def calibrate_notes(spark, sf):
+    """The notes of a calibration of all answers, failures too, at a bar that they pass without a cut."""
+    out = sel.calibrate(answers(spark, sf), accuracy=0.7)
+    return out.select(F.explode("notes").alias("note"))
 
 
 @query(f"WITH {LOG()}, v AS (SELECT source, label, count(*) AS n, sum(CAST(label = gold AS INT)) AS r FROM l GROUP BY 1, 2), i AS (SELECT source, CAST(sum(r) AS DOUBLE) / sum(n) AS acc, CAST(max(n) AS DOUBLE) / sum(n) AS mode FROM v GROUP BY 1) SELECT count(*) AS items, avg(acc) AS accuracy, avg(mode) AS steady FROM i")
@@ -165,23 +193,18 @@ def paired_arms(spark, sf):
     return ex.paired(log(spark, sf), log(spark, sf, salt=3))
 
 
-def COIN(text: str) -> str:
-    """The number from 0 to 1 that a text's hash gives."""
-    return f"CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
-
-
-def POISSON(u: str) -> str:
-    """How often a Poisson(1) count of quantile u draws."""
-    below, sums = 0.0, []
-    for k in range(13):
-        below += math.exp(-1) / math.factorial(k)
-        sums.append(f"CAST({u} >= CAST({below!r} AS DOUBLE) AS INT)")
-    return " + ".join(sums)
+def COIN(text: str, at: int = 1) -> str:
+    """The number from 0 to 1 that a text's hash gives from that digit on."""
+    return f"CAST(CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT) AS DOUBLE) / 4294967296"
 
 
 def DRAWS(of: str, draws: int = 2000) -> str:
     """CTE bounds(low, high): the interval of the mean of `of`(unit, value)."""
-    return f"""drawn AS (SELECT draw, value, {COIN("unit || ':' || draw || ':1'")} AS u FROM {of}, range(0, {draws}) t(draw)), weighed AS (SELECT draw, value, {POISSON("u")} AS w FROM drawn),
+    table = ", ".join(f"({m + 1}, [{', '.join(f'CAST({x!r} AS DOUBLE)' for x in own)}])" for m, own in enumerate(ex.poisson_table()))
+    return f"""kinds AS (SELECT CAST(round(value * 1e12) AS BIGINT) AS kind, count(*) AS m, avg(value) AS value FROM {of} GROUP BY 1), below(m, below) AS (VALUES {table}),
+ drawn AS (SELECT draw, value, m, {COIN("kind || ':' || draw || ':1'")} AS u, {COIN("kind || ':' || draw || ':1'", 9)} AS v FROM kinds, range(0, {draws}) t(draw)),
+ normal AS (SELECT *, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS z FROM drawn),
+ weighed AS (SELECT draw, value, CASE WHEN below IS NULL THEN greatest(0, round(n.m + sqrt(n.m) * z + (z * z - 1) / 6)) ELSE len(list_filter(below, lambda b: b <= u)) END AS w FROM normal n LEFT JOIN below ON below.m = n.m),
  means AS (SELECT sum(w * value) / sum(w) AS m FROM weighed GROUP BY draw HAVING sum(w) > 0), ranked AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM means),
  bounds AS (SELECT max(m) FILTER (i = floor(n * 0.025)) AS low, max(m) FILTER (i = floor(n * 0.975)) AS high FROM ranked)"""
 
@@ -328,12 +351,12 @@ def judge_resumed(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from assayfold.plans import more  # noqa: F401  registers its own
+    from assayfold.plans import more, runs  # noqa: F401  register their own
 
     return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from assayfold.plans import more  # noqa: F401
+    from assayfold.plans import more, runs  # noqa: F401
 
     return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayfold.errors import AssayError
+
 FORMAT = 5
 RECORD = "ledger_format int, model string, k string, p double, l string, t string, d map<string,double>, c double, i int, n int, s double, seq long, _corrupt string"
 
 
-class NotALedger(ValueError):
+class NotALedger(AssayError):
     """A folder that holds something else than a ledger of this format."""
 
 

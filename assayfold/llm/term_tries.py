@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,36 +39,47 @@ class Radix:
     def __init__(self):
         self.edge, self.kids, self.leaf, self.leaves = [b""], [{}], [-1], 0
 
-    def add(self, term: bytes) -> int:
-        """The number of a term's leaf, which is made where there is none."""
-        edges, kids, leaf = self.edge, self.kids, self.leaf
-        node, at, size = 0, 0, len(term)
-        while at < size:
-            here = kids[node]
-            below = here.get(term[at]) if here else None
-            if below is None:
+    def extend(self, terms: Iterable[bytes]) -> list[int]:
+        """The numbers of the terms' leaves, which are made where there are none. In byte order, a term's path is taken up where
+        it leaves that of the term before it."""
+        edges, kids, leaf, out = self.edge, self.kids, self.leaf, []
+        nodes, paths = [0], [b""]
+        for term in terms:
+            while not term.startswith(paths[-1]):
+                nodes.pop()
+                paths.pop()
+            node, at, size = nodes[-1], len(paths[-1]), len(term)
+            while at < size:
+                here = kids[node]
                 if here is None:
                     here = kids[node] = {}
-                here[term[at]] = len(edges)
-                edges.append(term[at:])
-                kids.append(None)
-                leaf.append(self.leaves)
-                self.leaves += 1
-                return self.leaves - 1
-            edge = edges[below]
-            if not term.startswith(edge, at):  # the edge forks where it leaves the term
-                same = 1
-                while at + same < size and edge[same] == term[at + same]:
-                    same += 1
-                fork = here[term[at]] = len(edges)
-                edges.append(edge[:same])
-                kids.append({edge[same]: below})
-                leaf.append(-1)
-                edges[below], below, edge = edge[same:], fork, edge[:same]
-            node, at = below, at + len(edge)
-        if leaf[node] < 0:
-            leaf[node], self.leaves = self.leaves, self.leaves + 1
-        return leaf[node]
+                below = here.get(term[at])
+                if below is None:
+                    below = here[term[at]] = len(edges)
+                    edges.append(term[at:])
+                    kids.append(None)
+                    leaf.append(-1)
+                    at = size
+                else:
+                    edge = edges[below]
+                    if not term.startswith(edge, at):  # the edge forks where it leaves the term
+                        same = 1
+                        while at + same < size and edge[same] == term[at + same]:
+                            same += 1
+                        fork = here[term[at]] = len(edges)
+                        edges.append(edge[:same])
+                        kids.append({edge[same]: below})
+                        leaf.append(-1)
+                        edges[below], below, edge = edge[same:], fork, edge[:same]
+                    at += len(edge)
+                    if at < size:
+                        nodes.append(below)
+                        paths.append(term[:at])
+                node = below
+            if leaf[node] < 0:
+                leaf[node], self.leaves = self.leaves, self.leaves + 1
+            out.append(leaf[node])
+        return out
 
     def walk(self) -> Iterator[tuple[int, bytes, int]]:
         """(shared, term, leaf) in byte order; shared is the depth at which a term's path leaves that of the term before it."""
@@ -97,15 +108,12 @@ class Tally:
         self.docs = np.zeros(1024, np.int64)
         self.loose, self.size, self.held = [], 0, 0
 
-    def leaves(self, terms: Iterable[bytes]) -> np.ndarray:
+    def leaves(self, terms: Collection[bytes]) -> np.ndarray:
         """The terms' leaves; a path is walked once, then its end is known."""
-        known, add = self.known, self.trie.add
-        out = []
-        for term in terms:
-            leaf = known.get(term)
-            if leaf is None:
-                leaf = known[term] = add(term)
-            out.append(leaf)
+        known = self.known
+        new = sorted(term for term in terms if term not in known)
+        known.update(zip(new, self.trie.extend(new)))
+        out = [known[term] for term in terms]
         if self.trie.leaves > len(self.docs):
             self.docs = np.concatenate([self.docs, np.zeros(self.trie.leaves + len(self.docs), np.int64)])
         return np.array(out, np.int64)
@@ -210,28 +218,41 @@ def _count(limit: int, depth: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tallies: dict[str, Tally] = {}
-        for batch in batches:
-            # a batch's terms are counted first, and each goes to the trie once for all its documents
-            seen: dict[str, Counter] = {}
-            by: dict[tuple[str, str], Counter] = {}
-            for text, lang, source in zip(*(batch.column(k) for k in range(3))):
-                lang, source = lang.as_py(), source.as_py()
-                terms = _term.findall(text.as_buffer().to_pybytes().lower())  # bytes lower A-Z alone
-                seen.setdefault(lang, Counter()).update(set(terms))
-                by.setdefault((lang, source), Counter()).update(terms)
+        # terms are counted first, and each goes to the trie once for all the documents in between
+        seen: dict[str, Counter] = {}
+        by: dict[tuple[str, str], Counter] = {}
+
+        def planted() -> None:
             for lang, docs in seen.items():
                 tally = tallies.setdefault(lang, Tally())
                 leaves = tally.leaves(docs)
                 tally.docs[leaves] += np.fromiter(docs.values(), np.int64, len(docs))
             for (lang, source), terms in by.items():
                 tally, n = tallies[lang], np.fromiter(terms.values(), np.int64, len(terms))
-                tally.add(tally.leaves(terms), np.full(len(n), tally.place(source), np.int64), n)
-            if sum(tally.size for tally in tallies.values()) > limit:
-                for tally in tallies.values():
-                    tally.counters()
+                leaves = np.fromiter(map(tally.known.__getitem__, terms), np.int64, len(terms))
+                tally.add(leaves, np.full(len(n), tally.place(source), np.int64), n)
+            seen.clear()
+            by.clear()
+
+        for batch in batches:
+            for text, lang, source in zip(*(batch.column(k) for k in range(3))):
+                lang, source = lang.as_py(), source.as_py()
+                terms = _term.findall(text.as_buffer().to_pybytes().lower())  # bytes lower A-Z alone
+                if lang not in seen:
+                    seen[lang] = Counter()
+                if (lang, source) not in by:
+                    by[lang, source] = Counter()
+                seen[lang].update(set(terms))
+                by[lang, source].update(terms)
+            if sum(map(len, by.values())) > limit // 2:
+                planted()
                 if sum(tally.size for tally in tallies.values()) > limit:
-                    yield from handed(tallies)
-                    tallies = {}
+                    for tally in tallies.values():
+                        tally.counters()
+                    if sum(tally.size for tally in tallies.values()) > limit:
+                        yield from handed(tallies)
+                        tallies.clear()
+        planted()
         yield from handed(tallies)
 
     return lambda batches: _in_batches(rows(batches), SEGMENT)

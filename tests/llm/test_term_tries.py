@@ -71,7 +71,11 @@ def test_odd_rows(spark):
 def test_trie_is_a_sorted_set(terms):
     trie, leaf = tt.Radix(), {}
     for t in terms:
-        assert trie.add(t) == leaf.setdefault(t, len(leaf))
+        assert trie.extend([t]) == [leaf.setdefault(t, len(leaf))]
+    assert trie.extend(sorted(terms)) == [leaf[t] for t in sorted(terms)] and trie.leaves == len(leaf)
+    ordered = tt.Radix()
+    assert ordered.extend(sorted(leaf)) == list(range(len(leaf)))
+    assert [t for _, t, _ in ordered.walk()] == sorted(leaf)
     walked, last = list(trie.walk()), b""
     assert [(t, k) for _, t, k in walked] == sorted(leaf.items())
     for shared, t, _ in walked:

@@ -9,12 +9,11 @@ numbers: sums over terms for pairs of sources, the best terms for each.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +24,12 @@ from .common import Kept, bounded_batches
 DOCUMENTS, WHOLE, LISTED = 3, 1_000_000_000, 200
 #: Counters of a task's tries after which they are handed on; bytes of a prefix, and leaves of one that is cut deeper; leaves of a merging task.
 LEAVES, DEPTH, HEAVY, SHARE = 1_000_000, 3, 1 << 20, 1 << 18
+#: Bytes of text that are counted at a time.
+TEXTS = 16 << 20
 #: Counts (terms times sources) that are compared at a time, and in a task: each task sends back a row a pair.
 AT_ONCE, COMPARED = 1 << 18, 1 << 21
-#: A term of UTF-8 bytes: letters of ASCII, and all that is no ASCII.
-_term = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: What is no ASCII stays, letters of ASCII are lowered, and the rest, between terms, becomes spaces.
+_letters = bytes(k if k >= 128 or 97 <= k <= 122 else 32 for k in bytes(range(256)).lower())
 SEGMENT = "lang string, prefix binary, leaves long, sources array<string>, shared array<int>, edges array<binary>, docs array<long>, width array<int>, at array<int>, n array<long>"
 RANGE = "lang string, prefix binary, terms array<string>, sources array<string>, totals array<long>, width array<int>, at array<int>, n array<long>"
 
@@ -206,6 +207,39 @@ def _in_batches(rows: Iterator[tuple], schema: str, size: int = 512) -> Iterator
         yield _batch(own, schema)
 
 
+def _plant(tallies: dict[str, Tally], texts: list[bytes], groups: list[tuple[str, str]]) -> None:
+    """Count texts of letters and spaces in the tries of their languages; groups are each text's (lang, source)."""
+    split = pc.split_pattern(pa.array(texts, pa.binary()).cast(pa.string()), " ")
+    found = split.flatten().dictionary_encode()
+    term, words = found.indices.to_numpy().astype(np.int64), found.dictionary
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    stay = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[term] if len(words) else np.zeros(0, bool)
+    term, doc, size = term[stay], doc[stay], max(1, len(words))
+    names = list(dict.fromkeys(groups))
+    langs = list(dict.fromkeys(lang for lang, _ in names))
+    group = np.array(_places(groups, names), np.int64)
+    lang = np.array(_places([g for g, _ in groups], langs), np.int64)
+    own, n = np.unique(group[doc] * size + term, return_counts=True)
+    once = np.unique(doc * size + term)
+    seen, docs = np.unique(lang[once // size] * size + once % size, return_counts=True)
+    leaf = np.zeros(size, np.int64)
+    for k, name in enumerate(langs):
+        tally = tallies.setdefault(name, Tally())
+        mine = slice(*np.searchsorted(seen, [k * size, (k + 1) * size]))
+        ids = seen[mine] % size
+        leaf[ids] = leaves = tally.leaves([w.encode() for w in words.take(pa.array(ids)).to_pylist()])
+        tally.docs[leaves] += docs[mine]
+        for g, (of, source) in enumerate(names):
+            if of == name:
+                its = slice(*np.searchsorted(own, [g * size, (g + 1) * size]))
+                tally.add(leaf[own[its] % size], np.full(len(n[its]), tally.place(source), np.int64), n[its])
+
+
+def _places(values: list, among: list) -> list[int]:
+    place = {v: k for k, v in enumerate(among)}
+    return [place[v] for v in values]
+
+
 def _count(limit: int, depth: int):
     """Documents (text, lang, source) to segments. Every language of a task also has one without a prefix or leaves, that
     names the sources seen, those without terms too."""
@@ -218,41 +252,23 @@ def _count(limit: int, depth: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         tallies: dict[str, Tally] = {}
-        # terms are counted first, and each goes to the trie once for all the documents in between
-        seen: dict[str, Counter] = {}
-        by: dict[tuple[str, str], Counter] = {}
-
-        def planted() -> None:
-            for lang, docs in seen.items():
-                tally = tallies.setdefault(lang, Tally())
-                leaves = tally.leaves(docs)
-                tally.docs[leaves] += np.fromiter(docs.values(), np.int64, len(docs))
-            for (lang, source), terms in by.items():
-                tally, n = tallies[lang], np.fromiter(terms.values(), np.int64, len(terms))
-                leaves = np.fromiter(map(tally.known.__getitem__, terms), np.int64, len(terms))
-                tally.add(leaves, np.full(len(n), tally.place(source), np.int64), n)
-            seen.clear()
-            by.clear()
-
+        texts, groups, size = [], [], 0
         for batch in batches:
             for text, lang, source in zip(*(batch.column(k) for k in range(3))):
-                lang, source = lang.as_py(), source.as_py()
-                terms = _term.findall(text.as_buffer().to_pybytes().lower())  # bytes lower A-Z alone
-                if lang not in seen:
-                    seen[lang] = Counter()
-                if (lang, source) not in by:
-                    by[lang, source] = Counter()
-                seen[lang].update(set(terms))
-                by[lang, source].update(terms)
-            if sum(map(len, by.values())) > limit // 2:
-                planted()
-                if sum(tally.size for tally in tallies.values()) > limit:
-                    for tally in tallies.values():
-                        tally.counters()
+                texts.append(text.as_buffer().to_pybytes().translate(_letters))
+                groups.append((lang.as_py(), source.as_py()))
+                size += len(texts[-1])
+                if size > TEXTS:
+                    _plant(tallies, texts, groups)
+                    texts, groups, size = [], [], 0
                     if sum(tally.size for tally in tallies.values()) > limit:
-                        yield from handed(tallies)
-                        tallies.clear()
-        planted()
+                        for tally in tallies.values():
+                            tally.counters()
+                        if sum(tally.size for tally in tallies.values()) > limit:
+                            yield from handed(tallies)
+                            tallies.clear()
+        if texts:
+            _plant(tallies, texts, groups)
         yield from handed(tallies)
 
     return lambda batches: _in_batches(rows(batches), SEGMENT)

@@ -2,7 +2,7 @@
 
 A text's rolling word k-gram hashes are joined to the positions of the templates' k-grams. A hit votes for the diagonal
 text position minus template position: a verbatim span puts all its votes on one diagonal, a span with words put in or
-left out on neighbouring ones. Neighbouring diagonals of a template are merged into spans. A hit whose words are not the
+left out on neighbouring ones. Neighbouring diagonals of a template are merged into spans of bounded width. A hit whose words are not the
 template's is no hit, so a span is verified word by word; it counts where enough different template positions are.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of a k-gram; how far a diagonal may lie from the next of its span; share of a template's k-grams that a span needs.
-K, DRIFT, COVERAGE = 3, 6, 0.6
+#: K-grams under which a template must stand there whole; k-grams that are named to the projection at most.
+K, DRIFT, COVERAGE, SHORT, KEYS = 3, 6, 0.6, 12, 10_000
 #: A word: digits, a-z after lowering, and all code points above 0x7F.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -83,38 +84,48 @@ def index(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataF
 def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, and `spans`, an array of (template, label, exact, start, votes, share).
 
-    start is where the template's first word stands, or would by the smallest of the span's diagonals. A template marked exact needs all its k-grams on one
-    diagonal; of another, the span's different template positions must make up `coverage` of its k-grams. Templates
-    shorter than k words are refused. Null texts have no words and no spans; rows with equal or null doc_id and equal
-    text give equal rows, as many as there were; an empty table gives none. Other columns are ignored.
+    start is where the template's first word stands, or would by the smallest of the span's diagonals. A template marked
+    exact needs all its k-grams on one diagonal; of another, the span's different template positions must make up
+    `coverage` of its k-grams, and all of them if it has fewer than SHORT. A span's diagonals lie within `width` of its
+    first, so that hits scattered over a long text do not add up. Templates shorter than k words are refused. Null texts
+    have no words and no spans; every row is scanned for itself, rows with equal or null doc_id too; an empty table
+    gives none. Other columns are ignored.
     """
     spark = docs.sparkSession
     keys = index(spark, templates, k)
-    known = [r.gram for r in keys.select("gram").distinct().collect()]  # the templates', not the documents'
-    short = set(range(len(templates))) - {r.template for r in keys.select("template").distinct().collect()}
+    short = {r.template for r in spark.range(len(templates)).select(F.col("id").cast("int").alias("template")).join(keys, "template", "left_anti").collect()}
     if short:
         raise ValueError(f"templates shorter than {k} words: {sorted(short)}")
-    rows = docs.select("doc_id", words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.xxhash64("words").alias("row"), "words", grams("words", k).alias("grams"))
-    hit = lambda g, i: F.when(g.isin(known), F.struct(g.alias("gram"), i.alias("pos"), F.slice("words", i + 1, k).alias("words")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
+    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", grams("words", k).alias("grams"))
+    known = [r.gram for r in keys.select("gram").distinct().limit(KEYS + 1).collect()]  # the templates', not the documents'
+    few = len(known) <= KEYS
+    # with few templates only their k-grams leave the projection; either way the join decides
+    hit = lambda g, i: F.when(g.isin(known) if few else F.lit(True), F.struct(g.alias("gram"), i.alias("pos"), F.slice("words", i + 1, k).alias("found")))
     at = F.filter(F.transform("grams", hit), lambda x: x.isNotNull())
-    # each row keeps one entry without a gram, so that rows without hits come through, and are counted
-    none = F.array(F.expr("named_struct('gram', cast(null as bigint), 'pos', -1, 'words', cast(null as array<string>))"))
-    hits = rows.select("doc_id", "row", "n_words", F.explode(F.concat(none, at)).alias("hit")).select("doc_id", "row", "n_words", "hit.gram", "hit.pos", F.col("hit.words").alias("found"))
+    # each row keeps one entry without a gram, so that rows without hits come through
+    none = F.array(F.expr("named_struct('gram', cast(null as bigint), 'pos', -1, 'found', cast(null as array<string>))"))
+    hits = rows.select("row", "doc_id", "n_words", F.explode(F.concat(none, at)).alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     # equal hashes propose, equal words decide
-    hits = hits.join(F.broadcast(keys), "gram", "left").where("gram is null or found = words")
-    by = ["doc_id", "row", "n_words"]
+    hits = hits.join(F.broadcast(keys) if few else keys, "gram", "left").where("gram is null or found = words")
+    hits = hits.select("row", "doc_id", "n_words", "template", "label", "exact", "n_grams", "at", (F.col("pos") - F.col("at")).cast("long").alias("diagonal"))
+    hits = hits.repartition("row")  # all that follows is by row, and needs no other exchange
+    by = ["row", "doc_id", "n_words"]
     kind = ["template", "label", "exact", "n_grams"]
-    # repeated rows vote once: a diagonal's votes are its different template positions
-    diagonals = hits.groupBy(*by, *kind, (F.col("pos") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.count_if(F.col("pos") == -1).alias("copies"))
-    diagonals = diagonals.repartition("doc_id", "row")
     # neighbouring diagonals are one span: a new one opens where the last diagonal is too far, or with each exact one
     order = W.partitionBy(*by, *kind).orderBy("diagonal")
-    opens = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > drift, F.lit(True))
-    spans = diagonals.withColumn("_opens", opens.cast("int")).withColumn("span", F.sum("_opens").over(order))
-    spans = spans.groupBy(*by, *kind, "span").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("votes"), F.sum("copies").alias("copies"))
-    enough = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise(F.col("votes") >= coverage * F.col("n_grams"))
+    step = F.col("diagonal") - F.lag("diagonal").over(order)
+    chains = hits.withColumn("_opens", F.coalesce(F.when(F.col("exact"), step > 0).otherwise(step > drift), F.lit(True)).cast("int"))
+    chains = chains.withColumn("chain", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min("diagonal").over(W.partitionBy(*by, *kind, "chain"))
+    spans = chains.withColumn("part", F.floor((F.col("diagonal") - first) / width(F.col("n_grams"), drift)))
+    spans = spans.groupBy(*by, *kind, "chain", "part").agg(F.min("diagonal").alias("start"), F.countDistinct("at").alias("votes"))
+    least = F.when(F.col("exact") | (F.col("n_grams") < SHORT), F.col("n_grams")).otherwise(coverage * F.col("n_grams"))
     share = F.when(F.col("exact"), 1.0).otherwise(F.col("votes") / F.col("n_grams")).alias("share")
-    one = F.when(enough, F.struct("template", "label", "exact", "start", "votes", share).cast(SPAN))
-    per_row = spans.groupBy(*by).agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(one)).alias("spans"))
-    return per_row.select("doc_id", "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    one = F.when(F.col("template").isNotNull() & (F.col("votes") >= least), F.struct("template", "label", "exact", "start", "votes", share).cast(SPAN))
+    return spans.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("spans")).select("doc_id", "n_words", "spans")
+
+
+def width(n_grams: Column, drift: int) -> Column:
+    """How far a span's diagonals may lie from its first: half the template, four drifts at least."""
+    return F.greatest(F.floor(n_grams / 2), F.lit(4 * drift))

@@ -64,14 +64,16 @@ def spans_by_hand(text, k=3, drift=6, coverage=0.6):
         for pos in range(len(w) - k + 1):
             for at in grams.get(tuple(w[pos : pos + k]), ()):
                 diagonals.setdefault(pos - at, set()).add(at)
-        groups, last = [], None
+        groups, last, first, n = {}, None, None, len(of) - k + 1
         for d in sorted(diagonals):
             if t.exact or last is None or d - last > drift:
-                groups.append((d, set()))
-            groups[-1][1].update(diagonals[d])
+                first = d
+            groups.setdefault((first, (d - first) // max(n // 2, 4 * drift)), []).append(d)
             last = d
-        n = len(of) - k + 1
-        out += [(number, t.label, t.exact, d, len(ats)) for d, ats in groups if (len(ats) == n if t.exact else len(ats) >= coverage * n)]
+        for own in groups.values():
+            ats = set().union(*(diagonals[d] for d in own))
+            if len(ats) >= (n if t.exact or n < 12 else coverage * n):
+                out.append((number, t.label, t.exact, own[0], len(ats)))
     return sorted(out)
 
 
@@ -91,3 +93,15 @@ def test_equal_hashes_of_other_words_are_no_hits(spark, monkeypatch):
     kept = ls.grams
     monkeypatch.setattr(ls, "grams", lambda of, k: ls.F.transform(kept(of, k), lambda g: ls.F.lit(1).cast("long")))
     assert [(r.doc_id, r.spans) for r in ls.scan(frame(spark, texts)).orderBy("doc_id").collect()] == want
+
+
+def test_a_mention_is_no_license(spark):
+    rows = [(1, "The tool is not under the GNU General Public License at all."), (2, "It is licensed under the GNU General Public License."), (3, "to use copy modify then " * 3000)]
+    assert [[s.label for s in r.spans] for r in ls.scan(frame(spark, rows)).orderBy("doc_id").collect()] == [[], ["gpl"], []]
+
+
+def test_many_templates_join_without_names(spark, monkeypatch):
+    rows = [(1, "under the mit license"), (2, ls.TEMPLATES[0].text), (None, None)]
+    want = sorted(map(repr, ls.scan(frame(spark, rows)).collect()))
+    monkeypatch.setattr(ls, "KEYS", 3)
+    assert sorted(map(repr, ls.scan(frame(spark, rows)).collect())) == want

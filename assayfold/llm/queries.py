@@ -22,7 +22,7 @@ from . import (
     separator_scan,
     term_tries,
 )
-from .common import new_path, table
+from .common import Kept, delete, new_path, table
 
 
 def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,18 +39,14 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of documents' flat token files: doc_id, part, ordinal, n_tokens.
-
-    The files know no ids. A part holds the texts of one split of the table in their order, so a row's split and number
-    in it, which two scans of the same files agree about, say whose count it is. Neither side is bounded, so they are merged."""
-    docs = table(spark, sf_dir, "documents")
-    path = new_path(spark, "tokens")
+    """Token counts of documents' flat token files: doc_id, part, ordinal, n_tokens; the files are deleted when they are counted."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "tokens")
     separator_scan.write_token_files(docs, path)
-    part = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
-    counts = separator_scan.count_tokens(spark, path).select(part.alias("part"), "ordinal", "n_tokens")
-    at = F.monotonically_increasing_id()  # the split in the upper 31 bits, the row's number in the lower 33
-    own = docs.select("doc_id", at.alias("at")).select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return own.join(counts.hint("merge"), ["part", "ordinal"]).select("doc_id", "part", "ordinal", "n_tokens")
+    counts = separator_scan.count_by_document(spark, path)
+    part = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long").alias("part")
+    out = Kept(spark, "counts").put(counts.select("doc_id", part, "ordinal", "n_tokens"), "out")
+    delete(spark, path)
+    return out
 
 
 def op5_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -33,9 +34,9 @@ def test_documents(spark, sf):
     rows = [(i, t) for i, t, _ in documents(sf)] + ODD
     path = new_path(spark, "test")
     ss.write_token_files(frame(spark, rows), path)
-    got = Counter(r.n_tokens for r in ss.count_tokens(spark, path, 1 << 14).collect())
+    got = Counter((r.doc_id, r.n_tokens) for r in ss.count_by_document(spark, path, 1 << 14).collect())
     enc = encoder(default_path()).whole
-    assert got == Counter(len(enc.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    assert got == Counter((i, len(enc.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
 
 
 def test_query_counts_by_document(spark, tmp_path):
@@ -48,9 +49,37 @@ def test_query_counts_by_document(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r.doc_id, len(enc.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
 
 
+def test_splits_may_change_in_between(spark, tmp_path):
+    """Ids lie beside the tokens: how the table is split by a later scan does not matter, and a lost file is noticed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(24)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    path = new_path(spark, "test")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        ss.write_token_files(spark.read.parquet(f"{tmp_path}/documents.parquet"), path)
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        got = {r.doc_id: r.n_tokens for r in ss.count_by_document(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    enc = encoder(default_path()).whole
+    assert got == {r.doc_id: len(enc.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    lost = next(f for f in (Path(path.removeprefix("file:").replace("//", "/", 1)) / "kind=tokens").glob("part-*"))
+    lost.unlink()
+    with pytest.raises(Exception, match="differ in"):
+        ss.count_by_document(spark, path).collect()
+
+
+def test_query_takes_odd_rows(spark, tmp_path):
+    frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    enc = encoder(default_path()).whole
+    got = Counter((r.doc_id, r.n_tokens) for r in queries.op4_separator_scan(spark, str(tmp_path)).collect())
+    assert got == Counter((i, len(enc.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
+
+
 def test_nothing(spark):
     path = new_path(spark, "test")
     ss.write_token_files(frame(spark, ODD).where("false"), path)
-    assert ss.count_tokens(spark, path).count() == 0
+    assert ss.count_by_document(spark, path).count() == 0
     with pytest.raises(ValueError):
         ss.count_tokens(spark, path, 3)

@@ -82,7 +82,7 @@ class Run:
         self.rows, self.path, self.spark = rows, path, rows.sparkSession
 
     def _replies(self) -> DataFrame:
-        return self.spark.read.schema(REPLY).parquet(f"{self.path}/replies")
+        return self.spark.read.schema(REPLY).option("recursiveFileLookup", "true").parquet(f"{self.path}/replies")
 
     def places(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/places")

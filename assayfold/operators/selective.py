@@ -217,6 +217,8 @@ def calibrate(answers: DataFrame, *, keep: float | None = None, accuracy: float
         judged, skipped = answers.where("error is null"), answers.where("error is not null").count()
     if "right" not in answers.columns:
         judged = judged.withColumn("right", F.col("label") == F.col("gold"))
+    if "label" not in judged.columns:
+        judged = judged.withColumn("label", F.lit(""))
     levels = histogram(judged, "label").persist()  # what follows, but for the halves, is read from it
     try:
         return _calibrated(judged, levels, skipped, keep, accuracy, confidence, splits, seed, min_signal)
@@ -243,7 +245,7 @@ def _calibrated(judged: DataFrame, levels: DataFrame, skipped: int, keep: float
     place = F.greatest(F.lit(0), F.floor(F.size("all") * TAILS).cast("int") - 1)
     edge = F.when(F.size("all") >= TRIMMED, place).otherwise(0)
     held = scores.agg(F.percentile("coverage", 0.5).alias("coverage"), F.percentile("accuracy", 0.5).alias("accuracy"), F.sort_array(F.collect_list("accuracy")).alias("all"))  # a number a split
-    held = held.select("coverage", "accuracy", F.size("all").alias("splits"), F.try_element_at("all", edge + 1).alias("low"), F.try_element_at("all", F.size("all") - edge).alias("high")).first()
+    held = held.select("coverage", "accuracy", F.size("all").alias("splits"), F.try_element_at("all", edge + 1).alias("low"), F.try_element_at("all", F.greatest(F.size("all") - edge, F.lit(1))).alias("high")).first()
     notes = [f"{skipped} answers were not usable and are left out; triage sends them to review"] if skipped else []
     notes += [f"{items} rows are few; from {FEW} on the interval is narrower"] if items < FEW else []
     if not held.splits:

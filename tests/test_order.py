@@ -99,7 +99,7 @@ def test_halves_are_exact(spark, rows):
 
 def test_interval_agrees_with_resampling(spark):
     dice = random.Random(3)
-    values = [dice.choice([0, 1 / 6, 1 / 3, 0.5, 2 / 3, 1, 1, 1]) for _ in range(800)] + [dice.random() for _ in range(20)]
+    values = [dice.choice([0.0, 1 / 6, 1 / 3, 0.5, 2 / 3, 1.0, 1.0, 1.0]) for _ in range(800)] + [dice.random() for _ in range(20)]
     rng = np.random.default_rng(4)
     means = np.sort(rng.choice(values, (4000, len(values))).mean(1))
     low, high = means[100], means[3900]
@@ -145,7 +145,7 @@ def test_calibrate_refuses_and_notes(spark):
     # 34 rows reach the bar together, no half of them has thirty
     thin = sel.calibrate(judged(40, lambda k: k >= 6, lambda k: k / 40), accuracy=0.9).first()
     assert thin.splits == 0 and (thin.low, thin.high) == (0.0, 0.0) and any("no half" in n for n in thin.notes) and thin.accuracy >= 0.9
-    inverted = sel.calibrate(judged(2000, lambda k: sorted_(k) if k % 3 else not sorted_(k), label=lambda k: "ab"[k % 3 == 0]), accuracy=0.8, min_signal=0.3).first()
+    inverted = sel.calibrate(judged(2000, lambda k: sorted_(k) if k % 9 else not sorted_(k), label=lambda k: "ab"[k % 9 == 0]), accuracy=0.8, min_signal=0.3).first()
     assert any("labelled 'b'" in n for n in inverted.notes)
     kept = sel.calibrate(judged(2000, sorted_), keep=0.4).first()
     assert abs(kept.coverage - 0.4) < 0.05 and kept.splits == 20 and kept.headroom == 0

@@ -79,6 +79,11 @@ def position_bands(log: DataFrame, width: int = 8) -> DataFrame:
     return log.where("packed > 1").groupBy(F.floor((F.col("position") - 1) / width).alias("band")).agg(F.count("*").alias("n"), F.avg(right()).alias("accuracy"))
 
 
+def spread(bands: DataFrame, least: int = 1) -> DataFrame:
+    """One row: bands of at least so many rows, and how far the best of them lies above the worst."""
+    return bands.where(F.col("n") >= least).agg(F.count("*").alias("bands"), (F.max("accuracy") - F.min("accuracy")).alias("spread"))
+
+
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per-item accuracy of two arms: items, mean difference, share of items that moved."""
     acc = lambda x, name: x.groupBy("source").agg(F.avg(right()).alias(name))

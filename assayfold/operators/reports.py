@@ -46,6 +46,14 @@ def from_level(score: Column) -> Column:
     return F.abs(score - F.bround(score))
 
 
+def scored(log: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """A score log (score, gold and more) with what it says: `said`, the level nearest to the score, halves to even, within the
+    levels, whether that is `right`, and how far `between` two levels it lies. A row without a score has none of them."""
+    names, place = F.array(*map(F.lit, levels)), F.greatest(F.lit(0), F.least(F.lit(len(levels) - 1), F.bround("score").cast("int")))
+    said = F.when(F.col("score").isNotNull(), F.element_at(names, place + 1))
+    return log.withColumn("said", said).withColumns({"right": F.col("said") == F.col("gold"), "between": from_level(F.col("score"))})
+
+
 def distance_bands(scored: DataFrame) -> DataFrame:
     """Accuracy by distance from a level: band, n, accuracy. scored: score, label, gold; rows without a score are left out."""
     band = F.lit(None).cast("double")
@@ -167,3 +175,26 @@ def failures(answers: DataFrame, listed: int = LISTED) -> DataFrame:
 def latest(latencies: DataFrame, kept: int = LATEST) -> DataFrame:
     """The last latencies of a run (at, ms)."""
     return latencies.orderBy(F.desc("at"), F.desc("ms")).limit(kept)
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.1f%%", 100 * share)
+
+
+def gain_text() -> Column:
+    """A calibration's row as one line."""
+    line = F.concat(F.lit("from "), F.format_string("%.3f", "cut"), F.lit(" on: "), percent(F.col("coverage")), F.lit(" kept, "), percent(F.col("accuracy")), F.lit(" right ("), percent(F.col("low")), F.lit(" to "), percent(F.col("high")))
+    return F.concat(line, F.lit("), "), F.format_string("%+.1f", 100 * F.col("gain")), F.lit(" points over "), percent(F.col("baseline")), F.format_string(" of %d rows", "items"))
+
+
+def blocked_text() -> Column:
+    """A row of `selective.blocked` as one line."""
+    crowd = F.concat(F.col("levels").cast("string"), F.lit(" levels, "), percent(F.col("share")), F.format_string(" of the rows at %.3f, ", "crowd"), percent(F.col("crowd_accuracy")), F.lit(" of them right"))
+    reach = F.when(F.col("reachable").isNull(), "").when(F.col("blocked"), "; no cut reaches the bar").otherwise(F.concat(F.lit("; the bar is reached on "), percent(F.col("reachable"))))
+    return F.concat(crowd, reach)
+
+
+def verdict_text() -> Column:
+    """A row of `selective.routing` as one line."""
+    area = F.when(F.col("auroc").isNull(), "none").otherwise(F.format_string("%.3f", "auroc"))
+    return F.concat(F.col("label").cast("string"), F.format_string(": %d rows, ", "count"), percent(F.col("accuracy")), F.lit(" right, AUROC "), area, F.lit(", "), "action", F.lit(": "), "why")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assayfold.errors import AssayError
 from assayfold.functions.stats import certainty
-from assayfold.operators import judging, questions
+from assayfold.operators import judging, order, questions
 from assayfold.operators.packs import CHARS_PER_TOKEN, places
 
 #: Packs that may fail whatever the number of items, and the share of the items.
@@ -116,6 +116,16 @@ class Run:
         each = self._replies().where("sent").select("pack_id", F.explode(F.slice("attempts", F.lit(1), F.greatest(F.size("attempts") - 1, F.lit(0)))).alias("a"))
         return each.select("pack_id", "a.status", "a.waited")
 
+    def samples(self, every: float = 0.5) -> DataFrame:
+        """Counter samples of the run for `experiments.rate_windows`: t in seconds, and growing totals, one sample for every span of
+        `every` seconds in which a request came back. pushback counts retries that a status was told for."""
+        done = (F.ceil((F.col("at") + F.coalesce("ms", F.lit(0.0)) / 1000) / every) * every).cast("double").alias("t")
+        told = F.filter("attempts", lambda a: a["status"] != 0)
+        requests = self.requests().join(self._replies().where("sent").select("pack_id", F.greatest(F.size(told) - 1, F.lit(0)).cast("long").alias("pushback")), "pack_id")
+        sums = {"requests": F.count("*"), "input_tokens": F.sum("input_tokens"), "retries": F.sum("retries"), "pushback": F.sum("pushback"), "waited": F.sum("waited")}
+        per = requests.groupBy(done).agg(*(x.alias(f"_{k}") for k, x in sums.items()))
+        return order.running(per, "t", {k: F.col(f"_{k}") for k in sums}).select("t", *sums)
+
     def usage(self, answers: DataFrame | None = None) -> DataFrame:
         """One row of accounts (`judging.usage`) of the run's requests and answers, or of all answers that it had a part in."""
         return judging.usage(self.requests(), self.answers() if answers is None else answers)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayfold.operators import experiments as ex
 from assayfold.operators import judging
 from assayfold.operators import questions as qs
 from assayfold.operators import reports
@@ -29,6 +30,18 @@ def request_halves(spark, sf):
 SCORED = f"d AS (SELECT *, abs(x - round_even(x, 0)) AS far FROM (SELECT *, certainty * 2 + CAST(pos % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS x, {RIGHT} AS ok FROM l))"
 
 
+@query(f"WITH {LOG()}, b AS (SELECT floor((position - 1) / 8) AS band, avg({RIGHT}) AS accuracy FROM l GROUP BY 1) SELECT count(*) AS bands, max(accuracy) - min(accuracy) AS spread FROM b")
+def position_spread(spark, sf):
+    return ex.spread(ex.position_bands(log(spark, sf)))
+
+
+@query("""WITH s AS (SELECT doc_id AS pos, ['low', 'mid', 'high'][doc_id % 3 + 1] AS gold, CASE WHEN doc_id % 11 <> 0 THEN CAST(n_chars % 25 AS DOUBLE) / 10 END AS x FROM documents)
+SELECT pos, CASE WHEN x IS NOT NULL THEN ['low', 'mid', 'high'][1 + CAST(least(2, greatest(0, round_even(x, 0))) AS INTEGER)] END AS said, CASE WHEN x IS NOT NULL THEN ['low', 'mid', 'high'][1 + CAST(least(2, greatest(0, round_even(x, 0))) AS INTEGER)] END = gold AS "right", abs(x - round_even(x, 0)) AS between FROM s""")
+def score_log(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.element_at(F.array(*map(F.lit, ("low", "mid", "high"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("gold"), F.when(F.col("doc_id") % 11 != 0, (F.col("n_chars") % 25) / 10.0).alias("score"))
+    return reports.scored(docs, ("low", "mid", "high")).select("pos", "said", "right", "between")
+
+
 def scored(spark, sf):
     return log(spark, sf).withColumn("score", F.col("certainty") * 2 + (F.col("pos") % 10) / 10.0)
 
@@ -150,7 +163,7 @@ def seeded_sample(spark, sf):
     return labelled.sample(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), 150)
 
 
-@query("SELECT doc_id AS id, md5(doc_id || ':7') AS place FROM documents")
+@query("SELECT doc_id AS id, row_number() OVER (ORDER BY substr(md5(doc_id || ':7'), 1, 12), doc_id) - 1 AS place FROM documents")
 def seeded_order(spark, sf):
     return labelled.shuffled(table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayfold.operators import order
+
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """id, input, target, agreed of a labelled JSONL corpus; notices and half-written rows are dropped.
@@ -20,7 +22,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 
 def write_answers_csv(answers: DataFrame, path: str) -> None:
     """item, label, p with four decimals."""
-    answers.select("item", "label", F.format_string("%.4f", F.col("p")).alias("p")).write.option("header", True).csv(path)
+    answers.select("item", "label", F.format_string("%.4f", F.col("p")).alias("p")).write.mode("overwrite").option("header", True).csv(path)
 
 
 def repeats(items: DataFrame, copies: int) -> DataFrame:
@@ -68,8 +70,15 @@ def sample(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
 
 
 def shuffled(items: DataFrame, seed: int = 7) -> DataFrame:
-    """items with `place`, a seeded order of work that does not depend on theirs: a number to sort by, not a rank."""
-    return items.withColumn("place", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))))
+    """items with `place`, their rank from 0 in a seeded order of work that does not depend on theirs: the key to join answers
+    of a shuffled run back on. Ids are all different."""
+    hashed = items.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long"))
+    return order.running(hashed, "_h", {"place": F.lit(1)}, then=("id",)).withColumn("place", F.col("place") - 1).drop("_h")
+
+
+def in_their_places(answers: DataFrame, shuffled_items: DataFrame) -> DataFrame:
+    """Answers of a shuffled run (place and more) with the items' own columns."""
+    return shuffled_items.join(answers, "place")
 
 
 def write_noted(rows: DataFrame, path: str, note: str) -> None:
@@ -78,6 +87,11 @@ def write_noted(rows: DataFrame, path: str, note: str) -> None:
     rows.sparkSession.createDataFrame([(note,)], "note string").coalesce(1).write.mode("append").json(path)
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Rows of measurements as JSON lines, added to those that are there; columns without a value are left out of a line."""
+    metrics.write.mode("append").json(path)
+
+
 def read_log(spark: SparkSession, path: str, row: str, head: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows, heads) of a run log of JSON lines in which heads, or notes, stand among rows.
 

@@ -10,8 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assayfold.errors import AssayError
 from assayfold.functions.stats import certainty
-from assayfold.operators import judging, runs
+from assayfold.operators import judging, questions, runs
+from assayfold.sources import labelled
 from assayfold.sources.bank import ANSWER, Bank
+from assayfold.sources.chunks import CHUNK, Chunks
 from assayfold.streaming.ordered import Frontier
 
 #: Answers that the cache holds; the oldest go first.
@@ -98,14 +100,14 @@ def judge_batch(rows: DataFrame, post: Callable, bank: Bank, path: str, *, cache
     return out
 
 
-def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoint: str, *, model: str = "default", pack: int = 32, workers: int = 4, once: bool = False, on_error: str = "skip", share: float = runs.SHARE, cached: int = CACHED, dedupe: bool = True, in_order: bool = False, on_batch: Callable[[int, int], None] | None = None, longest: int | None = judging.LONGEST, fold_at: int = 16, trigger: dict | None = None) -> StreamingQuery:
+def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoint: str, *, model: str = "default", pack: int = 32, workers: int = 4, once: bool = False, on_error: str = "skip", share: float = runs.SHARE, cached: int = CACHED, dedupe: bool = True, in_order: bool = False, on_batch: Callable[[int, int], None] | None = None, longest: int | None = judging.LONGEST, fold_at: int = 16, keep_items: bool = False, trigger: dict | None = None) -> StreamingQuery:
     """Start judging a stream of (pos, item and a question); `questions.with_defaults` gives all rows the same one.
 
     Answers are keyed by item, question, model and pack. They land in out/answers/batch=N, and with in_order also in
     out/ordered/out/batch=N, which has them in the order of pos up to the first that is still missing. Each batch's
     requests and attempts stay in out/runs/batch=N. A restart goes on after the last batch that was finished, and asks
     nothing that the bank holds. A batch with more failures than its budget stops the query when its usable answers are
-    banked. on_batch gets a batch's number and how many items it asked about."""
+    banked. With keep_items the texts land in out/items/batch=N. on_batch gets a batch's number and how many items it asked about."""
     missing = [c for c in ("pos", "item", *judging.QUESTION) if c not in items.columns]
     if missing:
         raise AssayError(f"a stream of items needs a question for each row; it lacks {', '.join(missing)}")
@@ -121,6 +123,8 @@ def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoin
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # of a try that was cut off; what it banked is not asked again
         answers = judge_batch(batch, post, bank, path, cache=cache, dedupe=dedupe, model=model, pack=pack, workers=workers, once=once, on_error=on_error, share=share, longest=longest)
         answers.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
+        if keep_items:
+            batch.select("pos", "item").write.mode("overwrite").parquet(f"{out}/items/batch={number}")
         if order:
             order.advance(answers, number)
         bank.fold(fold_at)
@@ -131,10 +135,32 @@ def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoin
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def usage_of(spark: SparkSession, out: str) -> DataFrame:
-    """One row of accounts over all batches of a stream: requests, tokens, retries and waits from its own replies, and items by
-    where their answers came from."""
-    replies = runs.Run(spark.read.parquet(f"{out}/answers"), f"{out}/runs/batch=*")
-    return judging.usage(replies.requests(), spark.read.parquet(f"{out}/answers"))
+def log_of(spark: SparkSession, out: str) -> runs.Run:
+    """All batches of a stream as one run: its requests, attempts, accounts and counter samples."""
+    run = runs.Run(spark.read.parquet(f"{out}/answers"), f"{out}/runs/batch=*")
+    run.answers = lambda: spark.read.parquet(f"{out}/answers")
+    # packs are numbered from 0 in every batch
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "batch=([0-9]+)", 1).cast("long")
+    replies = spark.read.schema(runs.REPLY).option("recursiveFileLookup", "true").parquet(f"{out}/runs/batch=*/replies")
+    run._replies = lambda: replies.withColumn("pack_id", batch * (1 << 40) + F.col("pack_id"))
+    return run
 
 
+def soak(spark: SparkSession, post: Callable, out: str, *, rows: int | None = None, seconds: float | None = None, chunk: int = CHUNK, question: dict | None = None, **more) -> runs.Run:
+    """Judge made items until there are `rows` of them, or for so many seconds, and leave the answers as CSV in out/csv.
+
+    A soak that was cut off goes on where it stopped when it is called again with the same out."""
+    spark.dataSource.register(Chunks)
+    source = spark.readStream.format("chunks").option("chunk", chunk).option("state", f"{out}/source/at.json")
+    for name, value in (("rows", rows), ("seconds", seconds)):
+        source = source if value is None else source.option(name, value)
+    items = questions.with_defaults(source.load(), **(question or {"instructions": "Is this a complaint?"}))
+    query = stream(items, post, f"{out}/bank", out, f"{out}/checkpoint", keep_items=True, trigger={"processingTime": "0 seconds"}, **more)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    answers = spark.read.parquet(f"{out}/answers")
+    texts = spark.read.parquet(f"{out}/items").select("pos", "item")
+    labelled.write_answers_csv(answers.where("error is null").join(texts, "pos"), f"{out}/csv")
+    return log_of(spark, out)

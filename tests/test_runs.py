@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayfold.errors import AssayError
-from assayfold.operators import judging, questions, reports, runs
+from assayfold.operators import experiments as ex
+from assayfold.operators import judging, questions, reports, runs, selective
 from assayfold.sources import bank as banks
-from assayfold.sources import ledger
+from assayfold.sources import labelled, ledger
 from assayfold.streaming import jobs
 from assayfold.streaming.ordered import Frontier, first_gap
 
@@ -209,7 +210,7 @@ def test_stream_resumes_by_question(spark, tmp_path):
     assert {x for x, _ in other.values()} == {"no"} and sum(o == "asked" for _, o in other.values()) == 3
     assert {o for _, o in run("three", pack=3).values()} <= {"asked", "cached"}
     assert {o for _, o in run("four").values()} == {"resumed"}
-    assert jobs.usage_of(spark, f"{root}/one").first().requests >= 2
+    assert jobs.log_of(spark, f"{root}/one").usage().first().requests >= 2
     with pytest.raises(AssayError, match="question"):
         jobs.stream(spark.readStream.schema("pos long, item string").parquet(f"{root}/in"), post, f"{root}/bank", f"{root}/x", f"{root}/y")
 
@@ -233,3 +234,42 @@ def test_stream_banks_before_it_stops(spark, tmp_path):
 def test_judging_keeps_the_key_of_questions(spark):
     a, b = rows(spark, "x").withColumn("key", judging.question_key("m", 4)), rows(spark, "x", instructions="Is it bad?").withColumn("key", judging.question_key("m", 4))
     assert a.first().key != b.first().key != rows(spark, "x").withColumn("key", judging.question_key("m", 5)).first().key
+
+
+def test_soak_goes_on_where_it_stopped(spark, tmp_path):
+    """Chunks of a bounded source, its answers as CSV, and the stream's own counters, over two calls."""
+    out = f"file://{tmp_path}/soak"
+    more = {"question": {"instructions": "Is it good?"}, "pack": 8, "workers": 2, "longest": None}
+    run = jobs.soak(spark, reply, out, rows=100, chunk=40, **more)
+    assert sorted(r.pos for r in run.answers().collect()) == list(range(100))
+    assert sorted(r.batch for r in run.answers().select("batch").distinct().collect()) == [0, 1, 2]
+    run = jobs.soak(spark, reply, out, rows=130, chunk=40, **more)
+    assert sorted(r.pos for r in run.answers().collect()) == list(range(130))
+    assert spark.read.option("header", True).csv(f"{out}/csv").count() == 130
+    samples = run.samples(0.001).orderBy("t").collect()
+    u = run.usage().first()
+    assert (u.requests, u["items"], u.input_tokens) == (5 + 5 + 3 + 4, 130, 7 * 130)
+    assert (samples[-1].requests, samples[-1].input_tokens) == (u.requests, u.input_tokens) and len(samples) > 3
+    windows = ex.rate_windows(run.samples(0.001), (samples[-1].t - samples[0].t) / 3, 8).collect()
+    assert windows and sum(w.requests_per_minute * w.seconds / 60 for w in windows) <= u.requests
+    timed = jobs.soak(spark, reply, f"file://{tmp_path}/timed", seconds=0.5, chunk=8, **more)
+    assert timed.answers().count() >= 8 and timed.answers().count() % 8 == 0
+
+
+def test_texts_of_reports(spark):
+    rows = [(k, (k % 97) / 97, (k * 31) % 97 < (k % 97) + 20, "ab"[k % 2]) for k in range(400)]
+    judged = spark.createDataFrame(rows, "pos long, certainty double, right boolean, label string")
+    line = selective.calibrate(judged, accuracy=0.8).select(reports.gain_text().alias("t")).first().t
+    assert line.startswith("from 0.") and "points over" in line and line.endswith("of 400 rows")
+    texts = [selective.blocked(selective.resolution(judged, bar)).select(reports.blocked_text().alias("t")).first().t for bar in (0.8, 0.99999, None)]
+    assert "reached on" in texts[0] and "97 levels" in texts[1] and ";" not in texts[2]
+    assert all(": 200 rows, " in r.t for r in selective.routing(judged, 0.8).select(reports.verdict_text().alias("t")).collect())
+
+
+def test_shuffled_runs_are_joined_back(spark):
+    items = spark.range(50).select("id", F.concat(F.lit("t"), "id").alias("item"))
+    mixed = labelled.shuffled(items)
+    places = [r.place for r in mixed.orderBy("id").collect()]
+    assert sorted(places) == list(range(50)) != places
+    back = labelled.in_their_places(mixed.select("place", F.length("item").alias("said")), mixed)
+    assert {r.id: r.said for r in back.collect()} == {k: len(f"t{k}") for k in range(50)}

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from assayfold.errors import AssayError
 
 #: z of the one-sided confidences that are offered (fixed values).
-Z_FOR = {0.5: 0.0, 0.8: 0.84, 0.9: 1.28, 0.95: 1.645, 0.99: 2.33}
+QUANTILES = {0.5: 0.0, 0.8: 0.84, 0.9: 1.28, 0.95: 1.645, 0.99: 2.33}
 
 
 def z_for(confidence: float | None) -> float:
     """z of a confidence; 0 or none asks for the plain estimate, other values are refused."""
     if not confidence:
         return 0.0
-    if confidence not in Z_FOR:
-        raise AssayError(f"confidence must be one of {sorted(Z_FOR)}")
-    return Z_FOR[confidence]
+    if confidence not in QUANTILES:
+        raise AssayError(f"confidence must be one of {sorted(QUANTILES)}")
+    return QUANTILES[confidence]
 
 
 def certainty(kind: Column, p: Column, error: Column) -> Column:

@@ -30,9 +30,22 @@ def macro_accuracy(log: DataFrame, *by: str) -> DataFrame:
 def votes(log: DataFrame) -> DataFrame:
     """Items of one mind against wavering ones, majority against the first ask (ties: the label seen first)."""
     n = log.groupBy("source", "gold", "label").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    items = n.groupBy("source", "gold").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("major"), F.min_by("label", "first").alias("one"), (F.count("*") == 1).alias("firm"), F.sum(F.when(F.col("label") == F.col("gold"), F.col("n")).otherwise(0)).alias("r"), F.sum("n").alias("n"))
+    items = n.groupBy("source", "gold").agg(
+        F.max_by("label", F.struct("n", -F.col("first"))).alias("major"),
+        F.min_by("label", "first").alias("one"),
+        (F.count("*") == 1).alias("firm"),
+        F.sum(F.when(F.col("label") == F.col("gold"), F.col("n")).otherwise(0)).alias("r"),
+        F.sum("n").alias("n"),
+    )
     acc = F.col("r") / F.col("n").cast("double")
-    return items.agg(F.count("*").alias("items"), F.count_if("firm").alias("firm"), F.avg(F.when(F.col("firm"), acc)).alias("firm_accuracy"), F.avg(F.when(~F.col("firm"), acc)).alias("split_accuracy"), F.avg((F.col("major") == F.col("gold")).cast("double")).alias("majority"), F.avg((F.col("one") == F.col("gold")).cast("double")).alias("first_ask"))
+    return items.agg(
+        F.count("*").alias("items"),
+        F.count_if("firm").alias("firm"),
+        F.avg(F.when(F.col("firm"), acc)).alias("firm_accuracy"),
+        F.avg(F.when(~F.col("firm"), acc)).alias("split_accuracy"),
+        F.avg((F.col("major") == F.col("gold")).cast("double")).alias("majority"),
+        F.avg((F.col("one") == F.col("gold")).cast("double")).alias("first_ask"),
+    )
 
 
 def reliability(log: DataFrame) -> DataFrame:
@@ -40,13 +53,17 @@ def reliability(log: DataFrame) -> DataFrame:
     band = F.lit(None).cast("double")
     for low, high in zip(BANDS, BANDS[1:]):
         band = F.when((F.col("certainty") >= low) & (F.col("certainty") < high), F.lit(low)).otherwise(band)
-    out = log.withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.avg("certainty").alias("said"), F.avg(right()).alias("happened"))
+    out = log.withColumn("band", band).where("band is not null").groupBy("band").agg(
+        F.count("*").alias("n"), F.avg("certainty").alias("said"), F.avg(right()).alias("happened")
+    )
     return out.withColumn("gap", F.col("happened") - F.col("said"))
 
 
 def calibration_gap(log: DataFrame) -> DataFrame:
     """Weighted mean of the bands' absolute and signed gaps."""
-    return reliability(log).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("absolute"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("signed"))
+    return reliability(log).agg(
+        (F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("absolute"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("signed")
+    )
 
 
 def prefixes(log: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -54,7 +71,9 @@ def prefixes(log: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Running counts go over levels of certainty, and over the rows of those levels alone in which a k ends."""
     levels = log.groupBy("certainty").agg(F.count("*").alias("n"), F.sum(right()).alias("r"))
-    levels = order.running(levels, "certainty", {"upto": F.col("n"), "r_upto": F.col("r")}, down=True, at=order.cuts(log, "certainty")).withColumns({"above": F.col("upto") - F.col("n"), "r_above": F.col("r_upto") - F.col("r")})
+    levels = order.running(levels, "certainty", {"upto": F.col("n"), "r_upto": F.col("r")}, down=True, at=order.cuts(log, "certainty")).withColumns(
+        {"above": F.col("upto") - F.col("n"), "r_above": F.col("r_upto") - F.col("r")}
+    )
     ends = levels.join(F.broadcast(sizes), (F.col("above") < F.col("k")) & (F.col("k") <= F.col("upto"))).select("certainty", "k", "above", "r_above")
     inside = log.join(F.broadcast(ends.select("certainty").distinct()), "certainty", "left_semi").select("certainty", "pos", right().alias("r"))
     inside = order.running(inside, "pos", {"i": F.lit(1), "so_far": F.col("r")}, by=("certainty",))
@@ -65,7 +84,9 @@ def prefixes(log: DataFrame, sizes: DataFrame) -> DataFrame:
 def sizes_of(rows: DataFrame, coverages: tuple[float, ...]) -> DataFrame:
     """(coverage, k): how many of the rows each coverage keeps, one at least; none of an empty table."""
     total = rows.agg(F.count("*").alias("total")).where("total > 0")
-    return total.select(F.explode(F.array(*map(F.lit, coverages))).alias("coverage"), "total").select("coverage", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("coverage"))).alias("k"))
+    return total.select(F.explode(F.array(*map(F.lit, coverages))).alias("coverage"), "total").select(
+        "coverage", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("coverage"))).alias("k")
+    )
 
 
 def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> DataFrame:
@@ -76,7 +97,9 @@ def risk_coverage(log: DataFrame, coverages: tuple[float, ...] = COVERAGES) -> D
 
 def position_bands(log: DataFrame, width: int = 8) -> DataFrame:
     """Accuracy by place in the request, packed rows only."""
-    return log.where("packed > 1").groupBy(F.floor((F.col("position") - 1) / width).alias("band")).agg(F.count("*").alias("n"), F.avg(right()).alias("accuracy"))
+    return log.where("packed > 1").groupBy(F.floor((F.col("position") - 1) / width).alias("band")).agg(
+        F.count("*").alias("n"), F.avg(right()).alias("accuracy")
+    )
 
 
 def spread(bands: DataFrame, least: int = 1) -> DataFrame:
@@ -88,7 +111,11 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per-item accuracy of two arms: items, mean difference, share of items that moved."""
     acc = lambda x, name: x.groupBy("source").agg(F.avg(right()).alias(name))
     both = acc(a, "a").join(acc(b, "b"), "source")
-    return both.agg(F.count("*").alias("items"), F.avg(F.col("b") - F.col("a")).alias("difference"), F.avg((F.col("a") != F.col("b")).cast("double")).alias("moved"))
+    return both.agg(
+        F.count("*").alias("items"),
+        F.avg(F.col("b") - F.col("a")).alias("difference"),
+        F.avg((F.col("a") != F.col("b")).cast("double")).alias("moved"),
+    )
 
 
 #: Up to this mean a Poisson count is drawn from its exact distribution, above it from a normal one with its skewness; lots
@@ -120,7 +147,9 @@ def interval(values: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
     spark = values.sparkSession
     at = F.round(F.col("value") * 10.0**DECIMALS).cast("long")
     kinds = values.where(F.col("value").isNotNull()).groupBy(at.alias("kind")).agg(F.count("*").alias("m"), F.avg("value").alias("value"))
-    dealt = kinds.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "lot")
+    dealt = kinds.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))).repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "lot"
+    )
     drawn = dealt.where(F.col("lot") < draws).withColumn("draw", F.explode(F.sequence(F.col("lot"), F.lit(draws - 1), F.lit(LOTS))))
     drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.col("kind").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))))
     number = lambda k: F.conv(F.substring("h", k, 8), 16, 10).cast("double") / float(1 << 32)
@@ -130,7 +159,9 @@ def interval(values: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
     z = F.sqrt(-2 * F.log(1 - F.col("u"))) * F.cos(2 * math.pi * F.col("v"))
     many = F.greatest(F.lit(0.0), F.round(F.col("m") + F.sqrt(F.col("m").cast("double")) * z + (z * z - 1) / 6))
     times = F.when(F.col("below").isNull(), many).otherwise(F.size(F.filter("below", lambda b: b <= F.col("u"))).cast("double"))
-    means = drawn.select("draw", "value", times.alias("w")).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m"))
+    means = drawn.select("draw", "value", times.alias("w")).groupBy("draw").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("m")
+    )
     found = means.agg(F.sort_array(F.collect_list("m")).alias("s"))  # one number a draw
     place = lambda share: F.element_at("s", F.least(F.size("s"), F.floor(F.size("s") * share).cast("int") + 1))
     return found.where(F.size("s") > 0).select(place(0.025).alias("low"), place(0.975).alias("high"))
@@ -143,8 +174,14 @@ def bootstrap(log: DataFrame, draws: int = 2000, seed: int = 1) -> DataFrame:
 
 def price(log: DataFrame, runs: DataFrame, cut: float) -> DataFrame:
     """Per arm: rows, share trusted at a cut, its accuracy, and dollars for a thousand trusted rows."""
-    arms = log.groupBy("arm").agg(F.count("*").alias("n"), F.avg((F.col("certainty") >= cut).cast("double")).alias("kept"), F.avg(F.when(F.col("certainty") >= cut, right())).alias("accuracy"))
-    return arms.join(runs, "arm", "left").select("arm", "n", "kept", "accuracy", F.when(F.col("kept") > 0, F.col("usd") / F.col("n") * 1000 / F.col("kept")).alias("usd_per_1000"))
+    arms = log.groupBy("arm").agg(
+        F.count("*").alias("n"),
+        F.avg((F.col("certainty") >= cut).cast("double")).alias("kept"),
+        F.avg(F.when(F.col("certainty") >= cut, right())).alias("accuracy"),
+    )
+    return arms.join(runs, "arm", "left").select(
+        "arm", "n", "kept", "accuracy", F.when(F.col("kept") > 0, F.col("usd") / F.col("n") * 1000 / F.col("kept")).alias("usd_per_1000")
+    )
 
 
 COUNTERS = ("requests", "input_tokens", "retries", "pushback", "waited")
@@ -162,12 +199,30 @@ def rate_windows(samples: DataFrame, seconds: float, pack: int = 1) -> DataFrame
     passed = F.floor((F.col("t") - F.col("t0")) / seconds).cast("long")
     first = rows.withColumn("passed", passed).withColumn("last", F.lag("passed", 1, 0).over(order)).where("passed > last")
     edges = first.select(F.explode(F.sequence(F.col("last") + 1, F.col("passed"))).alias("k"), "i")
-    taken = edges.select(F.col("k"), (F.max(F.col("i") - F.col("k")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)) + F.col("k")).alias("i"))
-    at = rows.join(taken, "i").select("k", "t", "t0", *COUNTERS).unionByName(rows.where("i = 0").select(F.lit(0).cast("long").alias("k"), "t", "t0", *COUNTERS))
+    taken = edges.select(
+        F.col("k"), (F.max(F.col("i") - F.col("k")).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)) + F.col("k")).alias("i")
+    )
+    at = rows.join(taken, "i").select("k", "t", "t0", *COUNTERS).unionByName(
+        rows.where("i = 0").select(F.lit(0).cast("long").alias("k"), "t", "t0", *COUNTERS)
+    )
     before = lambda c: F.lag(c).over(W.orderBy("k"))
-    grown = at.select("k", (before("t") - F.col("t0")).alias("from"), (F.col("t") - before("t")).alias("seconds"), *((F.col(c) - before(c)).alias(c) for c in COUNTERS)).where("seconds > 0")
+    grown = at.select(
+        "k",
+        (before("t") - F.col("t0")).alias("from"),
+        (F.col("t") - before("t")).alias("seconds"),
+        *((F.col(c) - before(c)).alias(c) for c in COUNTERS),
+    ).where("seconds > 0")
     per = lambda c: F.col(c) / F.col("seconds")
-    return grown.select("from", "seconds", (per("requests") * 60).alias("requests_per_minute"), (per("requests") * pack).alias("items_per_second"), per("input_tokens").alias("tokens_per_second"), "retries", "pushback", "waited")
+    return grown.select(
+        "from",
+        "seconds",
+        (per("requests") * 60).alias("requests_per_minute"),
+        (per("requests") * pack).alias("items_per_second"),
+        per("input_tokens").alias("tokens_per_second"),
+        "retries",
+        "pushback",
+        "waited",
+    )
 
 
 def sustained(windows: DataFrame) -> DataFrame:
@@ -177,8 +232,21 @@ def sustained(windows: DataFrame) -> DataFrame:
     half = F.floor(F.col("rest") / 2)
     rate = lambda where: F.avg(F.when(where, F.col("requests_per_minute")))
     later = F.col("k") > 0
-    out = rows.agg(F.max("rest").alias("windows"), rate(~later).alias("burst"), rate(later).alias("held"), F.percentile(F.when(later, F.col("requests_per_minute")), 0.5).alias("middle"), F.min(F.when(later, F.col("requests_per_minute"))).alias("least"), F.max(F.when(later, F.col("requests_per_minute"))).alias("most"), F.avg(F.when(later, F.col("items_per_second"))).alias("items_per_second"), F.avg(F.when(later, F.col("tokens_per_second"))).alias("tokens_per_second"), rate(later & (F.col("k") <= half)).alias("early"), rate(F.col("k") > half).alias("late"))
-    return out.where("windows is not null").withColumn("drift", F.when(F.col("windows") >= 4, F.try_divide(F.col("late") - F.col("early"), F.col("early"))))
+    out = rows.agg(
+        F.max("rest").alias("windows"),
+        rate(~later).alias("burst"),
+        rate(later).alias("held"),
+        F.percentile(F.when(later, F.col("requests_per_minute")), 0.5).alias("middle"),
+        F.min(F.when(later, F.col("requests_per_minute"))).alias("least"),
+        F.max(F.when(later, F.col("requests_per_minute"))).alias("most"),
+        F.avg(F.when(later, F.col("items_per_second"))).alias("items_per_second"),
+        F.avg(F.when(later, F.col("tokens_per_second"))).alias("tokens_per_second"),
+        rate(later & (F.col("k") <= half)).alias("early"),
+        rate(F.col("k") > half).alias("late"),
+    )
+    return out.where("windows is not null").withColumn(
+        "drift", F.when(F.col("windows") >= 4, F.try_divide(F.col("late") - F.col("early"), F.col("early")))
+    )
 
 
 def worst_window(events: DataFrame, seconds: int = 60) -> DataFrame:
@@ -189,7 +257,9 @@ def worst_window(events: DataFrame, seconds: int = 60) -> DataFrame:
     dealt = events.select(t.alias("t"), F.explode(F.array(F.floor(t / w), F.floor(t / w) + 1)).alias("part"))
     upto = W.partitionBy("part").orderBy("t").rangeBetween(-w, 0)
     per = dealt.withColumns({"n": F.count("*").over(upto), "start": F.min("t").over(upto)}).where(F.floor(F.col("t") / w) == F.col("part"))
-    out = per.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.min_by("start", F.struct(-F.col("n"), "t")).alias("start"), F.min("t").alias("first"))
+    out = per.agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.min_by("start", F.struct(-F.col("n"), "t")).alias("start"), F.min("t").alias("first")
+    )
     return out.select("most", F.coalesce((F.col("start") - F.col("first")) / 1e6, F.lit(0.0)).alias("began"))
 
 
@@ -199,4 +269,10 @@ def percentiles(values: DataFrame, column: str) -> DataFrame:
     levels = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     levels = order.running(levels, "v", {"upto": F.col("n")}, totals={"total": F.col("n")}, at=order.cuts(values, column))
     at = lambda place: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, place), F.col("v")))
-    return levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("v", 0.5, F.col("n")).alias("median"), at(F.bround((F.col("total") - 1) * F.lit(0.95)).cast("long")).alias("p95"), at(F.floor(F.col("total") * F.lit(0.95))).alias("tail"))
+    return levels.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.percentile("v", 0.5, F.col("n")).alias("median"),
+        at(F.bround((F.col("total") - 1) * F.lit(0.95)).cast("long")).alias("p95"),
+        at(F.floor(F.col("total") * F.lit(0.95))).alias("tail"),
+    )

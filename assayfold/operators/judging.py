@@ -32,13 +32,22 @@ def key(text: Column, of_shape: Column) -> Column:
 def clean(items: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """Texts as strings; an item over the limit stops the run before anything is sent, with its place in the message."""
     text = F.coalesce(F.col("item").cast("string"), F.lit("None"))
-    refuse = F.raise_error(F.concat(F.lit("item "), (F.col("pos") + 1).cast("string"), F.lit(f" is over {longest} characters; nothing was sent"))).cast("string")
+    refuse = F.raise_error(
+        F.concat(F.lit("item "), (F.col("pos") + 1).cast("string"), F.lit(f" is over {longest} characters; nothing was sent"))
+    ).cast("string")
     return items.withColumn("item", text if longest is None else F.when(F.length(text) > longest, refuse).otherwise(text))
 
 
+def oversize(items: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(pos, length) of the items that `clean` refuses, to be looked at before a run."""
+    return items.select("pos", F.length(F.coalesce(F.col("item").cast("string"), F.lit("None"))).alias("length")).where(F.col("length") > longest)
+
+
 def todo(items: DataFrame, ledger: DataFrame) -> DataFrame:
     """First occurrences of keys that the ledger does not hold. items: pos, item, key."""
-    return items.groupBy("key").agg(F.min_by(F.struct("pos", "item"), "pos").alias("f")).select("key", "f.pos", "f.item").join(ledger.select("key"), "key", "left_anti")
+    return items.groupBy("key").agg(F.min_by(F.struct("pos", "item"), "pos").alias("f")).select("key", "f.pos", "f.item").join(
+        ledger.select("key"), "key", "left_anti"
+    )
 
 
 def fan_back(items: DataFrame, answers: DataFrame) -> DataFrame:
@@ -58,13 +67,30 @@ def decode(entries: DataFrame) -> DataFrame:
     top = F.coalesce(F.array_max(F.transform(F.map_keys("e.probabilities"), lambda k: k.try_cast("int"))), F.lit(0))
     nearest = F.greatest(F.lit(0), F.least(top, F.bround("e.score").cast("int"))).cast("string")
     by_legend = F.transform_keys("e.probabilities", lambda k, _: F.coalesce(F.element_at("e.legend", k), k))
-    kind = F.when(F.col("e.noul").isNotNull(), "noul").when(F.col("e.score").isNotNull(), "score").when(F.col("e.choice").isNotNull(), "choice").otherwise("error")
+    kind = F.when(F.col("e.noul").isNotNull(), "noul").when(F.col("e.score").isNotNull(), "score").when(
+        F.col("e.choice").isNotNull(), "choice"
+    ).otherwise("error")
     out = out.withColumn("kind", kind)
     is_ = lambda k: F.col("kind") == k
-    label = F.when(is_("noul"), F.when(F.col("e.noul") >= 0.5, "yes").otherwise("no")).when(is_("score"), F.coalesce(F.element_at("e.legend", nearest), nearest)).when(is_("choice"), F.col("e.choice")).otherwise("")
-    p = F.when(is_("noul"), F.col("e.noul")).when(is_("score"), F.coalesce(F.element_at("e.probabilities", nearest), F.lit(0.0))).when(is_("choice"), F.coalesce(F.element_at("e.probabilities", F.col("e.choice")), F.lit(0.0))).otherwise(0.0)
-    spread = F.when(is_("noul"), F.create_map(F.lit("yes"), F.col("e.noul"), F.lit("no"), F.lit(1.0) - F.col("e.noul"))).when(is_("score"), by_legend).when(is_("choice"), F.col("e.probabilities"))
-    return out.withColumns({"label": label, "p": p, "distribution": spread, "confidence": F.col("e.confidence"), "score": F.col("e.score"), "error": F.when(is_("error"), "unreadable answer")}).drop("e")
+    label = F.when(is_("noul"), F.when(F.col("e.noul") >= 0.5, "yes").otherwise("no")).when(
+        is_("score"), F.coalesce(F.element_at("e.legend", nearest), nearest)
+    ).when(is_("choice"), F.col("e.choice")).otherwise("")
+    p = F.when(is_("noul"), F.col("e.noul")).when(is_("score"), F.coalesce(F.element_at("e.probabilities", nearest), F.lit(0.0))).when(
+        is_("choice"), F.coalesce(F.element_at("e.probabilities", F.col("e.choice")), F.lit(0.0))
+    ).otherwise(0.0)
+    spread = F.when(is_("noul"), F.create_map(F.lit("yes"), F.col("e.noul"), F.lit("no"), F.lit(1.0) - F.col("e.noul"))).when(
+        is_("score"), by_legend
+    ).when(is_("choice"), F.col("e.probabilities"))
+    return out.withColumns(
+        {
+            "label": label,
+            "p": p,
+            "distribution": spread,
+            "confidence": F.col("e.confidence"),
+            "score": F.col("e.score"),
+            "error": F.when(is_("error"), "unreadable answer"),
+        }
+    ).drop("e")
 
 
 def in_order(items: DataFrame, known: DataFrame) -> DataFrame:
@@ -76,13 +102,37 @@ def in_order(items: DataFrame, known: DataFrame) -> DataFrame:
 def usage(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """One row of accounts. requests: input_tokens, output_tokens, retries, waited; answers: origin (asked, copied,
     cached, resumed), error."""
-    req = requests.agg(F.count("*").alias("requests"), F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"), F.coalesce(F.sum("waited"), F.lit(0.0)).alias("waited"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"))
-    ans = answers.agg(F.count("*").alias("items"), F.count_if(F.col("origin").isin("copied", "cached") & F.col("error").isNull()).alias("cached"), F.count_if(F.col("origin") == "resumed").alias("resumed"), F.count_if(F.col("error").isNotNull()).alias("skipped"))
+    req = requests.agg(
+        F.count("*").alias("requests"),
+        F.coalesce(F.sum("retries"), F.lit(0)).alias("retries"),
+        F.coalesce(F.sum("waited"), F.lit(0.0)).alias("waited"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+    )
+    ans = answers.agg(
+        F.count("*").alias("items"),
+        F.count_if(F.col("origin").isin("copied", "cached") & F.col("error").isNull()).alias("cached"),
+        F.count_if(F.col("origin") == "resumed").alias("resumed"),
+        F.count_if(F.col("error").isNotNull()).alias("skipped"),
+    )
     out = req.crossJoin(F.broadcast(ans))  # one row each
-    return out.withColumns({"answered": F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed")), "usd": F.col("input_tokens") * USD_PER_MILLION / 1e6, "tokens_per_item": F.try_divide(F.col("input_tokens"), F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed")))})
-
-
-def judge(items: DataFrame, ask: Callable[[list[str]], list[str]], ledger: DataFrame | None = None, pack: int = 32, workers: int = 4, longest: int | None = LONGEST) -> DataFrame:
+    return out.withColumns(
+        {
+            "answered": F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed")),
+            "usd": F.col("input_tokens") * USD_PER_MILLION / 1e6,
+            "tokens_per_item": F.try_divide(F.col("input_tokens"), F.greatest(F.lit(0), F.col("items") - F.col("cached") - F.col("resumed"))),
+        }
+    )
+
+
+def judge(
+    items: DataFrame,
+    ask: Callable[[list[str]], list[str]],
+    ledger: DataFrame | None = None,
+    pack: int = 32,
+    workers: int = 4,
+    longest: int | None = LONGEST,
+) -> DataFrame:
     """One decoded answer for every item (pos, item, key), with `certainty` and `origin`: asked, copied or resumed.
 
     ask gets a pack's texts and returns a JSON entry for each; an exception makes that pack's items errors. Equal items
@@ -100,7 +150,18 @@ def question_key(model: str, pack: int, once: bool = False) -> Column:
     return key(F.col("item"), shape(model, pack, "once" if once else "repeat", *[F.col(c) for c in QUESTION]))
 
 
-def judge_questions(rows: DataFrame, post: Callable[[str], str], model: str = "default", ledger: DataFrame | None = None, pack: int = 32, workers: int = 4, once: bool = False, longest: int | None = LONGEST, dedupe: bool = True, chars_per_token: float = CHARS_PER_TOKEN) -> DataFrame:
+def judge_questions(
+    rows: DataFrame,
+    post: Callable[[str], str],
+    model: str = "default",
+    ledger: DataFrame | None = None,
+    pack: int = 32,
+    workers: int = 4,
+    once: bool = False,
+    longest: int | None = LONGEST,
+    dedupe: bool = True,
+    chars_per_token: float = CHARS_PER_TOKEN,
+) -> DataFrame:
     """`judge` for rows (pos, item and a question, see `questions.with_defaults`), with the key of item and question.
 
     post gets a pack's body as JSON and returns the response's JSON. Requests go out whenever the result is evaluated;
@@ -125,7 +186,9 @@ def posted(rows: DataFrame, post: Callable[[str], str], model: str, pack: int, w
     """Answers to all rows (pos, item, key and a question), of equal ones asked for the first, one body a pack."""
     overhead = questions.overhead(*[F.col(c) for c in QUESTION], once=once)
     sizes = rows.select("key", "pos", F.length("item").alias("length"), overhead.alias("overhead"))
-    firsts = sizes.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"), F.min_by("overhead", "pos").alias("overhead"))
+    firsts = sizes.groupBy("key").agg(
+        F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"), F.min_by("overhead", "pos").alias("overhead")
+    )
     packs = rows.select("pos", "key", "item", *QUESTION).join(places(firsts, pack, chars_per_token), "pos")
 
     def run(batches: Iterator) -> Iterator:
@@ -139,7 +202,9 @@ def posted(rows: DataFrame, post: Callable[[str], str], model: str, pack: int, w
                     said, why = None, str(e) or type(e).__name__
                 yield pd.DataFrame({"pack_id": [number], "said": [said], "why": [why]})
 
-    replies = questions.bodies(packs, model, once).select("pack_id", "body").repartition(workers, "pack_id").mapInPandas(run, "pack_id long, said string, why string")
+    replies = questions.bodies(packs, model, once).select("pack_id", "body").repartition(workers, "pack_id").mapInPandas(
+        run, "pack_id long, said string, why string"
+    )
     name = F.concat(F.lit("item_"), F.col("position").cast("string"))
     payload = F.try_element_at(F.from_json("said", "struct<answers: map<string, string>>")["answers"], name)
     why = F.coalesce("why", F.when(F.col("payload").isNull(), F.concat(name, F.lit(" has no answer"))))
@@ -165,7 +230,16 @@ def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 3
                     why = str(e) or type(e).__name__
                 else:
                     why = None
-                yield pd.DataFrame({"pos": [r["pos"] for r in rows], "key": [r["key"] for r in rows], "position": [r["position"] for r in rows], "packed": len(rows), "payload": said, "why": why})
+                yield pd.DataFrame(
+                    {
+                        "pos": [r["pos"] for r in rows],
+                        "key": [r["key"] for r in rows],
+                        "position": [r["position"] for r in rows],
+                        "packed": len(rows),
+                        "payload": said,
+                        "why": why,
+                    }
+                )
 
     raw = grouped.repartition(workers, "pack_id").mapInPandas(run, "pos long, key string, position int, packed int, payload string, why string")
     return finished(items, raw)

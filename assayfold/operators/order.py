@@ -38,7 +38,18 @@ def piece(column: Column, at: list[float]) -> Column:
     return F.when(column.isNull(), -1).otherwise(among(0, len(at)))
 
 
-def running(rows: DataFrame, order: str, sums: dict[str, Column], *, by: tuple[str, ...] = (), then: tuple[str, ...] = (), down: bool = False, totals: dict[str, Column] | None = None, share: int = SHARE, at: list[float] | None = None) -> DataFrame:
+def running(
+    rows: DataFrame,
+    order: str,
+    sums: dict[str, Column],
+    *,
+    by: tuple[str, ...] = (),
+    then: tuple[str, ...] = (),
+    down: bool = False,
+    totals: dict[str, Column] | None = None,
+    share: int = SHARE,
+    at: list[float] | None = None,
+) -> DataFrame:
     """rows with sums that run along a numeric column within each value of `by`, equal values included; with `then`, that
     breaks ties, one row at a time. totals are sums over all of a group. Nulls come first, or last where the order runs down. at:
     cuts of the column that are known already."""
@@ -46,12 +57,19 @@ def running(rows: DataFrame, order: str, sums: dict[str, Column], *, by: tuple[s
     along = [F.desc(order) if down else F.col(order), *then]
     frame = lambda w: w.orderBy(*along).rowsBetween(W.unboundedPreceding, 0) if then else w.orderBy(*along)
     if not at:
-        return rows.withColumns({k: F.sum(x).over(frame(W.partitionBy(*by))) for k, x in sums.items()} | {k: F.sum(x).over(W.partitionBy(*by)) for k, x in totals.items()})
+        return rows.withColumns(
+            {k: F.sum(x).over(frame(W.partitionBy(*by))) for k, x in sums.items()} | {k: F.sum(x).over(W.partitionBy(*by)) for k, x in totals.items()}
+        )
     cut = rows.withColumn("_piece", piece(F.col(order), at))
     local = cut.withColumns({k: F.sum(x).over(frame(W.partitionBy(*by, "_piece"))) for k, x in sums.items()})
     pieces = cut.groupBy(*by, "_piece").agg(*(F.sum(x).alias(f"_{k}") for k, x in (sums | totals).items()))  # PIECES rows a group at most
     before = W.partitionBy(*by).orderBy(F.desc("_piece") if down else F.col("_piece")).rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.select(*(F.col(c).alias(f"_{c}_") for c in by), F.col("_piece").alias("_piece_"), *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums), *(F.sum(f"_{k}").over(W.partitionBy(*by)).alias(f"_{k}") for k in totals))
+    pieces = pieces.select(
+        *(F.col(c).alias(f"_{c}_") for c in by),
+        F.col("_piece").alias("_piece_"),
+        *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums),
+        *(F.sum(f"_{k}").over(W.partitionBy(*by)).alias(f"_{k}") for k in totals),
+    )
     on = F.col("_piece") == F.col("_piece_")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}_"))
@@ -101,6 +119,10 @@ def hash_limit(items: DataFrame, hashed: str, keep: Column, *by: str) -> DataFra
     n = items.groupBy(*by, first.alias("_first")).agg(F.count("*").alias("_n"))
     upto = W.partitionBy(*by).orderBy("_first")  # 65,536 rows a group at most
     n = n.withColumns({"_upto": F.sum("_n").over(upto), "count": F.sum("_n").over(W.partitionBy(*by))}).withColumn("_keep", keep)
-    edge = n.where((F.col("_upto") >= F.col("_keep")) & (F.col("_upto") - F.col("_n") < F.col("_keep"))).select(*by, "_first", (F.col("_keep") - F.col("_upto") + F.col("_n")).cast("int").alias("_at"))
+    edge = n.where((F.col("_upto") >= F.col("_keep")) & (F.col("_upto") - F.col("_n") < F.col("_keep"))).select(
+        *by, "_first", (F.col("_keep") - F.col("_upto") + F.col("_n")).cast("int").alias("_at")
+    )
     inside = items.withColumn("_first", first).join(F.broadcast(edge), [*by, "_first"])  # a row a group
-    return inside.groupBy(*by, "_at").agg(F.sort_array(F.collect_list(hashed)).alias("_all")).select(*by, F.element_at("_all", F.col("_at")).alias("limit"))
+    return inside.groupBy(*by, "_at").agg(F.sort_array(F.collect_list(hashed)).alias("_all")).select(
+        *by, F.element_at("_all", F.col("_at")).alias("limit")
+    )

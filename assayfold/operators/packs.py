@@ -25,7 +25,9 @@ def numbered(items: DataFrame, block: int) -> DataFrame:
     # one row a range
     before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_range").orderBy("pos")) - 1
-    return ranged.withColumn("_rank", rank).join(before, "_range").withColumn("at", F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
+    return ranged.withColumn("_rank", rank).join(before, "_range").withColumn("at", F.col("_before") + F.col("_rank")).drop(
+        "_range", "_rank", "_before"
+    )
 
 
 def begins(chars, cost, own: int, pack: int, state: float, request: float):
@@ -101,7 +103,14 @@ def places(sizes: DataFrame, pack: int = 32, chars_per_token: float = CHARS_PER_
         which = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
         lo = starts[0] if starts else 0
-        return pd.DataFrame({"pos": rows["pos"].to_numpy()[lo : lo + len(which)], "pack_id": which + int(enter["first"].iloc[0]), "position": place, "packed": sizes[which]})
+        return pd.DataFrame(
+            {
+                "pos": rows["pos"].to_numpy()[lo : lo + len(which)],
+                "pack_id": which + int(enter["first"].iloc[0]),
+                "position": place,
+                "packed": sizes[which],
+            }
+        )
 
     return blocks.groupBy("block").cogroup(enters.groupBy("block")).applyInPandas(place, "pos long, pack_id long, position int, packed int")
 

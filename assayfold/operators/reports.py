@@ -27,9 +27,18 @@ def legacy_certainty() -> Column:
 def annotators(log: DataFrame) -> DataFrame:
     """One row: items and macro accuracy where annotators agreed (`agreed`) and where not (null counts as not), and the
     share of all disagreement that the latter carry. No row where `agreed` is null throughout."""
-    items = log.groupBy("source").agg(F.avg(right()).alias("acc"), F.max(F.coalesce("agreed", F.lit(False))).alias("easy"), F.max(F.col("agreed").isNotNull()).alias("known"))
+    items = log.groupBy("source").agg(
+        F.avg(right()).alias("acc"), F.max(F.coalesce("agreed", F.lit(False))).alias("easy"), F.max(F.col("agreed").isNotNull()).alias("known")
+    )
     easy, hard = F.col("easy"), ~F.col("easy")
-    out = items.agg(F.max("known").alias("known"), F.count_if(easy).alias("easy_items"), F.avg(F.when(easy, F.col("acc"))).alias("easy_accuracy"), F.count_if(hard).alias("hard_items"), F.avg(F.when(hard, F.col("acc"))).alias("hard_accuracy"), F.try_divide(F.sum(F.when(hard, 1 - F.col("acc")).otherwise(0.0)), F.sum(1 - F.col("acc"))).alias("hard_share"))
+    out = items.agg(
+        F.max("known").alias("known"),
+        F.count_if(easy).alias("easy_items"),
+        F.avg(F.when(easy, F.col("acc"))).alias("easy_accuracy"),
+        F.count_if(hard).alias("hard_items"),
+        F.avg(F.when(hard, F.col("acc"))).alias("hard_accuracy"),
+        F.try_divide(F.sum(F.when(hard, 1 - F.col("acc")).otherwise(0.0)), F.sum(1 - F.col("acc"))).alias("hard_share"),
+    )
     return out.where("known").drop("known")
 
 
@@ -37,7 +46,9 @@ def request_halves(log: DataFrame) -> DataFrame:
     """Per arm: accuracy of the front and back half of packed requests, front less back, and rows. Arms that lack a half
     are left out."""
     front = F.col("position") <= F.col("packed") / 2
-    out = log.where("packed > 1").groupBy("arm").agg(F.avg(F.when(front, right())).alias("front"), F.avg(F.when(~front, right())).alias("back"), F.count("*").alias("n"))
+    out = log.where("packed > 1").groupBy("arm").agg(
+        F.avg(F.when(front, right())).alias("front"), F.avg(F.when(~front, right())).alias("back"), F.count("*").alias("n")
+    )
     return out.where("front is not null and back is not null").withColumn("gap", F.col("front") - F.col("back"))
 
 
@@ -59,7 +70,9 @@ def distance_bands(scored: DataFrame) -> DataFrame:
     band = F.lit(None).cast("double")
     for low, high in zip(DISTANCES, DISTANCES[1:]):
         band = F.when((F.col("between") >= low) & (F.col("between") < high), F.lit(low)).otherwise(band)
-    return scored.withColumn("between", from_level(F.col("score"))).withColumn("band", band).where("band is not null").groupBy("band").agg(F.count("*").alias("n"), F.avg(right()).alias("accuracy"))
+    return scored.withColumn("between", from_level(F.col("score"))).withColumn("band", band).where("band is not null").groupBy("band").agg(
+        F.count("*").alias("n"), F.avg(right()).alias("accuracy")
+    )
 
 
 def settled(scored: DataFrame) -> DataFrame:
@@ -83,7 +96,11 @@ def applied(test: DataFrame, cuts: DataFrame) -> DataFrame:
     over = test.groupBy("certainty").agg(F.count("*").alias("n"), F.sum(right()).alias("r"))
     both = over.crossJoin(F.broadcast(cuts))  # levels by cuts, both few
     kept = F.col("certainty") >= F.col("edge")
-    sums = both.groupBy(*cuts.columns).agg(F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("total"), F.sum(F.when(kept, F.col("r")).otherwise(0.0)).alias("right"))
+    sums = both.groupBy(*cuts.columns).agg(
+        F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("k"),
+        F.sum("n").alias("total"),
+        F.sum(F.when(kept, F.col("r")).otherwise(0.0)).alias("right"),
+    )
     return sums.where("k > 0").select(*cuts.columns, (F.col("k") / F.col("total")).alias("kept"), (F.col("right") / F.col("k")).alias("accuracy"))
 
 
@@ -117,7 +134,12 @@ def corpora(logs: dict[str, DataFrame], draws: int = 2000) -> DataFrame:
         items = log.groupBy(F.col("source").alias("unit")).agg(F.avg(right()).alias("value"))
         at = held_out(log).agg(*(F.max(F.when(F.col("coverage") == c, F.col("accuracy"))).alias(f"at_{round(100 * c)}") for c in (0.9, 0.8, 0.7)))
         row = macro_accuracy(log).select("items", "accuracy")
-        for more in (interval(items, draws), at, calibration_gap(log).select(F.col("signed").alias("gap")), votes(log).select(F.col("firm_accuracy").alias("firm"), F.col("split_accuracy").alias("split"))):
+        for more in (
+            interval(items, draws),
+            at,
+            calibration_gap(log).select(F.col("signed").alias("gap")),
+            votes(log).select(F.col("firm_accuracy").alias("firm"), F.col("split_accuracy").alias("split")),
+        ):
             row = row.crossJoin(F.broadcast(more))  # one row each
         row = row.select(F.lit(name).alias("corpus"), "*")
         out = row if out is None else out.unionByName(row)
@@ -129,13 +151,18 @@ def paired_interval(a: DataFrame, b: DataFrame, margin: float = 0.02, draws: int
     acc = lambda x, name: x.groupBy("source").agg(F.avg(right()).alias(name))
     both = acc(a, "a").join(acc(b, "b"), "source").select(F.col("source").alias("unit"), (F.col("b") - F.col("a")).alias("value"))
     mean = both.agg(F.count("*").alias("items"), F.avg("value").alias("difference"))
-    return mean.crossJoin(F.broadcast(interval(both, draws, seed))).withColumn("within", (F.col("low") > -margin) & (F.col("high") < margin))  # one row each
+    # one row each
+    return mean.crossJoin(F.broadcast(interval(both, draws, seed))).withColumn("within", (F.col("low") > -margin) & (F.col("high") < margin))
 
 
 def against_baseline(run: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row over the items that both have (item, p): items, share on the same side of a half, mean shift of p."""
     both = run.select("item", "p").join(baseline.select("item", F.col("p").alias("was")), "item")
-    return both.agg(F.count("*").alias("items"), F.avg(((F.col("p") >= 0.5) == (F.col("was") >= 0.5)).cast("double")).alias("same"), F.avg(F.abs(F.col("p") - F.col("was"))).alias("moved"))
+    return both.agg(
+        F.count("*").alias("items"),
+        F.avg(((F.col("p") >= 0.5) == (F.col("was") >= 0.5)).cast("double")).alias("same"),
+        F.avg(F.abs(F.col("p") - F.col("was"))).alias("moved"),
+    )
 
 
 def ceilings(log: DataFrame, arms: DataFrame, cut: float) -> DataFrame:
@@ -147,7 +174,9 @@ def ceilings(log: DataFrame, arms: DataFrame, cut: float) -> DataFrame:
     out = out.withColumn("trusted_per_second", F.col("items_per_second") * F.col("kept"))
     usd = F.when(F.col("kept") > 0, F.coalesce("usd", F.lit(0.0)) / F.col("n") * 1000 / F.col("kept"))
     fits = F.floor(F.try_divide(F.lit(STATE_TOKENS * CHARS_PER_TOKEN), F.col("mean_chars")))
-    return out.select("arm", "n", "kept", "items_per_second", "trusted_per_second", usd.alias("usd_per_1000"), fits.alias("pack_that_fits")).orderBy(F.desc("trusted_per_second"), "arm")
+    return out.select("arm", "n", "kept", "items_per_second", "trusted_per_second", usd.alias("usd_per_1000"), fits.alias("pack_that_fits")).orderBy(
+        F.desc("trusted_per_second"), "arm"
+    )
 
 
 def label_counts(log: DataFrame) -> DataFrame:
@@ -159,8 +188,14 @@ def retries(tries: DataFrame) -> DataFrame:
     """One row: retries, seconds waited, and both as text by status, such as "2x429, 0.6s waiting"; status 0 is the
     transport. tries: status, waited; the text is empty without any."""
     counts = tries.groupBy("status").agg(F.count("*").alias("n"), F.sum("waited").alias("w"))
-    out = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("retries"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("waited"), F.array_sort(F.collect_list(F.struct("status", "n"))).alias("by"))
-    parts = F.transform("by", lambda x: F.concat(x["n"].cast("string"), F.lit("x"), F.when(x["status"] == 0, "transport").otherwise(x["status"].cast("string"))))
+    out = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("retries"),
+        F.coalesce(F.sum("w"), F.lit(0.0)).alias("waited"),
+        F.array_sort(F.collect_list(F.struct("status", "n"))).alias("by"),
+    )
+    parts = F.transform(
+        "by", lambda x: F.concat(x["n"].cast("string"), F.lit("x"), F.when(x["status"] == 0, "transport").otherwise(x["status"].cast("string")))
+    )
     text = F.when(F.size("by") == 0, "").otherwise(F.concat(F.array_join(parts, ", "), F.format_string(", %.1fs waiting", F.col("waited"))))
     return out.select("retries", "waited", text.alias("why"))
 
@@ -183,18 +218,55 @@ def percent(share: Column) -> Column:
 
 def gain_text() -> Column:
     """A calibration's row as one line."""
-    line = F.concat(F.lit("from "), F.format_string("%.3f", "cut"), F.lit(" on: "), percent(F.col("coverage")), F.lit(" kept, "), percent(F.col("accuracy")), F.lit(" right ("), percent(F.col("low")), F.lit(" to "), percent(F.col("high")))
-    return F.concat(line, F.lit("), "), F.format_string("%+.1f", 100 * F.col("gain")), F.lit(" points over "), percent(F.col("baseline")), F.format_string(" of %d rows", "items"))
+    line = F.concat(
+        F.lit("from "),
+        F.format_string("%.3f", "cut"),
+        F.lit(" on: "),
+        percent(F.col("coverage")),
+        F.lit(" kept, "),
+        percent(F.col("accuracy")),
+        F.lit(" right ("),
+        percent(F.col("low")),
+        F.lit(" to "),
+        percent(F.col("high")),
+    )
+    return F.concat(
+        line,
+        F.lit("), "),
+        F.format_string("%+.1f", 100 * F.col("gain")),
+        F.lit(" points over "),
+        percent(F.col("baseline")),
+        F.format_string(" of %d rows", "items"),
+    )
 
 
 def blocked_text() -> Column:
     """A row of `selective.blocked` as one line."""
-    crowd = F.concat(F.col("levels").cast("string"), F.lit(" levels, "), percent(F.col("share")), F.format_string(" of the rows at %.3f, ", "crowd"), percent(F.col("crowd_accuracy")), F.lit(" of them right"))
-    reach = F.when(F.col("reachable").isNull(), "").when(F.col("blocked"), "; no cut reaches the bar").otherwise(F.concat(F.lit("; the bar is reached on "), percent(F.col("reachable"))))
+    crowd = F.concat(
+        F.col("levels").cast("string"),
+        F.lit(" levels, "),
+        percent(F.col("share")),
+        F.format_string(" of the rows at %.3f, ", "crowd"),
+        percent(F.col("crowd_accuracy")),
+        F.lit(" of them right"),
+    )
+    reach = F.when(F.col("reachable").isNull(), "").when(F.col("blocked"), "; no cut reaches the bar").otherwise(
+        F.concat(F.lit("; the bar is reached on "), percent(F.col("reachable")))
+    )
     return F.concat(crowd, reach)
 
 
 def verdict_text() -> Column:
     """A row of `selective.routing` as one line."""
     area = F.when(F.col("auroc").isNull(), "none").otherwise(F.format_string("%.3f", "auroc"))
-    return F.concat(F.col("label").cast("string"), F.format_string(": %d rows, ", "count"), percent(F.col("accuracy")), F.lit(" right, AUROC "), area, F.lit(", "), "action", F.lit(": "), "why")
+    return F.concat(
+        F.col("label").cast("string"),
+        F.format_string(": %d rows, ", "count"),
+        percent(F.col("accuracy")),
+        F.lit(" right, AUROC "),
+        area,
+        F.lit(", "),
+        "action",
+        F.lit(": "),
+        "why",
+    )

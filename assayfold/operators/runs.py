@@ -58,7 +58,16 @@ def sender(post: Callable[[str], str | Reply], share: int, most: int):
         failed = requests = 0
         for batch in batches:
             for number, items, body in zip(batch["pack_id"], batch["items"], batch["body"]):
-                row = {"pack_id": number, "items": items, "sent": failed <= share and requests < most, "said": None, "why": None, "at": time.time(), "ms": None, "attempts": []}
+                row = {
+                    "pack_id": number,
+                    "items": items,
+                    "sent": failed <= share and requests < most,
+                    "said": None,
+                    "why": None,
+                    "at": time.time(),
+                    "ms": None,
+                    "attempts": [],
+                }
                 if row["sent"]:
                     requests += 1
                     began = time.perf_counter()
@@ -93,7 +102,12 @@ class Run:
         payload = F.try_element_at(F.from_json("said", "struct<answers: map<string, string>>")["answers"], name)
         sent = self._replies().where("sent").select("pack_id", "said", "why")
         raw = self.places().join(sent.withColumn("_sent", F.lit(True)), "pack_id", "left").withColumn("payload", payload)
-        why = F.coalesce("why", F.when(F.col("_sent").isNull(), "not sent, the run was given up").when(F.col("payload").isNull(), F.concat(name, F.lit(" has no answer"))))
+        why = F.coalesce(
+            "why",
+            F.when(F.col("_sent").isNull(), "not sent, the run was given up").when(
+                F.col("payload").isNull(), F.concat(name, F.lit(" has no answer"))
+            ),
+        )
         return judging.finished(self.rows, raw.withColumn("why", why).select("pos", "key", "position", "packed", "payload", "why"))
 
     def requests(self) -> DataFrame:
@@ -104,7 +118,9 @@ class Run:
         tokens = [F.coalesce(told[c], F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]
         retries = F.greatest(F.size("attempts") - 1, F.lit(0)).cast("long")
         waited = F.aggregate("attempts", F.lit(0.0), lambda a, x: a + x["waited"])
-        return self._replies().where("sent").select("pack_id", "items", "at", "ms", status.alias("status"), *tokens, retries.alias("retries"), waited.alias("waited"))
+        return self._replies().where("sent").select(
+            "pack_id", "items", "at", "ms", status.alias("status"), *tokens, retries.alias("retries"), waited.alias("waited")
+        )
 
     def attempts(self) -> DataFrame:
         """(pack_id, attempt, status, waited, ms): every attempt that a caller told of, the last of a request too."""
@@ -113,7 +129,9 @@ class Run:
 
     def retried(self) -> DataFrame:
         """Attempts that were followed by another, for `reports.retries`."""
-        each = self._replies().where("sent").select("pack_id", F.explode(F.slice("attempts", F.lit(1), F.greatest(F.size("attempts") - 1, F.lit(0)))).alias("a"))
+        each = self._replies().where("sent").select(
+            "pack_id", F.explode(F.slice("attempts", F.lit(1), F.greatest(F.size("attempts") - 1, F.lit(0)))).alias("a")
+        )
         return each.select("pack_id", "a.status", "a.waited")
 
     def samples(self, every: float = 0.5) -> DataFrame:
@@ -121,8 +139,16 @@ class Run:
         `every` seconds in which a request came back. pushback counts retries that a status was told for."""
         done = (F.ceil((F.col("at") + F.coalesce("ms", F.lit(0.0)) / 1000) / every) * every).cast("double").alias("t")
         told = F.filter("attempts", lambda a: a["status"] != 0)
-        requests = self.requests().join(self._replies().where("sent").select("pack_id", F.greatest(F.size(told) - 1, F.lit(0)).cast("long").alias("pushback")), "pack_id")
-        sums = {"requests": F.count("*"), "input_tokens": F.sum("input_tokens"), "retries": F.sum("retries"), "pushback": F.sum("pushback"), "waited": F.sum("waited")}
+        requests = self.requests().join(
+            self._replies().where("sent").select("pack_id", F.greatest(F.size(told) - 1, F.lit(0)).cast("long").alias("pushback")), "pack_id"
+        )
+        sums = {
+            "requests": F.count("*"),
+            "input_tokens": F.sum("input_tokens"),
+            "retries": F.sum("retries"),
+            "pushback": F.sum("pushback"),
+            "waited": F.sum("waited"),
+        }
         per = requests.groupBy(done).agg(*(x.alias(f"_{k}") for k, x in sums.items()))
         return order.running(per, "t", {k: F.col(f"_{k}") for k in sums}).select("t", *sums)
 
@@ -135,7 +161,21 @@ class Run:
         return self.answers().where("error is null")
 
 
-def start(rows: DataFrame, post: Callable[[str], str | Reply], path: str, *, model: str = "default", pack: int = 32, workers: int = 4, once: bool = False, longest: int | None = judging.LONGEST, dedupe: bool = True, on_error: str = "skip", share: float = SHARE, chars_per_token: float = CHARS_PER_TOKEN) -> Run:
+def start(
+    rows: DataFrame,
+    post: Callable[[str], str | Reply],
+    path: str,
+    *,
+    model: str = "default",
+    pack: int = 32,
+    workers: int = 4,
+    once: bool = False,
+    longest: int | None = judging.LONGEST,
+    dedupe: bool = True,
+    on_error: str = "skip",
+    share: float = SHARE,
+    chars_per_token: float = CHARS_PER_TOKEN,
+) -> Run:
     """Ask about rows (pos, item and a question, as for `judging.judge_questions`; a key of theirs is kept) and wait for the run.
 
     Requests go out once and are written to path; whatever is read of the run afterwards sends nothing. on_error `skip`
@@ -152,7 +192,9 @@ def start(rows: DataFrame, post: Callable[[str], str | Reply], path: str, *, mod
         rows = rows.withColumn("key", F.concat_ws("#", "key", F.col("pos").cast("string")))
     overhead = questions.overhead(*[F.col(c) for c in judging.QUESTION], once=once)
     sizes = rows.select("key", "pos", F.length("item").alias("length"), overhead.alias("overhead"))
-    firsts = sizes.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"), F.min_by("overhead", "pos").alias("overhead"))
+    firsts = sizes.groupBy("key").agg(
+        F.min("pos").alias("pos"), F.min_by("length", "pos").alias("length"), F.min_by("overhead", "pos").alias("overhead")
+    )
     of = places(firsts, pack, chars_per_token)
     firsts.select("pos", "key").join(of, "pos").write.parquet(f"{path}/places")
     run = Run(rows, path)
@@ -168,7 +210,9 @@ def start(rows: DataFrame, post: Callable[[str], str | Reply], path: str, *, mod
         dealt = left.repartition(workers, "pack_id").mapInPandas(sender(post, (allowed - failed) // workers, most), REPLY)
         dealt.write.parquet(f"{path}/replies/round={number}")
         seen = run._replies()
-        failed, unsent = seen.agg(F.coalesce(F.sum(F.when(F.col("sent") & F.col("why").isNotNull(), F.col("items"))), F.lit(0)), F.count("*") - F.count_if("sent")).first()
+        failed, unsent = seen.agg(
+            F.coalesce(F.sum(F.when(F.col("sent") & F.col("why").isNotNull(), F.col("items"))), F.lit(0)), F.count("*") - F.count_if("sent")
+        ).first()
         out = seen.where(F.col("sent")).select("pack_id").distinct()
         unsent = bodies.select("pack_id").join(out, "pack_id", "left_anti").limit(1).count() if unsent else 0
         if failed > allowed:

@@ -60,18 +60,37 @@ def discrimination(judged: DataFrame, *by: str) -> DataFrame:
     """count, n_right, auroc (ties at mid rank; null without both kinds) and its interval, for each value of `by`."""
     levels = order.running(histogram(judged, *by), "certainty", {"upto": F.col("n")}, by=by, at=order.cuts(judged, "certainty"))
     levels = levels.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
-    sums = levels.groupBy(*by).agg(F.sum("n").alias("count"), F.sum("n_right").alias("n_right"), F.sum(F.col("n_right") * F.col("rank")).alias("ranks"))
+    sums = levels.groupBy(*by).agg(
+        F.sum("n").alias("count"), F.sum("n_right").alias("n_right"), F.sum(F.col("n_right") * F.col("rank")).alias("ranks")
+    )
     r, w = F.col("n_right").cast("double"), (F.col("count") - F.col("n_right")).cast("double")
     out = sums.withColumn("auroc", F.when((r > 0) & (w > 0), F.try_divide(F.col("ranks") - r * (r + 1) / 2, r * w)))
     low, high = auroc_bounds(F.col("auroc"), r, w)
-    return out.select(*by, "count", "n_right", "auroc", F.when(F.col("auroc").isNotNull(), low).alias("low"), F.when(F.col("auroc").isNotNull(), high).alias("high"))
+    return out.select(
+        *by,
+        "count",
+        "n_right",
+        "auroc",
+        F.when(F.col("auroc").isNotNull(), low).alias("low"),
+        F.when(F.col("auroc").isNotNull(), high).alias("high"),
+    )
 
 
 def rungs(judged: DataFrame, *by: str, z: float = 0.0) -> DataFrame:
     """Every deployable cut: certainty, rows kept from it on, their accuracy and its lower bound; whole levels only."""
-    out = order.running(histogram(judged, *by), "certainty", {"kept": F.col("n"), "kept_right": F.col("n_right")}, by=by, down=True, totals={"total": F.col("n")}, at=order.cuts(judged, "certainty"))
+    out = order.running(
+        histogram(judged, *by),
+        "certainty",
+        {"kept": F.col("n"), "kept_right": F.col("n_right")},
+        by=by,
+        down=True,
+        totals={"total": F.col("n")},
+        at=order.cuts(judged, "certainty"),
+    )
     share = F.col("kept_right") / F.col("kept").cast("double")
-    return out.where(F.col("kept") >= FLOOR).select(*by, "certainty", "kept", "total", share.alias("accuracy"), (wilson_lower(share, F.col("kept"), z) if z else share).alias("reached"))
+    return out.where(F.col("kept") >= FLOOR).select(
+        *by, "certainty", "kept", "total", share.alias("accuracy"), (wilson_lower(share, F.col("kept"), z) if z else share).alias("reached")
+    )
 
 
 def cut_for_accuracy(judged: DataFrame, accuracy: float, *by: str, confidence: float = 0.0) -> DataFrame:
@@ -80,7 +99,9 @@ def cut_for_accuracy(judged: DataFrame, accuracy: float, *by: str, confidence: f
         raise AssayError("accuracy must lie in (0, 1]")
     good = rungs(judged, *by, z=z_for(confidence)).where(F.col("reached") >= accuracy)
     at = F.min_by(F.struct("kept", "total", "accuracy"), "certainty")
-    return good.groupBy(*by).agg(F.min("certainty").alias("cut"), at.alias("at")).select(*by, "cut", (F.col("at.kept") / F.col("at.total").cast("double")).alias("coverage"), F.col("at.accuracy").alias("accuracy")).where("cut is not null")
+    return good.groupBy(*by).agg(F.min("certainty").alias("cut"), at.alias("at")).select(
+        *by, "cut", (F.col("at.kept") / F.col("at.total").cast("double")).alias("coverage"), F.col("at.accuracy").alias("accuracy")
+    ).where("cut is not null")
 
 
 def cut_for_keep(judged: DataFrame, keep: float) -> DataFrame:
@@ -97,10 +118,17 @@ def resolution(judged: DataFrame, accuracy: float | None = None) -> DataFrame:
     levels = histogram(judged)
     top = F.max_by(F.struct("certainty", "n", "n_right"), F.struct("n", -F.col("first_pos")))
     out = levels.agg(F.count("*").alias("levels"), top.alias("t"), F.sum("n").alias("total"))
-    out = out.select("levels", F.col("t.certainty").alias("crowd"), (F.col("t.n") / F.col("total").cast("double")).alias("share"), (F.col("t.n_right") / F.col("t.n").cast("double")).alias("crowd_accuracy"))
+    out = out.select(
+        "levels",
+        F.col("t.certainty").alias("crowd"),
+        (F.col("t.n") / F.col("total").cast("double")).alias("share"),
+        (F.col("t.n_right") / F.col("t.n").cast("double")).alias("crowd_accuracy"),
+    )
     if accuracy is None:
         return out.withColumn("reachable", F.lit(None).cast("double"))
-    reach = rungs(judged).where(F.col("reached") >= accuracy).agg(F.coalesce(F.max(F.col("kept") / F.col("total").cast("double")), F.lit(0.0)).alias("reachable"))
+    reach = rungs(judged).where(F.col("reached") >= accuracy).agg(
+        F.coalesce(F.max(F.col("kept") / F.col("total").cast("double")), F.lit(0.0)).alias("reachable")
+    )
     return out.crossJoin(F.broadcast(reach))  # one row each
 
 
@@ -118,7 +146,9 @@ def routing(judged: DataFrame, accuracy: float, confidence: float = 0.0) -> Data
     out = out.withColumn("floor", wilson_lower(F.col("accuracy"), F.col("count"), z) if z else F.col("accuracy"))
     out = out.join(cut_for_accuracy(judged, accuracy, "label", confidence=confidence).select("label", "cut", "coverage"), "label", "left")
     weak = F.col("auroc").isNull() | (F.col("low") <= 0.5) | (F.col("auroc") < SIGNAL)
-    action: Column = F.when(F.col("count") < ENOUGH, "unknown").when(F.col("floor") >= accuracy, "take").when(F.col("high") < 0.5, "inverted").when(weak, "send")
+    action: Column = F.when(F.col("count") < ENOUGH, "unknown").when(F.col("floor") >= accuracy, "take").when(F.col("high") < 0.5, "inverted").when(
+        weak, "send"
+    )
     action = action.when(F.col("cut").isNull() | (F.col("coverage") <= 0), "send").otherwise("cut")
     out = out.withColumn("action", action)
     is_ = lambda name: F.col("action") == name
@@ -126,10 +156,14 @@ def routing(judged: DataFrame, accuracy: float, confidence: float = 0.0) -> Data
     why = F.when(is_("unknown"), F.format_string("only %d answers, fewer than routing needs", F.col("count")))
     why = why.when(is_("take"), F.concat(F.lit("right often enough without a cut: "), percent(F.col("floor"))))
     why = why.when(is_("inverted"), F.format_string("surer answers are wrong more often, AUROC at most %.3f: never cut here", F.col("high")))
-    why = why.when(is_("send") & weak, F.lit("its certainty says nothing about being right")).when(is_("send"), F.lit("no cut reaches the accuracy asked for"))
+    why = why.when(is_("send") & weak, F.lit("its certainty says nothing about being right")).when(
+        is_("send"), F.lit("no cut reaches the accuracy asked for")
+    )
     why = why.otherwise(F.concat(F.format_string("from %.3f on, ", F.col("cut")), percent(F.col("coverage")), F.lit(" of its answers")))
     held = lambda c: F.when(is_("cut"), F.col(c)).alias(c)
-    return out.select("label", "count", "accuracy", "floor", "auroc", "low", "high", held("cut"), held("coverage"), "action", why.alias("why")).orderBy(F.desc("count"), "label")
+    return out.select(
+        "label", "count", "accuracy", "floor", "auroc", "low", "high", held("cut"), held("coverage"), "action", why.alias("why")
+    ).orderBy(F.desc("count"), "label")
 
 
 #: Share of the rows from which a level is crowded.
@@ -140,9 +174,13 @@ def crowding(judged: DataFrame, accuracy: float) -> DataFrame:
     """The crowded level that keeps a bar out of reach: levels, crowd, share and the accuracy of all rows from it on. No
     row where the most crowded level (ties: first seen) holds under CROWDED of the rows, or its block passes the bar."""
     levels = histogram(judged)
-    top = levels.agg(F.count("*").alias("levels"), F.max_by(F.struct("certainty", "n"), F.struct("n", -F.col("first_pos"))).alias("t"), F.sum("n").alias("total"))
+    top = levels.agg(
+        F.count("*").alias("levels"), F.max_by(F.struct("certainty", "n"), F.struct("n", -F.col("first_pos"))).alias("t"), F.sum("n").alias("total")
+    )
     block = levels.crossJoin(F.broadcast(top)).where(F.col("certainty") >= F.col("t.certainty"))  # top is one row
-    out = block.groupBy("levels", F.col("t.certainty").alias("crowd"), (F.col("t.n") / F.col("total").cast("double")).alias("share")).agg((F.sum("n_right") / F.sum("n").cast("double")).alias("crowd_accuracy"))
+    out = block.groupBy("levels", F.col("t.certainty").alias("crowd"), (F.col("t.n") / F.col("total").cast("double")).alias("share")).agg(
+        (F.sum("n_right") / F.sum("n").cast("double")).alias("crowd_accuracy")
+    )
     return out.where((F.col("share") >= CROWDED) & (F.col("crowd_accuracy") < accuracy))
 
 
@@ -168,12 +206,22 @@ def split_halves(judged: DataFrame, splits: int = SPLITS, seed: int = 7) -> Data
     return halves.join(F.broadcast(limits), "split").withColumn("fit", F.col("_h") <= F.col("limit")).drop("_h", "limit")  # a row a split
 
 
-def held_out_scores(judged: DataFrame, *, keep: float | None = None, accuracy: float | None = None, z: float = 0.0, splits: int = SPLITS, seed: int = 7) -> DataFrame:
+def held_out_scores(
+    judged: DataFrame, *, keep: float | None = None, accuracy: float | None = None, z: float = 0.0, splits: int = SPLITS, seed: int = 7
+) -> DataFrame:
     """(split, coverage, accuracy): the cut that one half finds, on the other half. Splits whose half finds none, or whose cut keeps
     nothing of the other half, are left out."""
     levels = histogram(split_halves(judged.select("pos", "certainty", "right"), splits, seed), "split", "fit")
     at = order.cuts(judged, "certainty")  # of the rows, so that the halves are made once
-    fit = order.running(levels.where("fit"), "certainty", {"kept": F.col("n"), "kept_right": F.col("n_right")}, by=("split",), down=True, totals={"total": F.col("n")}, at=at)
+    fit = order.running(
+        levels.where("fit"),
+        "certainty",
+        {"kept": F.col("n"), "kept_right": F.col("n_right")},
+        by=("split",),
+        down=True,
+        totals={"total": F.col("n")},
+        at=at,
+    )
     if keep is not None:
         good, pick = F.col("kept") >= F.greatest(F.floor(F.col("total") * F.lit(float(keep))), F.lit(1)), F.max("certainty")
     else:
@@ -197,7 +245,16 @@ def _refusal(judged: DataFrame, accuracy: float, confidence: float, items: int)
     return f"no cut reaches {accuracy:.0%}: the best is {best:.1%} of at least {FLOOR} rows"
 
 
-def calibrate(answers: DataFrame, *, keep: float | None = None, accuracy: float | None = None, confidence: float = 0.0, splits: int = SPLITS, seed: int = 7, min_signal: float = SIGNAL) -> DataFrame:
+def calibrate(
+    answers: DataFrame,
+    *,
+    keep: float | None = None,
+    accuracy: float | None = None,
+    confidence: float = 0.0,
+    splits: int = SPLITS,
+    seed: int = 7,
+    min_signal: float = SIGNAL,
+) -> DataFrame:
     """One row (CALIBRATION): the cut that all rows find, and what to expect of it: medians over half splits, refit on one half and
     measured on the other, their low and high ends (the middle 90 % from 40 scores on, least and most below), baseline,
     items, splits with a score, AUROC, headroom of a confidence, gain over the baseline, and notes.
@@ -226,14 +283,26 @@ def calibrate(answers: DataFrame, *, keep: float | None = None, accuracy: float
         levels.unpersist()
 
 
-def _calibrated(judged: DataFrame, levels: DataFrame, skipped: int, keep: float | None, accuracy: float | None, confidence: float, splits: int, seed: int, min_signal: float) -> DataFrame:
+def _calibrated(
+    judged: DataFrame,
+    levels: DataFrame,
+    skipped: int,
+    keep: float | None,
+    accuracy: float | None,
+    confidence: float,
+    splits: int,
+    seed: int,
+    min_signal: float,
+) -> DataFrame:
     z, base = z_for(confidence), discrimination(levels).first()
     if base is None or base["count"] < FLOOR:
         raise AssayError(f"too few usable answers to calibrate on: {base['count'] if base else 0}, fewer than {FLOOR}")
     items, baseline = base["count"], base.n_right / base["count"]
     if base.auroc is None or base.auroc < min_signal:
         found = "undefined" if base.auroc is None else f"{base.auroc:.3f}"
-        raise AssayError(f"certainty does not tell right answers from wrong ones here: AUROC {found}, under {min_signal:.2f}, with {baseline:.1%} right")
+        raise AssayError(
+            f"certainty does not tell right answers from wrong ones here: AUROC {found}, under {min_signal:.2f}, with {baseline:.1%} right"
+        )
     row = (cut_for_keep(judged, keep) if keep is not None else cut_for_accuracy(levels, accuracy, confidence=confidence)).first()
     if row is None or row.cut is None:
         raise AssayError(_refusal(levels, accuracy, confidence, items))
@@ -244,8 +313,18 @@ def _calibrated(judged: DataFrame, levels: DataFrame, skipped: int, keep: float
     scores = held_out_scores(judged, keep=keep, accuracy=accuracy, z=z, splits=splits, seed=seed)
     place = F.greatest(F.lit(0), F.floor(F.size("all") * TAILS).cast("int") - 1)
     edge = F.when(F.size("all") >= TRIMMED, place).otherwise(0)
-    held = scores.agg(F.percentile("coverage", 0.5).alias("coverage"), F.percentile("accuracy", 0.5).alias("accuracy"), F.sort_array(F.collect_list("accuracy")).alias("all"))  # a number a split
-    held = held.select("coverage", "accuracy", F.size("all").alias("splits"), F.try_element_at("all", edge + 1).alias("low"), F.try_element_at("all", F.greatest(F.size("all") - edge, F.lit(1))).alias("high")).first()
+    held = scores.agg(
+        F.percentile("coverage", 0.5).alias("coverage"),
+        F.percentile("accuracy", 0.5).alias("accuracy"),
+        F.sort_array(F.collect_list("accuracy")).alias("all"),
+    )
+    held = held.select(
+        "coverage",
+        "accuracy",
+        F.size("all").alias("splits"),
+        F.try_element_at("all", edge + 1).alias("low"),
+        F.try_element_at("all", F.greatest(F.size("all") - edge, F.lit(1))).alias("high"),
+    ).first()
     notes = [f"{skipped} answers were not usable and are left out; triage sends them to review"] if skipped else []
     notes += [f"{items} rows are few; from {FEW} on the interval is narrower"] if items < FEW else []
     if not held.splits:
@@ -262,7 +341,10 @@ def _notes(judged: DataFrame, accuracy: float | None, confidence: float, baselin
     """What a reader of a calibration should know besides its figures."""
     notes, level = [], resolution(judged).first()
     if level.share >= CROWDED:
-        notes.append(f"{level.share:.0%} of the rows share the certainty {level.crowd:.3f}, {level.crowd_accuracy:.1%} of them right, so a cut keeps all of them or none; there are {level.levels} levels to cut at")
+        notes.append(
+            f"{level.share:.0%} of the rows share the certainty {level.crowd:.3f}, {level.crowd_accuracy:.1%} of them right, so a cut keeps all of "
+            f"them or none; there are {level.levels} levels to cut at"
+        )
     if accuracy is None:
         return notes
     if baseline >= accuracy:
@@ -272,7 +354,10 @@ def _notes(judged: DataFrame, accuracy: float | None, confidence: float, baselin
     inverted = [w for w in ways if w.action == "inverted"]
     if inverted:
         worst = max(inverted, key=lambda w: w["count"])
-        notes.append(f"surer answers are wrong more often among the {worst['count'] / sum(w['count'] for w in ways):.0%} labelled {worst.label!r}, AUROC {worst.auroc:.3f}; see routing")
+        notes.append(
+            f"surer answers are wrong more often among the {worst['count'] / sum(w['count'] for w in ways):.0%} labelled {worst.label!r}, AUROC "
+            f"{worst.auroc:.3f}; see routing"
+        )
     elif len(ways) > 1 and known and max(known) - min(known) >= SPREAD:
         notes.append("certainty says much more within some labels than within others; see routing")
     if right < accuracy:

@@ -85,7 +85,11 @@ class Bank:
         rows = answers.where("error is null") if "error" in answers.columns else answers
         there = set(rows.columns)
         kinds = dict(c.split(" ", 1) for c in RECORD.split(", "))
-        rows = rows.select(F.col("key").cast("string").alias("key"), F.lit(seq).cast("long").alias("seq"), *((F.col(c) if c in there else F.lit(None)).cast(kinds[c]).alias(c) for c in ANSWER))
+        rows = rows.select(
+            F.col("key").cast("string").alias("key"),
+            F.lit(seq).cast("long").alias("seq"),
+            *((F.col(c) if c in there else F.lit(None)).cast(kinds[c]).alias(c) for c in ANSWER),
+        )
         rows.write.mode("overwrite").parquet(self._path("recent", f"seq={seq}").toString())
 
     def _recent(self) -> DataFrame | None:
@@ -95,7 +99,9 @@ class Bank:
     def _stored(self, buckets: Iterable[str]) -> DataFrame | None:
         """The records of buckets (names of folders); no other folder is opened or listed."""
         paths = [self._path("sorted", b).toString() for b in buckets]
-        return self.spark.read.schema(RECORD).option("basePath", self._path("sorted").toString()).parquet(*paths).select(*[c.split()[0] for c in RECORD.split(", ")]) if paths else None
+        return self.spark.read.schema(RECORD).option("basePath", self._path("sorted").toString()).parquet(*paths).select(
+            *[c.split()[0] for c in RECORD.split(", ")]
+        ) if paths else None
 
     def _bucket(self, key: Column) -> Column:
         return F.substring(key, 1, self.digits)
@@ -159,7 +165,9 @@ class Bank:
 
     def _put(self, records: DataFrame) -> None:
         dealt = records.withColumn("bucket", self._bucket(F.col("key"))).repartition("bucket").sortWithinPartitions("bucket", "key")
-        out = dealt.write.mode("append").partitionBy("bucket").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000")
+        out = dealt.write.mode("append").partitionBy("bucket").option("parquet.bloom.filter.enabled#key", "true").option(
+            "parquet.bloom.filter.expected.ndv#key", "100000"
+        )
         out.parquet(self._path("sorted").toString())
 
 

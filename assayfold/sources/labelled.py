@@ -13,7 +13,9 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 
     A row without an id gets its text's hash. agreed is the truth of the value that stands there: empty text, 0, false
     and empty lists or objects are not, any other text is, the word "false" too; null where nothing stands."""
-    rows = spark.read.schema("id string, input string, target string, metadata struct<agreement: string>, _line string").option("columnNameOfCorruptRecord", "_line").json(path)
+    rows = spark.read.schema("id string, input string, target string, metadata struct<agreement: string>, _line string").option(
+        "columnNameOfCorruptRecord", "_line"
+    ).json(path)
     value = F.col("metadata.agreement")
     agreed = F.when(value.isNotNull(), ~value.isin("", "0", "0.0", "false", "[]", "{}"))
     rows = rows.where("_line is null and input is not null and coalesce(target, '') <> ''")
@@ -72,7 +74,9 @@ def sample(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
 def shuffled(items: DataFrame, seed: int = 7) -> DataFrame:
     """items with `place`, their rank from 0 in a seeded order of work that does not depend on theirs: the key to join answers
     of a shuffled run back on. Ids are all different."""
-    hashed = items.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long"))
+    hashed = items.withColumn(
+        "_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+    )
     return order.running(hashed, "_h", {"place": F.lit(1)}, then=("id",)).withColumn("place", F.col("place") - 1).drop("_h")
 
 
@@ -97,7 +101,9 @@ def read_log(spark: SparkSession, path: str, row: str, head: str = "") -> tuple[
 
     row and head are schemas; a line is a row where the first column of `row` is there, a head where it is not."""
     first = row.split()[0]
-    lines = spark.read.schema(", ".join(x for x in (row, head, "_line string") if x)).option("columnNameOfCorruptRecord", "_line").json(path).where("_line is null")
+    lines = spark.read.schema(", ".join(x for x in (row, head, "_line string") if x)).option("columnNameOfCorruptRecord", "_line").json(path).where(
+        "_line is null"
+    )
     names = lambda schema: [x.strip().split()[0] for x in schema.split(",")]
     return lines.where(F.col(first).isNotNull()).select(*names(row)), lines.where(F.col(first).isNull()).select(*(names(head) if head else []))
 
@@ -105,6 +111,8 @@ def read_log(spark: SparkSession, path: str, row: str, head: str = "") -> tuple[
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Counter samples (t, requests, input_tokens, retries, pushback, waited) of a sustained run. Older logs hold
     pushback as counts by status, which are added up; lines without t are heads."""
-    lines = spark.read.schema("t double, requests long, input_tokens long, retries long, pushback string, waited double").json(path).where("t is not null")
+    lines = spark.read.schema("t double, requests long, input_tokens long, retries long, pushback string, waited double").json(path).where(
+        "t is not null"
+    )
     by_status = F.aggregate(F.map_values(F.from_json("pushback", "map<string, long>")), F.lit(0).cast("long"), lambda a, x: a + x)
     return lines.withColumn("pushback", F.when(F.col("pushback").startswith("{"), by_status).otherwise(F.col("pushback").cast("long")))

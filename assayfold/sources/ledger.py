@@ -34,7 +34,18 @@ def append(answers: DataFrame, path: str, seq: int, model: str) -> None:
     """Bank the usable answers of a batch; failures are never banked. The record with the largest seq wins;
     `next_seq` numbers batches across runs."""
     header = answers.sparkSession.createDataFrame([(FORMAT, model)], "ledger_format int, model string")
-    rows = answers.where("error is null").select(F.col("key").alias("k"), "p", F.col("label").alias("l"), F.col("kind").alias("t"), F.col("distribution").alias("d"), F.col("confidence").alias("c"), F.col("position").alias("i"), F.col("packed").alias("n"), F.col("score").alias("s"), F.lit(seq).cast("long").alias("seq"))
+    rows = answers.where("error is null").select(
+        F.col("key").alias("k"),
+        "p",
+        F.col("label").alias("l"),
+        F.col("kind").alias("t"),
+        F.col("distribution").alias("d"),
+        F.col("confidence").alias("c"),
+        F.col("position").alias("i"),
+        F.col("packed").alias("n"),
+        F.col("score").alias("s"),
+        F.lit(seq).cast("long").alias("seq"),
+    )
     rows.unionByName(header, allowMissingColumns=True).write.mode("append").json(path)
 
 
@@ -44,5 +55,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     formats = [r[0] for r in lines.where("ledger_format is not null").select("ledger_format").distinct().collect()]
     if formats != [FORMAT]:
         raise NotALedger(f"{path} is not a ledger of format {FORMAT}")
-    last = lines.where("k is not null and l is not null and _corrupt is null").groupBy("k").agg(F.max_by(F.struct("p", "l", "t", "d", "c", "i", "n", "s"), "seq").alias("r"))
-    return last.select(F.col("k").alias("key"), F.col("r.p").alias("p"), F.col("r.l").alias("label"), F.col("r.t").alias("kind"), F.col("r.d").alias("distribution"), F.col("r.c").alias("confidence"), F.col("r.i").alias("position"), F.col("r.n").alias("packed"), F.col("r.s").alias("score"))
+    last = lines.where("k is not null and l is not null and _corrupt is null").groupBy("k").agg(
+        F.max_by(F.struct("p", "l", "t", "d", "c", "i", "n", "s"), "seq").alias("r")
+    )
+    return last.select(
+        F.col("k").alias("key"),
+        F.col("r.p").alias("p"),
+        F.col("r.l").alias("label"),
+        F.col("r.t").alias("kind"),
+        F.col("r.d").alias("distribution"),
+        F.col("r.c").alias("confidence"),
+        F.col("r.i").alias("position"),
+        F.col("r.n").alias("packed"),
+        F.col("r.s").alias("score"),
+    )

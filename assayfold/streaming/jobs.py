@@ -57,7 +57,22 @@ def answered(rows: DataFrame, origin: str, known: DataFrame) -> DataFrame:
 OUT = ("pos", "key", *ANSWER, "certainty", "origin", "error")
 
 
-def judge_batch(rows: DataFrame, post: Callable, bank: Bank, path: str, *, cache: Cache | None = None, dedupe: bool = True, model: str = "default", pack: int = 32, workers: int = 4, once: bool = False, on_error: str = "skip", share: float = runs.SHARE, longest: int | None = judging.LONGEST) -> DataFrame:
+def judge_batch(
+    rows: DataFrame,
+    post: Callable,
+    bank: Bank,
+    path: str,
+    *,
+    cache: Cache | None = None,
+    dedupe: bool = True,
+    model: str = "default",
+    pack: int = 32,
+    workers: int = 4,
+    once: bool = False,
+    on_error: str = "skip",
+    share: float = runs.SHARE,
+    longest: int | None = judging.LONGEST,
+) -> DataFrame:
     """Answers (OUT) to a batch of rows (pos, item and a question), each from the cache, else from the bank, else asked for; origin says
     `cached`, `resumed`, `asked`, or `copied` from an equal row of the batch.
 
@@ -77,7 +92,9 @@ def judge_batch(rows: DataFrame, post: Callable, bank: Bank, path: str, *, cache
         left = left.join(known.select("key"), "key", "left_anti")
     stopped = None
     try:
-        run = runs.start(left, post, path, model=model, pack=pack, workers=workers, once=once, longest=None, dedupe=dedupe, on_error=on_error, share=share)
+        run = runs.start(
+            left, post, path, model=model, pack=pack, workers=workers, once=once, longest=None, dedupe=dedupe, on_error=on_error, share=share
+        )
     except runs.Stopped as e:
         run, stopped = e.run, e
     run.answers().select(*OUT).write.mode("overwrite").parquet(f"{path}/answers")
@@ -100,7 +117,28 @@ def judge_batch(rows: DataFrame, post: Callable, bank: Bank, path: str, *, cache
     return out
 
 
-def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoint: str, *, model: str = "default", pack: int = 32, workers: int = 4, once: bool = False, on_error: str = "skip", share: float = runs.SHARE, cached: int = CACHED, dedupe: bool = True, in_order: bool = False, on_batch: Callable[[int, int], None] | None = None, longest: int | None = judging.LONGEST, fold_at: int = 16, keep_items: bool = False, trigger: dict | None = None) -> StreamingQuery:
+def stream(
+    items: DataFrame,
+    post: Callable,
+    bank_path: str,
+    out: str,
+    checkpoint: str,
+    *,
+    model: str = "default",
+    pack: int = 32,
+    workers: int = 4,
+    once: bool = False,
+    on_error: str = "skip",
+    share: float = runs.SHARE,
+    cached: int = CACHED,
+    dedupe: bool = True,
+    in_order: bool = False,
+    on_batch: Callable[[int, int], None] | None = None,
+    longest: int | None = judging.LONGEST,
+    fold_at: int = 16,
+    keep_items: bool = False,
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Start judging a stream of (pos, item and a question); `questions.with_defaults` gives all rows the same one.
 
     Answers are keyed by item, question, model and pack. They land in out/answers/batch=N, and with in_order also in
@@ -121,7 +159,21 @@ def stream(items: DataFrame, post: Callable, bank_path: str, out: str, checkpoin
         path = f"{out}/runs/batch={number}"
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # of a try that was cut off; what it banked is not asked again
-        answers = judge_batch(batch, post, bank, path, cache=cache, dedupe=dedupe, model=model, pack=pack, workers=workers, once=once, on_error=on_error, share=share, longest=longest)
+        answers = judge_batch(
+            batch,
+            post,
+            bank,
+            path,
+            cache=cache,
+            dedupe=dedupe,
+            model=model,
+            pack=pack,
+            workers=workers,
+            once=once,
+            on_error=on_error,
+            share=share,
+            longest=longest,
+        )
         answers.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
         if keep_items:
             batch.select("pos", "item").write.mode("overwrite").parquet(f"{out}/items/batch={number}")
@@ -146,7 +198,17 @@ def log_of(spark: SparkSession, out: str) -> runs.Run:
     return run
 
 
-def soak(spark: SparkSession, post: Callable, out: str, *, rows: int | None = None, seconds: float | None = None, chunk: int = CHUNK, question: dict | None = None, **more) -> runs.Run:
+def soak(
+    spark: SparkSession,
+    post: Callable,
+    out: str,
+    *,
+    rows: int | None = None,
+    seconds: float | None = None,
+    chunk: int = CHUNK,
+    question: dict | None = None,
+    **more,
+) -> runs.Run:
     """Judge made items until there are `rows` of them, or for so many seconds, and leave the answers as CSV in out/csv.
 
     A soak that was cut off goes on where it stopped when it is called again with the same out."""

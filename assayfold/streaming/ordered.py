@@ -40,12 +40,17 @@ class Frontier:
         where = self._path("state")
         found = self.fs.listStatus(where) if self.fs.exists(where) else []
         # a batch's state counts when its frontier is written, which comes last
-        return sorted(int(f.getPath().getName().partition("=")[2]) for f in found if self.fs.exists(self._path("state", f.getPath().getName(), "at", "_SUCCESS")))
+        return sorted(
+            int(f.getPath().getName().partition("=")[2])
+            for f in found if self.fs.exists(self._path("state", f.getPath().getName(), "at", "_SUCCESS"))
+        )
 
     def at(self, before: int | None = None) -> tuple[int, int | None]:
         """(first position not handed on yet, number of the batch that says so), of all batches or those before one."""
         last = max((n for n in self._numbers() if before is None or n < before), default=None)
-        return (self.begin, None) if last is None else (self.spark.read.parquet(self._path("state", f"batch={last}", "at").toString()).first().at, last)
+        return (self.begin, None) if last is None else (
+            self.spark.read.parquet(self._path("state", f"batch={last}", "at").toString()).first().at, last
+        )
 
     def advance(self, rows: DataFrame, number: int) -> DataFrame:
         """The rows that batch `number` lets go, in order, out of its own (pos and more) and those held back before; they are written

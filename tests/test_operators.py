@@ -97,15 +97,36 @@ def test_packs_cross_blocks(spark, pack, block):
 
 
 def test_decode(spark):
-    entries = ['{"noul": 0.5}', '{"noul": null}', '{"choice": "c", "probabilities": {"a": 1}}', '{"score": 2.5, "legend": {"0": "l", "1": "m", "2": "h"}, "probabilities": {"2": 0.7}}', '{"score": -3, "legend": {"0": "l"}, "probabilities": {"0": 0.4}}', "torn", None]
+    entries = [
+        '{"noul": 0.5}',
+        '{"noul": null}',
+        '{"choice": "c", "probabilities": {"a": 1}}',
+        '{"score": 2.5, "legend": {"0": "l", "1": "m", "2": "h"}, "probabilities": {"2": 0.7}}',
+        '{"score": -3, "legend": {"0": "l"}, "probabilities": {"0": 0.4}}',
+        "torn",
+        None,
+    ]
     out = judging.decode(spark.createDataFrame(list(enumerate(entries)), "pos long, payload string")).orderBy("pos").collect()
-    assert [(r.kind, r.label, r.p) for r in out] == [("noul", "yes", 0.5), ("error", "", 0.0), ("choice", "c", 0.0), ("score", "h", 0.7), ("score", "l", 0.4), ("error", "", 0.0), ("error", "", 0.0)]
+    assert [(r.kind, r.label, r.p) for r in out] == [
+        ("noul", "yes", 0.5),
+        ("error", "", 0.0),
+        ("choice", "c", 0.0),
+        ("score", "h", 0.7),
+        ("score", "l", 0.4),
+        ("error", "", 0.0),
+        ("error", "", 0.0),
+    ]
     assert out[3].distribution == {"h": 0.7} and [r.error is None for r in out] == [True, False, True, True, True, False, False]
 
 
 def test_scores_by_their_own_keys(spark):
     """The clamp goes by the probabilities' largest level, and a missing legend leaves the number as label."""
-    entries = ['{"score": 5, "legend": {"0": "l", "1": "m", "2": "h"}, "probabilities": {"0": 0.2, "1": 0.8}}', '{"score": 1.4, "probabilities": {"0": 0.1, "1": 0.6, "2": 0.3}}', '{"score": 3}', '{"score": 0.5, "legend": {}, "probabilities": {"0": 0.4, "1": 0.6}}']
+    entries = [
+        '{"score": 5, "legend": {"0": "l", "1": "m", "2": "h"}, "probabilities": {"0": 0.2, "1": 0.8}}',
+        '{"score": 1.4, "probabilities": {"0": 0.1, "1": 0.6, "2": 0.3}}',
+        '{"score": 3}',
+        '{"score": 0.5, "legend": {}, "probabilities": {"0": 0.4, "1": 0.6}}',
+    ]
     out = judging.decode(spark.createDataFrame(list(enumerate(entries)), "pos long, payload string")).orderBy("pos").collect()
     assert [(r.kind, r.label, r.p) for r in out] == [("score", "m", 0.8), ("score", "1", 0.6), ("score", "0", 0.0), ("score", "0", 0.4)]
 
@@ -124,7 +145,10 @@ def test_rates_need_a_full_window(spark):
             if r[0] >= edge:
                 want.append((last[0] - rows[0][0], r[0] - last[0], (r[1] - last[1]) / (r[0] - last[0]) * 60, r[3] - last[3]))
                 last, edge = r, edge + 20
-        got = [(r["from"], r.seconds, r.requests_per_minute, r.retries) for r in experiments.rate_windows(spark.createDataFrame(rows, kind), 20).orderBy("from").collect()]
+        got = [
+            (r["from"], r.seconds, r.requests_per_minute, r.retries)
+            for r in experiments.rate_windows(spark.createDataFrame(rows, kind), 20).orderBy("from").collect()
+        ]
         assert [tuple(round(x, 9) for x in r) for r in got] == [tuple(round(x, 9) for x in r) for r in want]
     assert experiments.sustained(experiments.rate_windows(spark.createDataFrame(rows[:2], kind), 20)).count() == 0
 
@@ -139,8 +163,12 @@ def test_percentiles_are_ranks(spark):
 
 def test_overhead_is_the_length_of_json(spark):
     odd = ["plain", 'a "quoted" \\ text', "line\nbreak\ttab\x01\x7f", "été 中文", "\U0001f600 sign"]
-    rows = [(i, t, {"k" + t: t} if i % 2 else None, None, None) for i, t in enumerate(odd)] + [(9, "x", None, {t: t for t in odd}, None), (10, "x", {"a": "b"}, None, odd), (11, "x", {}, {}, [])]
-    frame = spark.createDataFrame(rows, "pos long, instructions string, criteria map<string,string>, options map<string,string>, levels array<string>")
+    rows = [(i, t, {"k" + t: t} if i % 2 else None, None, None) for i, t in enumerate(odd)] + [
+        (9, "x", None, {t: t for t in odd}, None), (10, "x", {"a": "b"}, None, odd), (11, "x", {}, {}, [])
+    ]
+    frame = spark.createDataFrame(
+        rows, "pos long, instructions string, criteria map<string,string>, options map<string,string>, levels array<string>"
+    )
     for r in frame.withColumn("n", questions.overhead(*[F.col(c) for c in ("instructions", "criteria", "options", "levels")])).collect():
         kind = "score" if r.levels else "choice" if r.options else "noul"
         more = r.levels or r.options or r.criteria
@@ -150,14 +178,24 @@ def test_overhead_is_the_length_of_json(spark):
 def test_bodies_are_json(spark):
     odd = ['say "x"', "line\nbreak", "été 中文", "back\\slash"]
     rows = [(i // 3, i % 3 + 1, t, "Is it so?", {"yes": t}) for i, t in enumerate(odd)]
-    packs = spark.createDataFrame(rows, "pack_id long, position int, item string, instructions string, criteria map<string,string>").selectExpr("*", "cast(null as map<string,string>) as options", "cast(null as array<string>) as levels")
+    packs = spark.createDataFrame(rows, "pack_id long, position int, item string, instructions string, criteria map<string,string>").selectExpr(
+        "*", "cast(null as map<string,string>) as options", "cast(null as array<string>) as levels"
+    )
     out = {r.pack_id: json.loads(r.body) for r in questions.bodies(packs, "m").collect()}
     assert out[0]["state"] == {f"item_{k + 1}": t for k, t in enumerate(odd[:3])} and out[0]["model"] == "m"
-    assert out[0]["questions"]["item_2"] == {"type": "noul", "instructions": "Is it so? Judge item_2 only, ignoring every other item.", "criteria": {"yes": odd[1]}}
-    assert out[1] == {"model": "m", "state": {"item_1": odd[3]}, "questions": {"item_1": {"type": "noul", "instructions": "Is it so?", "criteria": {"yes": odd[3]}}}}
+    assert out[0]["questions"]["item_2"] == {
+        "type": "noul", "instructions": "Is it so? Answer for item_2 alone; no other item matters.", "criteria": {"yes": odd[1]}
+    }
+    assert out[1] == {
+        "model": "m",
+        "state": {"item_1": odd[3]},
+        "questions": {"item_1": {"type": "noul", "instructions": "Is it so?", "criteria": {"yes": odd[3]}}},
+    }
     same = packs.withColumn("criteria", F.create_map(F.lit("no"), F.lit("never")))
     once = {r.pack_id: json.loads(r.body) for r in questions.bodies(same, "m", once=True).collect()}
-    assert once[0]["state"]["guidance"] == "Is it so?\nno: never" and "criteria" not in once[0]["questions"]["item_1"] and "guidance" not in once[1]["state"]
+    assert once[0]["state"]["guidance"] == "Is it so?\nno: never" and "criteria" not in once[0]["questions"]["item_1"] and "guidance" not in once[1][
+        "state"
+    ]
 
 
 def test_questions_are_refused(spark):
@@ -176,7 +214,10 @@ def test_ledger_answers_are_returned(spark, tmp_path):
     for p in (0.2, 0.7):
         answers = judging.judge(items("a", "b"), lambda texts, p=p: [json.dumps({"noul": p}) for _ in texts])
         ledger.append(answers, book, ledger.next_seq(spark, book), "m")
-    out = {r.pos: r for r in judging.judge(items("a", "new", "a"), lambda texts: [json.dumps({"noul": 0.9}) for _ in texts], ledger.read(spark, book)).collect()}
+    out = {
+        r.pos: r
+        for r in judging.judge(items("a", "new", "a"), lambda texts: [json.dumps({"noul": 0.9}) for _ in texts], ledger.read(spark, book)).collect()
+    }
     assert [(out[k].p, out[k].label, out[k].origin) for k in range(3)] == [(0.7, "yes", "resumed"), (0.9, "yes", "asked"), (0.7, "yes", "resumed")]
     assert out[1].certainty == 0.9
     (tmp_path / "foreign").mkdir()
@@ -191,7 +232,9 @@ def test_logs(spark, tmp_path):
     (tmp_path / "run.jsonl").write_text('{"pack": 32, "model": "m"}\n{"arm": "a", "p": 0.5}\n{"arm": "b", "p": 0.25}\n{"arm": "c", "p')
     rows, heads = labelled.read_log(spark, str(tmp_path / "run.jsonl"), "arm string, p double", "pack int, model string")
     assert sorted(map(tuple, rows.collect())) == [("a", 0.5), ("b", 0.25)] and [tuple(r) for r in heads.collect()] == [(32, "m")]
-    (tmp_path / "s.jsonl").write_text('{"pack": 1}\n{"t": 1.5, "requests": 3, "pushback": {"429": 2, "503": 1}}\n{"t": 2.5, "requests": 4, "pushback": 5}\n')
+    (tmp_path / "s.jsonl").write_text(
+        '{"pack": 1}\n{"t": 1.5, "requests": 3, "pushback": {"429": 2, "503": 1}}\n{"t": 2.5, "requests": 4, "pushback": 5}\n'
+    )
     assert [(r.t, r.pushback) for r in labelled.read_samples(spark, str(tmp_path / "s.jsonl")).orderBy("t").collect()] == [(1.5, 3), (2.5, 5)]
     corpus = spark.createDataFrame([("1", "text", "yes")], "id string, input string, target string")
     labelled.write_noted(corpus, str(tmp_path / "noted"), "keep out of training")
@@ -234,6 +277,9 @@ def test_ledger_of_torn_lines(spark, tmp_path):
 
 
 def test_labelled_corpus(spark, tmp_path):
-    (tmp_path / "c.jsonl").write_text('{"note": "canary"}\n{"id": "1", "input": "x", "target": "yes", "metadata": {"agreement": "true"}}\n{"id": "2", "input": "y", "target": ""}\n{"id": "3", "inp')
+    (tmp_path / "c.jsonl").write_text(
+        '{"note": "canary"}\n{"id": "1", "input": "x", "target": "yes", "metadata": {"agreement": "true"}}\n{"id": "2", "input": "y", "target": '
+        '""}\n{"id": "3", "inp'
+    )
     assert [tuple(r) for r in labelled.read_labelled(spark, str(tmp_path)).collect()] == [("1", "x", "yes", True)]
     assert labelled.workload(spark, 5, (("a", "b"), ("c",))).count() == 5

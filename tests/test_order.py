@@ -29,7 +29,9 @@ def rows(spark):
 def test_running_sums_in_pieces(spark, rows):
     plain, table = rows
     for down in (False, True):
-        out = order.running(table, "certainty", {"upto": F.lit(1), "r": F.col("right").cast("long")}, by=("label",), down=down, totals={"all": F.lit(1)}, share=100)
+        out = order.running(
+            table, "certainty", {"upto": F.lit(1), "r": F.col("right").cast("long")}, by=("label",), down=down, totals={"all": F.lit(1)}, share=100
+        )
         before = (lambda a, b: a >= b) if down else (lambda a, b: a <= b)
         for r in random.Random(2).sample(out.collect(), 40):
             own = [x for x in plain if x[3] == r.label and before(x[1], r.certainty)]
@@ -65,7 +67,9 @@ def test_no_window_holds_a_whole_table(spark, rows, monkeypatch):
     """Of crowded and continuous certainty alike: every window is partitioned by pieces, or runs over the pieces."""
     plain, table = rows
     monkeypatch.setattr(order.cuts, "__defaults__", (100,))
-    log = table.select(F.col("pos").alias("source"), "pos", F.lit("y").alias("gold"), F.when(F.col("right"), "y").otherwise("n").alias("label"), "certainty")
+    log = table.select(
+        F.col("pos").alias("source"), "pos", F.lit("y").alias("gold"), F.when(F.col("right"), "y").otherwise("n").alias("label"), "certainty"
+    )
     usable = sorted(plain, key=lambda x: (-x[1], x[0]))
     for r in ex.risk_coverage(log).collect():
         own = usable[: r.kept]
@@ -88,7 +92,9 @@ def test_no_window_holds_a_whole_table(spark, rows, monkeypatch):
 def test_halves_are_exact(spark, rows):
     plain, table = rows
     for n in (0, 1, 2, 7, 3000):
-        split = sel.split_halves(table.where(F.col("pos") < n), 5).groupBy("split").agg(F.count_if("fit").alias("fit"), F.count("*").alias("n")).collect()
+        split = sel.split_halves(table.where(F.col("pos") < n), 5).groupBy("split").agg(
+            F.count_if("fit").alias("fit"), F.count("*").alias("n")
+        ).collect()
         assert all((r.fit, r.n) == (n // 2, n) for r in split)
     fits = [{r.pos for r in sel.split_halves(table, 2).where(f"fit and split = {k}").collect()} for k in (0, 1)]
     assert 600 < len(fits[0] & fits[1]) < 900  # halves of their own
@@ -116,7 +122,9 @@ def test_interval_agrees_with_resampling(spark):
 def test_poisson_counts(spark):
     """Exact means of few, the normal form of many: mean and variance are those of Poisson counts."""
     for m in (1, 16, 17, 400):
-        table = spark.range(m).select(F.col("id").alias("unit"), F.lit(1.0).alias("value")).unionByName(spark.range(m).select((F.col("id") + m).alias("unit"), F.lit(0.0).alias("value")))
+        table = spark.range(m).select(F.col("id").alias("unit"), F.lit(1.0).alias("value")).unionByName(
+            spark.range(m).select((F.col("id") + m).alias("unit"), F.lit(0.0).alias("value"))
+        )
         got = ex.interval(table, 4000).first()
         # the share of m ones among 2m units has a variance of about 1 / (8 m)
         if m >= 16:
@@ -126,10 +134,19 @@ def test_poisson_counts(spark):
 
 def test_calibrate_refuses_and_notes(spark):
     def judged(n, right, certainty=lambda k: (k % 97) / 97, label=lambda k: "a"):
-        return spark.createDataFrame([(k, certainty(k), right(k), label(k)) for k in range(n)], "pos long, certainty double, right boolean, label string")
+        return spark.createDataFrame(
+            [(k, certainty(k), right(k), label(k)) for k in range(n)], "pos long, certainty double, right boolean, label string"
+        )
 
     sorted_ = lambda k: (k * 31) % 97 < (k % 97) + 20
-    for more in ({}, {"keep": 0.5, "accuracy": 0.9}, {"keep": 1.5}, {"accuracy": 1.0}, {"keep": 0.5, "confidence": 0.95}, {"accuracy": 0.9, "confidence": 0.42}):
+    for more in (
+        {},
+        {"keep": 0.5, "accuracy": 0.9},
+        {"keep": 1.5},
+        {"accuracy": 1.0},
+        {"keep": 0.5, "confidence": 0.95},
+        {"accuracy": 0.9, "confidence": 0.42},
+    ):
         with pytest.raises(AssayError):
             sel.calibrate(judged(100, sorted_), **more)
     with pytest.raises(AssayError, match="too few"):
@@ -145,7 +162,9 @@ def test_calibrate_refuses_and_notes(spark):
     # 34 rows reach the bar together, no half of them has thirty
     thin = sel.calibrate(judged(40, lambda k: k >= 6, lambda k: k / 40), accuracy=0.9).first()
     assert thin.splits == 0 and (thin.low, thin.high) == (0.0, 0.0) and any("no half" in n for n in thin.notes) and thin.accuracy >= 0.9
-    inverted = sel.calibrate(judged(2000, lambda k: sorted_(k) if k % 9 else not sorted_(k), label=lambda k: "ab"[k % 9 == 0]), accuracy=0.8, min_signal=0.3).first()
+    inverted = sel.calibrate(
+        judged(2000, lambda k: sorted_(k) if k % 9 else not sorted_(k), label=lambda k: "ab"[k % 9 == 0]), accuracy=0.8, min_signal=0.3
+    ).first()
     assert any("labelled 'b'" in n for n in inverted.notes)
     kept = sel.calibrate(judged(2000, sorted_), keep=0.4).first()
     assert abs(kept.coverage - 0.4) < 0.05 and kept.splits == 20 and kept.headroom == 0

@@ -81,7 +81,21 @@ def test_foreign_folders_are_refused(spark, tmp_path):
     (tmp_path / "old" / "header.json").write_text('{"bank_format": 0}')
     with pytest.raises(AssayError, match="format"):
         banks.Bank(spark, f"file://{tmp_path}/old")
-    ledger.append(said(spark, [("k1", 0.5)]).withColumns({"error": F.lit(None).cast("string"), "distribution": F.lit(None).cast("map<string,double>"), "confidence": F.lit(0.5), "position": F.lit(1), "packed": F.lit(1), "score": F.lit(None).cast("double")}), f"file://{tmp_path}/lines", 0, "m")
+    ledger.append(
+        said(spark, [("k1", 0.5)]).withColumns(
+            {
+                "error": F.lit(None).cast("string"),
+                "distribution": F.lit(None).cast("map<string,double>"),
+                "confidence": F.lit(0.5),
+                "position": F.lit(1),
+                "packed": F.lit(1),
+                "score": F.lit(None).cast("double"),
+            }
+        ),
+        f"file://{tmp_path}/lines",
+        0,
+        "m",
+    )
     bank = banks.Bank(spark, f"file://{tmp_path}/taken")
     banks.from_ledger(spark, f"file://{tmp_path}/lines", bank)
     assert [(r.key, r.p) for r in bank.answers().collect()] == [("k1", 0.5)]
@@ -194,8 +208,21 @@ def test_stream_resumes_by_question(spark, tmp_path):
         return reply(body, 0.9 if "good" in body else 0.2)
 
     def run(name, **more):
-        items = questions.with_defaults(spark.readStream.schema("pos long, item string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), **({"instructions": "Is it good?"} | more.pop("question", {})))
-        jobs.stream(items, post, f"{root}/bank", f"{root}/{name}", f"{root}/{name}-ckpt", pack=more.pop("pack", 2), in_order=True, on_batch=lambda n, k: seen.append((n, k)), **more).awaitTermination()
+        items = questions.with_defaults(
+            spark.readStream.schema("pos long, item string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"),
+            **({"instructions": "Is it good?"} | more.pop("question", {})),
+        )
+        jobs.stream(
+            items,
+            post,
+            f"{root}/bank",
+            f"{root}/{name}",
+            f"{root}/{name}-ckpt",
+            pack=more.pop("pack", 2),
+            in_order=True,
+            on_batch=lambda n, k: seen.append((n, k)),
+            **more,
+        ).awaitTermination()
         return {r.pos: (r.label, r.origin) for r in spark.read.parquet(f"{root}/{name}/answers").collect()}
 
     spark.createDataFrame([(2, "c"), (3, "a")], "pos long, item string").coalesce(1).write.mode("append").parquet(f"{root}/in")
@@ -217,7 +244,9 @@ def test_stream_resumes_by_question(spark, tmp_path):
 
 def test_stream_banks_before_it_stops(spark, tmp_path):
     root = f"file://{tmp_path}"
-    spark.createDataFrame([(k, f"fine {k}" if k < 3 else f"item {k}") for k in range(40)], "pos long, item string").coalesce(1).write.parquet(f"{root}/in")
+    spark.createDataFrame([(k, f"fine {k}" if k < 3 else f"item {k}") for k in range(40)], "pos long, item string").coalesce(1).write.parquet(
+        f"{root}/in"
+    )
 
     def post(body):
         if "fine" not in body:
@@ -232,7 +261,9 @@ def test_stream_banks_before_it_stops(spark, tmp_path):
 
 
 def test_judging_keeps_the_key_of_questions(spark):
-    a, b = rows(spark, "x").withColumn("key", judging.question_key("m", 4)), rows(spark, "x", instructions="Is it bad?").withColumn("key", judging.question_key("m", 4))
+    a, b = rows(spark, "x").withColumn("key", judging.question_key("m", 4)), rows(spark, "x", instructions="Is it bad?").withColumn(
+        "key", judging.question_key("m", 4)
+    )
     assert a.first().key != b.first().key != rows(spark, "x").withColumn("key", judging.question_key("m", 5)).first().key
 
 

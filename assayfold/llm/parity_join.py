@@ -34,6 +34,8 @@ KEY = 4
 SMALL, ROUNDS = 4096, 4
 #: Rows of a leader's group that meet in one place; bits of the fixed-size filter that spares a scan the other texts.
 GROUP, FILTER_BITS = 512, 24
+#: Parts that the copies of a set are dealt over.
+COPIES = 16
 #: Rows (key, salt, role, id) of a verification up to which they are broadcast to the texts' scan.
 BROADCAST = 1 << 20
 #: First runs of a document that its rows carry; what stands for none.
@@ -377,8 +379,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept = Kept(spark, "parity")
     prints = kept.put(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f long, g long, sketch binary, fine binary"), "prints")
     ids = prints.where("doc_id is not null and n_shingles > 0")
-    classes = ids.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("b"))
-    equal = ids.join(classes, ["n_shingles", "f", "g"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    # classes with more than one id are few: they go to every part of their copies, which are dealt by id
+    classes = ids.groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last").drop("last")
+    classes = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    copies = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(COPIES)).cast("int"))
+    equal = copies.join(classes, ["n_shingles", "f", "g", "part"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     links = kept.put(equal, "links")
 
     # keys travel in lots, one a chunk and partition: for each partition, a number that Spark's hash deals to it

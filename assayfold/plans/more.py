@@ -157,11 +157,8 @@ def CORPUS(name: str) -> str:
 
 
 def UNITS(name: str) -> str:
-    draws = DRAWS(f"unit_{name}", 200)
-    for part in ("kinds", "below", "drawn", "normal", "weighed", "means", "ranked", "bounds"):
-        draws = draws.replace(f"{part} AS (", f"{part}_{name} AS (").replace(f"FROM {part}", f"FROM {part}_{name}")
-    draws = draws.replace("below(m, below)", f"below_{name}(m, below)").replace("JOIN below ON below.m", f"JOIN below_{name} b ON b.m")
-    return f"unit_{name} AS (SELECT source AS unit, avg({RIGHT}) AS value, count(DISTINCT label) = 1 AS firm FROM {name} GROUP BY 1), {draws}, {HELD(name)}"
+    units = f"SELECT source AS unit, avg({RIGHT}) AS value, count(DISTINCT label) = 1 AS firm FROM {name} GROUP BY 1"
+    return f"unit_{name} AS ({units}), {DRAWS(f'unit_{name}', 200, f'_{name}')}, {HELD(name)}"
 
 
 @query(f"WITH {LOG('l')}, {LOG('m', 3)}, {UNITS('l')}, {UNITS('m')} {CORPUS('l')} UNION ALL {CORPUS('m')}")

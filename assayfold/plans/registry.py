@@ -271,19 +271,19 @@ def COIN(text: str, at: int = 1) -> str:
     return f"CAST(CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT) AS DOUBLE) / 4294967296"
 
 
-def DRAWS(of: str, draws: int = 2000) -> str:
-    """CTE bounds(low, high): the interval of the mean of `of`(unit, value)."""
+def DRAWS(of: str, draws: int = 2000, tag: str = "") -> str:
+    """CTE bounds<tag>(low, high): the interval of the mean of `of`(unit, value)."""
     table = ", ".join(f"({m + 1}, [{', '.join(f'CAST({x!r} AS DOUBLE)' for x in own)}])" for m, own in enumerate(ex.poisson_table()))
-    return f"""kinds AS (SELECT CAST(round(value * 1e12) AS BIGINT) AS kind, count(*) AS m, avg(value) AS value FROM {of} GROUP BY 1), below(m,
- below) AS (VALUES {table}),
- drawn AS (SELECT draw, value, m, {COIN("kind || ':' || draw || ':1'")} AS u, {COIN("kind || ':' || draw || ':1'", 9)} AS v FROM kinds, range(0,
- {draws}) t(draw)),
- normal AS (SELECT *, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS z FROM drawn),
- weighed AS (SELECT draw, value, CASE WHEN below IS NULL THEN greatest(0, round(n.m + sqrt(n.m) * z + (z * z - 1) / 6)) ELSE len(list_filter(below,
- lambda b: b <= u)) END AS w FROM normal n LEFT JOIN below ON below.m = n.m),
- means AS (SELECT sum(w * value) / sum(w) AS m FROM weighed GROUP BY draw HAVING sum(w) > 0), ranked AS (SELECT m, row_number()
- OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM means),
- bounds AS (SELECT max(m) FILTER (i = floor(n * 0.025)) AS low, max(m) FILTER (i = floor(n * 0.975)) AS high FROM ranked)"""
+    number = "kind || ':' || draw || ':1'"
+    return f"""kinds{tag} AS (SELECT CAST(round(value * 1e12) AS BIGINT) AS kind, count(*) AS m, avg(value) AS value FROM {of} GROUP BY 1),
+ below{tag}(m, below) AS (VALUES {table}),
+ drawn{tag} AS (SELECT draw, value, m, {COIN(number)} AS u, {COIN(number, 9)} AS v FROM kinds{tag}, range(0, {draws}) t(draw)),
+ normal{tag} AS (SELECT *, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS z FROM drawn{tag}),
+ weighed{tag} AS (SELECT draw, value, CASE WHEN below IS NULL THEN greatest(0, round(n.m + sqrt(n.m) * z + (z * z - 1) / 6))
+  ELSE len(list_filter(below, lambda b: b <= u)) END AS w FROM normal{tag} n LEFT JOIN below{tag} t ON t.m = n.m),
+ means{tag} AS (SELECT sum(w * value) / sum(w) AS m FROM weighed{tag} GROUP BY draw HAVING sum(w) > 0),
+ ranked{tag} AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM means{tag}),
+ bounds{tag} AS (SELECT max(m) FILTER (i = floor(n * 0.025)) AS low, max(m) FILTER (i = floor(n * 0.975)) AS high FROM ranked{tag})"""
 
 
 @query(

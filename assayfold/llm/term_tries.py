@@ -211,23 +211,23 @@ def _plant(tallies: dict[str, Tally], texts: list[bytes], groups: list[tuple[str
     """Count texts of letters and spaces in the tries of their languages; groups are each text's (lang, source)."""
     split = pc.split_pattern(pa.array(texts, pa.binary()).cast(pa.string()), " ")
     found = split.flatten().dictionary_encode()
-    term, words = found.indices.to_numpy().astype(np.int64), found.dictionary
+    term, words = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary())
     doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    stay = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[term] if len(words) else np.zeros(0, bool)
+    stay = pc.not_equal(words, b"").to_numpy(zero_copy_only=False)[term] if len(words) else np.zeros(0, bool)
     term, doc, size = term[stay], doc[stay], max(1, len(words))
     names = list(dict.fromkeys(groups))
     langs = list(dict.fromkeys(lang for lang, _ in names))
     group = np.array(_places(groups, names), np.int64)
     lang = np.array(_places([g for g, _ in groups], langs), np.int64)
-    own, n = np.unique(group[doc] * size + term, return_counts=True)
-    once = np.unique(doc * size + term)
-    seen, docs = np.unique(lang[once // size] * size + once % size, return_counts=True)
+    own, n = _distinct(group[doc] * size + term)
+    once, _ = _distinct(doc * size + term)
+    seen, docs = _distinct(lang[once // size] * size + once % size)
     leaf = np.zeros(size, np.int64)
     for k, name in enumerate(langs):
         tally = tallies.setdefault(name, Tally())
         mine = slice(*np.searchsorted(seen, [k * size, (k + 1) * size]))
         ids = seen[mine] % size
-        leaf[ids] = leaves = tally.leaves([w.encode() for w in words.take(pa.array(ids)).to_pylist()])
+        leaf[ids] = leaves = tally.leaves(words.take(pa.array(ids)).to_pylist())
         tally.docs[leaves] += docs[mine]
         for g, (of, source) in enumerate(names):
             if of == name:
@@ -235,6 +235,13 @@ def _plant(tallies: dict[str, Tally], texts: list[bytes], groups: list[tuple[str
                 tally.add(leaf[own[its] % size], np.full(len(n[its]), tally.place(source), np.int64), n[its])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each occurs; keys are sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
 def _places(values: list, among: list) -> list[int]:
     place = {v: k for k, v in enumerate(among)}
     return [place[v] for v in values]

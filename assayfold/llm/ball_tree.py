@@ -77,7 +77,15 @@ def build(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, dict[str, n
             order[a:b] = np.concatenate([mine[near], mine[~near]])
             cut = a + int(near.sum())
             todo += [(cut, b, me, right), (a, cut, me, left)]
-    return order, {"lo": np.array(lo, "<i4"), "hi": np.array(hi, "<i4"), "left": np.array(left, "<i4"), "right": np.array(right, "<i4"), "centre": np.array(centre, "<f8"), "radius": np.array(radius, "<f8"), "sums": np.array(sums, "<i8")}
+    return order, {
+        "lo": np.array(lo, "<i4"),
+        "hi": np.array(hi, "<i4"),
+        "left": np.array(left, "<i4"),
+        "right": np.array(right, "<i4"),
+        "centre": np.array(centre, "<f8"),
+        "radius": np.array(radius, "<f8"),
+        "sums": np.array(sums, "<i8"),
+    }
 
 
 def plant(batches: Iterator[pa.RecordBatch], dim: int = DIM, scale: int = SCALE) -> Iterator[pa.RecordBatch]:
@@ -131,7 +139,9 @@ def _read(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.Array, dict | No
         if batch.column(9)[k].is_valid:
             yield ids, None, np.array([[int(v) for v in batch.column(9)[k].as_py()]], object)
             continue
-        raw = [np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in zip(range(1, 9), ("<i4", "<i4", "<i4", "<i4", "<i4", "<f8", "<f8", "<i8"))]
+        raw = [
+            np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in zip(range(1, 9), ("<i4", "<i4", "<i4", "<i4", "<i4", "<f8", "<f8", "<i8"))
+        ]
         tree = dict(zip(("lo", "hi", "left", "right", "centre", "radius", "sums"), raw[1:]))
         tree["centre"], tree["sums"] = tree["centre"].reshape(-1, dim), tree["sums"].reshape(-1, dim)
         yield ids, tree, raw[0].reshape(-1, dim).astype(np.int64)
@@ -166,7 +176,10 @@ def _summed(centres: np.ndarray, dim: int):
                     counts[c] += n
                     sums[c] = [x + int(y) for x, y in zip(sums[c], total)]
         rows = [(c, axis, limb, v) for c, n in enumerate(counts) if n for axis, total in ((-1, n), *enumerate(sums[c])) for limb, v in _limbs(total)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["cluster", "axis", "limb", "total"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+            ["cluster", "axis", "limb", "total"],
+        )
 
     return run
 
@@ -176,7 +189,9 @@ def _assigned(centres: np.ndarray, dim: int):
         for batch in batches:
             for ids, tree, points in _read(batch, dim):
                 cluster, far = np.zeros(len(points), np.int32), np.zeros(len(points), object)
-                for a, b, ball, clusters in filtered(tree, points, centres) if tree else [(0, len(points), None, distances(points, centres).argmin(1))]:
+                for a, b, ball, clusters in filtered(tree, points, centres) if tree else [
+                    (0, len(points), None, distances(points, centres).argmin(1))
+                ]:
                     cluster[a:b] = clusters
                     for c in np.unique(clusters):
                         at = slice(a, b) if ball is not None else a + np.flatnonzero(clusters == c)
@@ -210,7 +225,8 @@ def cluster(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUNDS
     for _ in range(rounds):
         sums = trees.mapInArrow(_summed(_table(centres), dim), "cluster int, axis int, limb int, total long")
         found: dict[tuple[int, int], int] = {}
-        for r in sums.groupBy("cluster", "axis", "limb").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect():  # a few numbers a centroid
+        # a few numbers a centroid
+        for r in sums.groupBy("cluster", "axis", "limb").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect():
             found[r.cluster, r.axis] = found.get((r.cluster, r.axis), 0) + (int(r.total) << 32 * r.limb)
         moved = [[found[c, axis] // found[c, -1] for axis in range(dim)] if (c, -1) in found else old for c, old in enumerate(centres)]
         if moved == centres:
@@ -219,7 +235,10 @@ def cluster(vectors: DataFrame, centroids: int = CENTROIDS, rounds: int = ROUNDS
     out = kept.put(trees.mapInArrow(_assigned(_table(centres), dim), "vec_id long, cluster int, distance long"), "final")
     kept.drop("trees")
     lost = F.count_if(F.col("distance").isNull()) > 0
-    sums = {r.cluster: None if r.lost else int(r.d) for r in out.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d"), lost.alias("lost")).collect()}
+    sums = {
+        r.cluster: None if r.lost else int(r.d)
+        for r in out.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d"), lost.alias("lost")).collect()
+    }
     held = lambda x: x if x is not None and x < 1 << 63 else None
     total = None if None in sums.values() else sum(sums.values())
     names = [(c, held(sums[c]), held(total), hashlib.sha256(",".join(map(str, centre)).encode()).hexdigest()) for c, centre in enumerate(centres) if c in sums]

@@ -84,7 +84,17 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, pool: i
         for items in best_fit([len(p[2]) // 2 for p in pieces], capacity):
             raw = b"".join(pieces[i][2] for i in items)
             cuts = np.cumsum([0, *(len(pieces[i][2]) // 2 for i in items)], dtype=np.int32)
-            rows.append((count, len(raw) // 2, raw + blank[len(raw) :], position_ids(cuts, capacity).astype("<u2").tobytes(), cuts, [pieces[i][0] for i in items], [pieces[i][1] for i in items]))
+            rows.append(
+                (
+                    count,
+                    len(raw) // 2,
+                    raw + blank[len(raw) :],
+                    position_ids(cuts, capacity).astype("<u2").tobytes(),
+                    cuts,
+                    [pieces[i][0] for i in items],
+                    [pieces[i][1] for i in items],
+                )
+            )
             count += 1
         pieces = []
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)] if rows else [pa.array([], t) for t in TYPES], NAMES)

@@ -37,7 +37,9 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
-        make = lambda d: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) if d else self.plain
+        make = lambda d: zstandard.ZstdCompressor(
+            level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False
+        ) if d else self.plain
         self.plain = zstandard.ZstdCompressor(level=model.level, write_content_size=False)
         self.good, self.bad = make(model.good), make(model.bad)
 
@@ -77,7 +79,14 @@ def train(texts: list[tuple[str, int]], dictionary: int = DICTIONARY, level: int
     # a line that several texts hold is boilerplate of either kind, and no sign of one
     held = Counter(x for k in (0, 1) for t in raw[k] for x in set(t.split(b"\n")))
     own = lambda texts: [b"\n".join(x for x in t.split(b"\n") if held[x] == 1) for t in texts]
-    model = Model(_dictionary(own(raw[1][::2]), dictionary), _dictionary(own(raw[0][::2]), dictionary), (0.0,) * (width + 1), (0.0,) * width, (1.0,) * width, level)
+    model = Model(
+        _dictionary(own(raw[1][::2]), dictionary),
+        _dictionary(own(raw[0][::2]), dictionary),
+        (0.0,) * (width + 1),
+        (0.0,) * width,
+        (1.0,) * width,
+        level,
+    )
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for k in (0, 1) for t in raw[k][1::2]])
     y = np.repeat([0.0, 1.0], [len(raw[0][1::2]), len(raw[1][1::2])])
@@ -141,7 +150,9 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(batch.column(at).to_pylist()), pa.float64())], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(scorer.scores(batch.column(at).to_pylist()), pa.float64())], [*batch.schema.names, column]
+            )
 
     return docs.mapInArrow(run, schema)
 

@@ -32,7 +32,9 @@ def capacities(total: int, capacity: int, last: bool) -> list[int]:
     return sizes + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def balance(lengths: list[int], sizes: list[int], linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+def balance(lengths: list[int], sizes: list[int], linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[
+    list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]
+]:
     """Placed parts (item, start in item, length, sequence, offset), and the parts (item, start, length) that are left.
 
     Longest part first, to the sequence of lowest cost (then lowest number) that has room for it whole; where none has,

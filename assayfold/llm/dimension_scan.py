@@ -49,7 +49,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     components are there and finite."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(
+        F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")
+    )
 
 
 class Lists:
@@ -173,7 +175,13 @@ def _probed(lists: Lists, every: bool):
                 to = lists.of(x, len(lists.centres) if every else lists.probes)
                 n = to.shape[1]
                 own = pa.array([raw for v in x.astype("<f8") for raw in [v.tobytes()] * n], pa.binary())
-                values = [pa.array(to.ravel(), pa.int32()), pa.array(np.full(to.size, x.shape[1]), pa.int32()), batch.column(0).take(pa.array(np.repeat(at, n))), own, pa.array(np.tile(np.arange(n), len(at)), pa.int32())]
+                values = [
+                    pa.array(to.ravel(), pa.int32()),
+                    pa.array(np.full(to.size, x.shape[1]), pa.int32()),
+                    batch.column(0).take(pa.array(np.repeat(at, n))),
+                    own,
+                    pa.array(np.tile(np.arange(n), len(at)), pa.int32()),
+                ]
                 yield pa.RecordBatch.from_arrays(values, ["list", "dim", "asked", "own", "turn"])
 
     return run
@@ -195,7 +203,9 @@ def scan(axes: list[np.ndarray], query: np.ndarray, bar: float, nearest: int, ep
             continue
         if not np.isfinite(bar):  # the nearest by the axes seen so far give a first bar
             first = left[np.argpartition(partial, nearest - 1)[:nearest]]
-            bar = float(np.sqrt(sum(((a[:, first].astype(np.float64) - query[b : b + len(a), None]) ** 2).sum(0) for a, b in zip(axes, edges(dim)))).max())
+            bar = float(
+                np.sqrt(sum(((a[:, first].astype(np.float64) - query[b : b + len(a), None]) ** 2).sum(0) for a, b in zip(axes, edges(dim)))).max()
+            )
         allowed = (bar + off) * (1 + epsilon / np.sqrt(seen) if seen < dim else 1 + 1e-6)
         stay = ~(np.sqrt(partial * (dim / seen)) > allowed)
         left, partial = left[stay], partial[stay]
@@ -222,13 +232,21 @@ def _scanned(nearest: int, epsilon: float):
                     left = scan(axes, query @ turn, np.inf if a["bar"] is None else a["bar"], nearest + 1, epsilon)
                     left = left[rows[left] != a["asked"]]
                     far = np.sqrt(((x[left] - query) ** 2).sum(1))
-                    out += [(a["asked"], int(rows[left[i]]), int(ids[left[i]]), float(far[i])) for i in np.lexsort((rows[left], ids[left], far))[:nearest]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["asked", "row", "vec_id", "score"])
+                    out += [
+                        (a["asked"], int(rows[left[i]]), int(ids[left[i]]), float(far[i]))
+                        for i in np.lexsort((rows[left], ids[left], far))[:nearest]
+                    ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+                    ["asked", "row", "vec_id", "score"],
+                )
 
     return run
 
 
-def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, epsilon: float = EPSILON, seed: int = SEED, per_list: int = PER_LIST) -> DataFrame:
+def search(
+    vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, epsilon: float = EPSILON, seed: int = SEED, per_list: int = PER_LIST
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the `nearest` rows found for every row whose vec_id is divisible by `every`.
 
     Score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. A query's
@@ -251,7 +269,9 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, epsil
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a crowded list is dealt over as many parts as it needs
     dealt = home.join(parts, ["list", "dim"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    dealt = dealt.select("row", "v", "vec_id", "list", "dim", "part").repartition(n, "list", "dim", "part").sortWithinPartitions("list", "dim", "part")
+    dealt = dealt.select("row", "v", "vec_id", "list", "dim", "part").repartition(n, "list", "dim", "part").sortWithinPartitions(
+        "list", "dim", "part"
+    )
     blocks = kept.put(dealt.mapInArrow(_stored(BLOCK), BLOCKS), "blocks")
     parts = kept.put(parts, "parts")
     kept.drop("home")
@@ -277,8 +297,13 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST, epsil
     few = queries.join(found.groupBy("asked").agg(F.count("*").alias("n")), "asked", "left").where(F.coalesce("n", F.lit(0)) < nearest)
     rest = few.select("asked", "v").mapInArrow(_probed(lists, True), PROBES)
     again = best(scanned(rest.withColumn("bar", F.lit(None).cast("double"))))
-    out = found.join(few.select("asked"), "asked", "left_anti").unionByName(again.select(*found.columns)).join(queries.select("asked", "query_id"), "asked")
-    out = kept.put(out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("asked", "rank"))).select("query_id", "rank", "vec_id", "score"), "out")
+    out = found.join(few.select("asked"), "asked", "left_anti").unionByName(again.select(*found.columns)).join(
+        queries.select("asked", "query_id"), "asked"
+    )
+    out = kept.put(
+        out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("asked", "rank"))).select("query_id", "rank", "vec_id", "score"),
+        "out",
+    )
     kept.drop_but("out")
     return out
 
@@ -287,7 +312,8 @@ def recall(vectors: DataFrame, found: DataFrame, every: int = EVERY, nearest: in
     """Share of the true neighbours' number that `found` has no farther than the last true one, over at most `at_most`
     queries chosen by hash: these against all rows, in blocks."""
     rows = usable(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id")).limit(at_most).dropDuplicates(["vec_id"]).collect()  # bounded by at_most
+    # bounded by at_most
+    asked = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id")).limit(at_most).dropDuplicates(["vec_id"]).collect()
     ids, own = [r.vec_id for r in asked], [np.array(r.v) for r in asked]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +325,13 @@ def recall(vectors: DataFrame, found: DataFrame, every: int = EVERY, nearest: in
                     if len(q) == x.shape[1]:
                         far = np.sqrt(((x - q) ** 2).sum(1))[mine != i]
                         out += [(i, float(f)) for f in np.sort(far)[:nearest]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.float64())], ["query_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.float64())], ["query_id", "score"]
+            )
 
-    true = rows.mapInArrow(near, "query_id long, score double").withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("score"))).where(F.col("k") <= nearest)
+    true = rows.mapInArrow(near, "query_id long, score double").withColumn(
+        "k", F.row_number().over(W.partitionBy("query_id").orderBy("score"))
+    ).where(F.col("k") <= nearest)
     last = true.groupBy("query_id").agg(F.max("score").alias("last"), F.count("*").alias("n"))
     hit = found.join(last, "query_id").where(F.col("score") <= F.col("last") * (1 + 1e-12)).groupBy("query_id").agg(F.count("*").alias("hit"))
     out = last.join(hit, "query_id", "left").agg((F.sum(F.least(F.coalesce("hit", F.lit(0)), "n")) / F.sum("n")).alias("r")).first()

@@ -47,7 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
     out = out.withColumn("_level", level)
     # the first source in this order that does not stop sets the level for itself and all after it
-    open_ = F.first(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    open_ = F.first(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level")), ignorenulls=True).over(
+        order.rowsBetween(W.unboundedPreceding, 0)
+    )
     return out.select("source", "source_size", "weight", F.coalesce(open_ * F.col("weight"), F.col("cap")).alias("target"))
 
 
@@ -76,14 +78,27 @@ def newton(cells: DataFrame, wanted: DataFrame, kept: Kept, most: int = MOST, st
         # merged, not broadcast: a broadcast table takes pages of memory on every executor, and there are two a step
         at = cells.join(state.where("not done").select("key", "mean", "lam").hint("merge"), "key").select("key", "n", z.alias("z"), rate.alias("r"))
         bends = F.when(F.col("r") < most, F.col("r")).otherwise(0.0)
-        sums = at.groupBy("key").agg(F.sum(F.col("n") * F.col("z") * F.col("r")).alias("f"), F.sum(F.col("n") * F.col("z") * F.col("z") * bends).alias("d"))
+        sums = at.groupBy("key").agg(
+            F.sum(F.col("n") * F.col("z") * F.col("r")).alias("f"), F.sum(F.col("n") * F.col("z") * F.col("z") * bends).alias("d")
+        )
         now = state.join(sums.hint("merge"), "key", "left").withColumn("t", F.try_divide("target", "mean"))
-        now = now.withColumns({"low": F.when(F.col("f") < F.col("t"), F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("f") >= F.col("t"), F.col("lam")).otherwise(F.col("high"))})
+        now = now.withColumns(
+            {
+                "low": F.when(F.col("f") < F.col("t"), F.col("lam")).otherwise(F.col("low")),
+                "high": F.when(F.col("f") >= F.col("t"), F.col("lam")).otherwise(F.col("high")),
+            }
+        )
         step = F.col("lam") - F.try_divide(F.col("f") * (F.log("f") - F.log("t")), F.col("d"))
-        inside = F.coalesce((step > F.coalesce("low", F.lit(float("-inf")))) & (step < F.coalesce("high", F.lit(float("inf")))) & (F.abs(step) < 1e12), F.lit(False))
-        wider = F.when(F.col("high").isNull(), F.greatest(F.col("lam") * 2, F.col("lam") + 1)).when(F.col("low").isNull(), F.least(F.col("lam") * 2, F.col("lam") - 1)).otherwise((F.col("low") + F.col("high")) / 2)
+        inside = F.coalesce(
+            (step > F.coalesce("low", F.lit(float("-inf")))) & (step < F.coalesce("high", F.lit(float("inf")))) & (F.abs(step) < 1e12), F.lit(False)
+        )
+        wider = F.when(F.col("high").isNull(), F.greatest(F.col("lam") * 2, F.col("lam") + 1)).when(
+            F.col("low").isNull(), F.least(F.col("lam") * 2, F.col("lam") - 1)
+        ).otherwise((F.col("low") + F.col("high")) / 2)
         close = F.abs(F.col("f") - F.col("t")) <= F.col("t") * CLOSE
-        now = now.withColumn("lam", F.when(F.col("done") | close, F.col("lam")).when(inside, step).otherwise(wider)).withColumn("done", F.col("done") | F.coalesce(close, F.lit(False)))
+        now = now.withColumn("lam", F.when(F.col("done") | close, F.col("lam")).when(inside, step).otherwise(wider)).withColumn(
+            "done", F.col("done") | F.coalesce(close, F.lit(False))
+        )
         state = kept.put(now.select(state.columns), "lambdas")
         kept.drop("lambdas", 1)
     raise RuntimeError(f"Newton's steps did not converge in {steps}")
@@ -99,19 +114,28 @@ def rounded(cells: DataFrame, kept: Kept, most: int = MOST, exchanges: int = EXC
     part = F.col("n") * (F.col("rate") - F.floor("rate"))
     upto = F.sum(part).over(order.rowsBetween(W.unboundedPreceding, 0))
     extra = F.least(F.col("n"), F.floor(F.col("_upto") + 0.5) - F.floor(F.col("_upto") - F.col("_part") + 0.5))
-    out = cells.withColumns({"_upto": upto, "_part": part}).withColumn("copies", (F.col("n") * F.floor("rate") + extra).cast("long")).drop("_upto", "_part")
+    out = cells.withColumns({"_upto": upto, "_part": part}).withColumn("copies", (F.col("n") * F.floor("rate") + extra).cast("long")).drop(
+        "_upto", "_part"
+    )
     out = kept.put(out, "rounded")
     for _ in range(exchanges):
         gap = out.groupBy("key").agg(F.round(F.max("target") - F.sum(F.col("size") * F.col("copies"))).cast("long").alias("gap"))
         seen = out.join(gap.hint("merge"), "key").where("size > 0 and gap <> 0")
         free = F.when(F.col("gap") < 0, F.col("copies")).otherwise(F.col("n") * most - F.col("copies"))
         moved = F.least(free, F.greatest(F.lit(1), F.floor(F.abs("gap") / F.col("size"))))
-        seen = seen.withColumn("moved", moved).withColumn("left", F.abs(F.abs("gap") - F.col("moved") * F.col("size"))).where(F.col("moved") > 0).where(F.col("left") < F.abs("gap"))
-        best = seen.groupBy("key").agg(F.min_by(F.struct("size", (F.signum("gap") * F.col("moved")).cast("long").alias("by")), F.struct("left", "size")).alias("b"))
+        seen = seen.withColumn("moved", moved).withColumn("left", F.abs(F.abs("gap") - F.col("moved") * F.col("size"))).where(
+            F.col("moved") > 0
+        ).where(F.col("left") < F.abs("gap"))
+        best = seen.groupBy("key").agg(
+            F.min_by(F.struct("size", (F.signum("gap") * F.col("moved")).cast("long").alias("by")), F.struct("left", "size")).alias("b")
+        )
         best = kept.put(best.select("key", "b.size", "b.by"), "best")
         if best.isEmpty():
             break
-        out = kept.put(out.join(best.hint("merge"), ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by"), "rounded")
+        out = kept.put(
+            out.join(best.hint("merge"), ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by"),
+            "rounded",
+        )
         kept.drop("rounded", 1)
     return out
 
@@ -134,16 +158,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     wanted = targets(sizes.select("source", "source_size"), weights, most).withColumn("key", key).join(sizes.select("key", "rows"), "key")
     wanted = wanted.select("key", "source_size", "target", (F.col("source_size") / F.col("rows")).alias("mean"))
     tilt = newton(cells.select("key", "size", "n"), wanted, kept, most)
-    rated = cells.select("key", "size", "n").join(tilt, "key").select("key", "size", "n", "source_size", "target", rate_of(F.col("size"), F.col("mean"), F.col("lam"), most).alias("rate"))
+    rated = cells.select("key", "size", "n").join(tilt, "key").select(
+        "key", "size", "n", "source_size", "target", rate_of(F.col("size"), F.col("mean"), F.col("lam"), most).alias("rate")
+    )
     taken = rounded(rated, kept, most)
     kept.drop_but("rows", "parts", "rounded")
     # a cell's rows share its copies evenly; what is left over goes to the first by (salt, hash)
     before = F.coalesce(F.sum("n").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("key", "size", "salt", before.alias("_before")).join(taken.withColumnsRenamed({"copies": "_all", "n": "_n"}), ["key", "size"])
+    parts = parts.select("key", "size", "salt", before.alias("_before")).join(
+        taken.withColumnsRenamed({"copies": "_all", "n": "_n"}), ["key", "size"]
+    )
     ranked = salted.withColumn("_inside", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("row_hash", "doc_id")))
     out = ranked.join(parts, ["key", "size", "salt"])
-    copies = (F.floor(F.col("_all") / F.col("_n")) + F.when(F.col("_before") + F.col("_inside") <= F.col("_all") % F.col("_n"), 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row_hash")
+    copies = (F.floor(F.col("_all") / F.col("_n")) + F.when(F.col("_before") + F.col("_inside") <= F.col("_all") % F.col("_n"), 1).otherwise(0)).cast(
+        "long"
+    )
+    return out.select(
+        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row_hash"
+    )
 
 
 def row_hash() -> Column:

@@ -39,11 +39,36 @@ PHRASES = (
 )
 #: Short public notices and opening sentences of common licenses.
 TEMPLATES = (
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    Template("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template(
+        "mit",
+        (
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+            "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+            "distribute, sublicense, and/or sell copies of the Software"
+        ),
+    ),
+    Template(
+        "apache-2",
+        (
+            "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+            "http://www.apache.org/licenses/LICENSE-2.0"
+        ),
+    ),
+    Template(
+        "bsd",
+        (
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+            "are met"
+        ),
+    ),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    Template(
+        "gpl",
+        (
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+            "by the Free Software Foundation"
+        ),
+    ),
     Template("gpl", "licensed under the GNU General Public License"),
     Template("lgpl", "licensed under the GNU Lesser General Public License"),
     Template("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -51,8 +76,20 @@ TEMPLATES = (
     Template("agpl", "GNU Affero General Public License as published by the Free Software Foundation"),
     Template("apache-2", "Licensed under the Apache License, Version 2.0 (the License)"),
     Template("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
-    Template("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
-    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    Template(
+        "bsd",
+        (
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+            "documentation and/or other materials provided with the distribution"
+        ),
+    ),
+    Template(
+        "zlib",
+        (
+            "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages "
+            "arising from the use of this software"
+        ),
+    ),
     Template("cc0", "has waived all copyright and related or neighboring rights"),
     Template("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike"),
     Template("cc-by-nc", "licensed under a Creative Commons Attribution NonCommercial"),
@@ -70,18 +107,24 @@ def words(text: Column) -> Column:
 def grams(of: Column | str, k: int) -> Column:
     """Hashes of all rolling k-grams, by position from 0; none if there are fewer words."""
     of = F.col(of) if isinstance(of, str) else of
-    return F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.size(of) - k + 1), lambda i: F.xxhash64(F.slice(of, i, k)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.when(F.size(of) >= k, F.transform(F.sequence(F.lit(1), F.size(of) - k + 1), lambda i: F.xxhash64(F.slice(of, i, k)))).otherwise(
+        F.expr("cast(array() as array<bigint>)")
+    )
 
 
 def index(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
     """(template, label, exact, n_grams, at, gram, words): every k-gram position of the templates, as large as these."""
     rows = [(i, t.label, t.exact, t.text) for i, t in enumerate(templates)]
-    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("all", words(F.col("text"))).withColumn("grams", grams("all", k))
+    frame = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("all", words(F.col("text"))).withColumn(
+        "grams", grams("all", k)
+    )
     frame = frame.select("template", "label", "exact", F.size("grams").alias("n_grams"), "all", F.posexplode("grams").alias("at", "gram"))
     return frame.withColumn("words", F.slice("all", F.col("at") + 1, k)).drop("all")
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE) -> DataFrame:
+def scan(
+    docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES, k: int = K, drift: int = DRIFT, coverage: float = COVERAGE
+) -> DataFrame:
     """One row per row of docs: doc_id, n_words, and `spans`, an array of (template, label, exact, start, votes, share).
 
     start is where the template's first word stands, or would by the smallest of the span's diagonals. A template marked
@@ -93,7 +136,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES,
     """
     spark = docs.sparkSession
     keys = index(spark, templates, k)
-    short = {r.template for r in spark.range(len(templates)).select(F.col("id").cast("int").alias("template")).join(keys, "template", "left_anti").collect()}
+    short = {
+        r.template
+        for r in spark.range(len(templates)).select(F.col("id").cast("int").alias("template")).join(keys, "template", "left_anti").collect()
+    }
     if short:
         raise ValueError(f"templates shorter than {k} words: {sorted(short)}")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
@@ -101,14 +147,18 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES,
     known = [r.gram for r in keys.select("gram").distinct().limit(KEYS + 1).collect()]  # the templates', not the documents'
     few = len(known) <= KEYS
     # with few templates only their k-grams leave the projection; either way the join decides
-    hit = lambda g, i: F.when(g.isin(known) if few else F.lit(True), F.struct(g.alias("gram"), i.alias("pos"), F.slice("words", i + 1, k).alias("found")))
+    hit = lambda g, i: F.when(
+        g.isin(known) if few else F.lit(True), F.struct(g.alias("gram"), i.alias("pos"), F.slice("words", i + 1, k).alias("found"))
+    )
     at = F.filter(F.transform("grams", hit), lambda x: x.isNotNull())
     # each row keeps one entry without a gram, so that rows without hits come through
     none = F.array(F.expr("named_struct('gram', cast(null as bigint), 'pos', -1, 'found', cast(null as array<string>))"))
     hits = rows.select("row", "doc_id", "n_words", F.explode(F.concat(none, at)).alias("hit")).select("row", "doc_id", "n_words", "hit.*")
     # equal hashes propose, equal words decide
     hits = hits.join(F.broadcast(keys) if few else keys, "gram", "left").where("gram is null or found = words")
-    hits = hits.select("row", "doc_id", "n_words", "template", "label", "exact", "n_grams", "at", (F.col("pos") - F.col("at")).cast("long").alias("diagonal"))
+    hits = hits.select(
+        "row", "doc_id", "n_words", "template", "label", "exact", "n_grams", "at", (F.col("pos") - F.col("at")).cast("long").alias("diagonal")
+    )
     hits = hits.repartition("row")  # all that follows is by row, and needs no other exchange
     by = ["row", "doc_id", "n_words"]
     kind = ["template", "label", "exact", "n_grams"]
@@ -122,7 +172,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + TEMPLATES,
     spans = spans.groupBy(*by, *kind, "chain", "part").agg(F.min("diagonal").alias("start"), F.countDistinct("at").alias("votes"))
     least = F.when(F.col("exact") | (F.col("n_grams") < SHORT), F.col("n_grams")).otherwise(coverage * F.col("n_grams"))
     share = F.when(F.col("exact"), 1.0).otherwise(F.col("votes") / F.col("n_grams")).alias("share")
-    one = F.when(F.col("template").isNotNull() & (F.col("votes") >= least), F.struct("template", "label", "exact", "start", "votes", share).cast(SPAN))
+    one = F.when(
+        F.col("template").isNotNull() & (F.col("votes") >= least), F.struct("template", "label", "exact", "start", "votes", share).cast(SPAN)
+    )
     return spans.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("spans")).select("doc_id", "n_words", "spans")
 
 

@@ -89,8 +89,20 @@ def _lots(order: int, places: np.ndarray, target: bool):
             rows = []
             for i, p in enumerate(lots):
                 keys, runs_ = slice(at[i], at[i + 1]), slice(run_at[i], run_at[i + 1])
-                rows.append((int(places[p]), -1 if target else task + number, short[keys].tobytes(), planes(times[keys], "<u4"), planes(np.diff(docs[runs_], prepend=0), "<i8"), planes(runs[runs_], "<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 4)], ["place", "chunk", "keys", "times", "docs", "counts"])
+                rows.append(
+                    (
+                        int(places[p]),
+                        -1 if target else task + number,
+                        short[keys].tobytes(),
+                        planes(times[keys], "<u4"),
+                        planes(np.diff(docs[runs_], prepend=0), "<i8"),
+                        planes(runs[runs_], "<u4"),
+                    )
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 4)],
+                ["place", "chunk", "keys", "times", "docs", "counts"],
+            )
 
     return run
 
@@ -137,7 +149,10 @@ def _losses(prior: float, vocabulary: int):
         whole = lambda x: [planes(np.diff(x[a:b].astype(np.int64), prepend=0), "<i8") for a, b in zip(ends[:-1], ends[1:])]
         out = [r for r in zip(lots, whole(ids), put(lost), put(base), whole(n)) if r[0] >= 0]
         for k in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256]), [pa.int64()] + [pa.binary()] * 4)], ["chunk", "docs", "target", "background", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out[k : k + 256]), [pa.int64()] + [pa.binary()] * 4)],
+                ["chunk", "docs", "target", "background", "n"],
+            )
 
     return run
 
@@ -148,7 +163,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sums(lots):
         docs, *values = (np.concatenate(x) for x in zip(*lots))
         ids, at = np.unique(docs, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.bincount(at, v, len(ids))) for v in values)], ["row", "target", "background", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), *(pa.array(np.bincount(at, v, len(ids))) for v in values)], ["row", "target", "background", "n"]
+        )
 
     chunk, held = None, []
     for batch in batches:
@@ -180,13 +197,21 @@ def score(docs: DataFrame, target: DataFrame, order: int = ORDER, prior: float =
     words = mine.unionByName(aims).select("text").mapInArrow(_vocabulary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = words.agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (found.n or 0) // KEYS))
-    dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
+    dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(
+        F.min("id").alias("place")
+    ).collect()
     places = np.array([r.place for r in dealt])
     shape = "place int, chunk long, keys binary, times binary, docs binary, counts binary"
     lots = mine.mapInArrow(_lots(order, places, False), shape).unionByName(aims.mapInArrow(_lots(order, places, True), shape))
-    lots = lots.repartition(parts, "place").mapInArrow(_losses(prior, max(1, found.distinct)), "chunk long, docs binary, target binary, background binary, n binary")
-    losses = lots.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather, "row long, target double, background double, n double")
+    lots = lots.repartition(parts, "place").mapInArrow(
+        _losses(prior, max(1, found.distinct)), "chunk long, docs binary, target binary, background binary, n binary"
+    )
+    losses = lots.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(
+        _gather, "row long, target double, background double, n double"
+    )
     sums = Kept(spark, "lm").put(losses.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("target", "background", "n"))), "sums")
     out = docs.select("doc_id", row.alias("row")).join(sums, "row", "left")
     mean = lambda c: (F.col(c) / F.col("n")).alias(f"{c}_loss")
-    return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n_tokens"), mean("target"), mean("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return out.select("doc_id", F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n_tokens"), mean("target"), mean("background")).withColumn(
+        "score", F.col("target_loss") - F.col("background_loss")
+    )

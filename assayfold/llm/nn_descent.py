@@ -59,7 +59,16 @@ def _blocks(bits: int, tables: int, seed: int):
                     signs = (units(rows.column(2)) @ planes[dim] > 0).reshape(len(rows), tables, bits)
                     key = signs @ (1 << np.arange(bits, dtype=np.int64))
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(rows), int(dim), np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(key[:, t])], ["id", "label", "dim", "t", "key"])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                rows.column(0),
+                                rows.column(1),
+                                pa.array(np.full(len(rows), int(dim), np.int32)),
+                                pa.array(np.full(len(rows), t, np.int32)),
+                                pa.array(key[:, t]),
+                            ],
+                            ["id", "label", "dim", "t", "key"],
+                        )
 
     return run
 
@@ -150,8 +159,12 @@ def _paired(rows: DataFrame, sizes: DataFrame, by: list[str], vec: DataFrame, pa
     """Rows with their vectors (vec: id, label, dim, v), once for each pair (i, j) of chunks of their group, sorted by
     group and pair. sizes: n of the groups above CHUNK rows, by columns of rows; the others are one chunk each."""
     rows = rows.join(sizes, [c for c in sizes.columns if c != "n"], "left").withColumn("n", F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": F.when(F.col("part") <= F.col("other"), 0).otherwise(1)}).drop("n", "part", "other")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    )
+    rows = rows.withColumns(
+        {"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": F.when(F.col("part") <= F.col("other"), 0).otherwise(1)}
+    ).drop("n", "part", "other")
     rows = rows.join(vec, [c for c in ("id", "label", "dim") if c in rows.columns]).select(*by, "i", "j", "side", "id", "v")
     return rows.repartition(parts, *by, "i", "j").sortWithinPartitions(*by, "i", "j")
 
@@ -185,7 +198,9 @@ def _count(threshold: float):
 
 def saturated(edges: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a) of the lists of `size` entries or more that are links throughout."""
-    return edges.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= size) & (F.col("least") >= threshold)).select("a")
+    return edges.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least")).where(
+        (F.col("n") >= size) & (F.col("least") >= threshold)
+    ).select("a")
 
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -205,8 +220,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = Kept(spark, "descent")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
-    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    valid = rows.where(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).withColumn("v", F.col("v").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("v"))
+    fine = F.coalesce(
+        F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
+    )
+    valid = rows.where(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).withColumn(
+        "v", F.col("v").cast("array<float>") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("v")
+    )
     # a number for each different vector of a label, fixed by being written; vec_ids may repeat
     kinds = valid.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"))
     kinds = kept.put(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
@@ -252,12 +271,16 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for turn in range(ROUNDS + ENLARGE):
             # who has a neighbour in common meets there
             size = LIST << max(0, turn - ROUNDS + 1)
-            at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
+            at = edges.select(F.col("a").alias("pivot"), F.col("b").alias("id")).unionByName(
+                edges.select(F.col("b").alias("pivot"), F.col("a").alias("id"))
+            ).unionByName(edges.select(F.col("a").alias("pivot"), F.col("a").alias("id"))).distinct()
             if turn >= ROUNDS:
                 full = kept.put(saturated(edges, size // 2, threshold), "full")
                 if full.isEmpty():
                     break
-                around = full.select(F.col("a").alias("pivot")).unionByName(edges.join(full, "a", "left_semi").select(F.col("b").alias("pivot"))).distinct()
+                around = full.select(F.col("a").alias("pivot")).unionByName(
+                    edges.join(full, "a", "left_semi").select(F.col("b").alias("pivot"))
+                ).distinct()
                 at = at.join(around, "pivot", "left_semi")
             hubs = at.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
             edges, trees = met(_paired(at, hubs, ["pivot", "label", "dim"], vec, parts), 3, size, size)
@@ -274,15 +297,34 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = kept.put(members.join(counts, "comp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = pairs.select("comp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "w", "v")
-    links = pairs.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_count(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(
+        "comp",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "id",
+        "w",
+        "v",
+    )
+    links = pairs.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(
+        _count(threshold), "id long, n long"
+    ).groupBy("id").agg(F.sum("n").alias("n"))
     named = comps.join(kinds.select("id", "first"), "id").groupBy("comp").agg(F.min("first").alias("smallest"))
     done = kinds.join(links, "id", "left").join(comps, "id", "left").join(named, "comp", "left")
-    done = kept.put(done.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id")), "done")
+    done = kept.put(
+        done.select(
+            "label", "v", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id")
+        ),
+        "done",
+    )
     kept.drop_but("done")
     own = valid.join(done, ["label", "v"]).select("vec_id", "n_links", "component_id")
-    rest = rows.where(~(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return own.unionByName(rest).withColumns({"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(float(recall))})
+    rest = rows.where(~(fine & F.col("vec_id").isNotNull() & F.col("label").isNotNull())).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
+    return own.unionByName(rest).withColumns(
+        {"kept": F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)), "recall": F.lit(float(recall))}
+    )
 
 
 def _sample(rows: DataFrame) -> list[tuple]:
@@ -319,7 +361,9 @@ def _audit(kinds: DataFrame, comps: DataFrame, probe: list[tuple], threshold: fl
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     true = kinds.select("id", "label", "v").mapInArrow(run, "a long, b long")
-    mine = true.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    mine = true.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(
+        comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left"
+    )
     shares = {r.a: r.hit / r.n for r in mine.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).collect()}
     own = [[shares[i] for i in {i for i, *_ in part} if i in shares] for part in samples]
     return min([sum(x) / len(x) for x in own if x], default=1.0)

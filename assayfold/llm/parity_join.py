@@ -111,7 +111,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         f, g = _prints(sets, cuts)
         own = [sets[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         bits, fine = [bit_sketch(x) for x in own], [bit_sketch(x, FINE, FINEST) for x in own]
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g)), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n_shingles", "f", "g", "sketch", "fine"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), *(pa.array(x) for x in (np.diff(cuts), f, g)), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
+            ["doc_id", "n_shingles", "f", "g", "sketch", "fine"],
+        )
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterat
         short = (key // parts).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
         of, group, need = ids[of[edge]], group[edge], np.minimum(need[edge], 32767)
         rows = [(int(places[p]), short[a:b].tobytes(), planes(np.diff(of[c:d], prepend=0), "<i8"), planes(group[c:d], "i1"), planes(need[c:d], "<i2"), planes(runs[c:d], "<u4")) for p, (a, b, c, d) in zip(lots, bounds)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["place", "keys", "ids", "bands", "needs", "counts"]
+        )
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +177,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(at, len(key)))
     who = mix(ids.view(np.uint64) + mix(need.astype(np.uint64)))
-    run = mix(np.bitwise_xor.reduceat(who, at) + mix(np.add.reduceat(who, at)) + mix(size.astype(np.uint64) * np.uint64(4096) + band[at].astype(np.uint64)))
+    run = mix(
+        np.bitwise_xor.reduceat(who, at) + mix(np.add.reduceat(who, at)) + mix(size.astype(np.uint64) * np.uint64(4096) + band[at].astype(np.uint64))
+    )
     _, first, times = np.unique(run, return_index=True, return_counts=True)
     for k in range(0, len(first), 10_000):
         f, n = first[k : k + 10_000], times[k : k + 10_000]
         spans = [(at[i], at[i] + size[i]) for i in f]
         packed = [[planes(np.diff(ids[a:b], prepend=0), "<i8") for a, b in spans], [planes(need[a:b], "<i2") for a, b in spans]]
-        yield _batch({"run": run[f].view(np.int64), "band": band[at[f]].astype(np.int16), "n": n.astype(np.int64), "ids": packed[0], "needs": packed[1]})
+        yield _batch(
+            {"run": run[f].view(np.int64), "band": band[at[f]].astype(np.int16), "n": n.astype(np.int64), "ids": packed[0], "needs": packed[1]}
+        )
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +199,17 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             needs = [numbers(x, "<i2") for x in part.column(4).to_pylist()]
             size = np.array([len(x) for x in ids])
             put = lambda i: np.repeat(part.column(i).to_numpy(zero_copy_only=False), size)  # noqa: E731,B023
-            yield _batch({"run": put(0), "id": np.concatenate(ids), "band": put(1), "need": np.concatenate(needs).astype(np.int32), "leader": np.repeat([x[0] for x in ids], size), "n": put(2), "held": np.repeat(size, size)})
+            yield _batch(
+                {
+                    "run": put(0),
+                    "id": np.concatenate(ids),
+                    "band": put(1),
+                    "need": np.concatenate(needs).astype(np.int32),
+                    "leader": np.repeat([x[0] for x in ids], size),
+                    "n": put(2),
+                    "held": np.repeat(size, size),
+                }
+            )
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +290,9 @@ class IdFilter:
     def __init__(self, ids: DataFrame):
         size = 1 << FILTER_BITS
         bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {size}) & 63 as int))")
-        bits = ids.select(F.shiftright(F.pmod(F.xxhash64("id"), F.lit(size)), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        bits = ids.select(F.shiftright(F.pmod(F.xxhash64("id"), F.lit(size)), 6).alias("word"), bit.alias("bit")).groupBy("word").agg(
+            F.bit_or("bit").alias("bits")
+        )
         found = bits.toArrow()  # at most 2 ** (FILTER_BITS - 6) words
         words = np.zeros(size >> 6, np.int64)
         words[found.column(0).to_numpy()] = found.column(1).to_numpy()
@@ -298,7 +319,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, set) of rows (id, text)."""
     for part in chunks(batches, 1):
         found, cuts = shingle_sets(part.column(1), WORDS)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))], ["id", "set"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found.view(np.int64)))], ["id", "set"]
+        )
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +345,9 @@ def close_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
     rows = rows.groupBy("id").agg(F.max("n").alias("n"), *(F.when(one, F.max(c)).alias(c) for c in ("f", "g", "fine")))
     of = lambda side: rows.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "f", "g", "fine")))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(~F.coalesce((F.col("f_a") == F.col("f_b")) & (F.col("g_a") == F.col("g_b")), F.lit(False)))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(
+        ~F.coalesce((F.col("f_a") == F.col("f_b")) & (F.col("g_a") == F.col("g_b")), F.lit(False))
+    )
     return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(_close, "a long, b long")
 
 
@@ -334,14 +359,18 @@ def verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame, kept: Kept) ->
     pairs = kept.put(close_pairs(kept.put(pairs, "met-pairs"), prints), "pairs")
     kept.drop("met-pairs")
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    members = pairs.join(counts, "a").select(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    members = pairs.join(counts, "a").select(
+        F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id")
+    )
     kept.drop("roles")
     roles = members.unionByName(members.select("key", "salt", F.lit(0).alias("role"), F.col("key").alias("id")).distinct())
     own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     own = IdFilter(roles.select("id")).rows(own, _sets, "id long, set array<long>")
     few = kept.put(roles, "roles")
     few = F.broadcast(few) if few.count() <= BROADCAST else few  # else both sides are shuffled by id
-    grouped = few.join(own, "id").select("key", "salt", "role", "id", "set").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt").sortWithinPartitions("key", "salt", "role")
+    grouped = few.join(own, "id").select("key", "salt", "role", "id", "set").repartition(
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "salt"
+    ).sortWithinPartitions("key", "salt", "role")
     return kept.put(grouped.mapInArrow(_compare, "a long, b long").distinct(), "links")
 
 
@@ -383,7 +412,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # keys travel in lots, one a chunk and partition: for each partition, a number that Spark's hash deals to it
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(F.min("id").alias("place")).collect()
+    dealt = spark.range(40 * parts + 1000).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p")).agg(
+        F.min("id").alias("place")
+    ).collect()
     places = np.array([r.place for r in dealt])
     signed = docs.mapInArrow(lambda it: _signatures(it, places), "place int, keys binary, ids binary, bands binary, needs binary, counts binary")
     packed = "run long, band short, n long, ids binary, needs binary"
@@ -410,7 +441,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         run = Window.partitionBy("run")
         lead = F.min_by(F.struct(F.col("id").alias("leader"), F.col("comp").alias("lead_comp")), F.xxhash64("id", F.lit(turn))).over(run)
         now = met.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = now.withColumns({"low": F.min("comp").over(run), "high": F.max("comp").over(run), "held": F.count("*").over(run), "l": lead}).where("low <> high")
+        now = now.withColumns({"low": F.min("comp").over(run), "high": F.max("comp").over(run), "held": F.count("*").over(run), "l": lead}).where(
+            "low <> high"
+        )
         # links to other components need enough agreements in buckets that hold other components
         now = kept.put(with_enough(now.select("run", "id", "band", "need", "n", "held", "comp", "l.leader", "l.lead_comp")), "mixed")
         large = now.where(F.col("held") > SMALL).where("comp <> lead_comp")
@@ -422,7 +455,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = merged(comps, more, kept)
     # an id with several texts has no sketch of its own: size and sketch are such that it passes
     one = F.min("f").eqNullSafe(F.max("f")) & F.min("g").eqNullSafe(F.max("g"))
-    of = ids.groupBy(F.col("doc_id").alias("id")).agg(F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"), F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"))
+    of = ids.groupBy(F.col("doc_id").alias("id")).agg(
+        F.when(one, F.max("n_shingles")).otherwise(F.lit(1 << 40)).alias("size"),
+        F.when(one, F.max("sketch")).otherwise(F.lit(bytes(SKETCH // 8))).alias("sketch"),
+    )
     # of agreements that a partner needs, one lies outside the need - 1 in a document's largest runs: only the others deal.
     # One window from the smallest run on: how many agreements lie in a run and all larger ones, and the first runs
     order = Window.partitionBy("id", "band").orderBy("held", F.desc("run"))
@@ -433,7 +469,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for k in range(1, FIRST + 1):
         rows = rows.withColumn(f"first{k}", F.coalesce(F.when(left >= F.col("need"), F.col(f"v{k}.run")), F.lit(NONE)))
         left = left - F.coalesce(F.col(f"v{k}.n"), F.lit(0))
-    rows = rows.join(comps, "id", "left").join(of, "id").select("run", "id", F.coalesce("comp", "id").alias("comp"), "size", "sketch", *(f"first{k}" for k in range(1, FIRST + 1)))
+    rows = rows.join(comps, "id", "left").join(of, "id").select(
+        "run", "id", F.coalesce("comp", "id").alias("comp"), "size", "sketch", *(f"first{k}" for k in range(1, FIRST + 1))
+    )
     rows = rows.repartition(parts, "run").sortWithinPartitions("run")
     pairs = rows.mapInArrow(_cross, "a long, b long").distinct()
     pairs = kept.put(pairs, "late")
@@ -443,4 +481,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = merged(comps, late, kept)
     kept.drop("comps", 1)
     kept.drop_but("prints", "comps")
-    return prints.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+    return prints.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id")
+    )

@@ -131,7 +131,11 @@ def verdict(text: Column, rules: tuple[Rule, ...] = RULES, base: tuple[str, ...]
 
     def ruled(m: Column) -> Column:
         names = F.array_compact(F.array(*[F.when(failed(r, m), F.lit(r.name)) for r in rules])) if rules else F.expr("cast(array() as array<string>)")
-        judged = lambda f: (f.alias("failed_rules"), F.arrays_overlap(f, F.array(*map(F.lit, base)).cast("array<string>")).alias("base_failed"), (F.size(f) == 0).alias("kept"))
+        judged = lambda f: (
+            f.alias("failed_rules"),
+            F.arrays_overlap(f, F.array(*map(F.lit, base)).cast("array<string>")).alias("base_failed"),
+            (F.size(f) == 0).alias("kept"),
+        )
         return let(names, lambda f: F.struct(*[m[k].alias(k) for k in MEASURES], *judged(f)))
 
     return let(measures(text, window), ruled)

@@ -122,7 +122,12 @@ def op10_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"))
     out = compression_classifier.score(docs, model)
-    return out.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return out.select(
+        "doc_id",
+        compression_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
 
 
 def op11_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

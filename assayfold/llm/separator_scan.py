@@ -44,7 +44,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
                 names = [f"{ordinal + k} {'' if i is None else i}".encode() for k, i in enumerate(ids)]
                 numbers = np.arange(ordinal, ordinal + len(ids))
                 kinds = pa.array(["ids"] * len(ids) + ["tokens"] * len(ids))
-                yield pa.RecordBatch.from_arrays([kinds, pa.array(np.tile(numbers, 2)), pa.array(names + tokens, pa.binary())], ["kind", "ordinal", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [kinds, pa.array(np.tile(numbers, 2)), pa.array(names + tokens, pa.binary())], ["kind", "ordinal", "value"]
+                )
                 ordinal += len(ids)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "kind string, ordinal long, value binary")
@@ -58,7 +60,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind=ids")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "file string, ordinal long, doc_id long")
-    lines = spark.read.option("lineSep", "\0\0").text(f"{path}/kind=ids").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.split("value", " ").alias("x"))
+    lines = spark.read.option("lineSep", "\0\0").text(f"{path}/kind=ids").select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.split("value", " ").alias("x")
+    )
     return lines.select("file", F.col("x")[0].cast("long").alias("ordinal"), F.when(F.col("x")[1] != "", F.col("x")[1].cast("long")).alias("doc_id"))
 
 
@@ -78,10 +82,14 @@ def list_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     there = fs.listStatus(where) if fs.exists(where) else []
-    files = [(str(f.getPath().toString()), f.getLen()) for f in there if f.isFile() and not f.getPath().getName().startswith(("_", ".")) and f.getLen()]
+    files = [
+        (str(f.getPath().toString()), f.getLen()) for f in there if f.isFile() and not f.getPath().getName().startswith(("_", ".")) and f.getLen()
+    ]
     frame = spark.createDataFrame(files, "file string, bytes long")
     frame = frame.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / block))))
-    return frame.select("file", "block", (F.col("block") * block).alias("at"), F.least(F.lit(block), F.col("bytes") - F.col("block") * block).alias("length"))
+    return frame.select(
+        "file", "block", (F.col("block") * block).alias("at"), F.least(F.lit(block), F.col("bytes") - F.col("block") * block).alias("length")
+    )
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +103,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.flatnonzero(ids == 0)
             lengths = np.diff(ends, prepend=-1) - 1  # the first lacks what stands in earlier blocks
             tail = len(ids) - (int(ends[-1]) + 1 if len(ends) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([tail], pa.int64()), pa.array([lengths], pa.list_(pa.int64()))], ["file", "block", "n_ends", "tail", "lengths"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([file]),
+                    pa.array([block], pa.int64()),
+                    pa.array([len(ends)], pa.int64()),
+                    pa.array([tail], pa.int64()),
+                    pa.array([lengths], pa.list_(pa.int64())),
+                ],
+                ["file", "block", "n_ends", "tail", "lengths"],
+            )
 
 
 def count_tokens(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -109,7 +126,9 @@ def count_tokens(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
     blocks = list_blocks(spark, path, block)
     tasks = max(1, min(blocks.count(), 4 * spark.sparkContext.defaultParallelism))
     kept = Kept(spark, "blocks")
-    found = kept.put(blocks.repartition(tasks, "file", "block").mapInArrow(_scan, "file string, block long, n_ends long, tail long, lengths array<long>"), "found")
+    found = kept.put(
+        blocks.repartition(tasks, "file", "block").mapInArrow(_scan, "file string, block long, n_ends long, tail long, lengths array<long>"), "found"
+    )
     # the prefix scan is over two numbers a block: separators before it, and tokens since the last of them
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     since = W.partitionBy("file", "first").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -128,6 +147,8 @@ def count_tokens(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
     more = lambda n, i: n + F.when(i == 0, F.col("opens") + F.col("carried")).otherwise(0)
     own = F.transform("lengths", lambda n, i: F.struct((F.col("first") + i).alias("ordinal"), more(n, i).alias("n_tokens")))
     nothing = F.expr("cast(array() as array<struct<ordinal: bigint, n_tokens: bigint>>)")
-    open_end = F.when(F.col("is_last") & (rest > 0), F.array(F.struct((F.col("first") + F.col("n_ends")).alias("ordinal"), rest.alias("n_tokens")))).otherwise(nothing)
+    open_end = F.when(
+        F.col("is_last") & (rest > 0), F.array(F.struct((F.col("first") + F.col("n_ends")).alias("ordinal"), rest.alias("n_tokens")))
+    ).otherwise(nothing)
     each = stitched.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.explode(F.concat(own, open_end)).alias("d"))
     return each.select("file", F.col("d.ordinal").alias("ordinal"), F.col("d.n_tokens").alias("n_tokens"))

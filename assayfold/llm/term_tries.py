@@ -168,7 +168,17 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)], [name for name, _ in types])
 
 
-def _cut(lang: str, names: list[str], shared: list[int], terms: list[bytes], docs: np.ndarray, width: np.ndarray, source: np.ndarray, n: np.ndarray, depth: int) -> Iterator[tuple]:
+def _cut(
+    lang: str,
+    names: list[str],
+    shared: list[int],
+    terms: list[bytes],
+    docs: np.ndarray,
+    width: np.ndarray,
+    source: np.ndarray,
+    n: np.ndarray,
+    depth: int,
+) -> Iterator[tuple]:
     """Segments of leaves in byte order, one for every prefix of `depth` bytes; a segment's first leaf has its whole term, and
     sources are those that the segment has."""
     starts = [k for k, t in enumerate(terms) if not k or shared[k] < depth and t[:depth] != terms[k - 1][:depth]]
@@ -419,13 +429,17 @@ def audit(docs: DataFrame, least: int = DOCUMENTS, listed: int = LISTED, leaves:
     ranges = kept.put(sorted_.mapInArrow(_merge(least), RANGE), "ranges")
     kept.drop("segments")
     terms = ranges.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
-    totals = ranges.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("n"))
+    totals = ranges.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(
+        F.sum("x.totals").alias("n")
+    )
     known = groups.join(totals, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("n", F.lit(0)).alias("n")).alias("s"))
     langs = kept.put(known.groupBy("lang").agg(F.array_sort(F.collect_list("s")).alias("s")).join(terms, "lang"), "langs")
     compared = langs.agg(F.sum(F.col("v") * F.size("s"))).first()[0] or 0
     # one row a language, salted: a language's ranges need not meet in one task where Spark does not broadcast the few rows
     salts = 64
-    langs = langs.select("lang", F.col("s.source").alias("all"), F.col("s.n").alias("n_all"), "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    langs = langs.select(
+        "lang", F.col("s.source").alias("all"), F.col("s.n").alias("n_all"), "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    )
     dealt = ranges.withColumn("salt", F.pmod(F.xxhash64("prefix"), F.lit(salts)).cast("int")).join(langs, ["lang", "salt"])
     parts = dealt.select("lang", "terms", "sources", "width", "at", "n", "all", "n_all", "v").repartition(1 + compared // COMPARED)
     found = kept.put(parts.mapInArrow(_compare(listed), "lang string, source string, part string, item string, value long"), "found")

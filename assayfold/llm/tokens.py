@@ -36,7 +36,9 @@ class Encoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.fast = self.full = None
-        if spec["model"]["type"] == "BPE" and not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space"):
+        if spec["model"]["type"] == "BPE" and not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get(
+            "type"
+        ) == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space"):
             # The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for 256 and up.
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -45,7 +47,9 @@ class Encoder:
 
             if sorted(ranks.values()) == list(range(len(ranks))):
                 pattern, ahead = public_tokenizers.PATTERN, "|\\s+(?!\\S)|\\s+"
-                encode = lambda p: tiktoken.Encoding("bytes", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+                encode = lambda p: tiktoken.Encoding(
+                    "bytes", pat_str=p, mergeable_ranks=ranks, special_tokens={}
+                )._core_bpe.encode_ordinary
                 self.full = encode(pattern)
                 self.fast = encode(pattern.replace(ahead, "|\\s")) if pattern.endswith(ahead) else self.full
 

@@ -54,7 +54,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     what is left over as copies of the smallest of them by its other columns. Texts without words count nothing and
     stay. An empty table stays empty; all columns come back as they were."""
     hash_, id_, n, each, more = (free_name(docs, c) for c in ("_hash", "_id", "_n", "_each", "_more"))
-    copies = entropy_mixing.mix(docs).groupBy(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_)).agg(F.sum("copies").alias(more), F.count("*").alias(n))
+    copies = entropy_mixing.mix(docs).groupBy(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_)).agg(
+        F.sum("copies").alias(more), F.count("*").alias(n)
+    )
     copies = copies.select(id_, hash_, n, F.floor(F.col(more) / F.col(n)).cast("int").alias(each), (F.col(more) % F.col(n)).cast("int").alias(more))
     on = F.col("doc_id").eqNullSafe(F.col(id_)) & (entropy_mixing.row_hash() == F.col(hash_))
     often = lambda rows, times: rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 
 from assayfold.operators import experiments as ex
+from assayfold.operators import reports
 
 
 def resampled(units, draws, seed=1):
@@ -22,3 +23,11 @@ def test_bootstrap_draws_every_unit(spark):
     got = ex.bootstrap(spark.createDataFrame(log, "source long, gold int, label int"), draws=150).first()
     want = resampled([(i, 1.0 if i % 3 else 0.5) for i in range(70)], 150)
     assert abs(got.low - want[0]) < 1e-12 and abs(got.high - want[1]) < 1e-12
+
+
+def test_paired_interval_draws_every_unit(spark):
+    """Common items are drawn by their own hash; what only one arm has takes no part."""
+    arm = lambda n, right: spark.createDataFrame([(i, 1, int(right(i) > 0)) for i in range(n)], "source long, gold int, label int")
+    got = reports.paired_interval(arm(60, lambda i: i % 3), arm(50, lambda i: i % 4), draws=150).first()
+    want = resampled([(i, float(i % 4 > 0) - float(i % 3 > 0)) for i in range(50)], 150)
+    assert got.items == 50 and abs(got.low - want[0]) < 1e-12 and abs(got.high - want[1]) < 1e-12

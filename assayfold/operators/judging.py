@@ -156,7 +156,7 @@ def judge_questions(
     model: str = "default",
     ledger: DataFrame | None = None,
     pack: int = 32,
-    workers: int = 4,
+    workers: int | None = None,
     once: bool = False,
     longest: int | None = LONGEST,
     dedupe: bool = True,
@@ -167,7 +167,7 @@ def judge_questions(
     post gets a pack's body as JSON and returns the response's JSON. Requests go out whenever the result is evaluated;
     `runs.start` sends them once and keeps the replies. An exception, a response
     that cannot be read and an item without an answer make errors of the items they concern. Without dedupe every row is
-    asked, equal or not, and the ledger is not read."""
+    asked, equal or not, and the ledger is not read. For workers see `dealt`."""
     rows, own = clean(rows, longest), question_key(model, pack, once)
     rows = rows.withColumn("key", own if dedupe else F.concat_ws("#", own, "pos"))
     return resumed(rows, ledger if dedupe else None, lambda rest: posted(rest, post, model, pack, workers, once, chars_per_token))
@@ -182,7 +182,16 @@ def resumed(items: DataFrame, ledger: DataFrame | None, ask: Callable[[DataFrame
     return new.unionByName(old.withColumn("certainty", certainty(F.col("kind"), F.col("p"), F.col("error"))).select(*new.columns))
 
 
-def posted(rows: DataFrame, post: Callable[[str], str], model: str, pack: int, workers: int, once: bool, chars_per_token: float) -> DataFrame:
+def dealt(packs: DataFrame, workers: int | None) -> DataFrame:
+    """Packs over the tasks that ask; each task has one request in flight. `workers` bounds the tasks, whatever each then has to
+    read; without it they are the session's partitions. Not dealt by pack_id itself, which packs are grouped by already."""
+    tasks = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if workers is None else max(1, workers)
+    return packs.repartition(tasks, F.xxhash64("pack_id"))
+
+
+def posted(
+    rows: DataFrame, post: Callable[[str], str], model: str, pack: int, workers: int | None, once: bool, chars_per_token: float
+) -> DataFrame:
     """Answers to all rows (pos, item, key and a question), of equal ones asked for the first, one body a pack."""
     overhead = questions.overhead(*[F.col(c) for c in QUESTION], once=once)
     sizes = rows.select("key", "pos", F.length("item").alias("length"), overhead.alias("overhead"))
@@ -202,9 +211,8 @@ def posted(rows: DataFrame, post: Callable[[str], str], model: str, pack: int, w
                     said, why = None, str(e) or type(e).__name__
                 yield pd.DataFrame({"pack_id": [number], "said": [said], "why": [why]})
 
-    replies = questions.bodies(packs, model, once).select("pack_id", "body").repartition(workers, "pack_id").mapInPandas(
-        run, "pack_id long, said string, why string"
-    )
+    bodies = dealt(questions.bodies(packs, model, once).select("pack_id", "body"), workers)
+    replies = bodies.mapInPandas(run, "pack_id long, said string, why string")
     name = F.concat(F.lit("item_"), F.col("position").cast("string"))
     payload = F.try_element_at(F.from_json("said", "struct<answers: map<string, string>>")["answers"], name)
     why = F.coalesce("why", F.when(F.col("payload").isNull(), F.concat(name, F.lit(" has no answer"))))

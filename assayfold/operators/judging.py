@@ -130,14 +130,14 @@ def judge(
     ask: Callable[[list[str]], list[str]],
     ledger: DataFrame | None = None,
     pack: int = 32,
-    workers: int = 4,
+    workers: int | None = None,
     longest: int | None = LONGEST,
 ) -> DataFrame:
     """One decoded answer for every item (pos, item, key), with `certainty` and `origin`: asked, copied or resumed.
 
     ask gets a pack's texts and returns a JSON entry for each; an exception makes that pack's items errors. Equal items
     share an answer; what the ledger holds is answered from it, and only the rest is asked. An item over the limit
-    stops the run before anything is sent (longest None: no limit)."""
+    stops the run before anything is sent (longest None: no limit). For workers see `dealt`."""
     return resumed(clean(items, longest), ledger, lambda rest: asked(rest, ask, pack, workers))
 
 
@@ -220,7 +220,7 @@ def posted(
     return finished(rows, raw.drop("pack_id", "said"))
 
 
-def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 32, workers: int = 4) -> DataFrame:
+def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 32, workers: int | None = None) -> DataFrame:
     """Answers to all items (pos, item, key), of equal ones asked for the first."""
     firsts = items.groupBy("key").agg(F.min("pos").alias("pos"), F.min_by(F.length("item"), "pos").alias("length"))
     packs = items.select("pos", "key", "item").join(places(firsts.withColumn("overhead", F.lit(0)), pack), "pos")
@@ -249,7 +249,7 @@ def asked(items: DataFrame, ask: Callable[[list[str]], list[str]], pack: int = 3
                     }
                 )
 
-    raw = grouped.repartition(workers, "pack_id").mapInPandas(run, "pos long, key string, position int, packed int, payload string, why string")
+    raw = dealt(grouped, workers).mapInPandas(run, "pos long, key string, position int, packed int, payload string, why string")
     return finished(items, raw)
 
 

@@ -33,3 +33,11 @@ def test_questions_go_over_the_sessions_partitions(spark):
     asked = lambda **more: lambda: judging.judge_questions(rows, post, pack=1, **more)
     assert partitions(spark, 16, asked()) == 16
     assert partitions(spark, 3, asked(workers=3)) == 3 and partitions(spark, 16, asked(workers=2)) == 2  # a bound that is given holds
+
+
+def test_items_go_over_the_sessions_partitions(spark):
+    items = spark.range(300).selectExpr("id AS pos", "concat('text ', id) AS item", "cast(id AS string) AS key")
+    ask = lambda texts: [json.dumps(chosen()) for _ in texts]
+    asked = lambda **more: lambda: judging.judge(items, ask, pack=1, **more)
+    assert partitions(spark, 16, asked()) == 16
+    assert partitions(spark, 3, asked(workers=3)) == 3 and partitions(spark, 16, asked(workers=2)) == 2
